@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from onsetlab.llm import bpe, packing, token_counts
+from onsetlab.llm import bpe, chat, language_id, media, packing, secrets, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": token_counts.op1_token_counts,
+        "op3_language_id": language_id.op3_language_id,
+        "op4_secret_scans": secrets.op4_secret_scans,
+        "op5_media_columns": media.op5_media_columns,
+        "op6_chat_formatting": chat.op6_chat_formatting,
         "op7_bpe_encode_decode": bpe.op7_bpe_encode_decode,
         "op10_best_fit_packing": packing.op10_best_fit_packing,
     }
