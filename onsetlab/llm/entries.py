@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from onsetlab.llm import bpe, chat, language_id, media, packing, secrets, token_counts
+from onsetlab.llm import bpe, chat, jaccard, language_id, media, packing, secrets, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_media_columns": media.op5_media_columns,
         "op6_chat_formatting": chat.op6_chat_formatting,
         "op7_bpe_encode_decode": bpe.op7_bpe_encode_decode,
+        "op9_ngram_jaccard_join": jaccard.op9_ngram_jaccard_join,
         "op10_best_fit_packing": packing.op10_best_fit_packing,
     }
 
