@@ -6,19 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from onsetlab.llm import bpe, chat, jaccard, language_id, media, packing, secrets, token_counts
+import corpus_pipeline
+from onsetlab.llm import bpe, chat, embedding_dups, jaccard, language_id, media, packing, quality, secrets, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": token_counts.op1_token_counts,
+        "op2_quality_classifier": quality.op2_quality_classifier,
         "op3_language_id": language_id.op3_language_id,
         "op4_secret_scans": secrets.op4_secret_scans,
         "op5_media_columns": media.op5_media_columns,
         "op6_chat_formatting": chat.op6_chat_formatting,
         "op7_bpe_encode_decode": bpe.op7_bpe_encode_decode,
+        "op8_embedding_near_dedup": embedding_dups.op8_embedding_near_dedup,
         "op9_ngram_jaccard_join": jaccard.op9_ngram_jaccard_join,
         "op10_best_fit_packing": packing.op10_best_fit_packing,
+        "pipeline": corpus_pipeline.run,
     }
 
 
