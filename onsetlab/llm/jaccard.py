@@ -17,7 +17,7 @@ by the histogram of set sizes. Rarity comes from a fixed-size table of shingle c
 all documents; it only sets the order, so the result doesn't depend on it.
 
 Output is one row per document with its component, never pairs. Broadcast: the table of
-rarity (1 MB) only.
+rarity and a table of wanted ids (1 MB each).
 
 Defined cases: documents without words, or with null text, have size 0 and link with
 nothing; fewer than three words are one shingle; a null id has a null component and
@@ -52,6 +52,8 @@ SCAN_COST = 8
 #: A block of a merged list has at most so many sets, and about so many elements.
 BLOCK_SETS, BLOCK_ELEMENTS = 512, 400_000
 MEMO_ROWS = 300_000
+#: Bits of the table that chooses whose texts are sent.
+ID_BITS = 1 << 23
 
 
 class _Hashes(dict):
@@ -74,10 +76,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_hashes(text: str | None, words: int = WORDS) -> np.ndarray:
+def shingle_hashes(text: str | bytes | None, words: int = WORDS) -> np.ndarray:
     """Sorted distinct hashes of a text's shingles. Lower case is for A-Z, and words are
     split at the six ASCII blanks, as bytes.lower and bytes.split do."""
-    split = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    raw = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text
+    split = raw.lower().split() if raw else []
     n = len(split)
     if not n:
         return np.zeros(0, np.uint64)
@@ -270,37 +273,108 @@ def _links(ids: list[int], sides: list[bool], sets: list[np.ndarray], within: bo
             yield ids[first[x]], ids[second[y]]
 
 
-def heavy_links(docs: DataFrame, dealt: DataFrame, words: int, top: int, bottom: int) -> DataFrame:
-    """Links of the block pairs: texts meet their blocks, and each pair of blocks is one
-    run of rows in a partition, of bounded size."""
-    texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("rep"), "text").join(dealt, "rep")
-    # an id repeated with the same text is one set
-    key = ["hub", "i", "j"]
-    sorted_ = texts.repartition(*key).sortWithinPartitions(*key).select(*key, "rep", "is_i", "text")
+def runs(df: DataFrame, key: list[str], columns: list[str], schema: str, of_group) -> DataFrame:
+    """Rows dealt by key and sorted, each run of equal keys handed to ``of_group(key, rows)``,
+    which returns output rows. Only one run, of bounded size, is held at a time."""
 
     def find(batches):
         import pyarrow as pa
 
-        def done(key, group):
-            ids, sides, sets = zip(*{(r, s, x.tobytes()): (r, s, x) for r, s, x in group}.values())
-            return list(_links(list(ids), list(sides), list(sets), key[1] == key[2], top, bottom))
+        names = [x.split()[0] for x in schema.split(", ")]
+        types = [{"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}[x.split()[1]] for x in schema.split(", ")]
+
+        def batch_of(out):
+            return pa.RecordBatch.from_pydict({n: pa.array(c, t) for n, t, c in zip(names, types, zip(*out))})
 
         now, group = None, []
         for batch in batches:
             out = []
             for at in range(0, batch.num_rows, 256):
-                for h, i, j, r, s, t in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns)):
-                    if (h, i, j) != now:
+                for row in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns)):
+                    if row[: len(key)] != now:
                         if len(group) > 1:
-                            out += done(now, group)
-                        now, group = (h, i, j), []
-                    group.append((r, s, shingle_hashes(t, words)))
+                            out += of_group(now, group)
+                        now, group = row[: len(key)], []
+                    group.append(row[len(key) :])
             if out:
-                yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
-        if len(group) > 1 and (out := done(now, group)):
-            yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+                yield batch_of(out)
+        if len(group) > 1 and (out := of_group(now, group)):
+            yield batch_of(out)
+
+    return df.repartition(*key).sortWithinPartitions(*key).select(*key, *columns).mapInArrow(find, schema)
+
+
+def possible(dealt: DataFrame, classes: DataFrame, most: int, top: int, bottom: int) -> DataFrame:
+    """The rows of dealt whose set has a partner in its block pair that it may link with by
+    their rarest elements: of two prefixes the one that ends earlier shows all that both
+    sets share up to its end, and beyond that its set has only so many elements left."""
+    heavy = classes.where(F.col("n") > most).select("rep", "n", "first")
+
+    def prune(key, group):
+        reps, is_i, n, first = zip(*group)
+        within = key[1] == key[2]
+        n = np.array(n, np.int64)
+        prefix = [np.array(f[: k - sizes_allowed(int(k), top, bottom) + 1], np.int64) for f, k in zip(first, n)]
+        last = np.array([p[-1] for p in prefix])
+        rest = n - [len(p) for p in prefix]
+        a = list(range(len(reps))) if within else [k for k, s in enumerate(is_i) if s]
+        b = a if within else [k for k, s in enumerate(is_i) if not s]
+        if not a or not b:
+            return []
+        shared = overlaps([prefix[k] for k in a], None if within else [prefix[k] for k in b])
+        most_shared = shared + np.where(last[a][:, None] <= last[b][None, :], rest[a][:, None], rest[b][None, :])
+        may = (shared > 0) & (most_shared * (top + bottom) >= top * (n[a][:, None] + n[b][None, :]))
+        if within:
+            np.fill_diagonal(may, False)
+        rows = {a[k] for k in np.flatnonzero(may.any(axis=1))} | {b[k] for k in np.flatnonzero(may.any(axis=0))}
+        return [(*key, reps[k], is_i[k]) for k in sorted(rows)]
+
+    key = ["hub", "i", "j"]
+    return runs(dealt.join(heavy, "rep"), key, ["rep", "is_i", "n", "first"], "hub long, i int, j int, rep long, is_i boolean", prune)
+
+
+def packed_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(rep, packed): compressed texts of the ids in wanted and, as a bitmap of hashed ids
+    (1 MB) does the choosing here, a few others; a join follows."""
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(ID_BITS))
+    bits = wanted.select(slot("rep").alias("s")).groupBy(F.shiftright("s", 5).cast("int").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(s & 31 as int)))").alias("x")).toPandas()
+    table = np.zeros(ID_BITS // 32, np.uint64)
+    table[bits["at"].to_numpy(int)] = bits["x"].to_numpy(np.int64).view(np.uint64)
+    given = docs.sparkSession.sparkContext.broadcast(table)
+
+    def make():
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=3)
+        table = given.value.tolist()
+
+        def rows(c):
+            for i, s, t in zip(*c):
+                if t and table[s >> 5] >> (s & 31) & 1:
+                    yield i, pack.compress(t.encode("utf-8", "surrogatepass"))
+
+        return rows
+
+    return map_rows(docs.where(F.col("doc_id").isNotNull()).select("doc_id", slot("doc_id").alias("s"), "text"), make, "rep long, packed binary")
+
+
+def heavy_links(docs: DataFrame, dealt: DataFrame, words: int, top: int, bottom: int) -> DataFrame:
+    """Links of the block pairs: texts meet their blocks, and each pair of blocks is one
+    run of rows in a partition, of bounded size."""
+
+    def find(key, group):
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor()
+        sets = {}
+        for rep, is_i, packed in group:
+            if (rep, is_i, packed) not in sets:  # an id repeated with the same text is one set
+                sets[rep, is_i, packed] = shingle_hashes(unpack.decompress(packed), words)
+        ids, sides, _ = zip(*sets)
+        return list(_links(list(ids), list(sides), list(sets.values()), key[1] == key[2], top, bottom))
 
-    return sorted_.mapInArrow(find, "a long, b long")
+    found = packed_texts(docs, dealt).join(dealt, "rep")
+    return runs(found, ["hub", "i", "j"], ["rep", "is_i", "packed"], "a long, b long", find)
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, top: int = TOP, bottom: int = BOTTOM) -> DataFrame:
@@ -319,7 +393,8 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, top: int = TOP, bott
     histogram = {r["n"]: r["count"] for r in found.where(F.col("n") <= MOST_LIGHT * bottom // top).groupBy("n").count().collect()}
     most = boundary(histogram, top, bottom)
     lists = cut(merged_lists(classes, most, top, bottom))
-    links = light_links(classes, most, top, bottom).unionByName(heavy_links(docs, blocks(lists, top, bottom), words, top, bottom))
+    dealt = cut(possible(blocks(lists, top, bottom), classes, most, top, bottom))
+    links = light_links(classes, most, top, bottom).unionByName(heavy_links(docs, dealt, words, top, bottom))
     reached = components(links)
     named = member.join(reached, member["rep"] == reached["node"], "left").select("doc_id", "n", "s1", "s2", "rep", F.coalesce("component", "rep").alias("component"))
     rows = signed.select("doc_id", "n", "s1", "s2").join(named, ["doc_id", *key], "left")
