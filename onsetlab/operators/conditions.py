@@ -1,0 +1,185 @@
+"""The nested condition queries, labelling, and checks of a configuration against data."""
+
+from __future__ import annotations
+
+import copy
+import re
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: Defaults of the model section.
+MODEL_DEFAULTS = {
+    "mnispace": False,
+    "featureSelection": {"model": "ANOVA", "feat_p": 0.05},
+    "classifier": {"name": "logistic_regression", "params": {"C": 1.0, "max_iter": 5000, "class_weight": "balanced"}},
+}
+MATCHES = ("exact", "in", "regex")
+SECTIONS = ("training", "testing", "timecourse_decoding")
+
+
+def condition(node: dict) -> Column:
+    """A query node as a two-valued Column: a missing value fails a leaf and passes its not."""
+    if "and" in node:
+        return reduce(lambda a, b: a & b, map(condition, node["and"]))
+    if "or" in node:
+        return reduce(lambda a, b: a | b, map(condition, node["or"]))
+    if "not" in node:
+        return ~condition(node["not"])
+    text = F.col(node["column"]).cast("string")
+    kind = node.get("match", "exact")
+    if kind == "exact":
+        hit = text == str(node["value"])
+    elif kind == "in":
+        hit = text.isin(*map(str, node.get("values", node.get("value"))))
+    else:
+        hit = text.rlike(rf"\A(?:{node['value']})\z")
+    return F.coalesce(hit, F.lit(False))
+
+
+def validate_query(node, columns: list[str], path: str = "query") -> list[str]:
+    """What is wrong with a node, as messages; none if it is right."""
+    if not isinstance(node, dict):
+        return [f"{path}: not an object"]
+    joins = [k for k in ("and", "or", "not") if k in node]
+    if joins:
+        if len(joins) > 1:
+            return [f"{path}: more than one of and, or, not"]
+        if set(node) - set(joins):
+            return [f"{path}: {joins[0]} beside other keys"]
+        below = node[joins[0]]
+        if joins[0] == "not":
+            return validate_query(below, columns, f"{path}.not")
+        if not isinstance(below, list) or not below:
+            return [f"{path}.{joins[0]}: not a list with entries"]
+        return [e for k, x in enumerate(below) for e in validate_query(x, columns, f"{path}.{joins[0]}[{k}]")]
+    errors = []
+    if node.get("column") not in columns:
+        errors.append(f"{path}: unknown column {node.get('column')!r}")
+    kind = node.get("match", "exact")
+    if kind not in MATCHES:
+        return [*errors, f"{path}: unknown match {kind!r}"]
+    if kind == "in":
+        values = node.get("values", node.get("value"))
+        if not isinstance(values, list) or not values:
+            errors.append(f"{path}: in needs a list of values")
+    elif "value" not in node or isinstance(node["value"], (list, dict)):
+        errors.append(f"{path}: {kind} needs one value")
+    elif kind == "regex":
+        try:
+            re.compile(str(node["value"]))
+        except re.error as e:
+            errors.append(f"{path}: bad pattern ({e})")
+        if re.search(r"\(\?P<|\\Z", str(node["value"])):
+            errors.append(f"{path}: pattern uses (?P< or \\Z, which the engine doesn't know")
+    return errors
+
+
+def label_rows(df: DataFrame, conditions: dict[str, dict], column: str = "regressor_label") -> DataFrame:
+    """The name of the first condition that holds; rows of none go."""
+    whens = reduce(lambda w, kv: w.when(condition(kv[1]), F.lit(kv[0])), conditions.items(), F)
+    return df.withColumn(column, whens).where(F.col(column).isNotNull())
+
+
+def class_codes(df: DataFrame, categories: list[str], column: str = "regressor_label") -> DataFrame:
+    """1-based code in the order of categories, 0 for any other label."""
+    code = F.array_position(F.array(*map(F.lit, categories)), F.col(column)).cast("int")
+    return df.withColumn("regressor", F.coalesce(code, F.lit(0)))
+
+
+def condition_counts(df: DataFrame, sections: dict[str, dict[str, dict]]) -> DataFrame:
+    """Rows of each condition of each section, in one pass: (section, name, n)."""
+    names = [(s, c, q) for s, cs in sections.items() for c, q in cs.items()]
+    sums = df.agg(*(F.coalesce(F.sum(condition(q).cast("long")), F.lit(0)).alias(f"c{k}") for k, (_, _, q) in enumerate(names)))
+    rows = F.array(*(F.struct(F.lit(s).alias("section"), F.lit(c).alias("name"), F.col(f"c{k}").alias("n")) for k, (s, c, _) in enumerate(names)))
+    return sums.select(F.inline(rows))
+
+
+def condition_overlaps(df: DataFrame, conditions: dict[str, dict]) -> DataFrame:
+    """Rows that two conditions share, for each pair, in one pass: (a, b, n)."""
+    names = list(conditions)
+    pairs = [(a, b) for k, a in enumerate(names) for b in names[k + 1 :]]
+    sums = df.agg(*(F.coalesce(F.sum((condition(conditions[a]) & condition(conditions[b])).cast("long")), F.lit(0)).alias(f"c{k}") for k, (a, b) in enumerate(pairs)))
+    rows = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{k}").alias("n")) for k, (a, b) in enumerate(pairs)))
+    return sums.select(F.inline(rows))
+
+
+def validate_window(window) -> list[str]:
+    errors = []
+    if not isinstance(window, dict):
+        return ["window: not an object"]
+    for side in ("start", "end"):
+        x = window.get(side)
+        if not isinstance(x, dict):
+            errors.append(f"window.{side}: missing")
+            continue
+        if x.get("reference") not in ("onset", "offset_end"):
+            errors.append(f"window.{side}: unknown reference {x.get('reference')!r}")
+        offset = x.get("offset_seconds", 0)
+        if isinstance(offset, bool) or not isinstance(offset, (int, float)):
+            errors.append(f"window.{side}: offset_seconds is no number")
+    if not errors and window["start"]["reference"] == window["end"]["reference"]:
+        if window["end"].get("offset_seconds", 0) <= window["start"].get("offset_seconds", 0):
+            errors.append("window: the end isn't after the start")
+    return errors
+
+
+def validate_config(config: dict, df: DataFrame) -> tuple[list[str], list[str]]:
+    """Errors and warnings of the condition sections against a volume table."""
+    errors, warnings = [], []
+    given = config.get("model_conditions", {})
+    right: dict[str, dict] = {}
+    for s in SECTIONS:
+        if s not in given:
+            if s != "timecourse_decoding":
+                errors.append(f"{s}: missing")
+            continue
+        cs = given[s].get("conditions")
+        if not isinstance(cs, dict) or not cs:
+            errors.append(f"{s}: no conditions")
+            continue
+        found = [e for c, q in cs.items() for e in validate_query(q, df.columns, f"{s}.{c}")]
+        if s == "timecourse_decoding":
+            found += validate_window(given[s].get("window"))
+        errors += found
+        if not found:
+            right[s] = cs
+    names = [(s, set(given[s].get("conditions") or {})) for s in SECTIONS if s in given]
+    for (a, x), (b, y) in zip(names, names[1:]):
+        if x != y:
+            warnings.append(f"{a} and {b} differ in {sorted(x ^ y)}")
+    if right:
+        errors += [f"{r['section']}.{r['name']}: no rows" for r in condition_counts(df, right).where("n = 0").collect()]
+        for s, cs in right.items():
+            if len(cs) > 1:
+                warnings += [f"{s}: {r['a']} and {r['b']} share {r['n']} rows" for r in condition_overlaps(df, cs).where("n > 0").collect()]
+    return errors, warnings
+
+
+def merged(defaults: dict, given: dict | None) -> dict:
+    """Defaults with what is given put over them, level by level. The classifier's parameters
+    are those given alone if another classifier is named."""
+    out = copy.deepcopy(defaults)
+    for k, v in (given or {}).items():
+        if k == "classifier" and isinstance(v, dict) and v.get("name", out.get(k, {}).get("name")) != out.get(k, {}).get("name"):
+            out[k] = {"params": {}} | v
+        elif isinstance(v, dict) and isinstance(out.get(k), dict):
+            out[k] = merged(out[k], v)
+        else:
+            out[k] = v
+    return out
+
+
+def model_config(given: dict | None) -> dict:
+    out = merged(MODEL_DEFAULTS, given)
+    if out["featureSelection"]["model"] != "ANOVA":
+        raise ValueError("only ANOVA feature selection is known")
+    return out
+
+
+def config_root(value, inherited: str) -> tuple[str, str | None]:
+    """A root folder and a warning: missing or null inherits, an empty string is meant."""
+    if value is None:
+        return inherited, None
+    return value, "an empty root is taken as given" if value == "" else None
