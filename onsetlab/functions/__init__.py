@@ -38,11 +38,20 @@ def sigmoid(x: Column) -> Column:
     return 1.0 / (1.0 + F.exp(-x))
 
 
+def let(value: Column, f) -> Column:
+    """f of a value that is worked out once, also where f uses it for each element of an array."""
+    return F.transform(F.array(value), f)[0]
+
+
+def total(x: Column) -> Column:
+    """Sum of an array of numbers."""
+    return F.aggregate(x, F.lit(0.0), lambda s, y: s + y)
+
+
 def softmax(scores: Column) -> Column:
     """Of an array of numbers."""
-    top = F.array_max(scores)
-    e = F.transform(scores, lambda x: F.exp(x - top))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda s, y: s + y))
+    exps = let(F.array_max(scores), lambda top: F.transform(scores, lambda x: F.exp(x - top)))
+    return let(exps, lambda e: let(total(e), lambda all_: F.transform(e, lambda x: x / all_)))
 
 
 def decision_evidence(scores: Column, n_classes: int) -> Column:
@@ -55,10 +64,11 @@ def decision_evidence(scores: Column, n_classes: int) -> Column:
 
 def pearson(a: Column, b: Column) -> Column:
     """Correlation of two arrays; a zero norm counts as 1."""
-    mean = lambda x: F.aggregate(x, F.lit(0.0), lambda s, y: s + y) / F.size(x)
-    total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, y: s + y)
-    ma, mb = mean(a), mean(b)
-    ca, cb = F.transform(a, lambda x: x - ma), F.transform(b, lambda x: x - mb)
-    norm = lambda c: F.sqrt(total(F.transform(c, lambda x: x * x)))
-    scale = norm(ca) * norm(cb)
-    return total(F.zip_with(ca, cb, lambda x, y: x * y)) / F.when(scale == 0, 1.0).otherwise(scale)
+
+    def of(m: Column) -> Column:
+        x, y = m["a"], m["b"]
+        product = total(F.zip_with(a, b, lambda p, q: (p - x) * (q - y)))
+        norms = F.sqrt(total(F.transform(a, lambda p: (p - x) * (p - x)))) * F.sqrt(total(F.transform(b, lambda q: (q - y) * (q - y))))
+        return let(norms, lambda n: product / F.when(n == 0, 1.0).otherwise(n))
+
+    return let(F.struct((total(a) / F.size(a)).alias("a"), (total(b) / F.size(b)).alias("b")), of)
