@@ -19,7 +19,7 @@ def planted(spark):
     for k in range(90):
         x = rng.normal(size=12)
         x[k % 3] += 4.0
-        rows.append(("s", 1 + k % 6 // 2, k, f"r{k % 2}", NAMES[k % 3], x.tolist()))
+        rows.append(("s", 1 + k % 9 // 3, k, f"r{k % 2}", NAMES[k % 3], x.tolist()))
     return spark.createDataFrame(rows, "subject string, run int, volume int, boldfile string, regressor_label string, features array<double>").cache()
 
 
