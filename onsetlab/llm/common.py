@@ -45,20 +45,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def map_rows(df: DataFrame, make: Callable[[], Callable[[list], Iterator[tuple]]], schema: str) -> DataFrame:
+def map_rows(df: DataFrame, make: Callable[[], Callable[[list], Iterator[tuple]]], schema: str, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Arrow batches through a function of columns.
 
     ``make()`` runs once in each task and returns ``f(columns)``, which takes a list of
     Python lists (one for each column of df) and yields output rows as tuples. Rows
-    are handed over ``SLICE_ROWS`` at a time, so a batch of very long texts is never
+    are handed over ``slice_rows`` at a time, so a batch of very long texts is never
     expanded as a whole."""
     out = pa.schema(_arrow_fields(df.sparkSession, schema))
 
     def run(batches):
         f = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(at, SLICE_ROWS)
+            for at in range(0, batch.num_rows, slice_rows):
+                part = batch.slice(at, slice_rows)
                 rows = list(f([c.to_pylist() for c in part.columns]))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, type=t.type) for c, t in zip(zip(*rows), out)], schema=out)
@@ -90,5 +90,4 @@ def worker_cached(fn):
     return call
 
 
-TOKENS_PARALLEL_OFF = {"TOKENIZERS_PARALLELISM": "false"}
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")

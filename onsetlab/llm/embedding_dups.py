@@ -175,7 +175,7 @@ def _centres(reps: DataFrame) -> dict[str, tuple[list[bytes]]]:
         some = reps.where(F.col("label").isin(*wanted)).withColumn("h", F.xxhash64("key"))
         # the points with the smallest hashes: a threshold by share, then exactly k
         share = max(k / n for k, n in ((wanted[r["label"]], r["count"]) for r in large.collect()))
-        limit = -(2**63) + int(min(1.0, 8 * share + 1e-6) * (2**64 - 1))
+        limit = min(2**63 - 1, -(2**63) + int(min(1.0, 8 * share + 1e-6) * 2**64))
         for r in some.where(F.col("h") <= limit).groupBy("label").agg(F.slice(F.sort_array(F.collect_list(F.struct("h", "x"))), 1, max(wanted.values())).alias("c")).collect():
             by[r["label"]] = [bytes(c["x"]) for c in r["c"][: wanted[r["label"]]]]
     return by

@@ -26,5 +26,25 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+#: Links from a CTE ``l`` (a, b, both ways) and all nodes from ``v`` (id): the smallest id each reaches.
+REACH = "r(a, b) as (select a, b from l union select r.a, l.b from r join l on r.b = l.a), least_of as (select a, min(b) as m from r group by a)"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others are models, library tokens or digests of stored forms, which SQL can't express."""
+    return {
+        "op8_embedding_near_dedup": f"""with recursive v as (select vec_id, label, cast(embedding as double[]) as e from embeddings),
+ l as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and list_cosine_similarity(a.e, b.e) >= 0.93), {REACH},
+ n as (select a, count(*) as n from l group by a), x as (select vec_id, label, md5(cast(e as varchar)) as k from v), same as (select label, k, min(vec_id) as rep from x group by all)
+ select v.vec_id, coalesce(n.n, 0) as n_links, least(v.vec_id, coalesce(least_of.m, v.vec_id)) as component_id, v.vec_id = least(v.vec_id, coalesce(least_of.m, v.vec_id)) as kept, coalesce(same.rep, v.vec_id) as rep_id
+ from v left join n on n.a = v.vec_id left join least_of on least_of.a = v.vec_id left join x on x.vec_id = v.vec_id left join same on same.label = x.label and same.k = x.k""",
+        "op9_ngram_jaccard_join": f"""with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+ s as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end) as g from w),
+ z as (select doc_id, count(*) as n, md5(string_agg(g, '|' order by g)) as k from s group by doc_id),
+ o as (select a.doc_id as a, b.doc_id as b, count(*) as o from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by all),
+ l as (select o.a, o.b from o join z x on x.doc_id = o.a join z y on y.doc_id = o.b where 100 * o >= 90 * (x.n + y.n - o)), {REACH}, same as (select k, min(doc_id) as rep from z group by k)
+ select d.doc_id, coalesce(z.n, 0) as n_shingles, least(d.doc_id, coalesce(least_of.m, d.doc_id)) as component_id, coalesce(same.rep, d.doc_id) as class_id
+ from documents d left join z on z.doc_id = d.doc_id left join least_of on least_of.a = d.doc_id left join same on same.k = z.k""",
+    }

@@ -40,6 +40,8 @@ CUT = 24
 LONGEST = 12
 MEMO_ROWS = 300_000
 ROUNDS = 1
+#: Words (short rows) that are handed over at a time.
+WORD_ROWS = 10_000
 #: Share of the start in each language's probabilities, and of any character not in the vocabulary.
 SMOOTHING = 0.02
 UNSEEN = 1e-8
@@ -152,14 +154,17 @@ def expected_counts(batch: list[str], times: np.ndarray, index: dict[str, int],
         beta = np.zeros((width + LONGEST + 1, n))
         beta[sizes, np.arange(n)] = 1.0
         whole = alpha[sizes, np.arange(n)]
+        seen, times_seen = [], []
         for begin in range(width - 1, -1, -1):
             for k in range(1, min(LONGEST, width - 1 - begin) + 1):
                 ids = found[:, begin + k, k]
                 share = p[ids] * beta[begin + k]
                 beta[begin] += share
-                hit = share > 0
-                if hit.any():
-                    total += np.bincount(ids[hit], (alpha[begin] * share / whole * weight)[hit], len(total))
+                hit = np.flatnonzero(share > 0)
+                if len(hit):
+                    seen.append(ids[hit])
+                    times_seen.append((alpha[begin] * share / whole * weight)[hit])
+        total += np.bincount(np.concatenate(seen), np.concatenate(times_seen), len(total))
     return total
 
 
@@ -207,7 +212,7 @@ def fit(docs: DataFrame, vocabulary: str, rounds: int = ROUNDS) -> tuple[list[st
 
             return rows
 
-        sums = map_rows(counted, expect, "lang string, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
+        sums = map_rows(counted, expect, "lang string, piece int, n double", WORD_ROWS).groupBy("lang", "piece").agg(F.sum("n").alias("n"))
         langs = sorted(r["lang"] for r in counted.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect()) if not model[0] else model[0]
         if len(langs) > MOST_LANGUAGES:
             raise ValueError(f"more than {MOST_LANGUAGES} languages")
