@@ -75,6 +75,13 @@ def parts(word: str) -> list[str]:
     return [word[k : k + CUT] for k in range(0, len(word), CUT)]
 
 
+def by_length(batch: list[str]) -> tuple[list[int], list[str]]:
+    """All parts of the words, short ones first, each with its word's place: words of about
+    one length take no steps for longer ones."""
+    flat = sorted(((k, part) for k, w in enumerate(batch) for part in parts(w)), key=lambda x: len(x[1]))
+    return [k for k, _ in flat], [part for _, part in flat]
+
+
 def lattice(batch: list[str], index: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """Piece ids by (word, end, length): those of a missing piece are len(index), a single
     unknown character's is len(index) + 1; and the words' lengths."""
@@ -83,21 +90,19 @@ def lattice(batch: list[str], index: dict[str, int]) -> tuple[np.ndarray, np.nda
     most = int(sizes.max())
     found = np.full((len(batch), most + 1, LONGEST + 1), none, np.int32)
     get = index.get
-    rows, ends, lengths, ids = [], [], [], []
+    places, ids = [], []
     for r, w in enumerate(batch):
         for end in range(1, len(w) + 1):
+            base = (r * (most + 1) + end) * (LONGEST + 1) + end
             for begin in range(end - 1, max(-1, end - LONGEST - 1), -1):
                 k = get(w[begin:end])
-                if k is None:
-                    if begin == end - 1:
-                        k = unseen
-                    else:
-                        continue
-                rows.append(r)
-                ends.append(end)
-                lengths.append(end - begin)
-                ids.append(k)
-    found[rows, ends, lengths] = ids
+                if k is not None:
+                    places.append(base - begin)
+                    ids.append(k)
+                elif begin == end - 1:
+                    places.append(base - begin)
+                    ids.append(unseen)
+    found.reshape(-1)[places] = ids
     return found, sizes
 
 
@@ -121,11 +126,7 @@ def _padded(p: np.ndarray) -> np.ndarray:
 
 def word_scores(batch: list[str], index: dict[str, int], padded: np.ndarray) -> np.ndarray:
     """log probability of each word in each language."""
-    owner, flat = [], []
-    for k, w in enumerate(batch):
-        for part in parts(w):
-            owner.append(k)
-            flat.append(part)
+    owner, flat = by_length(batch)
     out = np.zeros((len(batch), padded.shape[1]))
     for at in range(0, len(flat), 4096):
         some = flat[at : at + 4096]
@@ -139,11 +140,7 @@ def expected_counts(batch: list[str], times: np.ndarray, index: dict[str, int],
     """Expected piece counts over all segmentations of the words, for one language's
     probabilities (padded has one column)."""
     total = np.zeros(len(padded))
-    owner, flat = [], []
-    for k, w in enumerate(batch):
-        for part in parts(w):
-            owner.append(k)
-            flat.append(part)
+    owner, flat = by_length(batch)
     p = padded[:, 0]
     for at in range(0, len(flat), 4096):
         some = flat[at : at + 4096]
@@ -250,7 +247,7 @@ class Scorer:
         split = [words(t) if t else [] for t in some]
         if self.langs:
             row = self.row
-            new = list({w for ws in split for w in ws if w not in row})
+            new = list(set().union(*split).difference(row))
             for at in range(0, len(new), self.memo_rows // 4):
                 self._learn(new[at : at + self.memo_rows // 4])
         for ws in split:
@@ -258,7 +255,7 @@ class Scorer:
                 out.append((UNDETERMINED, 0.0))
                 continue
             try:
-                total = self.table[[row[w] for w in ws]].sum(axis=0)
+                total = self.table[np.fromiter(map(row.__getitem__, ws), np.int64, len(ws))].sum(axis=0)
             except KeyError:  # forgotten meanwhile
                 counts = Counter(ws)
                 total = np.zeros(len(self.langs))
