@@ -45,9 +45,57 @@ WORD_ROWS = 10_000
 #: Share of the start in each language's probabilities, and of any character not in the vocabulary.
 SMOOTHING = 0.02
 UNSEEN = 1e-8
+#: Multipliers of the sums that find pieces, and bits of a slot's number.
+BASE, SPREAD, SLOT_BITS = np.uint64(0x9E3779B97F4A7C15), 0xD1B54A32D192ED03, 20
+POWERS = np.cumprod(np.array([1] + [BASE] * LONGEST, np.uint64), dtype=np.uint64)
 WORD = re.compile(r"[^\W\d_]+")
 
 
+def code_points(strings: list[str], width: int) -> np.ndarray:
+    """Code points by (string, place), 0 after a string's end."""
+    return np.array(strings, dtype=f"U{width}").view(np.uint32).reshape(len(strings), width)
+
+
+def prefix_sums(codes: np.ndarray) -> np.ndarray:
+    """Polynomial sums (modulo 2**64) of each string's prefixes, the empty one's first."""
+    out = np.zeros((len(codes), codes.shape[1] + 1), np.uint64)
+    for k in range(codes.shape[1]):
+        out[:, k + 1] = out[:, k] * BASE + codes[:, k]
+    return out
+
+
+def slots_of(sums: np.ndarray, times: np.uint64) -> np.ndarray:
+    return (sums * times >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+class PieceIndex(dict):
+    """Ids (from 0, without gaps) by piece, with tables that find many pieces at a time."""
+
+    def __init__(self, ids: dict[str, int]):
+        super().__init__(ids)
+        names = sorted(ids, key=ids.__getitem__)
+        self.codes = code_points(names, LONGEST)
+        self.sums = prefix_sums(self.codes)[np.arange(len(names)), [len(p) for p in names]]
+        #: Ids by slot of a piece's sum, -1 where none; pieces that share a slot are in further tables.
+        self.tables: list[tuple[np.uint64, np.ndarray]] = []
+        left = np.arange(len(names))
+        while len(left):
+            times = np.uint64(SPREAD + 2 * len(self.tables))
+            table = np.full(1 << SLOT_BITS, -1, np.int32)
+            slots = slots_of(self.sums[left], times)
+            table[slots] = left
+            self.tables.append((times, table))
+            left = left[table[slots] != left]
+
+    def having(self, sums: np.ndarray) -> np.ndarray:
+        """The piece that has each sum, -1 for none."""
+        out = np.full(sums.shape, -1, np.int32)
+        for times, table in self.tables:
+            k = table[slots_of(sums, times)]
+            np.copyto(out, k, where=(k >= 0) & (self.sums[k] == sums))
+        return out
+
+
 class Pieces:
     """The vocabulary's pieces of letters, by string; a word begins with a space sign."""
 
@@ -57,7 +105,7 @@ class Pieces:
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         names = (sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_byte(i) or sp.is_unknown(i)))
         keep = [p for p in names if len(p) <= LONGEST and (p == "▁" or WORD.fullmatch(p.lstrip("▁"))) and p.count("▁") <= 1]
-        self.index = {p: k for k, p in enumerate(keep)}
+        self.index = PieceIndex({p: k for k, p in enumerate(keep)})
         #: Zipf's law over the vocabulary's order.
         start = 1.0 / (np.arange(len(keep)) + 10.0)
         self.start = start / start.sum() * (1 - UNSEEN)
@@ -83,26 +131,28 @@ def by_length(batch: list[str]) -> tuple[list[int], list[str]]:
 
 
 def lattice(batch: list[str], index: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Piece ids by (word, end, length): those of a missing piece are len(index), a single
-    unknown character's is len(index) + 1; and the words' lengths."""
+    """Piece ids by (word, end, length): those of a missing piece are the number of pieces, a
+    single unknown character's is one more; and the words' lengths.
+
+    Substrings are sought by their sums, all words at a time, and found pieces are then
+    compared character by character."""
+    pieces = index if isinstance(index, PieceIndex) else PieceIndex(index)
     none, unseen = len(index), len(index) + 1
     sizes = np.array([len(w) for w in batch])
     most = int(sizes.max())
+    codes = code_points(batch, most)
+    sums = prefix_sums(codes)
     found = np.full((len(batch), most + 1, LONGEST + 1), none, np.int32)
-    get = index.get
-    places, ids = [], []
-    for r, w in enumerate(batch):
-        for end in range(1, len(w) + 1):
-            base = (r * (most + 1) + end) * (LONGEST + 1) + end
-            for begin in range(end - 1, max(-1, end - LONGEST - 1), -1):
-                k = get(w[begin:end])
-                if k is not None:
-                    places.append(base - begin)
-                    ids.append(k)
-                elif begin == end - 1:
-                    places.append(base - begin)
-                    ids.append(unseen)
-    found.reshape(-1)[places] = ids
+    for k in range(1, min(LONGEST, most) + 1):
+        ids = pieces.having(sums[:, k:] - sums[:, :-k] * POWERS[k])
+        row, begin = np.nonzero(ids >= 0)
+        ids = ids[row, begin]
+        same = ~pieces.codes[ids, k:].any(axis=1)
+        for at in range(k):
+            same &= pieces.codes[ids, at] == codes[row, begin + at]
+        if k == 1:
+            found[:, 1:, 1] = np.where(codes > 0, unseen, none)
+        found[row[same], begin[same] + k, k] = ids[same]
     return found, sizes
 
 
