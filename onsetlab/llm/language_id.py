@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from onsetlab.llm.common import map_rows, vocab_path, worker_cached
+from onsetlab.llm.common import cut, map_rows, vocab_path, worker_cached
 
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 UNDETERMINED = "und"
@@ -254,17 +254,18 @@ def fit(docs: DataFrame, vocabulary: str, rounds: int = ROUNDS) -> tuple[list[st
                 for lang, (ws, ns) in by.items():
                     p = given_p[:, known.index(lang)] if lang in known else pieces.start
                     total = expected_counts(ws, np.array(ns), pieces.index, _padded(p[:, None]))[: len(pieces.index)]
+                    yield lang, -1, 0.0  # a language whose words have no known piece
                     for k in np.flatnonzero(total):
                         yield lang, int(k), float(total[k])
 
             return rows
 
-        sums = map_rows(counted, expect, "lang string, piece int, n double", WORD_ROWS).groupBy("lang", "piece").agg(F.sum("n").alias("n"))
-        langs = sorted(r["lang"] for r in counted.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect()) if not model[0] else model[0]
+        sums = cut(map_rows(counted, expect, "lang string, piece int, n double", WORD_ROWS).groupBy("lang", "piece").agg(F.sum("n").alias("n")))
+        langs = sorted(r["lang"] for r in sums.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
         if len(langs) > MOST_LANGUAGES:
             raise ValueError(f"more than {MOST_LANGUAGES} languages")
         p = np.zeros((len(start), len(langs)))
-        found = sums.toPandas()
+        found = sums.where("piece >= 0").toPandas()
         p[found["piece"].to_numpy(int), [langs.index(x) for x in found["lang"]]] = found["n"]
         p /= np.maximum(p.sum(axis=0), 1e-300)
         model = langs, (1 - SMOOTHING) * p + SMOOTHING * start[:, None]
