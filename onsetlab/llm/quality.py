@@ -191,9 +191,10 @@ def quality_filter(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, lea
     model = co_train(cut(features(docs)), labels, rounds)
     if model is None:
         return docs
-    d = with_metadata(docs)
-    views = d.withColumn("text_view", _text_view("text")).withColumn("page_view", _metadata_view())
-    return views.where(model.score() >= least).select(*(F.col(f"`{c}`") for c in docs.columns))
+    # the row travels as one struct, so no column of docs can clash with a view's name
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    views = with_metadata(docs).select(row, _text_view("text").alias("text_view"), _metadata_view().alias("page_view"))
+    return views.where(model.score() >= least).select("row.*")
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

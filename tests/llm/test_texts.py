@@ -178,6 +178,8 @@ def test_quality(spark):
     assert len(wrong) < 8
     kept = quality.quality_filter(docs, lab)
     assert kept.columns == docs.columns and abs(kept.count() - sum(r.kept for r in got)) == 0
+    clash = quality.quality_filter(docs.withColumnRenamed("score", "text_view"), lab)
+    assert {r.text_view for r in clash.collect()} <= {"clash", "again", None} and clash.count() == kept.count()
     one = quality.quality_scores(docs, lab.where("quality = 1"))
     assert one.where("not kept").count() == 0
     assert quality.quality_scores(docs.limit(0), lab).count() == 0
