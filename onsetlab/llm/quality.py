@@ -8,7 +8,7 @@ on labelled documents set aside (a logistic curve over the view's log odds), and
 calibrated log odds, less the base rate counted twice, score every document.
 
 All labelled documents, and in each round all unlabelled ones, take part, as Spark jobs
-over a table of features that is written once to the shared folder.
+over a table of features and labels that is joined and written once to the shared folder.
 
 Defined cases: null text is empty; null metadata is a value of its own; several labels of
 an id count as their mean, rounded half up; an id without a label, or with a null one, is
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from onsetlab.llm.common import cut, map_rows
+from onsetlab.llm.common import cut
 
 ROUNDS = 2
 #: Predictions at least this sure are exchanged, at this weight.
@@ -102,6 +102,13 @@ def features(docs: DataFrame) -> DataFrame:
     return d.select("doc_id", _text_view("text").alias("text_view"), _metadata_view().alias("page_view"))
 
 
+def labelled_features(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """features() with the label y (null where a row has none), written once. Every fit
+    reads this table, so labels and features meet in one join however many fits follow."""
+    y = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.avg(F.col("quality").cast("double")) >= 0.5).cast("double").alias("y"))
+    return cut(features(docs).join(y, "doc_id", "left"))
+
+
 def _fit(rows: DataFrame, view: str):
     lr = LogisticRegression(featuresCol="v", labelCol="y", weightCol="w", maxIter=20, regParam=1e-3, tol=1e-5)
     return lr.fit(rows.select(array_to_vector(F.col(view)).alias("v"), "y", "w"))
@@ -139,12 +146,10 @@ class CoTrained:
         return 1.0 / (1.0 + F.exp(-(_log_odds(text) + _log_odds(page) - prior)))
 
 
-def co_train(table: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> CoTrained | None:
-    """Fit on a table of features; None where labels have one kind only."""
-    y = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.avg(F.col("quality").cast("double")) >= 0.5).cast("double").alias("y"))
+def co_train(table: DataFrame, rounds: int = ROUNDS) -> CoTrained | None:
+    """Fit on a table of labelled_features(); None where labels have one kind only."""
     aside = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(CALIBRATION)) == 0
-    known = table.join(y, "doc_id").withColumn("aside", aside)
-    known = cut(known)
+    known = table.where("y is not null").withColumn("aside", aside)
     kinds = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     if len(kinds) < 2:
         return None
@@ -155,7 +160,7 @@ def co_train(table: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> CoTra
     # both kinds weigh the same in fitting; calibration restores the base rate
     balance = F.when(F.col("y") == 1.0, n / (2.0 * kinds[1.0])).otherwise(n / (2.0 * kinds[0.0]))
     labelled = fitted_to.withColumn("w", balance).select("text_view", "page_view", "y", "w")
-    unknown = table.join(y, "doc_id", "left_anti").select("text_view", "page_view")
+    unknown = table.where("y is null").select("text_view", "page_view")
     text, page = _fit(labelled, "text_view"), _fit(labelled, "page_view")
     for _ in range(rounds):
         taught = {}
@@ -176,8 +181,8 @@ def co_train(table: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> CoTra
 
 def quality_scores(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, least: float = LEAST_SCORE) -> DataFrame:
     """Per row: doc_id, both views' calibrated probabilities, the score, and whether it is kept."""
-    table = cut(features(docs))
-    model = co_train(table, labels, rounds)
+    table = labelled_features(docs, labels)
+    model = co_train(table, rounds)
     if model is None:
         one = F.lit(1.0)
         return table.select("doc_id", one.alias("p_text"), one.alias("p_page"), one.alias("score"), F.lit(True).alias("kept"))
@@ -188,7 +193,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, lea
 def quality_filter(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, least: float = LEAST_SCORE) -> DataFrame:
     """Rows of docs, all columns as they are, that score at least ``least``. Decided from
     each row itself, so repeated and null ids need no join."""
-    model = co_train(cut(features(docs)), labels, rounds)
+    model = co_train(labelled_features(docs, labels), rounds)
     if model is None:
         return docs
     # the row travels as one struct, so no column of docs can clash with a view's name
