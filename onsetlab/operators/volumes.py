@@ -105,8 +105,10 @@ def of_subject(volumes: DataFrame, subject: str) -> DataFrame:
     return out
 
 
-def trial_pivot(volumes: DataFrame, keys: list[str], width: int, carried: list[str] = ()) -> DataFrame:
-    """One row per event, its volumes ascending in vol_of_interest_1 .. width; missing ones are null."""
+def trial_pivot(volumes: DataFrame, keys: list[str], width: int | None = None, carried: list[str] = ()) -> DataFrame:
+    """One row per event, its volumes ascending in vol_of_interest_1 .. width; missing ones are
+    null. Without a width it is that of the event with most volumes, so that none is lost."""
+    width = widest(volumes, keys) if width is None else width
     each = volumes.groupBy(*keys).agg(*(F.min(c).alias(c) for c in carried), F.sort_array(F.collect_list("volume_of_interest")).alias("v"))
     return each.select(*keys, *carried, *(F.get("v", F.lit(i)).alias(f"vol_of_interest_{i + 1}") for i in range(width)))
 

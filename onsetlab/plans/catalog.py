@@ -115,6 +115,14 @@ def trial_pivot(spark, d):
     return V.trial_pivot(_volumes(spark, d), ["boldfile", "trial_index"], 6, ["trial_type"]).withColumn("trial_index", F.col("trial_index").cast("long"))
 
 
+@query(f"with {W.VOLUMES}, g as (select boldfile, trial_index, min(trial_type) as trial_type, list_sort(list(volume_of_interest)) as a from v group by all) select boldfile, cast(trial_index as bigint) as trial_index, trial_type, array_to_string(a, ',') as volumes from g")
+def trial_pivot_whole(spark, d):
+    """The pivot at the width of the widest event; its columns, as many as the data asks for, are shown as one text."""
+    wide = V.trial_pivot(_volumes(spark, d), ["boldfile", "trial_index"], carried=["trial_type"])
+    volumes = F.concat_ws(",", *(F.col(c).cast("string") for c in wide.columns if c.startswith("vol_of_interest_")))
+    return wide.select("boldfile", F.col("trial_index").cast("long").alias("trial_index"), "trial_type", volumes.alias("volumes"))
+
+
 @query(f"with {W.TRIALS}, {W.RECORDINGS} select event_id, least(greatest(cast(round_even((onset + 900.0::double) / tr, 0) as bigint), 0), n_frames - 1) as volume from t join r using (boldfile)")
 def single_volume(spark, d):
     return V.single_volume(W.trials(spark, d), W.recordings(spark, d).drop("user_id"), W.LAG).select("event_id", F.col("volume").cast("long").alias("volume"))

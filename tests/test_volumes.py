@@ -61,3 +61,10 @@ def test_bad_rows_and_union(spark):
     a = spark.createDataFrame([("1", "t", 1, 2, "x")], "subject string, task string, run int, volume_of_interest int, acq string")
     b = spark.createDataFrame([("1", "t", 1, 1)], "subject string, task string, run int, volume_of_interest int")
     assert [r.acq for r in V.union_tables([a, b]).collect()] == [None, "x"]
+
+
+def test_pivot_is_as_wide_as_the_widest_event(spark):
+    vols = spark.createDataFrame([(1, k) for k in range(9, 0, -1)] + [(2, 5)], "trial_index int, volume_of_interest int")
+    got = {r[0]: r[1:] for r in V.trial_pivot(vols, ["trial_index"]).collect()}
+    assert got == {1: tuple(range(1, 10)), 2: (5, *[None] * 8)}
+    assert V.trial_pivot(vols.limit(0), ["trial_index"]).columns == ["trial_index"]
