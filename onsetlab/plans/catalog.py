@@ -256,6 +256,25 @@ def concat_patterns(spark, d):
     return out.select("boldfile", F.col("volume").cast("long").alias("volume"), r6(F.col("features")[0]).alias("first_voxel"))
 
 
+@query(
+    f"""with {W.FLAT}, r as (select subject, case when run % 2 = 1 then 'loc' else 'WM' end as task, run, boldfile, max(volume) + 1 as n_frames from o group by all),
+ nth as (select *, row_number() over (partition by subject, task order by run) as nth from r),
+ pairs as (select a.boldfile as boldfile_a, a.n_frames as n_frames_a, b.boldfile as boldfile_b from nth a join nth b on a.subject = b.subject and a.nth = b.nth and a.task = 'loc' and b.task = 'WM')
+ select boldfile, cast(volume as bigint) as volume, cast(voxel as bigint) as voxel, round(x, 6) + 0.0 as value from f where run % 2 = 1
+ union all select boldfile_a, cast(volume + n_frames_a as bigint), cast(voxel as bigint), round(x, 6) + 0.0 from f join pairs on f.boldfile = pairs.boldfile_b"""
+)
+def concat_patterns_whole(spark, d):
+    """All recordings: odd runs are one task and even runs the other, paired within the
+    subject; a recording has as many frames as its last frame's number tells."""
+    o = W.observations(spark, d)
+    task = F.when(F.col("run") % 2 == 1, "loc").otherwise("WM")
+    runs = o.groupBy("subject", task.alias("task"), "run", "boldfile").agg((F.max("volume") + 1).alias("n_frames")).withColumn("session", F.lit(""))
+    pairs = S.pair_runs(runs, "loc", "WM")
+    S.check_pairs(pairs, [])
+    out = S.concat_patterns(o.where(task == "loc"), o.where(task == "WM"), pairs)
+    return _long(out.withColumn("volume", F.col("volume").cast("long")), "boldfile", "volume")
+
+
 # ---- patterns
 
 
@@ -430,7 +449,7 @@ def permutation_centroid(spark, d):
 # ---- fitted models
 
 CATEGORIES = [f"c{k}" for k in range(10)]
-PARAMS = {"C": 1.0, "max_iter": 20}
+PARAMS = {"C": 1.0}
 
 
 def _fitted(spark, d, name):
@@ -451,10 +470,16 @@ def linear_svc_fit(spark, d):
     return M.accuracy(_fitted(spark, d, "linear_svc"), ["subject"])
 
 
+def _run_folds(o: DataFrame) -> list[tuple[str, int, list[int]]]:
+    """(subject, fold, held-out runs) of every run of every subject."""
+    held = S.fold_manifest(S.per_run(S.fold_universe(o))).orderBy("subject", "fold")
+    return [(r["subject"], r["fold"], r["runs"]) for r in held.collect()]  # as many rows as runs
+
+
 @query()
 def kfold_logistic(spark, d):
     o = W.observations(spark, d)
-    folds = [(s, k, [k]) for s in ("00", "01") for k in (1, 2)]
+    folds = _run_folds(o)
     return M.accuracy(models.kfold(o, folds, CATEGORIES, name="logistic_regression", params=PARAMS, n_voxels=16), ["subject", "fold"])
 
 
