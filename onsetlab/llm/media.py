@@ -2,9 +2,13 @@
 
 A text's bytes, padded with zeros to a positive multiple of 64, are stored as a mono WAV
 file of 8-bit samples and read back by the ``wave`` module. Features: a short-time Fourier
-transform (Hann window), in each frame the strongest bin of each band that stands above
-the frame's mean, and pairs of such peaks close in time. A pair's hash has both bins and
-their distance; the fingerprint is the array of (time, hash), in order of time.
+transform (Hann window, frames that overlap by half, silence of half a frame before the
+first sample and after the last, so that every byte weighs the same), in each frame the
+strongest bin of each band that stands above the frame's mean without its bin 0, and pairs
+of such peaks in one frame or close in time. A pair's hash has both bins, their distance
+and, within a frame, the ratio of their strengths in steps of ``1 / LEVELS`` octave; the
+fingerprint is the array of (time, hash), in order of time. A time is the frame's begin in
+lengths of a frame, so in steps of one half.
 
 The transform goes through the samples in blocks, so memory for a very long text is a
 small multiple of its samples.
@@ -29,11 +33,13 @@ from onsetlab.llm.common import map_rows, texts
 
 UNIT = 64
 RATE = 8000
-FRAME, HOP = 512, 512
+FRAME, HOP = 512, 256
 #: Edges of the bands in bins; a frame's peak is sought in each.
 BANDS = (1, 8, 16, 32, 64, 128, 256)
-#: A peak is paired with peaks of so many following frames.
-AHEAD = 3
+#: A peak is paired with peaks of its own and so many following frames.
+AHEAD = 6
+#: Steps an octave of the ratio of two strengths, and the largest number of steps.
+LEVELS, MOST_LEVEL = 4096, 65535
 BLOCK_FRAMES = 512
 SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_pairs long"
 
@@ -64,43 +70,51 @@ def _window() -> np.ndarray:
     return np.hanning(FRAME).astype(np.float32)
 
 
-def peaks(samples: bytes) -> np.ndarray:
-    """Strongest bin by (frame, band), 0 where none stands above the frame's mean."""
+def peaks(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Strongest bin by (frame, band), 0 where none stands above the frame's mean, and its
+    strength in steps of 1 / LEVELS octave."""
     x = np.frombuffer(samples, np.uint8)
-    n = max(1, -(-(len(x) - FRAME) // HOP) + 1)
+    n = -(-len(x) // HOP) + 1
     out = np.zeros((n, len(BANDS) - 1), np.int32)
+    level = np.zeros((n, len(BANDS) - 1), np.int32)
     for at in range(0, n, BLOCK_FRAMES):
         k = min(BLOCK_FRAMES, n - at)
         part = np.full((k - 1) * HOP + FRAME, 128, np.uint8)
-        have = x[at * HOP : at * HOP + len(part)]
-        part[: len(have)] = have
+        begin = at * HOP - HOP  # of the first frame, in samples
+        have = x[max(0, begin) : begin + len(part)]
+        part[max(0, -begin) :][: len(have)] = have
         frames = np.lib.stride_tricks.sliding_window_view(part, FRAME)[::HOP]
         power = np.abs(np.fft.rfft((frames.astype(np.float32) - 128.0) * _window(), axis=1))
-        mean = power.mean(axis=1)
+        mean = power[:, BANDS[0] : BANDS[-1]].mean(axis=1)
         for b, (low, high) in enumerate(zip(BANDS, BANDS[1:])):
             best = power[:, low:high].argmax(axis=1) + low
-            out[at : at + k, b] = np.where(power[np.arange(k), best] > mean, best, 0)
-    return out
+            strength = power[np.arange(k), best]
+            out[at : at + k, b] = np.where(strength > mean, best, 0)
+            level[at : at + k, b] = np.rint(LEVELS * np.log2(np.maximum(strength, 1e-6)))
+    return out, level
+
+
+@lru_cache(1)
+def _pairs() -> np.ndarray:
+    """Frames ahead, band and other band of the pairs sought: all bands of a frame with each
+    other, and each band with itself and one other in each following frame."""
+    n = len(BANDS) - 1
+    within = [(0, a, b) for a in range(n) for b in range(a + 1, n)]
+    return np.array(within + [(d, a, b) for d in range(1, AHEAD + 1) for a in range(n) for b in sorted({a, (a + d) % n})]).T
 
 
 def fingerprint(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Times (frame numbers) and hashes of peak pairs, ordered by both."""
-    p = peaks(samples)
-    times, hashes = [], []
-    for d in range(1, AHEAD + 1):
-        if len(p) <= d:
-            break
-        a, b = p[:-d], p[d:]
-        for band in range(p.shape[1]):
-            for other in (band, (band + d) % p.shape[1]):
-                t = np.flatnonzero((a[:, band] > 0) & (b[:, other] > 0))
-                times.append(t)
-                hashes.append(a[t, band].astype(np.int64) << 20 | b[t, other].astype(np.int64) << 8 | d)
-    if not times:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    t, h = np.concatenate(times), np.concatenate(hashes)
+    """Times (begin of a frame, in frames) and hashes of peak pairs, ordered by both."""
+    p, level = peaks(samples)
+    ahead, band, other = _pairs()
+    later = np.arange(len(p))[:, None] + ahead
+    b = np.concatenate([p, np.zeros((AHEAD, p.shape[1]), p.dtype)])[later, other]
+    t, k = np.nonzero((p[:, band] > 0) & (b > 0))
+    h = p[t, band[k]].astype(np.int64) << 20 | b[t, k].astype(np.int64) << 8 | ahead[k]
+    ratio = np.clip(level[t, band[k]] - level[t, other[k]], -MOST_LEVEL, MOST_LEVEL)
+    h |= np.where(ahead[k] == 0, ratio + MOST_LEVEL + 1, 0).astype(np.int64) << 32
     order = np.lexsort((h, t))
-    return t[order], h[order]
+    return (t[order] - 1) * (HOP / FRAME), h[order]
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
@@ -115,7 +129,7 @@ def media_columns(docs: DataFrame) -> DataFrame:
 
         return rows
 
-    return map_rows(texts(docs), make, "doc_id long, wav binary, frame_at array<int>, pair_hash array<long>")
+    return map_rows(texts(docs), make, "doc_id long, wav binary, frame_at array<double>, pair_hash array<long>")
 
 
 def media_digests(docs: DataFrame) -> DataFrame:
@@ -128,7 +142,7 @@ def media_digests(docs: DataFrame) -> DataFrame:
                 stored = to_wav(samples)
                 back = from_wav(stored)
                 t, h = fingerprint(back)
-                coded = np.stack([t, h]).astype("<i8").tobytes()
+                coded = np.stack([t * (FRAME // HOP), h]).astype("<i8").tobytes()
                 yield (
                     i, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(stored),
                     hashlib.sha256(stored).hexdigest(), f"{len(t)}:{hashlib.sha256(coded).hexdigest()[:32]}", len(t),

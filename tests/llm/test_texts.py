@@ -125,6 +125,23 @@ def test_fingerprint_moves_with_time():
     assert len(a[0]) and set(zip(a[0] + 4, a[1])) <= set(zip(*b))
 
 
+def test_every_byte_and_short_text_reaches_the_fingerprint():
+    def mark(raw):
+        t, h = media.fingerprint(media.payload(raw)[0])
+        return t.tobytes(), h.tobytes()
+
+    texts = ["a", "b", "ab", "ba", "hello", "hellp", "é", "è", "x" * 64, "x" * 63 + "y", "house water", "water house", "The cat sat.", "The cat ran.", "q" * 500]
+    assert len({mark(t) for t in texts}) == len(texts)
+    assert all(len(media.fingerprint(media.payload(t)[0])[0]) for t in texts)
+    rng = random.Random(3)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(2048))
+    for at in (0, 511, 512, 1023, 1024, 2047):  # the edges of frames without overlap
+        assert mark(text[:at] + "~" + text[at + 1 :]) != mark(text)
+    moved = media.fingerprint(b"\x80" * (media.FRAME // 2) + text.encode())
+    t, h = media.fingerprint(text.encode())
+    assert set(zip(t + 0.5, h)) <= set(zip(*moved))
+
+
 def _conversations():
     rng = random.Random(2)
     rows = []
