@@ -1,7 +1,8 @@
 """Operator 4: secret scans with password guess costs.
 
 Three base patterns give spans whatever their cost. Besides, values in a credential's
-context ("password is ...", "pwd: ...", "api key = ...") are priced by a dynamic program:
+context ("password is ...", "pwd: ...", "api key = ...", and with a sign of assignment any
+identifier that has such a word in it, as DB_PASSWORD=...) are priced by a dynamic program:
 the cheapest way to cut the value into dictionary words, dates, repeats, keyboard walks
 and brute-force spans, where a segment costs the logarithm of the guesses it takes and a
 value of n segments also the orders they can be tried in. Values that would take at least
@@ -38,6 +39,10 @@ KINDS = ("assign", "access", "hex", "guess")
 
 #: Contexts of a credential beyond the base pattern's.
 CONTEXT = re.compile(r"""\b(?:password|passwd|passphrase|passcode|pwd|secret|token|credentials?|api[_ -]?key|access[_ -]?key)\b["']?\s*(?:is|was|are|:=|=>|=|:)\s*["']?([^\s"'<>,;]{8,})""", re.I | re.A)
+#: An identifier and a sign of assignment; a context if one of the words is in the identifier.
+ASSIGNED = re.compile(r"""(?<![\w.-])([\w.-]++)["']?\s*+(?::=|=>|=|:)\s*+["']?""", re.A)
+NAMED = re.compile(r"password|passwd|passphrase|passcode|pwd|secret|token|credential|api[_.-]?key|access[_.-]?key", re.I | re.A)
+VALUE = re.compile(r"""[^\s"'<>,;]{8,}""")
 HINTS = ("pass", "pwd", "secret", "token", "credential", "key")
 
 # Very common passwords and words of credentials, the commonest first.
@@ -146,6 +151,18 @@ def guess_bits(value: str) -> float:
     return min(min(other[n][k], brute[n][k]) + math.lgamma(k + 1) / math.log(2) for k in range(most + 1))
 
 
+def values(text: str) -> list[tuple[int, int]]:
+    """(begin, end) of the values in a credential's context, in order; of values with the same
+    end only the longest."""
+    found: dict[int, int] = {}
+    for m in CONTEXT.finditer(text):
+        found[m.end(1)] = m.start(1)
+    for m in ASSIGNED.finditer(text):
+        if NAMED.search(m[1]) and (v := VALUE.match(text, m.end())):
+            found[v.end()] = min(v.start(), found.get(v.end(), v.start()))
+    return sorted((a, b) for b, a in found.items())
+
+
 class Scanner:
     def __init__(self, least_bits: float, memo_rows: int = MEMO_ROWS):
         self.least_bits, self.memo_rows = least_bits, memo_rows
@@ -169,9 +186,7 @@ class Scanner:
             for m in ASSIGN.finditer(text):
                 if len(m[2]) >= ASSIGN_LEAST:
                     out.append((m.start(), 0, m.end()))
-            for m in CONTEXT.finditer(text):
-                if self.price(m[1]) >= self.least_bits:
-                    out.append((m.start(1), 3, m.end(1)))
+            out += [(a, 3, b) for a, b in values(text) if self.price(text[a:b]) >= self.least_bits]
         if "AKIA" in text:
             out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= ACCESS_LEAST]
         out += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]

@@ -101,6 +101,18 @@ def test_secrets(spark):
     assert secrets.redact(docs).columns == docs.columns
 
 
+NAMED = ["DB_PASSWORD=xK9#mQ2$vL7p", "dbPassword=xK9#mQ2$vL7p", "client_secret: p@9!kQ#z7Lw2", "AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMI/K7MDENG/bPxRfi", '"spring.datasource.password-2": "xK9#mQ2$vL7p"', "note=password=xK9#mQ2$vL7p"]
+
+
+def test_identifiers_are_contexts(spark):
+    docs = spark.createDataFrame([(k, f"set {t} here") for k, t in enumerate([*NAMED, "my_password is xK9#mQ2$vL7p", "width = xK9#mQ2$vL7p"])], "doc_id long, text string")
+    got = {r.doc_id: r for r in secrets.secret_scan(docs).collect()}
+    assert [got[k].n_guess for k in range(8)] == [1] * 6 + [0] * 2
+    clean = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    assert all("vL7p" not in clean[k] and "z7Lw2" not in clean[k] and "bPxRfi" not in clean[k] for k in range(6)) and clean[7] == docs.where("doc_id = 7").first().text
+    assert len(secrets.values("password" * 30000 + " " * 100000 + "x")) == 0  # in linear time
+
+
 def test_media(spark):
     texts = ["", "a", "b" * 64, "é" * 5000, None, "hello world " * 30000, "a"]
     docs = spark.createDataFrame([(k, t, "z") for k, t in enumerate(texts)], "doc_id long, text string, feature string")
