@@ -8,6 +8,13 @@ and brute-force spans, where a segment costs the logarithm of the guesses it tak
 value of n segments also the orders they can be tried in. Values that would take at least
 ``LEAST_BITS`` are added as spans of kind ``guess``. A base span stays in any case.
 
+The dictionary is that of the documents: words of 3 to ``LOOK_BACK`` letters that at least
+``LEAST_DOCS`` documents have outside a credential's value, ranked by how many have them,
+the ``MOST_WORDS`` commonest (words of one count all or none), beside the fixed ``WORDS``. A
+word costs log2 of its rank. They are counted in one job with a shuffle of (word, documents)
+sums, and broadcast. So an ordinary word that fewer documents have is priced as any string
+of letters.
+
 Defined cases: null and empty text have no spans; repeated rows give a row each; a null
 id is passed through; an empty table gives no rows; further columns are ignored. Values
 are priced whole, up to any length: the program looks back at most ``LOOK_BACK``
@@ -19,15 +26,23 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from onsetlab.llm.common import map_rows, texts
+from onsetlab.llm.common import SLICE_ROWS, cut, map_rows, texts
 
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long"
 LEAST_BITS = 30.0
 LOOK_BACK = 24
 MEMO_ROWS = 100_000
+#: Documents that a word of the dictionary is in, and words that are broadcast (at most 24
+#: letters each, so a few MB).
+LEAST_DOCS, MOST_WORDS = 3, 100_000
+#: Words that a task counts before it hands them on.
+COUNTED = 200_000
 
 # The base patterns and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -54,7 +69,10 @@ WORDS = (
     "november december monday tuesday wednesday thursday friday saturday sunday please hello world "
     "apple orange banana cookie summer pass word love super star blue green black white silver gold"
 ).split()
+#: Bits of a word by its rank.
 RANK = {w: math.log2(k + 2) for k, w in reversed(list(enumerate(WORDS)))}
+WORD = re.compile(r"(?<!\w)[^\W\d_]++(?:[-'’][^\W\d_]++)*+(?!\w)")
+JOINS = re.compile("[-'’]")
 # Rows of a keyboard.
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
 LEET = str.maketrans("0134578@$!", "oieastbasi")
@@ -85,7 +103,7 @@ def _brute_bits(c: str) -> float:
     return math.log2(33)
 
 
-def segments(value: str):
+def segments(value: str, rank: dict[str, float] = RANK):
     """Cheap segments (begin, end, bits) of a value: words, dates, repeats, walks."""
     low = value.lower()
     plain = low.translate(LEET)
@@ -93,7 +111,7 @@ def segments(value: str):
     for begin in range(n):
         for end in range(begin + 3, min(n, begin + LOOK_BACK) + 1):
             for form, more in ((low, 0.0), (plain, 1.0)):
-                bits = RANK.get(form[begin:end])
+                bits = rank.get(form[begin:end])
                 if bits is not None:
                     capitals = sum(c.isupper() for c in value[begin:end])
                     yield begin, end, bits + more + (1.0 if capitals else 0.0) + (1.0 if 1 < capitals < end - begin else 0.0)
@@ -123,11 +141,11 @@ def segments(value: str):
                 begin += 1
 
 
-def guess_bits(value: str) -> float:
+def guess_bits(value: str, rank: dict[str, float] = RANK) -> float:
     """Logarithm (base 2) of the guesses of the cheapest segmentation."""
     n = len(value)
     by_end: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-    for begin, end, bits in segments(value):
+    for begin, end, bits in segments(value, rank):
         by_end[end].append((begin, bits))
     # cost by (end, segments so far), the last counted together beyond a few; a brute-force
     # span that goes on is no new segment
@@ -163,15 +181,62 @@ def values(text: str) -> list[tuple[int, int]]:
     return sorted((a, b) for b, a in found.items())
 
 
+def words(text: str) -> set[str]:
+    """Words of a text and parts of joined ones, in lower case, without credentials' values."""
+    low = text.lower()
+    if any(h in low for h in HINTS):
+        out, at = [], 0
+        for a, b in sorted([*values(text), *(m.span(2) for m in ASSIGN.finditer(text))]):
+            out.append(text[at : max(at, a)])
+            at = max(at, b)
+        low = " ".join([*out, text[at:]]).lower()
+    found = set(WORD.findall(low))
+    found |= {part for w in found for part in JOINS.split(w)}
+    return {w for w in found if 3 <= len(w) <= LOOK_BACK}
+
+
+def word_bits(docs: DataFrame, least_docs: int = LEAST_DOCS, most_words: int = MOST_WORDS) -> dict[str, float]:
+    """Bits of the dictionary's words: the fixed ones and those of the documents, by rank."""
+
+    def run(batches):
+        counts: Counter[str] = Counter()
+
+        def told():
+            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                for text in batch.column(0).slice(at, SLICE_ROWS).to_pylist():
+                    counts.update(words(text))
+                    if len(counts) >= COUNTED:
+                        yield told()
+                        counts.clear()
+        if counts:
+            yield told()
+
+    each = docs.select("text").where("text is not null").mapInArrow(run, "word string, n long")
+    known = cut(each.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least_docs))
+    # the least count at which no more than most_words are left; there are few different counts
+    least, total = least_docs, 0
+    for n, k in sorted(((r["n"], r["count"]) for r in known.groupBy("n").count().collect()), reverse=True):
+        total += k
+        if total > most_words:
+            least = n + 1
+            break
+    ranked = sorted((-r["n"], r["word"]) for r in known.where(F.col("n") >= least).collect())  # at most most_words rows
+    bits = {w: math.log2(k + 2) for k, (_, w) in enumerate(ranked)}
+    return bits | {w: min(b, bits.get(w, b)) for w, b in RANK.items()}
+
+
 class Scanner:
-    def __init__(self, least_bits: float, memo_rows: int = MEMO_ROWS):
-        self.least_bits, self.memo_rows = least_bits, memo_rows
+    def __init__(self, least_bits: float, memo_rows: int = MEMO_ROWS, rank: dict[str, float] = RANK):
+        self.least_bits, self.memo_rows, self.rank = least_bits, memo_rows, rank
         self.bits: dict[str, float] = {}
 
     def price(self, value: str) -> float:
         found = self.bits.get(value)
         if found is None:
-            found = guess_bits(value)
+            found = guess_bits(value, self.rank)
             if len(value) <= 256:
                 if len(self.bits) >= self.memo_rows:
                     self.bits.clear()
@@ -199,10 +264,11 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 def secret_scan(docs: DataFrame, least_bits: float = LEAST_BITS) -> DataFrame:
-    """Per row: doc_id, counts by kind, digest of the base spans and all spans. No shuffle."""
+    """Per row: doc_id, counts by kind, digest of the base spans and all spans. The words are counted before."""
+    rank = docs.sparkSession.sparkContext.broadcast(word_bits(docs))
 
     def make():
-        s = Scanner(least_bits)
+        s = Scanner(least_bits, rank=rank.value)
 
         def rows(c):
             for i, t in zip(*c):
@@ -219,11 +285,11 @@ def secret_scan(docs: DataFrame, least_bits: float = LEAST_BITS) -> DataFrame:
 def redact(docs: DataFrame, least_bits: float = LEAST_BITS, mark: str = "[SECRET]") -> DataFrame:
     """All rows and columns of docs, each span in the text replaced by ``mark`` (overlapping
     spans by one); n_chars, where there is one, is the new length. Null text stays null."""
-    from pyspark.sql import functions as F
+    rank = docs.sparkSession.sparkContext.broadcast(word_bits(docs))
 
     @F.pandas_udf("string")
     def cleaned(text):
-        s = Scanner(least_bits)
+        s = Scanner(least_bits, rank=rank.value)
 
         def one(t):
             if t is None or not (found := s.spans(t)):

@@ -113,6 +113,20 @@ def test_identifiers_are_contexts(spark):
     assert len(secrets.values("password" * 30000 + " " * 100000 + "x")) == 0  # in linear time
 
 
+def test_prose_is_no_secret(spark):
+    prose = ["The token was generated yesterday.", "A password is required here", "the secret: everything he said", "His credentials are well-established, they say"]
+    other = ["We generated and required everything; a well-established rule."] * secrets.LEAST_DOCS
+    planted = [f"password is kqzvhwtbxj, said user {k}" for k in range(5)]  # often, but only as a value
+    docs = spark.createDataFrame(list(enumerate([*prose, *planted, *other])), "doc_id long, text string")
+    got = {r.doc_id: r for r in secrets.secret_scan(docs).collect()}
+    assert [got[k].n_guess for k in range(9)] == [0] * 4 + [1] * 5
+    clean = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    assert [clean[k] for k in range(4)] == prose and all(clean[k].startswith("password is [SECRET],") for k in range(4, 9))
+    known = secrets.word_bits(docs)
+    assert "kqzvhwtbxj" not in known and "yesterday" not in known and known["generated"] < 8
+    assert len(secrets.word_bits(docs, 1, 5)) <= 5 + len(secrets.RANK) and secrets.word_bits(docs.limit(0)) == secrets.RANK
+
+
 def test_media(spark):
     texts = ["", "a", "b" * 64, "é" * 5000, None, "hello world " * 30000, "a"]
     docs = spark.createDataFrame([(k, t, "z") for k, t in enumerate(texts)], "doc_id long, text string, feature string")
