@@ -10,8 +10,9 @@ for every prefix; following them back from the end emits the ids.
 A word's final symbol is another symbol than the same byte inside a word. Text is
 normalised as the vocabulary file says (NFC, white space, lower case by character),
 special strings are taken out first, and words come from the file's pattern. No word
-crosses white space, so ids are remembered for white-space-separated chunks, in a
-bounded table.
+crosses white space, so ids are remembered for white-space-separated chunks, in
+tables bounded in bytes. Very long texts go chunk by chunk, and a chunk without white
+space takes memory in proportion to its length.
 
 Defined cases: null and empty texts have no ids and decode to an empty string; repeated
 rows give a row each; a null id is passed through; an empty table gives no rows;
@@ -28,13 +29,12 @@ from array import array
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from onsetlab.llm.common import map_rows, texts, vocab_path, worker_cached
+from onsetlab.llm.common import Recent, map_rows, texts, vocab_path, worker_cached
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-#: Chunks, and as many words, that a worker remembers.
-MEMO_ROWS = 250_000
+#: Bytes of chunks that a worker remembers in each of two generations; a quarter of it for words.
+MEMO_BYTES = 64_000_000
 PAIR_ROWS = 1_000_000
-LONG = 64
 #: White space as the vocabulary's pattern language has it; Python also splits at 1c to 1f.
 BLANKS = regex.compile("[\t-\r \x85\xa0  -     　]+")
 ODD = regex.compile("[\x1c-\x1f]")
@@ -89,20 +89,42 @@ class Suffixes(dict):
         return to
 
 
-class Bpe:
-    """Tables of one vocabulary file."""
+class Splitter:
+    """What a vocabulary file says about texts before and after merging: normal form,
+    special strings, words, and the tokens' strings."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        model = spec["model"]
-        end = model["end_of_word_suffix"]
-        vocab: dict[str, int] = model["vocab"]
-        self.strings = {i: s for s, i in vocab.items()}
+        self.strings = {i: s for s, i in spec["model"]["vocab"].items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.strings.update({i: s for s, i in self.special.items()})
         self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.special_pattern = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
+        self.learn_merges(spec["model"])
+
+    def learn_merges(self, model: dict) -> None:
+        """Tables for merging; here there are none."""
+
+    def normalize(self, text: str) -> list[str]:
+        """Chunks of normal text: NFC, lower case by character, split at white space."""
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        if ODD.search(text):
+            return [c for c in BLANKS.split(text.lower()) if c]
+        return text.lower().split()
+
+    def decode(self, ids) -> str:
+        """The file names no decoder: the tokens' strings with blanks between them."""
+        return " ".join(map(self.strings.__getitem__, ids))
+
+
+class Bpe(Splitter):
+    """Tables of one vocabulary file."""
+
+    def learn_merges(self, model: dict) -> None:
+        end = model["end_of_word_suffix"]
+        vocab: dict[str, int] = model["vocab"]
         letters = byte_letters()
         self.inner = [vocab[c] for c in letters]
         self.final = [vocab[c + end] for c in letters]
@@ -183,49 +205,22 @@ class Bpe:
         ids.reverse()
         return ids
 
-    def normalize(self, text: str) -> list[str]:
-        """Chunks of normal text: NFC, lower case by character, split at white space."""
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        if ODD.search(text):
-            return [c for c in BLANKS.split(text.lower()) if c]
-        return text.lower().split()
-
-    def decode(self, ids) -> str:
-        """The file names no decoder: the tokens' strings with blanks between them."""
-        return " ".join(map(self.strings.__getitem__, ids))
-
 
 class Encoder:
-    """Ids (as little-endian unsigned 32-bit integers) of texts, with bounded memory of chunks."""
+    """Ids (as little-endian unsigned 32-bit integers) of texts. Ids of chunks and of words
+    are remembered within a bound in bytes."""
 
-    def __init__(self, bpe: Bpe, decoded: bool, memo_rows: int = MEMO_ROWS, encode_word=None):
-        encode_word = encode_word or bpe.encode_word
+    def __init__(self, bpe: Splitter, decoded: bool, memo_bytes: int = MEMO_BYTES, encode_word=None):
         self.bpe, self.decoded = bpe, decoded
-        outer = self
-
-        class Words(dict):
-            def __missing__(self, word):
-                ids = encode_word(word)
-                if len(word) <= LONG:
-                    if len(self) >= memo_rows:
-                        self.clear()
-                    self[word] = ids
-                return ids
-
-        class Chunks(dict):
-            def __missing__(self, chunk):
-                ids = array("I")
-                for word in bpe.pattern.findall(chunk):
-                    ids.extend(outer.words[word])
-                value = (ids.tobytes(), bpe.decode(ids)) if decoded else ids.tobytes()
-                if len(chunk) <= LONG:
-                    if len(self) >= memo_rows:
-                        self.clear()
-                    self[chunk] = value
-                return value
-
-        self.words, self.chunks = Words(), Chunks()
+        words = self.words = Recent(encode_word or bpe.encode_word, memo_bytes // 4, lambda ids: 8 * len(ids))
+
+        def encode(chunk: str):
+            ids = array("I")
+            for word in bpe.pattern.findall(chunk):
+                ids.extend(words[word])
+            return (ids.tobytes(), bpe.decode(ids)) if decoded else ids.tobytes()
+
+        self.chunks = Recent(encode, memo_bytes, (lambda v: 100 + len(v[0]) + len(v[1])) if decoded else len)
 
     def parts(self, text: str) -> list:
         """Of each chunk: its ids, or ids and decoded string."""
@@ -242,15 +237,16 @@ class Encoder:
         return out
 
 
-bpe_of = worker_cached(Bpe)
-encoder = worker_cached(lambda path, decoded, memo_rows: Encoder(bpe_of(path), decoded, memo_rows))
+@worker_cached("BPE encoding")
+def encoder(path: str, decoded: bool, memo_bytes: int) -> Encoder:
+    return Encoder(Bpe(path), decoded, memo_bytes)
 
 
-def encode_decode(docs: DataFrame, vocabulary: str, memo_rows: int = MEMO_ROWS) -> DataFrame:
+def encode_decode(docs: DataFrame, vocabulary: str, memo_bytes: int = MEMO_BYTES) -> DataFrame:
     """Per row: doc_id, ids as array<int> and the decoded text. No shuffle."""
 
     def make():
-        e = encoder(vocabulary, True, memo_rows)
+        e = encoder(vocabulary, True, memo_bytes)
 
         def rows(c):
             for i, t in zip(*c):
@@ -263,11 +259,11 @@ def encode_decode(docs: DataFrame, vocabulary: str, memo_rows: int = MEMO_ROWS)
     return map_rows(texts(docs), make, "doc_id long, ids array<int>, decoded string")
 
 
-def encoding_digests(docs: DataFrame, vocabulary: str, memo_rows: int = MEMO_ROWS) -> DataFrame:
+def encoding_digests(docs: DataFrame, vocabulary: str, memo_bytes: int = MEMO_BYTES) -> DataFrame:
     """As encode_decode, but digests of ids and decoded text in their place."""
 
     def make():
-        e = encoder(vocabulary, True, memo_rows)
+        e = encoder(vocabulary, True, memo_bytes)
 
         def rows(c):
             for i, t in zip(*c):

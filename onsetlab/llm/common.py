@@ -24,9 +24,11 @@ def vocab_path(name: str) -> str:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of
-    our own where it is unset (a local session, as in tests)."""
+    our own where it is unset in a local session, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir is unset: a cluster must name a folder that all its nodes share")
         found = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -35,10 +37,22 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back, so that what follows
     neither recomputes it nor depends on the executors that made it."""
-    spark = df.sparkSession
-    place = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    return written_at(df, new_place(df.sparkSession))
+
+
+def new_place(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
+
+
+def written_at(df: DataFrame, place: str) -> DataFrame:
+    """As cut(), at a place that drop_written() can take away once nothing reads it."""
     df.write.parquet(place)
-    return spark.read.schema(df.schema).parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)
+
+
+def drop_written(spark: SparkSession, place: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,16 +92,84 @@ def texts(df: DataFrame) -> DataFrame:
     return df.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
-def worker_cached(fn):
-    """Remember a function's result by its arguments for the life of a Python worker."""
-    kept: dict = {}
+_tables: dict = {}
+
+
+def worker_tables(owner: str) -> dict:
+    """What the operator ``owner`` keeps in this Python worker. A worker is used for one
+    operator after another and holds the tables of one at a time: the first call for
+    another operator lets go of all that was there."""
+    if owner not in _tables:
+        _tables.clear()
+        _tables[owner] = {}
+    return _tables[owner]
+
+
+def worker_cached(owner: str):
+    """Remember a function's results by its arguments, in the worker's tables of ``owner``."""
+
+    def of(fn):
+        def call(*args):
+            own, key = worker_tables(owner), (fn.__qualname__, args)
+            if key not in own:
+                own[key] = fn(*args)
+            return own[key]
+
+        return call
+
+    return of
+
+
+def text_udf(make: Callable[[], Callable[[list], pa.Array | list]], returns: str):
+    """An Arrow UDF of one column. ``make()`` runs once in each task and returns ``f(values)``,
+    which gets at most ``SLICE_ROWS`` values as a list, so that long texts are never Python
+    objects by the batch, and returns as many results."""
+
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        f, kind = make(), _arrow_type(returns)
+        for column in columns:
+            parts = []
+            for at in range(0, max(1, len(column)), SLICE_ROWS):
+                part = f(column.slice(at, SLICE_ROWS).to_pylist())
+                parts.append(part if isinstance(part, pa.Array) else pa.array(part, kind))
+            yield pa.concat_arrays(parts)
+
+    return F.arrow_udf(run, returns)
+
+
+def _arrow_type(kind: str) -> pa.DataType:
+    return {"string": pa.string(), "boolean": pa.bool_(), "array<double>": pa.list_(pa.float64())}[kind]
+
+
+class Recent(dict):
+    """Results of ``f`` that were asked for lately, by key, within a bound in bytes.
+
+    There are two generations of at most ``most_bytes`` each. When the younger is full it
+    becomes the older, whose results are let go of unless they are asked for again."""
+
+    #: Bytes of an entry besides the key's and the value's own: slots, headers.
+    ENTRY = 160
 
-    def call(*args):
-        if args not in kept:
-            kept[args] = fn(*args)
-        return kept[args]
+    def __init__(self, f: Callable, most_bytes: int, size: Callable = len):
+        super().__init__()
+        self.f, self.most_bytes, self.size = f, most_bytes, size
+        self.older: dict = {}
+        self.bytes = 0
 
-    return call
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.f(key)
+        cost = self.ENTRY + len(key) + self.size(value)
+        if cost > self.most_bytes // 64:
+            return value
+        if self.bytes + cost > self.most_bytes:
+            self.older = dict(self)
+            self.clear()
+            self.bytes = 0
+        self.bytes += cost
+        self[key] = value
+        return value
 
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")

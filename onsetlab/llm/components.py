@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from onsetlab.llm.common import cut
-
-MOST_ROUNDS = 60
+from onsetlab.llm.common import drop_written, new_place, written_at
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -15,11 +13,15 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round hangs neighbours onto smaller nodes; minima are combined before their
     shuffle and joined back, so a node with very many links is no single task's group.
-    A round's links are written to the shared folder, and rounds end when nothing changed.
-    Links with a null end and links to itself are left out."""
-    e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    A round's links are written to the shared folder in place of those of the round before,
+    and rounds end when nothing changed; their number grows with the logarithm of the
+    longest chain, so there is no limit to it. Links with a null end and links to itself
+    are left out."""
+    spark = edges.sparkSession
+    place = new_place(spark)
+    e = written_at(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), place)
     before = None
-    for _ in range(MOST_ROUNDS):
+    while True:
         mark = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if not mark[0] or mark == before:
             break
@@ -30,9 +32,9 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        e = cut(small.distinct())
-    else:
-        raise RuntimeError("components did not settle")
+        last, place = place, new_place(spark)
+        e = written_at(small.distinct(), place)
+        drop_written(spark, last)
     roots = e.select(F.col("v").alias("node")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
 

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from onsetlab.llm.common import cut, map_rows
+from onsetlab.llm.common import cut, map_rows, worker_tables
 from onsetlab.llm.components import Forest, components
 
 #: Similarity as a fraction of integers: links need TOP/BOTTOM at least.
@@ -57,6 +57,8 @@ ID_BITS = 1 << 23
 
 
 class _Hashes(dict):
+    """Hashes of words, remembered in a bounded table."""
+
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh64_intdigest(word)
         if len(word) <= 64:
@@ -66,9 +68,6 @@ class _Hashes(dict):
         return h
 
 
-_hashes = _Hashes()
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads all bits."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -84,7 +83,8 @@ def shingle_hashes(text: str | bytes | None, words: int = WORDS) -> np.ndarray:
     n = len(split)
     if not n:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, split), np.uint64, n)
+    hashes = worker_tables("n-gram Jaccard join").setdefault("words", _Hashes())
+    h = np.fromiter(map(hashes.__getitem__, split), np.uint64, n)
     k = min(n, words)
     out = np.full(n - k + 1, k, np.uint64)
     for j in range(k):

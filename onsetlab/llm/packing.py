@@ -32,33 +32,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from onsetlab.llm.bpe import Encoder, bpe_of, byte_letters
+from onsetlab.llm.bpe import Encoder, Splitter, byte_letters
 from onsetlab.llm.common import cut, map_rows, texts, vocab_path, worker_cached
 
 ROOM = 4096
 END_ID = 1
 #: One length's pieces are numbered in so many buckets.
 BUCKETS = 64
-MEMO_ROWS = 700_000
+#: Bytes of encoded chunks that a worker remembers in each of two generations.
+MEMO_BYTES = 72_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def library_words(path: str, memo_rows: int) -> Encoder:
+@worker_cached("packing")
+def library_words(path: str, memo_bytes: int) -> Encoder:
     """Encoder whose words are merged by the tokenizers library."""
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(path).model
     letters = byte_letters()
 
-    def encode_word(word: str) -> list[int]:
+    def encode_word(word: str) -> array:
         if not word.isascii() or not word.isprintable():
             word = "".join([letters[b] for b in word.encode("utf-8")])
-        return [t.id for t in model.tokenize(word)]
+        return array("I", [t.id for t in model.tokenize(word)])
 
-    return Encoder(bpe_of(path), False, memo_rows, encode_word)
-
-
-_encoder = worker_cached(library_words)
+    return Encoder(Splitter(path), False, memo_bytes, encode_word)
 
 
 def pieces(docs: DataFrame, vocabulary: str, room: int = ROOM, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
@@ -66,7 +65,7 @@ def pieces(docs: DataFrame, vocabulary: str, room: int = ROOM, end_id: int = END
     end = array("I", [end_id]).tobytes()
 
     def make():
-        e = _encoder(vocabulary, MEMO_ROWS)
+        e = library_words(vocabulary, MEMO_BYTES)
 
         def rows(c):
             for i, t in zip(*c):

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from onsetlab.llm.common import SLICE_ROWS, cut, map_rows, texts
+from onsetlab.llm.common import SLICE_ROWS, cut, map_rows, text_udf, texts, worker_tables
 
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long"
 LEAST_BITS = 30.0
@@ -199,6 +199,7 @@ def word_bits(docs: DataFrame, least_docs: int = LEAST_DOCS, most_words: int = M
     """Bits of the dictionary's words: the fixed ones and those of the documents, by rank."""
 
     def run(batches):
+        worker_tables("secret scans")
         counts: Counter[str] = Counter()
 
         def told():
@@ -287,8 +288,8 @@ def redact(docs: DataFrame, least_bits: float = LEAST_BITS, mark: str = "[SECRET
     spans by one); n_chars, where there is one, is the new length. Null text stays null."""
     rank = docs.sparkSession.sparkContext.broadcast(word_bits(docs))
 
-    @F.pandas_udf("string")
-    def cleaned(text):
+    def make():
+        worker_tables("secret scans")
         s = Scanner(least_bits, rank=rank.value)
 
         def one(t):
@@ -303,8 +304,9 @@ def redact(docs: DataFrame, least_bits: float = LEAST_BITS, mark: str = "[SECRET
                     until = at = b
             return "".join([*out, t[at:]])
 
-        return text.map(one, na_action="ignore")
+        return lambda texts: list(map(one, texts))
 
+    cleaned = text_udf(make, "string")
     done = docs.withColumn("text", cleaned(F.col("text")))
     if "n_chars" in docs.columns:
         kind = dict(docs.dtypes)["n_chars"]

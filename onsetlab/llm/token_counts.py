@@ -130,8 +130,9 @@ class Counter(dict):
         return sum(map(self.__getitem__, self.PRE.findall(" " + text)))
 
 
-_vocabulary = worker_cached(read_vocabulary)
-_counter = worker_cached(lambda path, whole, memo_rows: Counter(_vocabulary(path), whole, memo_rows))
+@worker_cached("token counts")
+def _counter(path: str, whole: frozenset[str], memo_rows: int) -> Counter:
+    return Counter(read_vocabulary(path), whole, memo_rows)
 
 
 def token_counts(docs: DataFrame, model: str, limit: int = 4096, memo_rows: int = MEMO_ROWS) -> DataFrame:
