@@ -5,12 +5,13 @@ pieces combine depends on their lengths alone, and there are at most ``room`` di
 lengths however many documents there are. So the plan is made from the histogram of
 lengths (``room`` rows at most) and says "so many sequences of this combination":
 
-1. a length that fills a sequence alone;
-2. for each other length, longest first, the gap it leaves is looked up in the index of
-   single lengths, of sums of two and of sums of three; combinations that fill the gap
-   exactly are used as often as all their lengths are available;
-3. the rest goes longest first into the open sequences with the smallest gap that holds
-   it, whole groups of equal sequences at a time.
+1. the longest length left begins a sequence; the gap it leaves is looked up in the index
+   of single lengths, of sums of two and of sums of three, and a combination that fills the
+   gap exactly is taken, as often as all its lengths are available;
+2. where there is none, the gap takes the longest length that fits (best fit), and what is
+   left of it is looked up again;
+3. if best fit alone, longest first into the open sequences with the smallest gap that holds
+   a piece, needs fewer sequences, its plan is taken instead.
 
 Pieces then take the places of their length in order. The order is made in two steps
 (count by length and bucket, then number within a bucket), so one very common length is
@@ -18,7 +19,8 @@ dealt over all buckets. Broadcast: the counts by length and bucket, at most
 ``room * BUCKETS`` rows; the plan is joined by range of places, at block level.
 
 Defined cases: null and empty text is a piece of just the end id; repeated rows and ids
-are packed each for itself; a null id is passed through; an empty table gives no rows;
+are packed each for itself; a very long text is cut into full sequences and a rest; a
+null id is passed through; an empty table gives no rows;
 further columns are ignored.
 """
 
@@ -80,63 +82,75 @@ def pieces(docs: DataFrame, vocabulary: str, room: int = ROOM, end_id: int = END
     return map_rows(texts(docs), make, PIECES + ", ids array<int>" * with_ids)
 
 
-def _exact(count: np.ndarray, room: int):
-    """Combinations that fill a sequence exactly, as (lengths, times); uses count up."""
-    if count[room]:
-        yield (room,), int(count[room])
-        count[room] = 0
-    for a in range(room - 1, 0, -1):
-        gap = room - a
-        if count[a] and count[gap]:
-            n = count[a] // 2 if a == gap else min(count[a], count[gap])
-            if n:
-                yield (a, gap), int(n)
-                count[a] -= n
-                count[gap] -= n
-    for a in range(room - 1, 0, -1):
-        gap = room - a
-        if count[a]:
-            for b, c in _sums(count, gap):
-                if not (n := _times(count, (a, b, c))):
-                    continue
-                yield (a, b, c), n
-                _take(count, (a, b, c), n)
-                if not count[a]:
-                    break
-    for a in range(room - 1, room // 4 - 1, -1):
-        if not count[a]:
-            continue
-        there = np.flatnonzero(count[: room - a])
-        for b in there[::-1]:
-            if not count[a]:
-                break
-            if not count[b]:
-                continue
-            for c, d in _sums(count, room - a - int(b)):
-                if c > b or not (n := _times(count, (a, int(b), c, d))):
-                    continue
-                yield (a, int(b), c, d), n
-                _take(count, (a, int(b), c, d), n)
-                if not count[a] or not count[b]:
-                    break
-
-
-def _sums(count: np.ndarray, total: int):
-    """Pairs of available lengths with this sum, the most unequal last."""
-    if total < 2:
-        return
-    low = np.arange(total // 2, 0, -1)
-    for b in low[(count[low] > 0) & (count[total - low] > 0)]:
-        yield total - int(b), int(b)
-
-
-def _times(count: np.ndarray, lengths: tuple) -> int:
-    return int(min(count[x] // lengths.count(x) for x in lengths))
-
-
-def _take(count: np.ndarray, lengths: tuple, n: int) -> None:
-    for x in lengths:
-        count[x] -= n
+class Sums:
+    """Index of the available lengths by their sums: ``pairs[s]`` is the number of pairs of
+    different available lengths, or of one length twice, that add up to s. A third length
+    makes it the index of triples. It shrinks as lengths are used up."""
+
+    def __init__(self, count: np.ndarray):
+        self.there = count > 0
+        self.pairs = np.zeros(2 * len(count), np.int32)
+        for x in np.flatnonzero(self.there):
+            self.pairs[x : 2 * x + 1] += self.there[: x + 1]
+
+    def gone(self, x: int) -> None:
+        """No piece of length x is left."""
+        self.pairs[x : x + len(self.there)] -= self.there
+        self.there[x] = False
+
+    def pair(self, total: int, left: np.ndarray, most: int) -> tuple[int, ...]:
+        """Two lengths of at most ``most`` with this sum, the most unequal; () for none."""
+        if total < 2 or not self.pairs[total]:
+            return ()
+        high = np.arange(min(total - 1, most), (total - 1) // 2, -1)
+        for b in high[(left[high] > 0) & (left[total - high] > 0)]:
+            if 2 * b != total or left[b] > 1:
+                return int(b), total - int(b)
+        return ()
+
+    def filling(self, total: int, left: np.ndarray) -> tuple[int, ...]:
+        """One, two or three lengths with this sum, as left has them; () for none."""
+        if left[total] > 0:
+            return (total,)
+        if found := self.pair(total, left, total):
+            return found
+        third = np.arange(total - 2, 0, -1)
+        for b in third[(left[third] > 0) & (self.pairs[total - third] > 0)]:
+            left[b] -= 1
+            found = self.pair(total - int(b), left, int(b))
+            left[b] += 1
+            if found:
+                return (int(b), *found)
+        return ()
+
+
+def _exact_first(count: np.ndarray, room: int):
+    """Combinations (lengths, times), begun by the longest piece left. A gap is filled exactly
+    from the index of sums if it can be; else it takes the longest piece that fits, and what is
+    left of it is looked up anew."""
+    index = Sums(count)
+    for a in range(room, 0, -1):
+        while count[a]:
+            lengths, gap = [a], room - a
+            count[a] -= 1
+            while gap:
+                more = index.filling(gap, count)
+                if not more:
+                    fits = np.flatnonzero(count[: gap + 1])
+                    if not len(fits):
+                        break
+                    more = (int(fits[-1]),)
+                for x in more:
+                    count[x] -= 1
+                lengths += more
+                gap -= sum(more)
+            again = min(int(count[x]) // lengths.count(x) for x in lengths)
+            for x in lengths:
+                count[x] -= again
+            yield tuple(lengths), again + 1
+            for x in set(lengths):
+                if not count[x] and index.there[x]:
+                    index.gone(x)
 
 
 def _best_fit(count: np.ndarray, room: int):
@@ -172,12 +186,13 @@ def _best_fit(count: np.ndarray, room: int):
 
 
 def plan(histogram: dict[int, int], room: int = ROOM) -> list[tuple[tuple[int, ...], int]]:
-    """Combinations of lengths and how many sequences hold each."""
+    """Combinations of lengths and how many sequences hold each: by exact complements, or
+    by best fit alone where that takes fewer sequences."""
     count = np.zeros(room + 1, np.int64)
     for x, n in histogram.items():
         count[x] = n
-    out = list(_exact(count, room))
-    return out + list(_best_fit(count, room))
+    made = (list(way(count.copy(), room)) for way in (_exact_first, _best_fit))
+    return min(made, key=lambda m: sum(n for _, n in m))
 
 
 def places(made: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.ndarray, ...]]:
