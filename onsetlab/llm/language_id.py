@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from onsetlab.llm.common import cut, map_rows, vocab_path, worker_cached
+from onsetlab.llm.common import cut, map_rows, text_udf, vocab_path, worker_cached, worker_tables
 
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 UNDETERMINED = "und"
@@ -45,6 +45,8 @@ WORD_ROWS = 10_000
 #: Share of the start in each language's probabilities, and of any character not in the vocabulary.
 SMOOTHING = 0.02
 UNSEEN = 1e-8
+#: Least mean log ratio of a word of a kept text, its language against the start.
+FAMILIAR = 0.0
 #: Multipliers of the sums that find pieces, and bits of a slot's number.
 BASE, SPREAD, SLOT_BITS = np.uint64(0x9E3779B97F4A7C15), 0xD1B54A32D192ED03, 20
 POWERS = np.cumprod(np.array([1] + [BASE] * LONGEST, np.uint64), dtype=np.uint64)
@@ -111,7 +113,9 @@ class Pieces:
         self.start = start / start.sum() * (1 - UNSEEN)
 
 
-pieces_of = worker_cached(Pieces)
+@worker_cached("language ID")
+def pieces_of(path: str) -> Pieces:
+    return Pieces(path)
 
 
 def words(text: str) -> list[str]:
@@ -275,13 +279,15 @@ def fit(docs: DataFrame, vocabulary: str, rounds: int = ROUNDS) -> tuple[list[st
 
 
 class Scorer:
-    """Scores texts; log probabilities of words are remembered in a bounded table."""
+    """Scores texts; log probabilities of words are remembered in a bounded table. The last
+    column of a total is that of the start, which knows the vocabulary's order only."""
 
     def __init__(self, langs: list[str], p: np.ndarray, vocabulary: str, memo_rows: int = MEMO_ROWS):
-        self.langs, self.index, self.memo_rows = langs, pieces_of(vocabulary).index, memo_rows
-        self.padded = _padded(p) if langs else None
+        pieces = pieces_of(vocabulary)
+        self.langs, self.index, self.memo_rows = langs, pieces.index, memo_rows
+        self.padded = _padded(np.column_stack([p, pieces.start])) if langs else None
         self.row: dict[str, int] = {}
-        self.table = np.zeros((memo_rows, len(langs)))
+        self.table = np.zeros((memo_rows, len(langs) + 1))
 
     def _learn(self, new: list[str]) -> None:
         if len(self.row) + len(new) > self.memo_rows:
@@ -292,41 +298,50 @@ class Scorer:
             self.table[at : at + len(new)] = scores
             self.row.update(zip(new, range(at, at + len(new))))
 
-    def predict(self, some: list[str | None]) -> list[tuple[str, float]]:
-        """Language and posterior of each text."""
-        out = []
+    def totals(self, some: list[str | None]):
+        """Of each text its number of words and its log probabilities, None without words."""
         split = [words(t) if t else [] for t in some]
-        if self.langs:
-            row = self.row
-            new = list(set().union(*split).difference(row))
-            for at in range(0, len(new), self.memo_rows // 4):
-                self._learn(new[at : at + self.memo_rows // 4])
+        if not self.langs:
+            yield from ((len(ws), None) for ws in split)
+            return
+        row = self.row
+        new = list(set().union(*split).difference(row))
+        for at in range(0, len(new), self.memo_rows // 4):
+            self._learn(new[at : at + self.memo_rows // 4])
         for ws in split:
-            if not ws or not self.langs:
-                out.append((UNDETERMINED, 0.0))
+            if not ws:
+                yield 0, None
                 continue
             try:
                 total = self.table[np.fromiter(map(row.__getitem__, ws), np.int64, len(ws))].sum(axis=0)
             except KeyError:  # forgotten meanwhile
                 counts = Counter(ws)
-                total = np.zeros(len(self.langs))
+                total = np.zeros(len(self.langs) + 1)
                 some_words = list(counts)
                 for at in range(0, len(some_words), 20_000):
                     part = some_words[at : at + 20_000]
                     total += np.array([counts[w] for w in part]) @ word_scores(part, self.index, self.padded)
-            best = int(np.argmax(total))
-            out.append((self.langs[best], float(1.0 / np.exp(total - total[best]).sum())))
-        return out
+            yield len(ws), total
 
-
-_scorers: dict = {}
+    def judge(self, some: list[str | None]) -> list[tuple[str, float, float]]:
+        """Language, posterior, and by how much a word is more probable in that language than
+        by the start (a mean of logarithms) of each text."""
+        out = []
+        for n, total in self.totals(some):
+            if total is None:
+                out.append((UNDETERMINED, 0.0, 0.0))
+                continue
+            own = total[:-1]
+            best = int(np.argmax(own))
+            out.append((self.langs[best], float(1.0 / np.exp(own - own[best]).sum()), float(own[best] - total[-1]) / n))
+        return out
 
 
 def _scorer(key: str, model, vocabulary: str) -> Scorer:
-    if key not in _scorers:
-        _scorers.clear()
-        _scorers[key] = Scorer(*model, vocabulary)
-    return _scorers[key]
+    kept = worker_tables("language ID")
+    if kept.get("scorer of") != key:
+        kept["scorer of"], kept["scorer"] = key, Scorer(*model, vocabulary)
+    return kept["scorer"]
 
 
 def score(docs: DataFrame, model: tuple[list[str], np.ndarray], vocabulary: str) -> DataFrame:
@@ -338,7 +353,7 @@ def score(docs: DataFrame, model: tuple[list[str], np.ndarray], vocabulary: str)
         s = _scorer(key, given.value, vocabulary)
 
         def rows(c):
-            for i, h, (lang, p) in zip(c[0], c[1], s.predict(c[2])):
+            for i, h, (lang, p, _) in zip(c[0], c[1], s.judge(c[2])):
                 yield i, h, lang, p
 
         return rows
@@ -350,21 +365,23 @@ def language_id(docs: DataFrame, vocabulary: str, rounds: int = ROUNDS) -> DataF
     return score(docs, fit(docs, vocabulary, rounds), vocabulary)
 
 
-def language_filter(docs: DataFrame, vocabulary: str, least: float = 0.5) -> DataFrame:
-    """Rows of docs, all columns as they are, whose language is determined with a posterior of at least ``least``."""
+def language_filter(docs: DataFrame, vocabulary: str, least: float = 0.5, familiar: float = FAMILIAR) -> DataFrame:
+    """Rows of docs whose language is determined with a posterior of at least ``least`` and
+    whose words are more probable in it than by the start, by ``familiar`` in the mean of
+    their logarithms. A posterior alone is near 1 for any text of some words, in whatever
+    language; a text in none that was learned, or of random letters, fails the second.
+    Columns stay as they are, but a null lang becomes the one found."""
     given, key = docs.sparkSession.sparkContext.broadcast(fit(docs, vocabulary)), uuid.uuid4().hex
 
-    @F.pandas_udf("boolean")
-    def accepted(text):
-        import pandas as pd
-
+    def make():
         s = _scorer(key, given.value, vocabulary)
-        out: list[bool] = []
-        for at in range(0, len(text), 256):
-            out.extend(lang != UNDETERMINED and p >= least for lang, p in s.predict(list(text.iloc[at : at + 256])))
-        return pd.Series(out, dtype=bool)
+        return lambda texts: [lang if lang != UNDETERMINED and p >= least and more >= familiar else None for lang, p, more in s.judge(texts)]
 
-    return docs.where(accepted(F.col("text")))
+    # the row travels as one struct, so no column of docs can clash with the language found
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    found = docs.select(row, text_udf(make, "string")(F.col("text")).alias("found")).where("found is not null")
+    column = lambda c: F.col("row").getField(c)
+    return found.select(*((F.coalesce(column(c), "found") if c == "lang" else column(c)).alias(c) for c in docs.columns))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
