@@ -1,7 +1,7 @@
 """Operator 2: quality classifier by co-training.
 
-Two views of a document: its text (shares of characters by kind, lengths and repeats of
-words and lines) and its metadata (source, language, length). Each view has a logistic
+Two views of a document that share nothing: its text (shares of characters by kind, lengths
+and repeats of words and lines) and its page's metadata (source and language). Each view has a logistic
 regression. In each round, each one's confident predictions for unlabelled documents are
 added, at a lower weight, to what the other is fitted to. Then both views are calibrated
 on labelled documents set aside (a logistic curve over the view's log odds), and the
@@ -9,11 +9,14 @@ calibrated log odds, less the base rate counted twice, score every document.
 
 All labelled documents, and in each round all unlabelled ones, take part, as Spark jobs
 over a table of features and labels that is joined and written once to the shared folder.
+Features are worked out once: the filter writes them beside its rows.
 
 Defined cases: null text is empty; null metadata is a value of its own; several labels of
 an id count as their mean, rounded half up; an id without a label, or with a null one, is
 unlabelled; with labels of one kind only (or none), every document's score is 1 and it is
-kept, as nothing can be learned; repeated rows give a row each; an empty table gives no
+kept, as nothing can be learned; where the labelled documents that fit, or those that
+calibrate, are of one kind only, all labelled documents do both; a very long text is
+measured whole, one text at a time; repeated rows give a row each; an empty table gives no
 rows; further columns are ignored by the query and kept by the filter.
 """
 
@@ -26,9 +29,8 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
 
-from onsetlab.llm.common import cut
+from onsetlab.llm.common import cut, text_udf, worker_tables
 
 ROUNDS = 2
 #: Predictions at least this sure are exchanged, at this weight.
@@ -36,6 +38,8 @@ CONFIDENT, EXCHANGED_WEIGHT = 0.98, 0.2
 #: One in so many labelled documents calibrates.
 CALIBRATION = 5
 LEAST_SCORE = 0.5
+#: Of a view's fit.
+MOST_STEPS, PENALTY, TOLERANCE = 20, 1e-3, 1e-5
 SOURCE_BUCKETS, LANG_BUCKETS = 64, 8
 SIGNS = "!*#$%&|@<>{}[]()=+_/\\~^\"'.,;:?-"
 N_TEXT = 22 + len(SIGNS)
@@ -75,42 +79,43 @@ def text_features(text: str) -> list[float]:
 
 
 def _metadata_view() -> Column:
-    """One-hot hashes of source and language, and the length, as an array."""
+    """One-hot hashes of source and language as an array."""
     source = F.pmod(F.xxhash64(F.coalesce("source", F.lit("\0"))), F.lit(SOURCE_BUCKETS))
     lang = F.pmod(F.xxhash64(F.coalesce("lang", F.lit("\0"))), F.lit(LANG_BUCKETS))
-    size = F.log1p(F.greatest(F.coalesce(F.col("n_chars").cast("double"), F.lit(0.0)), F.lit(0.0))) / 10
     one_hot = lambda at, n: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: (at == i).cast("double"))
-    return F.concat(one_hot(source, SOURCE_BUCKETS), one_hot(lang, LANG_BUCKETS), F.array(size, size * size))
+    return F.concat(one_hot(source, SOURCE_BUCKETS), one_hot(lang, LANG_BUCKETS))
 
 
-@F.pandas_udf(ArrayType(DoubleType()))
-def _text_view(text):
-    return text.map(lambda t: text_features(t or ""))
+def _text_view():
+    def make():
+        worker_tables("quality classifier")
+        return lambda texts: [text_features(t or "") for t in texts]
+
+    return text_udf(make, "array<double>")(F.col("text"))
 
 
 def with_metadata(docs: DataFrame) -> DataFrame:
     """docs with the columns of the metadata view, null where the table has none of that name."""
-    for name, kind in (("source", "string"), ("lang", "string"), ("n_chars", "long")):
+    for name in ("source", "lang"):
         if name not in docs.columns:
-            docs = docs.withColumn(name, F.lit(None).cast(kind))
+            docs = docs.withColumn(name, F.lit(None).cast("string"))
     return docs
 
 
 def features(docs: DataFrame) -> DataFrame:
     """doc_id, text_view and page_view (arrays)."""
-    d = with_metadata(docs)
-    return d.select("doc_id", _text_view("text").alias("text_view"), _metadata_view().alias("page_view"))
+    return with_metadata(docs).select("doc_id", _text_view().alias("text_view"), _metadata_view().alias("page_view"))
 
 
-def labelled_features(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """features() with the label y (null where a row has none), written once. Every fit
-    reads this table, so labels and features meet in one join however many fits follow."""
+def labelled_features(given: DataFrame, labels: DataFrame) -> DataFrame:
+    """A table of features() with the label y (null where a row has none), written once. Every
+    fit reads this table, so labels and features meet in one join however many fits follow."""
     y = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.avg(F.col("quality").cast("double")) >= 0.5).cast("double").alias("y"))
-    return cut(features(docs).join(y, "doc_id", "left"))
+    return cut(given.join(y, "doc_id", "left"))
 
 
 def _fit(rows: DataFrame, view: str):
-    lr = LogisticRegression(featuresCol="v", labelCol="y", weightCol="w", maxIter=20, regParam=1e-3, tol=1e-5)
+    lr = LogisticRegression(featuresCol="v", labelCol="y", weightCol="w", maxIter=MOST_STEPS, regParam=PENALTY, tol=TOLERANCE)
     return lr.fit(rows.select(array_to_vector(F.col(view)).alias("v"), "y", "w"))
 
 
@@ -181,7 +186,7 @@ def co_train(table: DataFrame, rounds: int = ROUNDS) -> CoTrained | None:
 
 def quality_scores(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, least: float = LEAST_SCORE) -> DataFrame:
     """Per row: doc_id, both views' calibrated probabilities, the score, and whether it is kept."""
-    table = labelled_features(docs, labels)
+    table = labelled_features(features(docs), labels)
     model = co_train(table, rounds)
     if model is None:
         one = F.lit(1.0)
@@ -193,13 +198,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, lea
 def quality_filter(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, least: float = LEAST_SCORE) -> DataFrame:
     """Rows of docs, all columns as they are, that score at least ``least``. Decided from
     each row itself, so repeated and null ids need no join."""
-    model = co_train(labelled_features(docs, labels), rounds)
-    if model is None:
-        return docs
     # the row travels as one struct, so no column of docs can clash with a view's name
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
-    views = with_metadata(docs).select(row, _text_view("text").alias("text_view"), _metadata_view().alias("page_view"))
-    return views.where(model.score() >= least).select("row.*")
+    views = cut(with_metadata(docs).select(row, _text_view().alias("text_view"), _metadata_view().alias("page_view")))
+    model = co_train(labelled_features(views.select("row.doc_id", "text_view", "page_view"), labels), rounds)
+    return docs if model is None else views.where(model.score() >= least).select("row.*")
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
