@@ -51,6 +51,12 @@ def test_language_id(spark):
     assert [(got[i].lang_pred, got[i].score) for i in (500, 501, 502)] == [("und", 0.0)] * 3
     kept = language_id.language_filter(docs, PIECES)
     assert kept.columns == docs.columns and {500, 501, 502}.isdisjoint(r.doc_id for r in kept.collect())
+    lang = {r.doc_id: r.lang for r in kept.collect()}
+    assert set(range(120)) <= set(lang) and lang[0] == "en" and all(lang.values())
+    strange = ["xqzv kjwp ztrrq bvnm plokq wqxz", "Это русский текст о погоде", "这是一个中文句子", "zzxq " * 4000]
+    planted = docs.unionByName(spark.createDataFrame([(900 + k, t, None, "s") for k, t in enumerate(strange)] + [(950, "the water of that house", None, "s")], docs.schema))
+    found = {r.doc_id: r.lang for r in language_id.language_filter(planted, PIECES).collect()}
+    assert not {900, 901, 902, 903} & set(found) and found[950] == "en" and set(range(120)) <= set(found)
     none = docs.selectExpr("doc_id", "text", "cast(null as string) lang")
     assert {r.lang_pred for r in language_id.language_id(none, PIECES).collect()} == {"und"}
     assert language_id.language_id(docs.limit(0), PIECES).count() == 0
@@ -144,6 +150,47 @@ def test_media(spark):
     assert len(columns.frame_at) == len(columns.pair_hash) == got[5].n_pairs
 
 
+def _brute_fingerprint(raw):
+    """Frames, transform, peaks and pairs one number at a time."""
+    frame, hop, bands = media.FRAME, media.HOP, media.BANDS
+    n = -(-len(raw) // hop) + 1
+    window = [0.5 - 0.5 * math.cos(2 * math.pi * j / (frame - 1)) for j in range(frame)]
+    peaks = []
+    for t in range(n):
+        x = [(raw[k] if 0 <= (k := (t - 1) * hop + j) < len(raw) else 128) - 128 for j in range(frame)]
+        power = [abs(sum(w * v * complex(math.cos(a := 2 * math.pi * f * j / frame), -math.sin(a)) for j, (w, v) in enumerate(zip(window, x)))) for f in range(bands[-1])]
+        mean = sum(power[bands[0] :]) / (bands[-1] - bands[0])
+        peaks.append([(max(range(lo, hi), key=power.__getitem__), max(power[lo:hi])) if max(power[lo:hi]) > mean else None for lo, hi in zip(bands, bands[1:])])
+    return peaks
+
+
+def test_peaks_and_pairs_by_brute_force():
+    raw = media.payload("Some words, and 12345 more; the end of it all!")[0] * 8
+    want = _brute_fingerprint(raw)
+    bins, level = media.peaks(raw)
+    assert [[p[0] if p else 0 for p in row] for row in want] == bins.tolist()
+    assert all(abs(media.LEVELS * math.log2(p[1]) - level[t, b]) < 2 for t, row in enumerate(want) for b, p in enumerate(row) if p)
+    pairs = set()
+    for t, row in enumerate(bins.tolist()):
+        for b, x in enumerate(row):
+            pairs |= {(t, x, y, 0) for y in row[b + 1 :] if x and y}
+            for d in range(1, media.AHEAD + 1):
+                if t + d < len(bins):
+                    pairs |= {(t, x, int(bins[t + d, c]), d) for c in {b, (b + d) % len(row)} if x and bins[t + d, c]}
+    at, h = media.fingerprint(raw)
+    frames = np.rint(at * media.FRAME / media.HOP).astype(int) + 1
+    got = {(k, x >> 20 & 0xFFF, x >> 8 & 0xFFF, x & 0xFF) for k, x in zip(frames.tolist(), h.tolist())}
+    assert got == pairs
+
+
+def test_stored_form_byte_by_byte(spark):
+    text = "hello"
+    data = b"hello" + b"\0" * 59
+    head = b"RIFF" + (36 + 64).to_bytes(4, "little") + b"WAVEfmt " + (16).to_bytes(4, "little") + (1).to_bytes(2, "little") * 2 + (8000).to_bytes(4, "little") * 2 + (1).to_bytes(2, "little") + (8).to_bytes(2, "little") + b"data" + (64).to_bytes(4, "little")
+    got = media.media_digests(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (got.media_bytes, got.media_sha256) == (108, hashlib.sha256(head + data).hexdigest())
+
+
 def test_fingerprint_moves_with_time():
     rng = np.random.default_rng(0)
     x = (128 + 60 * np.sin(np.arange(512 * 20) * rng.uniform(0.2, 0.3))).astype(np.uint8).tobytes()
@@ -226,3 +273,62 @@ def test_quality(spark):
     one = quality.quality_scores(docs, lab.where("quality = 1"))
     assert one.where("not kept").count() == 0
     assert quality.quality_scores(docs.limit(0), lab).count() == 0
+
+
+def _logistic(x, y, w):
+    """Newton's method for the objective that a view's fit states: features scaled by their
+    weighted deviation, a penalty on the scaled weights, an unpenalised intercept."""
+    mean = w @ x / w.sum()
+    sd = np.sqrt(np.maximum(0, (w @ (x * x) - mean**2 * w.sum()) / (w.sum() - (w @ w) / w.sum())))
+    scaled = np.hstack([np.where(sd > 1e-12, x / np.where(sd > 1e-12, sd, 1), 0), np.ones((len(x), 1))])
+    ridge = np.diag([quality.PENALTY] * x.shape[1] + [0.0])
+    b = np.zeros(scaled.shape[1])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-scaled @ b))
+        gradient = scaled.T @ (w * (p - y)) / w.sum() + ridge @ b
+        hessian = (scaled.T * (w * p * (1 - p))) @ scaled / w.sum() + ridge + 1e-12 * np.eye(len(b))
+        b -= np.linalg.solve(hessian, gradient)
+    return lambda z: 1 / (1 + np.exp(-(np.hstack([np.where(sd > 1e-12, z / np.where(sd > 1e-12, sd, 1), 0), np.ones((len(z), 1))]) @ b)))
+
+
+def _odds(p):
+    p = np.clip(p, 1e-6, 1 - 1e-6)
+    return np.log(p / (1 - p))
+
+
+def test_co_training_by_brute_force(spark, monkeypatch):
+    """The same rounds, exchange and calibration in numpy, on noisy labels so that no view is certain."""
+    monkeypatch.setattr(quality, "MOST_STEPS", 100)
+    monkeypatch.setattr(quality, "TOLERANCE", 1e-9)
+    monkeypatch.setattr(quality, "CONFIDENT", 0.8)
+    rows, labels = _quality_rows(260)
+    rng = random.Random(9)
+    rows = [(i, t, "en", ("good" if (i % 4 != 0) != (rng.random() < 0.25) else "bad"), n, c) for i, t, _, _, n, c in rows]
+    labels = [(i, y if rng.random() > 0.15 else 1 - y, 0) for i, y, _ in labels]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, clash string")
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    f = sorted(quality.features(docs).collect(), key=lambda r: r.doc_id)
+    views = [np.array([r.text_view for r in f]), np.array([r.page_view for r in f])]
+    given = dict((i, y) for i, y, _ in labels)
+    y = np.array([given.get(r.doc_id, np.nan) for r in f], float)
+    aside = np.array([zlib.crc32(str(r.doc_id).encode()) % quality.CALIBRATION == 0 for r in f])
+    known, unknown = ~np.isnan(y), np.isnan(y)
+    own = known & ~aside
+    n, kinds = known.sum(), [np.sum(y == 0), np.sum(y == 1)]
+    weight = np.where(y[own] == 1, n / (2 * kinds[1]), n / (2 * kinds[0]))
+    fits = [_logistic(v[own], y[own], weight) for v in views]
+    for _ in range(quality.ROUNDS):
+        taught = []
+        for fit, v in zip(fits, views):
+            p = fit(v)
+            sure = unknown & ((p >= quality.CONFIDENT) | (p <= 1 - quality.CONFIDENT))
+            taught.append((sure, (p[sure] >= 0.5).astype(float)))
+        assert any(s.sum() for s, _ in taught)
+        fits = [_logistic(np.vstack([v[own], v[s]]), np.concatenate([y[own], t]), np.concatenate([weight, np.full(s.sum(), quality.EXCHANGED_WEIGHT)])) for v, (s, t) in zip(views, reversed(taught))]
+    held, total = known & aside, -np.log(kinds[1] / kinds[0])
+    for fit, v in zip(fits, views):
+        z = _odds(fit(v))[:, None]
+        total = total + _odds(_logistic(z[held], y[held], np.ones(held.sum()))(z))
+    want = 1 / (1 + np.exp(-total))
+    got = {r.doc_id: r.score for r in quality.quality_scores(docs, lab).collect()}
+    assert max(abs(got[r.doc_id] - w) for r, w in zip(f, want)) < 1e-3
