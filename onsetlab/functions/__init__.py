@@ -34,6 +34,16 @@ def entities(path: Column) -> Column:
     return F.map_from_entries(last)
 
 
+def entity(path: Column, key: str) -> Column:
+    """One entity of a file's base name, the last of its key; null where there is none."""
+    return F.nullif(F.regexp_extract(path, rf"(?:^|/)(?:[^/]*_)?{key}-([^_./]+)[^/]*$", 1), F.lit(""))
+
+
+def entity_names(path: Column) -> Column:
+    """The keys of the entities in a file's base name, as an array."""
+    return F.array_distinct(F.regexp_extract_all(F.regexp_extract(path, r"([^/]*)$", 1), F.lit(r"(?:^|_)([a-zA-Z]+)-[^_.]+"), F.lit(1)))
+
+
 def sigmoid(x: Column) -> Column:
     return 1.0 / (1.0 + F.exp(-x))
 

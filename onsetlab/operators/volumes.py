@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from onsetlab.functions import entities, volume_range
+from onsetlab.functions import entities, entity, entity_names, volume_range
 
 #: Names of administrative rows, as whole names and as parts of names.
 ADMIN_EXACT = ("start_block", "end_block")
 ADMIN_PARTS = ("fixation", "postrt")
 REQUIRED = ("sub", "task", "run")
+#: Entities that have columns of their own.
+HANDLED = ("sub", "ses", "task", "run")
 
 
 def parse_entities(files: DataFrame, path: str = "eventfile") -> DataFrame:
@@ -63,6 +67,59 @@ def number_trials(events: DataFrame, key: str = "eventfile", tiebreak: str = "ev
     return events.withColumn("trial_index", F.row_number().over(order))
 
 
+def match_recordings(files: DataFrame, recordings: DataFrame, template: str | None = None) -> DataFrame:
+    """Event files with every recording (boldfile) that is theirs, null
+    for none. The rule without a template: the recording's name has ``bold`` and the file's
+    sub, task, run and, if it has one, ses. A template is a path with ``{subject}``, ``{session}``,
+    ``{task}``, ``{run}`` or any entity in braces, and ``*``, ``?`` and ``**`` as in a file search;
+    it is compared with the end of the path. Both sides meet on the subject."""
+    name = F.regexp_extract("boldfile", r"([^/]*)$", 1)
+    own = lambda k: entity(F.col("eventfile"), k)
+    theirs = lambda k: entity(F.col("boldfile"), k)
+    r = recordings.select("boldfile", name.alias("name"), theirs("sub").alias("sub"))
+    f = files.select("eventfile").distinct().withColumn("sub", own("sub"))
+    if template is None:
+        same = F.contains("name", F.lit("bold")) & (own("task") == theirs("task")) & (own("run") == theirs("run")) & (own("ses").isNull() | own("ses").eqNullSafe(theirs("ses")))
+    else:
+        alias = {"subject": own("sub"), "session": F.coalesce(own("ses"), F.lit("")), "task": own("task"), "run": own("run")}
+        parts = []
+        for text, key in re.findall(r"([^{]+)|\{(\w+)\}", template):
+            if key:
+                value = alias.get(key, own(key))
+                parts.append(F.concat(F.lit(r"\Q"), value, F.lit(r"\E")))
+            else:
+                wild = {"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}
+                parts.append(F.lit("".join(wild.get(x) or re.escape(x) for x in re.findall(r"\*\*/|\*\*|[*?]|[^*?]+", text))))
+        same = F.coalesce(F.rlike("boldfile", F.concat(F.lit("(?:^|/)"), *parts, F.lit("$"))), F.lit(False))
+    hits = f.join(r, "sub").where(same).select("eventfile", "boldfile")
+    return f.select("eventfile").join(hits, "eventfile", "left")
+
+
+def one_recording(matched: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Event files with just one recording, and the others (eventfile, n, reason)."""
+    counted = matched.groupBy("eventfile").agg(F.count("boldfile").alias("n"), F.min("boldfile").alias("boldfile"))
+    told = counted.withColumn("reason", F.when(F.col("n") == 0, "missing").when(F.col("n") > 1, "ambiguous"))
+    return told.where("n = 1").select("eventfile", "boldfile"), told.where("n <> 1").select("eventfile", "n", "reason")
+
+
+def study_volumes(events: DataFrame, recordings: DataFrame, lag: float = 0.0, template: str | None = None, exact=ADMIN_EXACT, parts=ADMIN_PARTS) -> tuple[DataFrame, DataFrame]:
+    """From event rows (eventfile, event_id, onset, duration, trial_type) to the volume table, and
+    the files that were skipped (eventfile, reason). Further entities of the files' names are
+    columns of their own, null where a name lacks one."""
+    own = lambda k: entity(F.col("eventfile"), k)
+    lacking = F.array_compact(F.array(*(F.when(own(k).isNull(), k) for k in REQUIRED)))
+    reason = F.when(F.size(lacking) > 0, F.concat(F.lit("missing "), F.array_join(lacking, ","))).when(own("run").try_cast("int").isNull(), F.lit("run is no number"))
+    files = events.select("eventfile").distinct().withColumn("reason", reason)
+    right, wrong = files.where("reason is null").select("eventfile"), files.where("reason is not null")
+    one, other = one_recording(match_recordings(right, recordings, template))
+    # one row for each entity that any name has
+    found = right.select(F.explode(entity_names(F.col("eventfile"))).alias("k")).distinct().collect()
+    names = sorted(r["k"] for r in found if r["k"] not in HANDLED)
+    about = right.join(one, "eventfile").select("eventfile", "boldfile", own("sub").alias("subject"), F.coalesce(own("ses"), F.lit("")).alias("session"), own("task").alias("task"), own("run").cast("int").alias("run"), *(own(k).alias(k) for k in names))
+    volumes = build_volumes(events.join(about, "eventfile"), recordings, lag, exact, parts, "eventfile")
+    return volumes, wrong.select("eventfile", "reason").unionByName(other.select("eventfile", "reason"))
+
+
 def build_volumes(events: DataFrame, recordings: DataFrame, lag: float = 0.0, exact=ADMIN_EXACT, parts=ADMIN_PARTS, key: str = "boldfile", tiebreak: str = "event_id") -> DataFrame:
     """One row per event and active frame. Trials keep their number if they have no frame.
 
@@ -128,6 +185,4 @@ def single_volume(events: DataFrame, recordings: DataFrame, lag: float) -> DataF
 def recording_lookup(files: DataFrame, recordings: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """Files with exactly one recording of equal entities; the others with the reason."""
     matched = files.join(recordings.select(*keys, "boldfile"), keys, "left")
-    counted = matched.groupBy("eventfile").agg(F.count("boldfile").alias("n"), F.min("boldfile").alias("boldfile"))
-    told = counted.withColumn("reason", F.when(F.col("n") == 0, "missing").when(F.col("n") > 1, "ambiguous"))
-    return told.where("n = 1").select("eventfile", "boldfile"), told.where("n <> 1").select("eventfile", "n", "reason")
+    return one_recording(matched)

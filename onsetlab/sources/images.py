@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 #: Data type codes of the format's header.
 KINDS = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 768: "u4"}
 HEADER = 348
-PATTERNS = "boldfile string, volume int, tr double, n_frames int, grid array<int>, features array<float>"
+PATTERNS = "boldfile string, volume int, tr double, n_frames int, grid array<int>, sizes array<float>, origin array<float>, features array<float>"
 
 
-def decode(raw: bytes) -> tuple[list[int], float, np.ndarray]:
-    """Grid, repeat time and (frames, voxels) of a file, gzipped or not, in either byte order."""
+def decode(raw: bytes) -> tuple[dict, np.ndarray]:
+    """About the grid (grid, sizes, origin, tr) and (frames, voxels) of a file, gzipped or not, in
+    either byte order. A slope that is 0 or not finite means that values aren't scaled."""
     if raw[:2] == b"\x1f\x8b":
         raw = gzip.decompress(raw)
     order = "<" if struct.unpack("<i", raw[:4])[0] == HEADER else ">"
@@ -27,17 +28,20 @@ def decode(raw: bytes) -> tuple[list[int], float, np.ndarray]:
     n = max(1, dims[4]) if dims[0] >= 4 else 1
     flat = np.frombuffer(raw, np.dtype(KINDS[kind]).newbyteorder(order), int(np.prod(grid)) * n, int(start))
     x = flat.reshape(n, -1).astype(np.float32)
-    return grid, float(steps[4]), x * slope + shift if slope not in (0.0, 1.0) or shift else x
+    if np.isfinite(slope) and slope != 0:
+        x = x * np.float32(slope) + np.float32(shift if np.isfinite(shift) else 0.0)
+    about = {"grid": grid, "sizes": list(map(float, steps[1:4])), "origin": list(struct.unpack(f"{order}3f", raw[268:280])), "tr": float(steps[4])}
+    return about, x
 
 
-def encode(x: np.ndarray, grid: list[int], tr: float) -> bytes:
+def encode(x: np.ndarray, grid: list[int], tr: float, slope: float = 1.0, shift: float = 0.0) -> bytes:
     """A file of 32-bit floats, as tests and exports need."""
     head = bytearray(352)
     struct.pack_into("<i", head, 0, HEADER)
     struct.pack_into("<8h", head, 40, 4, *grid, len(x), 1, 1, 1)
     struct.pack_into("<2h", head, 70, 16, 32)
     struct.pack_into("<8f", head, 76, 1, 1, 1, 1, tr, 0, 0, 0)
-    struct.pack_into("<3f", head, 108, 352, 1, 0)
+    struct.pack_into("<3f", head, 108, 352, slope, shift)
     head[344:348] = b"n+1\0"
     return bytes(head) + np.ascontiguousarray(x, "<f4").tobytes()
 
@@ -52,14 +56,14 @@ def read_patterns(spark: SparkSession, path: str, name_glob: str = "*bold.nii*")
 
         for pdf in batches:
             for p, raw in zip(pdf["path"], pdf["content"]):
-                grid, tr, x = decode(raw)
+                about, x = decode(raw)
                 for at in range(0, len(x), 32):
                     part = x[at : at + 32]
-                    yield pd.DataFrame({"boldfile": p, "volume": range(at, at + len(part)), "tr": tr, "n_frames": len(x), "grid": [grid] * len(part), "features": list(part)})
+                    yield pd.DataFrame({"boldfile": p, "volume": range(at, at + len(part)), "tr": about["tr"], "n_frames": len(x), **{c: [about[c]] * len(part) for c in ("grid", "sizes", "origin")}, "features": list(part)})
 
     return files.mapInPandas(frames, PATTERNS)
 
 
 def recordings_of(patterns: DataFrame) -> DataFrame:
     """The recordings table of ingested patterns."""
-    return patterns.select("boldfile", "tr", "n_frames", "grid").dropDuplicates(["boldfile"])
+    return patterns.select("boldfile", "tr", "n_frames", "grid", "sizes", "origin").dropDuplicates(["boldfile"])

@@ -6,20 +6,37 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from onsetlab.functions import safe_name
 from onsetlab.operators.volumes import coerce
 
-EVENT_COLUMNS = "onset string, duration string, trial_type string"
-TEXT_COLUMNS = ("subject", "session", "task", "trial_type")
+EVENT_COLUMNS = ("onset", "duration", "trial_type")
+TEXT_COLUMNS = ("subject", "session", "task", "trial_type", "desc", "stage")
+# Texts of an event file that mean a missing value.
+MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
 
 def read_events(spark: SparkSession, root: str, name_glob: str = "*_events.tsv") -> DataFrame:
-    """All event files below root in one scan, their path as eventfile; n/a is null and
-    what is no number becomes null."""
-    reader = spark.read.option("sep", "\t").option("header", True).option("nullValue", "n/a").option("pathGlobFilter", name_glob).option("recursiveFileLookup", True)
-    rows = reader.schema(EVENT_COLUMNS).csv(root).select("*", F.col("_metadata.file_path").alias("eventfile"))
-    return coerce(rows)
+    """All event files below root in one scan: eventfile (its path), event_id (the row's place
+    in its file), onset and duration (null for what is no number), trial_type, and a map
+    ``extra`` of all further columns.
+
+    Each file's columns go by its own header, so files may differ in their order and number.
+    A file is one row until it is split, so it must fit in a task; event logs do."""
+    files = spark.read.option("pathGlobFilter", name_glob).option("recursiveFileLookup", True).text(root, wholetext=True)
+    lines = F.filter(F.split("value", r"\r\n|\r|\n"), lambda x: F.length(F.trim(x)) > 0)
+    cells = lambda line: F.transform(F.split(line, "\t"), lambda x: F.regexp_replace(F.regexp_replace(x, r'^"(.*)"$', "$1"), '""', '"'))
+    split = files.select(F.col("_metadata.file_path").alias("eventfile"), lines.alias("lines"))
+    header = F.regexp_replace(F.get("lines", F.lit(0)), "^\ufeff", "")
+    rows = split.select("eventfile", cells(header).alias("names"), F.posexplode(F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0)))).alias("event_id", "line"))
+    # short rows lack their last columns, and of a repeated name the first counts
+    pairs = F.arrays_zip("names", cells("line").alias("cells"))
+    first = F.filter(pairs, lambda p, i: p["names"].isNotNull() & (F.array_position("names", p["names"]) == i + 1))
+    value = lambda p: F.when(~p["cells"].isin(*MISSING), p["cells"])
+    found = rows.withColumn("found", F.map_from_entries(F.transform(first, lambda p: F.struct(p["names"].alias("k"), value(p).alias("v")))))
+    extra = F.map_filter("found", lambda k, _: ~k.isin(*EVENT_COLUMNS))
+    return coerce(found.select("eventfile", "event_id", *(F.col("found")[c].alias(c) for c in EVENT_COLUMNS), extra.alias("extra")))
 
 
 def expected_values(spark: SparkSession, text: str) -> DataFrame:
@@ -38,10 +55,16 @@ def write_volumes(volumes: DataFrame, path: str, csv: bool = False) -> None:
         volumes.write.partitionBy("subject").parquet(path)
 
 
+def _typed(spark: SparkSession, path: str) -> DataFrame:
+    """A partitioned table whose text columns are text: names of folders aren't taken for numbers."""
+    found = spark.read.option("basePath", path).parquet(path).schema
+    kinds = [StructField(f.name, StringType(), f.nullable) if f.name in TEXT_COLUMNS else f for f in found.fields]
+    return spark.read.schema(StructType(kinds)).option("basePath", path).parquet(path)
+
+
 def read_volumes(spark: SparkSession, path: str) -> DataFrame:
     """The volume table with text columns as text ("001" stays), a missing session empty."""
-    v = spark.read.option("basePath", path).parquet(path)
-    v = v.withColumns({c: F.col(c).cast("string") for c in TEXT_COLUMNS if c in v.columns})
+    v = _typed(spark, path)
     return v.withColumn("session", F.coalesce("session", F.lit(""))) if "session" in v.columns else v
 
 
@@ -51,7 +74,7 @@ def write_metrics(metrics: DataFrame, path: str) -> None:
 
 def read_metrics(spark: SparkSession, path: str, **where) -> DataFrame:
     """Tidy metrics; conditions on desc, subject and stage prune folders."""
-    m = spark.read.option("basePath", path).parquet(path)
+    m = _typed(spark, path)
     for k, v in where.items():
         m = m.where(F.col(k) == v)
     return m
@@ -77,6 +100,15 @@ def write_decoding(decoded: DataFrame, path: str) -> None:
     decoded.write.partitionBy("desc", "subject").parquet(path)
 
 
+def read_decoding(spark: SparkSession, path: str) -> DataFrame:
+    return _typed(spark, path)
+
+
+def write_folds(manifest: DataFrame, path: str) -> None:
+    """The runs that each fold holds out, as JSON lines by subject."""
+    manifest.write.partitionBy("subject").json(path)
+
+
 def write_importance(maps: DataFrame, path: str) -> None:
     maps.write.partitionBy("desc", "subject").parquet(path)
 

@@ -14,6 +14,22 @@ def test_events_files(spark, tmp_path):
     assert all(r.eventfile.endswith("_events.tsv") for r in rows)
 
 
+def test_event_columns_go_by_the_files_header(spark, tmp_path):
+    (tmp_path / "sub-01_task-x_run-1_events.tsv").write_text("onset\tduration\tresponse_time\ttrial_type\n1.0\t2.0\t0.7\tface\n4.0\t2.0\tn/a\t001\n")
+    (tmp_path / "sub-01_task-x_run-2_events.tsv").write_text('trial_type\tonset\tduration\r\n"a ""b"""\t3\t1\r\nNA\t5\n')
+    (tmp_path / "sub-01_task-x_run-3_events.tsv").write_text("")
+    rows = sorted(tables.read_events(spark, str(tmp_path)).collect(), key=lambda r: (r.eventfile, r.event_id))
+    assert [(r.trial_type, r.onset, r.duration, r.extra) for r in rows] == [("face", 1.0, 2.0, {"response_time": "0.7"}), ("001", 4.0, 2.0, {"response_time": None}), ('a "b"', 3.0, 1.0, {}), (None, 5.0, None, {})]
+    assert [r.event_id for r in rows] == [0, 1, 0, 1]
+
+
+def test_scaling_of_images():
+    x = np.arange(12, dtype=np.float32).reshape(2, 6)
+    for slope, shift, want in ((2.0, 1.0, 2 * x + 1), (0.0, 5.0, x), (float("nan"), 5.0, x), (float("inf"), 0.0, x), (1.0, float("nan"), x)):
+        about, got = images.decode(images.encode(x, [2, 3, 1], 2.5, slope, shift))
+        assert np.array_equal(got, want) and about == {"grid": [2, 3, 1], "sizes": [1.0] * 3, "origin": [0.0] * 3, "tr": 2.5}
+
+
 def test_images(spark, tmp_path):
     x = np.arange(2 * 3 * 1 * 50, dtype=np.float32).reshape(50, 6)
     (tmp_path / "a_bold.nii.gz").write_bytes(gzip.compress(images.encode(x, [2, 3, 1], 2.5)))
@@ -28,11 +44,21 @@ def test_tables(spark, tmp_path):
     v = spark.createDataFrame([("001", None, "t", "x", 1, 2)], "subject string, session string, task string, trial_type string, run int, volume_of_interest int")
     tables.write_volumes(v, str(tmp_path / "v"))
     back = tables.read_volumes(spark, str(tmp_path / "v")).first()
-    assert back.session == "" and back.subject in ("001", "1")
-    m = spark.createDataFrame([("d", "1", "cv", 1, "accuracy", "a", "b", 0.5)], "desc string, subject string, stage string, fold int, metric string, row_label string, col_label string, value double")
+    assert back.session == "" and back.subject == "001" and tables.read_volumes(spark, str(tmp_path / "v")).where("subject = '001'").count() == 1
+    tables.write_volumes(v.unionByName(v.withColumn("volume_of_interest", v.run)), str(tmp_path / "c"), csv=True)
+    assert [r.volume_of_interest for r in spark.read.option("header", True).csv(str(tmp_path / "c")).collect()] == ["1", "2"]
+    m = spark.createDataFrame([("d", "001", "cv", 1, "accuracy", "a", "b", 0.5)], "desc string, subject string, stage string, fold int, metric string, row_label string, col_label string, value double")
     tables.write_metrics(m, str(tmp_path / "m"))
     read = tables.read_metrics(spark, str(tmp_path / "m"), stage="cv")
-    assert tables.catalog(read).first().n_folds == 1
+    assert tables.catalog(read).first().n_folds == 1 and read.first().subject == "001"
     assert tables.wide_matrix(read, ["a", "b"]).first().b == 0.5
     assert tables.missing_results(read, m.selectExpr("desc", "'2' as subject", "stage")).count() == 1
     assert {r.trial_type for r in tables.expected_values(spark, '["a", "b"]').collect()} == {"a", "b"}
+    tables.write_decoding(m, str(tmp_path / "d"))
+    assert tables.read_decoding(spark, str(tmp_path / "d")).first().subject == "001"
+    maps = spark.createDataFrame([("d", "01", "face", [0.5, 0.0])], "desc string, subject string, label string, weights array<double>")
+    tables.write_importance(maps, str(tmp_path / "i"))
+    assert tables.read_decoding(spark, str(tmp_path / "i")).select("subject", "weights").first() == ("01", [0.5, 0.0])
+    tables.write_folds(spark.createDataFrame([("01", 1, [2, 3])], "subject string, fold int, runs array<int>"), str(tmp_path / "f"))
+    assert spark.read.json(str(tmp_path / "f")).first().runs == [2, 3]
+    assert tables.result_name(m, "desc", "metric").first().name == "d_accuracy"

@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from onsetlab.functions import volume_range
 from onsetlab.operators import volumes as V
+from onsetlab.sources import tables
 
 EVENTS = "event_id int, subject string, task string, run int, trial_type string, onset double, duration double, boldfile string"
 
@@ -68,3 +69,19 @@ def test_pivot_is_as_wide_as_the_widest_event(spark):
     got = {r[0]: r[1:] for r in V.trial_pivot(vols, ["trial_index"]).collect()}
     assert got == {1: tuple(range(1, 10)), 2: (5, *[None] * 8)}
     assert V.trial_pivot(vols.limit(0), ["trial_index"]).columns == ["trial_index"]
+
+
+def test_files_to_volumes(spark, tmp_path):
+    """Event files of several headers, to the volume table and the skipped files, in one plan."""
+    names = {"sub-01_task-x_run-01_dir-pa": "trial_type\tonset\tduration\nface\t2.0\t2.0\nFixation\t0\t1\nplace\t0.5\t1\n", "sub-01_ses-b_task-x_run-02": "onset\tduration\ttrial_type\n0\t1\tface\n", "sub-02_task-x": "onset\tduration\ttrial_type\n0\t1\tface\n", "sub-02_task-x_run-09": "onset\tduration\ttrial_type\n0\t1\tface\n", "sub-03_task-x_run-1": "onset\tduration\ttrial_type\n0\t1\tface\n"}
+    for n, text in names.items():
+        (tmp_path / f"{n}_events.tsv").write_text(text)
+    bold = ["out/sub-01/sub-01_task-x_run-01_bold.nii.gz", "out/sub-01_ses-a_task-x_run-02_bold.nii.gz", "out/sub-01_ses-b_task-x_run-02_bold.nii.gz", "out/sub-03_task-x_run-1_bold.nii.gz", "out/sub-03_task-x_run-1_desc-y_bold.nii.gz", "out/sub-02_task-x_run-09_mask.nii.gz"]
+    rec = spark.createDataFrame([(b, 1.0, 20) for b in bold], "boldfile string, tr double, n_frames int")
+    volumes, skipped = V.study_volumes(tables.read_events(spark, str(tmp_path)), rec)
+    got = sorted((r.subject, r.session, r.run, r.trial_type, r.trial_index, r.volume_of_interest, r.dir, r.boldfile) for r in volumes.collect())
+    assert got == [("01", "", 1, "face", 2, 2, "pa", bold[0]), ("01", "", 1, "face", 2, 3, "pa", bold[0]), ("01", "", 1, "place", 1, 0, "pa", bold[0]), ("01", "b", 2, "face", 1, 0, None, bold[2])]
+    assert sorted((r.eventfile.rsplit("/", 1)[1].removesuffix("_events.tsv"), r.reason) for r in skipped.collect()) == [("sub-02_task-x", "missing run"), ("sub-02_task-x_run-09", "missing"), ("sub-03_task-x_run-1", "ambiguous")]
+    files = spark.createDataFrame([(f"{n}_events.tsv",) for n in names], "eventfile string")
+    matched = V.match_recordings(files, rec, "**/sub-{subject}_task-{task}_run-{run}_bold.nii.gz").where("boldfile is not null").collect()
+    assert sorted((r.eventfile, r.boldfile) for r in matched) == [("sub-01_task-x_run-01_dir-pa_events.tsv", bold[0]), ("sub-03_task-x_run-1_events.tsv", bold[3])]
