@@ -48,12 +48,22 @@ def pair_runs(runs: DataFrame, a: str, b: str) -> DataFrame:
     return side(a, "a").join(side(b, "b"), keys, "full")
 
 
-def check_pairs(pairs: DataFrame, equal: list[str] = ("tr",)) -> None:
+#: What two runs must have in common to be joined, as far as the recordings tell it.
+COMMON = ("tr", "grid", "sizes", "origin")
+
+
+def pair_problems(pairs: DataFrame, equal: tuple[str, ...] = COMMON) -> DataFrame:
+    """Adds problem: null, or why the two runs can't be joined."""
+    known = [c for c in equal if f"{c}_a" in pairs.columns]
+    problem = F.when(F.col("boldfile_a").isNull() | F.col("boldfile_b").isNull(), "no partner")
+    for c in known:
+        problem = problem.when(~F.col(f"{c}_a").eqNullSafe(F.col(f"{c}_b")), f"{c} differs")
+    return pairs.withColumn("problem", problem)
+
+
+def check_pairs(pairs: DataFrame, equal: tuple[str, ...] = COMMON) -> None:
     """Raise on runs without a partner, and on pairs that differ in grid or repeat time."""
-    differ = F.lit(False)
-    for c in equal:
-        differ = differ | ~F.col(f"{c}_a").eqNullSafe(F.col(f"{c}_b"))
-    bad = pairs.where(F.col("boldfile_a").isNull() | F.col("boldfile_b").isNull() | differ).limit(5).collect()
+    bad = pair_problems(pairs, equal).where("problem is not null").limit(5).collect()
     if bad:
         raise ValueError(f"runs that don't pair: {bad}")
 
@@ -85,11 +95,19 @@ def per_run(universe: DataFrame) -> DataFrame:
 
 
 def group_folds(universe: DataFrame, n_splits: int) -> DataFrame:
-    """Contiguous groups of runs, larger groups first."""
-    least = universe.groupBy("subject").count().agg(F.min("count")).first()[0]
-    if least is None or not 2 <= n_splits <= least:
-        raise ValueError(f"{n_splits} groups of {least} runs")
-    return universe.withColumn("fold", F.ntile(n_splits).over(Window.partitionBy("subject").orderBy("run")))
+    """Contiguous groups of runs, larger groups first. Subjects with fewer runs than groups
+    have no folds (see short_subjects); raises if all are such."""
+    if n_splits < 2:
+        raise ValueError(f"{n_splits} groups; at least 2 are needed")
+    enough = universe.join(short_subjects(universe, n_splits).select("subject"), "subject", "left_anti")
+    if enough.isEmpty():
+        raise ValueError(f"no subject has {n_splits} runs")
+    return enough.withColumn("fold", F.ntile(n_splits).over(Window.partitionBy("subject").orderBy("run")))
+
+
+def short_subjects(universe: DataFrame, n_splits: int) -> DataFrame:
+    """(subject, n_runs) of the subjects with too few runs for so many groups."""
+    return universe.groupBy("subject").agg(F.count_distinct("run").alias("n_runs")).where(F.col("n_runs") < n_splits)
 
 
 def explicit_folds(spark: SparkSession, universe: DataFrame, held_out: list[list]) -> tuple[DataFrame, DataFrame]:
@@ -103,12 +121,15 @@ def explicit_folds(spark: SparkSession, universe: DataFrame, held_out: list[list
     return folds, uncovered.unionByName(unknown)
 
 
-def validate_strategy(cv: dict) -> list[str]:
+def validate_strategy(cv: dict | None) -> list[str]:
+    if not isinstance(cv, dict):
+        return ["kfold_cv is missing"]
     kind = cv.get("strategy")
     if kind not in ("per_run", "group_kfold", "explicit_groups"):
         return [f"unknown strategy {kind!r}"]
-    if kind == "group_kfold" and (isinstance(cv.get("n_splits"), bool) or not isinstance(cv.get("n_splits"), int)):
-        return ["group_kfold needs a whole n_splits"]
+    n = cv.get("n_splits")
+    if kind == "group_kfold" and (isinstance(n, bool) or not isinstance(n, int) or n < 2):
+        return ["group_kfold needs a whole n_splits of 2 or more"]
     groups = cv.get("held_out_runs")
     if kind == "explicit_groups" and (not isinstance(groups, list) or not groups or not all(isinstance(g, list) and g for g in groups)):
         return ["explicit_groups needs lists of held_out_runs"]

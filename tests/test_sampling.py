@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from onsetlab.operators import sampling as S
 
@@ -19,6 +20,11 @@ def test_folds(spark, runs):
     assert sorted((r.run, r.fold) for r in S.group_folds(runs, 2).collect()) == [(1, 1), (2, 1), (3, 1), (4, 2), (5, 2)]
     with pytest.raises(ValueError):
         S.group_folds(runs, 6)
+    with pytest.raises(ValueError):
+        S.group_folds(runs, 1)
+    more = runs.unionByName(spark.createDataFrame([("few", 1), ("few", 2)], runs.schema))
+    assert {r.subject for r in S.group_folds(more, 3).collect()} == {"s"}  # one subject doesn't stop the others
+    assert [tuple(r) for r in S.short_subjects(more, 3).collect()] == [("few", 2)]
     folds, problems = S.explicit_folds(spark, runs, [[1, 2], [2, 3, 9]])
     assert sorted((r.run, r.fold) for r in folds.collect()) == [(1, 1), (2, 1), (2, 2), (3, 2)]
     assert sorted((r.run_text, r.problem) for r in problems.collect()) == [("4", "uncovered"), ("5", "uncovered"), ("9", "unknown")]
@@ -26,6 +32,7 @@ def test_folds(spark, runs):
     assert (train.count(), test.count()) == (20, 5)
     status = S.fold_status(S.per_run(runs), train, test.where("fold <> 2"))
     assert {r.fold: r.status for r in status.collect()} == {1: "run", 2: "nothing to score", 3: "run", 4: "run", 5: "run"}
+    assert all(S.validate_strategy(x) for x in (None, {}, {"strategy": "group_kfold", "n_splits": 1}, {"strategy": "explicit_groups", "held_out_runs": [[]]}))
     assert S.validate_strategy({"strategy": "group_kfold", "n_splits": True}) and not S.validate_strategy({"strategy": "per_run"})
 
 
@@ -45,4 +52,17 @@ def test_pairs(spark):
     with pytest.raises(ValueError):
         S.check_pairs(pairs)
     S.check_pairs(pairs.where("nth = 1"))
+    grids = pairs.where("nth = 1").withColumn("grid_a", F.array(F.lit(2), F.lit(3)))
+    assert S.pair_problems(grids.withColumn("grid_b", F.array(F.lit(2), F.lit(3)))).first().problem is None
+    assert S.pair_problems(grids.withColumn("grid_b", F.array(F.lit(2), F.lit(4)))).first().problem == "grid differs"
     assert [r.homogeneous for r in S.homogeneous_runs(df.withColumnRenamed("boldfile", "regressor_label")).collect()] == [False]
+
+
+def test_trial_split_keeps_trials_whole(spark):
+    rows = [("s", 1 + t % 2, t, "ab"[t % 2], v) for t in range(6) for v in (2 * t, 2 * t + 1)]
+    df = spark.createDataFrame(rows, "subject string, run int, trial_index int, regressor_label string, volume int")
+    folds = S.trial_folds(df)
+    train, test = S.split_trials(df, folds)
+    held = {(r.fold, r.volume) for r in test.collect()}
+    assert len(held) == 12 and {(f, v ^ 1) for f, v in held} == held  # every row once, both frames of a trial together
+    assert {(r.fold, r.volume) for r in train.collect()} == {(f, v) for f in {f for f, _ in held} for v in range(12)} - held
