@@ -30,29 +30,31 @@ def timecourse_rows(labelled: DataFrame, recordings: DataFrame, window: dict, or
     return out.withColumn("window_index", F.col("volume_of_interest") - F.col("first")).drop("start", "stop", "first", "after", "n_frames", "tr")
 
 
-def decoding_table(pred: DataFrame, categories: list[str], threshold_p: float | None, threshold_used: float | None, selected: int, whole: int, descr: str) -> DataFrame:
-    """Predictions with evidence (array by class) as the decoding table; a class that was
-    not trained has null evidence."""
+#: Columns of a decoding table about the features that were chosen.
+CHOSEN = ("threshold_p", "threshold_used", "selected_voxels", "whole_voxels", "feature_percent")
+
+
+def decoding_table(pred: DataFrame, categories: list[str], chosen: DataFrame, keys: list[str], descr: str) -> DataFrame:
+    """Predictions with evidence (array by class) as the decoding table: correct,
+    evidence_<category> (null for a class that was not trained), model_descr, and of the
+    key's choice of features the thresholds (NaN without one) and numbers of voxels."""
     by = F.map_from_arrays(F.transform("scores", lambda s: s["label"]), F.col("evidence"))
-    nan = float("nan")
-    return pred.select(
+    about = chosen.select(*keys, "threshold_p", "threshold_used", "selected_voxels", "whole_voxels", (100.0 * F.col("selected_voxels") / F.col("whole_voxels")).alias("feature_percent"))
+    shown = pred.select(
         "*",
         (F.col("predicted_label") == F.col("regressor_label")).alias("correct"),
         *(F.element_at(by, F.lit(c)).alias(f"evidence_{c}") for c in categories),
-        F.lit(nan if threshold_p is None else threshold_p).alias("threshold_p"),
-        F.lit(nan if threshold_used is None else threshold_used).alias("threshold_used"),
-        F.lit(selected).alias("selected_voxels"),
-        F.lit(whole).alias("whole_voxels"),
-        F.lit(100.0 * selected / whole).alias("feature_percent"),
         F.lit(descr).alias("model_descr"),
     )
+    return shown.join(about, list(keys))
 
 
 def summary(decoded: DataFrame, evidence: list[str], keys: list[str]) -> DataFrame:
-    """trial_count, Accuracy and mean evidence by key, window_index and label. Over all
+    """trial_count, Accuracy, mean evidence and mean numbers of chosen features (where the table
+    has them) by key, window_index and label. Over all
     rows of a key, so pooled folds weigh by their rows."""
     hit = F.avg(F.col("correct").cast("double")).alias("Accuracy")
-    return decoded.groupBy(*keys, "window_index", "regressor_label").agg(F.count("*").alias("trial_count"), hit, *(F.avg(c).alias(c) for c in evidence))
+    return decoded.groupBy(*keys, "window_index", "regressor_label").agg(F.count("*").alias("trial_count"), hit, *(F.avg(c).alias(c) for c in (*evidence, *CHOSEN) if c in decoded.columns))
 
 
 def standard_error(value: str) -> Column:

@@ -4,20 +4,25 @@ cross-validation and permutation tests."""
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 import numpy as np
-from pyspark.ml import Pipeline
+import pandas as pd
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
-from pyspark.ml.feature import UnivariateFeatureSelector
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from onsetlab.functions import pearson
+from onsetlab.operators import metrics, patterns, sampling
 from onsetlab.operators.patterns import array_stats
 from onsetlab.operators.sampling import shuffled
+from onsetlab.sources.store import settled
 
+#: Fits that run at one time.
+THREADS = 4
 ESTIMATORS = ("logistic_regression", "linear_svc", "nearest_centroid")
 
 
@@ -38,148 +43,238 @@ def centroid_predict(train: DataFrame, test: DataFrame, keys: list[str] = ("subj
     return given.withColumn("predicted_label", best["label"])
 
 
-def with_codes(df: DataFrame, categories: list[str], label: str = "regressor_label") -> DataFrame:
-    """Numeric label, feature vector and balanced weights; labels outside categories go."""
-    code = F.array_position(F.array(*map(F.lit, categories)), F.col(label)) - 1
-    coded = df.withColumn("label", code.cast("double")).where("label >= 0").withColumn("vector", array_to_vector(F.col("features").cast("array<double>")))
-    sizes = coded.groupBy("label").agg(F.count("*").alias("k"))
-    found = {r["label"]: r["k"] for r in sizes.collect()}  # as many rows as categories
-    total = sum(found.values())
-    weight = F.element_at(F.create_map(*(F.lit(x) for l, k in found.items() for x in (l, total / (len(found) * k)))), F.col("label")) if found else F.lit(1.0)
-    return coded.withColumn("weight", weight)
-
-
 def classifier(name: str, params: dict, n_rows: int):
     """An estimator of the registry."""
     if name == "logistic_regression":
         return LogisticRegression(
-            featuresCol="selected", labelCol="label", weightCol="weight", regParam=1.0 / (params.get("C", 1.0) * max(1, n_rows)),
+            featuresCol="vector", labelCol="label", weightCol="weight", regParam=1.0 / (params.get("C", 1.0) * max(1, n_rows)),
             elasticNetParam=0.0, standardization=False, maxIter=int(params.get("max_iter", 5000)), tol=params.get("tol", 1e-6),
         )
     if name == "linear_svc":
-        svc = LinearSVC(featuresCol="selected", labelCol="label", weightCol="weight", regParam=1.0 / (params.get("C", 1.0) * max(1, n_rows)), maxIter=int(params.get("max_iter", 100)))
-        return OneVsRest(classifier=svc, featuresCol="selected", labelCol="label", weightCol="weight")
+        svc = LinearSVC(featuresCol="vector", labelCol="label", weightCol="weight", regParam=1.0 / (params.get("C", 1.0) * max(1, n_rows)), maxIter=int(params.get("max_iter", 100)))
+        return OneVsRest(classifier=svc, featuresCol="vector", labelCol="label", weightCol="weight")
     raise ValueError(f"unknown classifier {name!r}; the registry has {ESTIMATORS}")
 
 
-def fit(train: DataFrame, categories: list[str], name: str = "logistic_regression", params: dict | None = None, n_voxels: int | None = None, feat_p: float | None = None):
-    """Feature selection and classifier, fitted as a unit: n_voxels goes before feat_p."""
-    coded = with_codes(train, categories).persist()
+def with_chosen(rows: DataFrame, chosen: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with a vector of their key's chosen features."""
+    given = rows.join(chosen.select(*keys, "voxel_idx"), keys)
+    return given.withColumn("vector", F.transform("voxel_idx", lambda i: F.get("features", i).cast("double"))).drop("voxel_idx")
+
+
+def fit_coefficients(train: DataFrame, chosen: DataFrame, keys: list[str], categories: list[str], name: str = "logistic_regression", params: dict | None = None, threads: int = THREADS) -> DataFrame:
+    """(keys, label, weights, intercept) of each key's fit on its chosen features, in the order
+    of categories; a category that the key's rows lack is not trained. Without a chosen feature
+    all classes score 0.
+
+    Rows are joined to their features once and kept; fits are a job each over their key's
+    rows, ``threads`` at a time. What comes back is a table, so that predicting is one join."""
+    label = F.array_position(F.array(*map(F.lit, categories)), F.col("regressor_label")) - 1
+    rows = with_chosen(train, chosen, keys).select(*keys, label.alias("code"), F.size("vector").alias("width"), array_to_vector("vector").alias("vector")).where("code >= 0").persist()
     try:
-        n = coded.count()
-        selector = UnivariateFeatureSelector(featuresCol="vector", labelCol="label", outputCol="selected", selectionMode="numTopFeatures" if n_voxels else "fpr")
-        selector.setFeatureType("continuous").setLabelType("categorical").setSelectionThreshold(n_voxels or (1.0 if feat_p is None else feat_p))
-        return Pipeline(stages=[selector, classifier(name, params or {}, n)]).fit(coded)
+        # as many rows as fits
+        counts = rows.groupBy(*keys, "code").agg(F.count("*").alias("count"), F.max("width").alias("width"))
+        sizes = counts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("code", "count"))).alias("sizes"), F.max("width").alias("width")).collect()
+
+        def one(r):
+            sizes, n = {x["code"]: x["count"] for x in r["sizes"]}, sum(x["count"] for x in r["sizes"])
+            own = reduce(lambda d, k: d.where(F.col(k) == r[k]), keys, rows)
+            trained = list(sizes)
+            if len(trained) < 2:
+                return []
+            if not r["width"]:  # nothing chosen: all classes score the same
+                return [(*(r[k] for k in keys), categories[c], [], 0.0) for c in trained]
+            number = F.element_at(F.create_map(*(F.lit(x) for i, c in enumerate(trained) for x in (c, float(i)))), F.col("code"))
+            weight = F.element_at(F.create_map(*(F.lit(x) for c in trained for x in (c, n / (len(trained) * sizes[c])))), F.col("code"))
+            model = classifier(name, params or {}, n).fit(own.select("vector", number.alias("label"), weight.alias("weight")))
+            if hasattr(model, "models"):
+                weights, intercepts = [m.coefficients.toArray() for m in model.models], [m.intercept for m in model.models]
+            else:
+                weights, intercepts = list(model.coefficientMatrix.toArray()), list(model.interceptVector.toArray())
+            if len(weights) == 1:  # two classes: the one value points to the second
+                weights, intercepts = [-weights[0], weights[0]], [-intercepts[0], intercepts[0]]
+            return [(*(r[k] for k in keys), categories[c], list(map(float, w)), float(b)) for c, w, b in zip(trained, weights, intercepts)]
+
+        with ThreadPoolExecutor(threads) as pool:
+            made = [row for rows_of in pool.map(one, sizes) for row in rows_of]
     finally:
-        coded.unpersist()
-
-
-def predict(model, test: DataFrame, categories: list[str], label: str = "regressor_label") -> DataFrame:
-    """Test rows with scores (decision values by label) and predicted_label."""
-    out = model.transform(test.withColumn("vector", array_to_vector(F.col("features").cast("array<double>"))).withColumn("label", F.lit(0.0)).withColumn("weight", F.lit(1.0)))
-    names = F.array(*map(F.lit, categories))
-    raw = vector_to_array(F.col("rawPrediction"))
-    scores = F.zip_with(names, raw, lambda a, b: F.struct(a.alias("label"), b.alias("score")))
-    chosen = F.element_at(names, F.col("prediction").cast("int") + 1)
-    extra = [F.transform(vector_to_array("probability"), lambda x: x).alias("probability")] if "probability" in out.columns else []
-    return out.select(*[c for c in test.columns if c != "features"], scores.alias("scores"), chosen.alias("predicted_label"), *extra)
-
-
-def importance(model, categories: list[str], n_features: int) -> dict[str, list[float]]:
-    """Class weights in the full feature space; two classes give a weight and its negative."""
-    selector, last = model.stages
-    weights = last.coefficientMatrix.toArray() if hasattr(last, "coefficientMatrix") else np.vstack([m.coefficients.toArray() for m in last.models])
-    if len(weights) == 1:
-        weights = np.vstack([weights[0], -weights[0]])
-    full = np.zeros((len(categories), n_features))
-    full[:, selector.selectedFeatures] = weights
-    return {c: list(map(float, row)) for c, row in zip(categories, full)}
-
-
-def kfold(rows: DataFrame, folds: list[tuple[str, int, list[int]]], categories: list[str], threads: int = 4, **how) -> DataFrame:
-    """Predictions of every fold (subject, fold, held-out runs), fits side by side."""
-
-    def one(fold):
-        subject, number, runs = fold
-        own = rows.where(F.col("subject") == subject)
-        model = fit(own.where(~F.col("run").isin(runs)), categories, **how)
-        return predict(model, own.where(F.col("run").isin(runs)), categories).withColumn("fold", F.lit(number))
-
-    with ThreadPoolExecutor(threads) as pool:
-        done = list(pool.map(one, folds))
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
-
-
-def permuted(rows: DataFrame, n: int, seed: int = 0, keys: list[str] = ("subject",), row: str = "volume", label: str = "regressor_label") -> DataFrame:
-    """Rows times permutation 1 .. n with labels shuffled within the key; 0 has the real ones."""
+        rows.unpersist()
+    kinds = dict(train.dtypes)
+    return train.sparkSession.createDataFrame(made, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", label string, weights array<double>, intercept double")
+
+
+def predict(test: DataFrame, chosen: DataFrame, coefficients: DataFrame, keys: list[str], categories: list[str]) -> DataFrame:
+    """Test rows of all keys with scores (decision values by trained label, in the order of
+    categories) and predicted_label, by one join; rows of a key without a fit are left out."""
+    place = F.array_position(F.array(*map(F.lit, categories)), F.col("label"))
+    classes = coefficients.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(place.alias("place"), "label", "weights", "intercept"))).alias("classes"))
+    given = with_chosen(test, chosen, keys).join(classes, keys)
+    dot = lambda c: F.aggregate(F.zip_with("vector", c["weights"], lambda x, w: x * w), c["intercept"], lambda s, y: s + y)
+    scores = F.transform("classes", lambda c: F.struct(c["label"].alias("label"), dot(c).alias("score")))
+    best = F.array_min(F.transform("scores", lambda s, i: F.struct((-s["score"]).alias("s"), i.alias("i"), s["label"].alias("label"))))
+    return given.withColumn("scores", scores).drop("classes", "vector", "features").withColumn("predicted_label", best["label"])
+
+
+def importance(coefficients: DataFrame, chosen: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, label, weights): class weights in the full feature space, 0 where not chosen. Two
+    classes give the first class the weights that point to the second, and the second their negative."""
+
+    @F.pandas_udf("array<double>")
+    def spread(weights: pd.Series, at: pd.Series, whole: pd.Series, sign: pd.Series) -> pd.Series:
+        out = []
+        for w, k, n, s in zip(weights, at, whole, sign):
+            x = np.zeros(int(n))
+            x[np.asarray(k, int)] = s * np.asarray(w, float)
+            out.append(x)
+        return pd.Series(out)
+
+    two = F.count("*").over(Window.partitionBy(*keys)) == 2
+    given = coefficients.join(chosen.select(*keys, "voxel_idx", "whole_voxels"), keys).withColumn("sign", F.when(two, -1.0).otherwise(1.0))
+    return given.select(*keys, "label", spread("weights", "voxel_idx", "whole_voxels", "sign").alias("weights"))
+
+
+def permuted_labels(rows: DataFrame, n: int, seed: int = 0, keys: list[str] = ("subject",), row: str = "volume", label: str = "regressor_label") -> DataFrame:
+    """(keys, row, given): the row's labels by permutation, number 0 the real one and 1 .. n
+    shuffled within the key. Only ids and labels are multiplied and shuffled, no patterns."""
     keys = list(keys)
     place = Window.partitionBy(*keys, "perm").orderBy(row)
     moved = Window.partitionBy(*keys, "perm").orderBy(F.when(F.col("perm") == 0, F.lit("")).otherwise(shuffled(seed, "perm", row)), row)
     every = rows.select(*keys, row, label).withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n))))
     a = every.select(*keys, "perm", row, F.row_number().over(place).alias("nth"))
     b = every.select(*keys, "perm", F.col(label).alias("given"), F.row_number().over(moved).alias("nth"))
-    labels = a.join(b, [*keys, "perm", "nth"]).drop("nth")
-    return rows.drop(label).join(labels, [*keys, row]).withColumnRenamed("given", label)
+    labels = a.join(b, [*keys, "perm", "nth"])
+    return labels.groupBy(*keys, row).agg(F.transform(F.sort_array(F.collect_list(F.struct("perm", "given"))), lambda x: x["given"]).alias("given"))
 
 
-def permutation_p(scores: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """(keys, real, p) from scores by permutation, number 0 being the real one."""
+def permutation_p(scores: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+    """(keys, real, p, n) from scores by permutation, number 0 being the real one."""
     real = scores.where("perm = 0").select(*keys, F.col(value).alias("real"))
     joined = scores.where("perm > 0").join(real, keys)
     hits = F.sum((F.col(value) >= F.col("real")).cast("long"))
-    return joined.groupBy(*keys, "real").agg(((1 + hits) / (1 + F.count("*"))).alias("p"))
+    return joined.groupBy(*keys, "real").agg(((1 + hits) / (1 + F.count("*"))).alias("p"), F.count("*").alias("n"))
 
 
-def permutation_centroid(rows: DataFrame, test_runs: list[int], n: int, seed: int = 0) -> DataFrame:
-    """Accuracy of the centroid classifier by permutation: (subject, perm, accuracy)."""
-    p = permuted(rows, n, seed)
-    held = F.col("run").isin(test_runs)
-    done = centroid_predict(p.where(~held), p.where(held), ["subject", "perm"])
-    return done.groupBy("subject", "perm").agg(F.avg((F.col("predicted_label") == F.col("regressor_label")).cast("double")).alias("accuracy"))
-
-
-def ridge_logistic(x: np.ndarray, y: np.ndarray, k: int, c: float, steps: int = 300) -> np.ndarray:
-    """Weights (features and intercept, classes) of balanced multinomial logistic regression
-    with an L2 penalty on the features, by accelerated gradient steps."""
-    n, d = x.shape
-    size = np.bincount(y, minlength=k)
-    w = (n / (np.count_nonzero(size) * np.maximum(size, 1)))[y]
-    x1 = np.hstack([x, np.ones((n, 1))])
-    target = np.eye(k)[y]
-    penalty = np.ones((d + 1, 1)) / (c * n)
-    penalty[-1] = 0
-    step = 1.0 / (0.5 * w.max() * np.linalg.norm(x1, 2) ** 2 / n + penalty.max())
-    now = last = np.zeros((d + 1, k))
-    for t in range(steps):
-        at = now + t / (t + 3) * (now - last)
-        z = x1 @ at
-        p = np.exp(z - z.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        last, now = now, at - step * (x1.T @ (w[:, None] * (p - target)) / n + penalty * at)
-    return now
-
-
-def permutation_logistic(rows: DataFrame, test_runs: list[int], n: int, c: float = 1.0, seed: int = 0, chunk: int = 5) -> DataFrame:
-    """Accuracy by permutation with a refitted logistic regression: one job over
-    (subject, chunk of permutations), each group the rows of one subject."""
-
-    def run(key, pdf):
-        import pandas as pd
-
-        x = np.array(pdf["features"].tolist(), float)
-        names, y = np.unique(pdf["regressor_label"].to_numpy(str), return_inverse=True)
-        order = np.argsort(pdf["volume"].to_numpy())
-        x, y, held = x[order], y[order], np.isin(pdf["run"].to_numpy()[order], test_runs)
+def held_out(test: list[int] | Column) -> Column:
+    """Test rows, by a list of runs or by a condition."""
+    return test if isinstance(test, Column) else F.col("run").isin(test)
+
+
+#: Bytes of class means, and test rows, that one task holds.
+CHUNK_BYTES, TEST_ROWS, TRAIN_ROWS = 64_000_000, 256, 4096
+
+
+def permuted_centroid_scores(rows: DataFrame, test: list[int] | Column, n: int, seed: int = 0) -> DataFrame:
+    """(subject, perm, volume, regressor_label, predicted_label, scores) of the centroid
+    classifier's test rows under each permutation.
+
+    Patterns meet their labels once. Blocks of training rows are multiplied with an indicator
+    matrix of the labels, which gives all permutations' class sums; blocks of test rows are
+    then correlated with all their means. Permutations are dealt in chunks whose means fit
+    in a task, so patterns are copied once for a chunk: once in all unless they are wide."""
+    given = rows.select("subject", "volume", held_out(test).alias("held"), "features").join(permuted_labels(rows, n, seed), ["subject", "volume"])
+    about = rows.agg(F.max(F.size("features")).alias("wide"), F.sort_array(F.collect_set("regressor_label")).alias("names")).first()
+    names = about["names"] or []
+    size = max(1, CHUNK_BYTES // (8 * max(1, len(names)) * (about["wide"] or 1)))
+    chunk = lambda perms: F.explode(F.sequence(F.lit(0), F.lit(n // size)))
+    counts = rows.groupBy("subject").agg(F.count("*").alias("rows"))
+    dealt = given.join(counts, "subject").withColumn("chunk", chunk(n))
+    block = lambda per: F.pmod(F.xxhash64("volume"), F.ceil(F.col("rows") / per)).cast("int")
+    code = {x: k for k, x in enumerate(names)}
+
+    def perms_of(c):
+        return range(int(c) * size, min(n + 1, (int(c) + 1) * size))
+
+    def matrix(pdf):
+        return np.array(pdf["features"].tolist(), float), np.array([[code[x] for x in g] for g in pdf["given"]])
+
+    def sums(key, pdf):
+        x, labels = matrix(pdf)
+        out = []
+        for perm in perms_of(key[1]):
+            for c in range(len(names)):
+                own = labels[:, perm] == c
+                if own.any():
+                    out.append((key[0], int(key[1]), perm, c, int(own.sum()), own @ x))
+        return pd.DataFrame(out, columns=["subject", "chunk", "perm", "code", "n", "total"])
+
+    parts = dealt.where(~F.col("held")).groupBy("subject", "chunk", block(TRAIN_ROWS).alias("block")).applyInPandas(sums, "subject string, chunk int, perm int, code int, n long, total array<double>")
+    total = Summarizer.metrics("sum").summary(array_to_vector("total"))
+    means = parts.groupBy("subject", "chunk", "perm", "code").agg(F.sum("n").alias("n"), total.alias("s")).select("subject", "chunk", "perm", "code", F.transform(vector_to_array("s.sum"), lambda x: x / F.col("n")).alias("mean"))
+    tests = dealt.where("held").withColumn("block", block(TEST_ROWS))
+    wanted = tests.select("subject", "chunk", "block").distinct()
+    means = means.join(wanted, ["subject", "chunk"])
+
+    def score(key, centres, pdf):
+        if not len(pdf) or not len(centres):
+            return pd.DataFrame(columns=["subject", "perm", "volume", "regressor_label", "predicted_label", "scores"])
+        x, labels = matrix(pdf)
+        x = x - x.mean(axis=1, keepdims=True)
+        x_norm = np.sqrt((x * x).sum(axis=1))
         out = []
-        for perm in range(int(key[1]) * chunk, min(n + 1, (int(key[1]) + 1) * chunk)):
-            labels = y if perm == 0 else np.random.default_rng([seed, perm]).permutation(y)
-            w = ridge_logistic(x[~held], labels[~held], len(names), c)
-            guess = (np.hstack([x[held], np.ones((held.sum(), 1))]) @ w).argmax(axis=1)
-            out.append((key[0], perm, float((guess == labels[held]).mean())))
-        return pd.DataFrame(out, columns=["subject", "perm", "accuracy"])
-
-    dealt = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(n // chunk))))
-    return dealt.groupBy("subject", "chunk").applyInPandas(run, "subject string, perm int, accuracy double")
+        for perm, own in centres.sort_values(["perm", "code"]).groupby("perm"):
+            m = np.array(own["mean"].tolist(), float)
+            m = m - m.mean(axis=1, keepdims=True)
+            norms = x_norm[:, None] * np.sqrt((m * m).sum(axis=1))[None, :]
+            r = x @ m.T / np.where(norms == 0, 1.0, norms)
+            trained = [names[c] for c in own["code"]]
+            best = r.argmax(axis=1)
+            for k, volume in enumerate(pdf["volume"]):
+                out.append((key[0], int(perm), int(volume), names[labels[k, perm]], trained[best[k]], [{"label": a, "score": float(b)} for a, b in zip(trained, r[k])]))
+        return pd.DataFrame(out, columns=["subject", "perm", "volume", "regressor_label", "predicted_label", "scores"])
+
+    key = ["subject", "chunk", "block"]
+    schema = "subject string, perm int, volume long, regressor_label string, predicted_label string, scores array<struct<label:string,score:double>>"
+    means = means.toDF(*means.columns)  # its keys come from the same rows as those of tests
+    return means.groupBy(*key).cogroup(tests.groupBy(*key)).applyInPandas(score, schema)
+
+
+def both_metrics(pred: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, metric, value): accuracy and macro one-vs-rest AUC of the same predictions."""
+    raw = pred.withColumn("evidence", F.transform("scores", lambda s: s["score"]))
+    acc = metrics.accuracy(raw, keys).select(*keys, F.lit("accuracy").alias("metric"), F.col("accuracy").alias("value"))
+    area = metrics.macro_auc(metrics.auc(raw, keys), keys).select(*keys, F.lit("roc_auc_ovr").alias("metric"), F.col("macro_auc").alias("value"))
+    return acc.unionByName(area)
+
+
+def permutation_centroid(rows: DataFrame, test: list[int] | Column, n: int, seed: int = 0) -> DataFrame:
+    """Both metrics of the centroid classifier by permutation: (subject, perm, metric, value)."""
+    return both_metrics(settled(permuted_centroid_scores(rows, test, n, seed)), ["subject", "perm"])
+
+
+def permutation_fitted(rows: DataFrame, test: list[int] | Column, n: int, categories: list[str], name: str = "logistic_regression", params: dict | None = None, n_voxels: int | None = None, feat_p: float | None = None, seed: int = 0, threads: int = THREADS) -> DataFrame:
+    """As permutation_centroid, for fitted classifiers: selection and fit are done anew for each
+    (subject, permutation), a threshold widened on the real labels. Each fit is an MLlib job, so
+    a thousand of them are for a cluster that runs many side by side."""
+    keys = ["subject", "perm"]
+    labels = permuted_labels(rows, n, seed).select("subject", "volume", F.posexplode("given").alias("perm", "regressor_label"))
+    every = rows.drop("regressor_label").join(labels, ["subject", "volume"])
+    held = held_out(test)
+    if feat_p is not None and not n_voxels:
+        real = patterns.select_features(rows.where(~held), ["subject"], None, feat_p).agg(F.max("threshold_used")).first()[0]
+        p = patterns.anova_p(every.where(~held), keys=keys).where(F.col("p") < real)
+        below = p.groupBy(*keys).agg(F.sort_array(F.collect_list(F.col("voxel").cast("int"))).alias("voxel_idx"))
+        chosen = every.select(*keys).distinct().join(below, keys, "left").withColumn("voxel_idx", F.coalesce("voxel_idx", F.array().cast("array<int>")))
+    else:
+        chosen = patterns.select_features(every.where(~held), keys, n_voxels, None)
+    fitted = fit_coefficients(every.where(~held), chosen, keys, categories, name, params, threads)
+    return both_metrics(settled(predict(every.where(held), chosen, fitted, keys, categories)), keys)
+
+
+def compare_baselines(rows: DataFrame, test_runs: list[int], categories: list[str], methods: tuple[str, ...] = ("nearest_centroid", "linear_svc"), params: dict | None = None) -> DataFrame:
+    """(subject, method, protocol, metric, value): each method on the split by test_runs and, as
+    a mean over folds, with each run left out once. No features are selected."""
+    held = F.col("run").isin(test_runs)
+    folds = sampling.per_run(sampling.fold_universe(rows))
+    outside, within = sampling.split_runs(rows, folds)
+    zero = lambda d: d.withColumn("fold", F.lit(0))
+    keys, out = ["subject", "fold"], []
+    for protocol, train, test in (("matched_split", zero(rows.where(~held)), zero(rows.where(held))), ("leave_one_run_out", outside, within)):
+        for method in methods:
+            if method == "nearest_centroid":
+                pred = centroid_predict(train, test, keys)
+            else:
+                chosen = patterns.select_features(train, keys)
+                pred = predict(test, chosen, fit_coefficients(train, chosen, keys, categories, method, params), keys, categories)
+            each = both_metrics(settled(pred), keys).groupBy("subject", "metric").agg(F.avg("value").alias("value"))
+            out.append(each.select("subject", F.lit(method).alias("method"), F.lit(protocol).alias("protocol"), "metric", "value"))
+    return reduce(DataFrame.unionByName, out)

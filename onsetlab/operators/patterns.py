@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -51,35 +55,64 @@ def zscore(patterns: DataFrame, key: str = "boldfile") -> DataFrame:
 
 
 def anova(df: DataFrame, label: str = "regressor_label", keys: list[str] = ("subject",)) -> DataFrame:
-    """F of each feature over the classes, per key: (keys, voxel, f)."""
+    """F of each feature over the classes, per key, with its degrees of freedom:
+    (keys, voxel, f, between, within)."""
     keys = list(keys)
     s = array_stats(df, [*keys, label])
     flat = s.select(*keys, "n", F.posexplode(F.arrays_zip("sum", "sumsq")).alias("voxel", "m"))
     g = flat.groupBy(*keys, "voxel").agg(F.sum("n").alias("n"), F.count("*").alias("k"), F.sum("m.sum").alias("t"), F.sum("m.sumsq").alias("q"), F.sum(F.col("m.sum") * F.col("m.sum") / F.col("n")).alias("b"))
     between, within = F.col("b") - F.col("t") * F.col("t") / F.col("n"), F.col("q") - F.col("b")
-    f = F.when((F.col("k") > 1) & (F.col("n") > F.col("k")), (between / (F.col("k") - 1)) / (within / (F.col("n") - F.col("k"))))
-    return g.select(*keys, "voxel", f.alias("f"))
-
-
-def anova_p(df: DataFrame, label: str = "regressor_label") -> DataFrame:
-    """(voxel, p, f) by the engine's ANOVA test; an undefined p is 1."""
-    spark = df.sparkSession
-    code = F.dense_rank().over(Window.orderBy(label)).cast("double") - 1
-    codes = df.select(label).distinct().withColumn("label", code)
-    given = df.join(codes, label).select("label", array_to_vector("features").alias("features"))
-    test = spark._jvm.org.apache.spark.ml.stat.ANOVATest.test(given._jdf, "features", "label", True)
-    out = DataFrame(test, spark)
-    return out.select(F.col("featureIndex").alias("voxel"), F.coalesce(F.nanvl("pValue", F.lit(1.0)), F.lit(1.0)).alias("p"), F.col("fValue").alias("f"))
-
-
-def select_below(p: DataFrame, threshold: float, least: int = 5) -> tuple[DataFrame, float]:
-    """Features with p below the threshold, which is widened by a tenth until at least
-    ``least`` are, or it is over 1; and the threshold used."""
-    smallest = [r["p"] for r in p.orderBy("p").limit(least).collect()]
-    used = threshold
-    while sum(x < used for x in smallest) < least and used <= 1:
-        used *= 1.1
-    return p.where(F.col("p") < used), used
+    error = F.try_divide(within, F.col("n") - F.col("k"))
+    # a feature that doesn't vary within classes: infinite, or undefined if it doesn't vary at all
+    ratio = F.when(error > 0, F.try_divide(F.try_divide(between, F.col("k") - 1), error)).when(between > 0, float("inf")).otherwise(float("nan"))
+    f = F.when((F.col("k") > 1) & (F.col("n") > F.col("k")), ratio)
+    return g.select(*keys, "voxel", f.alias("f"), (F.col("k") - 1).alias("between"), (F.col("n") - F.col("k")).alias("within"))
+
+
+def upper_tail(f: np.ndarray, between: np.ndarray, within: np.ndarray) -> np.ndarray:
+    """Probability that an F value is larger, by the continued fraction of the incomplete beta
+    function; NaN where f is."""
+    a, b, x = within / 2.0, between / 2.0, within / (within + between * f)
+    swap = x > (a + 1) / (a + b + 2)  # where the fraction of the complement settles sooner
+    a, b, x = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, 1 - x, x)
+    front = np.array([math.lgamma(p + q) - math.lgamma(p) - math.lgamma(q) for p, q in zip(a, b)])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        front = np.exp(front + a * np.log(x) + b * np.log1p(-x)) / a
+        tiny = 1e-300
+        d = 1 - (a + b) * x / (a + 1)
+        d = 1 / np.where(np.abs(d) < tiny, tiny, d)
+        c, total = np.ones_like(x), d.copy()
+        for m in range(1, 400):
+            for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+                d, c = 1 + step * d, 1 + step / c
+                d, c = 1 / np.where(np.abs(d) < tiny, tiny, d), np.where(np.abs(c) < tiny, tiny, c)
+                total *= d * c
+            if np.nanmax(np.abs(d * c - 1), initial=0.0) < 1e-15:
+                break
+        part = np.where(x <= 0, 0.0, front * total)
+    return np.where(swap, 1 - part, part)
+
+
+def anova_p(df: DataFrame, label: str = "regressor_label", keys: list[str] = ("subject",)) -> DataFrame:
+    """(keys, voxel, p, f) of all keys in one job; an undefined p is 1."""
+
+    @F.pandas_udf("double")
+    def tail(f: pd.Series, between: pd.Series, within: pd.Series) -> pd.Series:
+        return pd.Series(upper_tail(*(np.maximum(x.to_numpy(float), 0.0) for x in (f, between, within))))
+
+    p = tail("f", F.col("between").cast("double"), F.col("within").cast("double"))
+    return anova(df, label, keys).select(*keys, "voxel", F.coalesce(F.nanvl(p, F.lit(1.0)), F.lit(1.0)).alias("p"), "f")
+
+
+def select_below(p: DataFrame, threshold: float, least: int = 5, keys: list[str] = ("subject",)) -> DataFrame:
+    """Features with p below the threshold, which is widened by a tenth for each key until at
+    least ``least`` are, or it is over 1; with the threshold used. A key has as many rows as voxels."""
+    nth = F.get(F.sort_array(F.collect_list("p")), F.lit(least - 1))
+    wider = lambda t, _: F.when((t > 1) | F.coalesce(F.col("nth") < t, F.lit(False)), t).otherwise(t * 1.1)
+    steps = int(math.log(1 / threshold) / math.log(1.1)) + 2 if threshold < 1 else 1
+    used = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(float(threshold)), wider)
+    widened = p.groupBy(*keys).agg(nth.alias("nth")).select(*keys, used.alias("threshold_used"))
+    return p.join(widened, list(keys)).where("p < threshold_used")
 
 
 def select_best(f: DataFrame, n: int, keys: list[str] = ("subject",)) -> DataFrame:
@@ -88,6 +121,22 @@ def select_best(f: DataFrame, n: int, keys: list[str] = ("subject",)) -> DataFra
     return f.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
 
 
+def select_features(train: DataFrame, keys: list[str], n_voxels: int | None = None, feat_p: float | None = None, label: str = "regressor_label") -> DataFrame:
+    """(keys, voxel_idx, threshold_p, threshold_used, selected_voxels, whole_voxels) of all keys in
+    one job: the n_voxels best by F, else those below feat_p, widened; all without either."""
+    whole = train.groupBy(*keys).agg(F.max(F.size("features")).alias("whole_voxels"))
+    if n_voxels is None and feat_p is None:
+        chosen = whole.select(*keys, F.sequence(F.lit(0), F.col("whole_voxels") - 1).alias("voxel_idx"), F.lit(None).cast("double").alias("threshold_used"))
+    else:
+        kept = select_best(anova(train, label, keys), n_voxels, keys).withColumn("threshold_used", F.lit(None).cast("double")) if n_voxels else select_below(anova_p(train, label, keys), feat_p, keys=keys)
+        chosen = kept.groupBy(*keys).agg(F.sort_array(F.collect_list(F.col("voxel").cast("int"))).alias("voxel_idx"), F.first("threshold_used").alias("threshold_used"))
+    nan = F.lit(float("nan"))
+    threshold = nan if n_voxels or feat_p is None else F.lit(float(feat_p))
+    none = F.array().cast("array<int>")
+    out = whole.join(chosen, list(keys), "left").withColumn("voxel_idx", F.coalesce("voxel_idx", none))
+    return out.select(*keys, "voxel_idx", threshold.alias("threshold_p"), F.coalesce("threshold_used", nan).alias("threshold_used"), F.size("voxel_idx").alias("selected_voxels"), "whole_voxels")
+
+
 def trend(patterns: DataFrame, key: str = "boldfile", time: str = "volume") -> DataFrame:
     """Intercept and slope over time of each feature: (key, mid, intercept, slope) as arrays,
     the ramp centred at the run's mean time ``mid``."""

@@ -16,6 +16,13 @@ def accuracy_table(scores: DataFrame, n_classes: int) -> DataFrame:
     return each.unionByName(group).withColumn("chance", F.lit(1.0 / n_classes))
 
 
+def fold_values(scores: DataFrame) -> DataFrame:
+    """(stage, subject, fold, accuracy): the single folds behind an accuracy, and by how much each
+    differs from its subject's mean."""
+    mean = F.avg("accuracy").over(Window.partitionBy("stage", "subject"))
+    return scores.select("stage", "subject", "fold", "accuracy", (F.col("accuracy") - mean).alias("from_mean"))
+
+
 def auc_quartiles(areas: DataFrame) -> DataFrame:
     """Five-number summary of the areas per class; undefined ones don't count."""
     p = F.percentile("auc", F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.75, 1.0))))

@@ -2,29 +2,29 @@
 
 Tables in, tables out: volumes (build_volumes), patterns (boldfile, volume, features; with
 subject and session where masks are given), recordings (boldfile, tr, n_frames), masks
-(subject, session, voxel_idx). All subjects and folds are keys of the same jobs; only the
-fits of logistic_regression and linear_svc are a job each, as many as subjects times
-folds, which run side by side. nearest_centroid is one job for all of them.
+(subject, session, voxel_idx). All subjects and folds are keys of the same jobs: choosing
+features is one job, predicting one join with a table of coefficients. Only the fits of
+logistic_regression and linear_svc are a job each, over kept rows of their key, which run
+side by side. nearest_centroid is one job for all of them.
 """
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from onsetlab.functions import decision_evidence
 from onsetlab.operators import conditions, decoding, metrics, models, patterns, report, sampling, volumes
+from onsetlab.sources.store import settled
 
-#: Fits that run at one time.
-THREADS = 4
 KEYS = ["subject", "fold"]
 
 
 def sections(table: DataFrame, frames: DataFrame, recordings: DataFrame, config: dict, masks: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Labelled rows with features of each section of model_conditions. Standard scores are
+    """Labelled rows with features of each section of model_conditions, written once. Standard scores are
     over all frames of a run, whichever the sections choose. Raises on a wrong configuration."""
     table = volumes.drop_bad_volumes(table)
     errors, _ = conditions.validate_config(config, table)
@@ -38,7 +38,7 @@ def sections(table: DataFrame, frames: DataFrame, recordings: DataFrame, config:
         rows = conditions.label_rows(table, section["conditions"])
         if name == "timecourse_decoding":
             rows = decoding.timecourse_rows(rows, recordings, section["window"])
-        out[name] = patterns.slice_patterns(rows, scored)
+        out[name] = settled(patterns.slice_patterns(rows, scored))
     return out
 
 
@@ -53,46 +53,55 @@ def inner_folds(train: DataFrame) -> DataFrame:
     return by_run.select(*KEYS, "run", "trial_index").unionByName(by_trial.select(*KEYS, "run", "trial_index"))
 
 
-def outer_folds(universe: DataFrame, cv: dict) -> DataFrame:
-    """(subject, run, fold) by the strategy of kfold_cv."""
+def outer_folds(universe: DataFrame, cv: dict | None) -> tuple[DataFrame, DataFrame]:
+    """(subject, run, fold) by the strategy of kfold_cv, and warnings (subject, run_text, problem)."""
     errors = sampling.validate_strategy(cv)
     if errors:
         raise ValueError("; ".join(errors))
+    if universe.isEmpty():
+        raise ValueError("no runs to fold over")
+    if cv["strategy"] == "explicit_groups":
+        return sampling.explicit_folds(universe.sparkSession, universe, cv["held_out_runs"])
+    none = F.lit(None).cast("string")
     if cv["strategy"] == "per_run":
-        return sampling.per_run(universe)
-    if cv["strategy"] == "group_kfold":
-        return sampling.group_folds(universe, cv["n_splits"])
-    return sampling.explicit_folds(universe.sparkSession, universe, cv["held_out_runs"])[0]
+        return sampling.per_run(universe), universe.limit(0).select("subject", none.alias("run_text"), none.alias("problem"))
+    short = sampling.short_subjects(universe, cv["n_splits"])
+    return sampling.group_folds(universe, cv["n_splits"]), short.select("subject", none.alias("run_text"), F.lit("too few runs").alias("problem"))
 
 
-def fit_predict(train: DataFrame, tests: dict[str, DataFrame], categories: list[str], model: dict, maps_to: str | None = None) -> dict[str, DataFrame]:
-    """Predictions for the test rows of each (subject, fold) by what its training rows fit.
-    Keys without training rows are left out. ``maps_to``: a folder for the class weights,
-    each fit's written as it ends (not for nearest_centroid)."""
-    how, chosen = model["classifier"], model["featureSelection"]
-    if how["name"] == "nearest_centroid":
-        return {n: models.centroid_predict(train, t, KEYS) for n, t in tests.items()}
-    train = train.persist()
-    keys = sorted(tuple(r) for r in train.select(*KEYS).distinct().collect())  # as many as fits
-
-    def own(df, key):
-        return df.where((F.col("subject") == key[0]) & (F.col("fold") == key[1]))
-
-    def one(key):
-        rows = own(train, key)
-        fitted = models.fit(rows, categories, how["name"], how.get("params"), chosen.get("n_voxels"), chosen.get("feat_p"))
-        if maps_to:
-            wide = rows.select(F.size("features")).first()[0]
-            maps = rows.sparkSession.createDataFrame(list(models.importance(fitted, categories, wide).items()), "label string, weights array<double>")
-            maps.write.parquet(f"{maps_to}/subject={key[0]}/fold={key[1]}")
-        return {n: models.predict(fitted, own(t, key), categories) for n, t in tests.items()}
-
-    with ThreadPoolExecutor(THREADS) as pool:
-        done = list(pool.map(one, keys))
-    train.unpersist()
-    if not done:
-        raise ValueError("no training rows")
-    return {n: reduce(DataFrame.unionByName, [d[n] for d in done]) for n in tests}
+class Fitted:
+    """What training rows of each (subject, fold) fit: chosen features, class weights and maps."""
+
+    def __init__(self, train: DataFrame, categories: list[str], model: dict):
+        self.train, self.categories, how, chosen = train, categories, model["classifier"], model["featureSelection"]
+        self.centroid = how["name"] == "nearest_centroid"
+        self.descr = model.get("desc", how["name"])
+        # without selection the centroid classifier sees all features
+        self.chosen = settled(patterns.select_features(train, KEYS, *(() if self.centroid else (chosen.get("n_voxels"), chosen.get("feat_p")))))
+        self.coefficients = None if self.centroid else models.fit_coefficients(train, self.chosen, KEYS, categories, how["name"], how.get("params"))
+
+    def predict(self, test: DataFrame) -> DataFrame:
+        """Predictions for the test rows by their key's fit, written once; keys without one are left out."""
+        if self.centroid:
+            return settled(models.centroid_predict(self.train, test, KEYS))
+        return settled(models.predict(test, self.chosen, self.coefficients, KEYS, self.categories))
+
+    def maps(self) -> DataFrame:
+        """(subject, fold, label, weights) in the full feature space: class weights, or mean patterns."""
+        if self.centroid:
+            return patterns.array_stats(self.train, [*KEYS, "regressor_label"]).select(*KEYS, F.col("regressor_label").alias("label"), F.col("mean").alias("weights"))
+        return models.importance(self.coefficients, self.chosen, KEYS)
+
+    def decoded(self, pred: DataFrame) -> DataFrame:
+        """The decoding table of predictions; evidence is a probability over the classes."""
+        two = len(self.categories) == 2
+        values = F.array(F.col("scores")[1]["score"]) if two else F.transform("scores", lambda s: s["score"])
+        return decoding.decoding_table(pred.withColumn("evidence", decision_evidence(values, len(self.categories))), self.categories, self.chosen, KEYS, self.descr).drop("evidence")
+
+
+def mean_maps(maps: DataFrame) -> DataFrame:
+    """(subject, label, weights): each subject's maps averaged over its folds."""
+    return patterns.array_stats(maps, ["subject", "label"], "weights").select("subject", "label", F.col("mean").alias("weights"))
 
 
 def scores(pred: DataFrame, categories: list[str]) -> DataFrame:
@@ -100,66 +109,98 @@ def scores(pred: DataFrame, categories: list[str]) -> DataFrame:
     return metrics.tidy(pred.withColumn("evidence", metrics.scoring_evidence(len(categories) == 2)), KEYS)
 
 
-def decoded(pred: DataFrame, categories: list[str]) -> DataFrame:
-    """Decoded frames with correct and evidence_<category>."""
-    two = len(categories) == 2
-    values = F.array(F.col("scores")[1]["score"]) if two else F.transform("scores", lambda s: s["score"])
-    by = F.map_from_arrays(F.transform("scores", lambda s: s["label"]), decision_evidence(values, len(categories)))
-    hit = (F.col("predicted_label") == F.col("regressor_label")).alias("correct")
-    return pred.select("*", hit, *(F.element_at(by, F.lit(c)).alias(f"evidence_{c}") for c in categories))
-
-
-def _with_summary(out: dict, pred: dict, categories: list[str]) -> dict[str, DataFrame]:
-    if "timecourse_decoding" in pred:
-        out["decoding"] = decoded(pred["timecourse_decoding"], categories)
-        out["decoding_summary"] = decoding.summary(out["decoding"], [f"evidence_{c}" for c in categories], ["subject"])
-    return out
+def significance(train: DataFrame, test: DataFrame, categories: list[str], model: dict) -> DataFrame:
+    """(subject, metric, real, p, n): the permutation test of both metrics; labels are shuffled
+    among a subject's training and test rows together."""
+    asked, how, chosen = model["permutation_test"], model["classifier"], model["featureSelection"]
+    both = train.withColumn("held", F.lit(False)).unionByName(test.withColumn("held", F.lit(True)), allowMissingColumns=True)
+    order = Window.partitionBy("subject").orderBy("held", "boldfile", "volume_of_interest", "trial_index", "regressor_label")
+    rows = settled(both.select("subject", "held", "regressor_label", "features", F.row_number().over(order).alias("volume")))
+    held, n, seed = F.col("held"), asked["n_permutations"], asked["random_state"]
+    if how["name"] == "nearest_centroid":
+        each = models.permutation_centroid(rows, held, n, seed)
+    else:
+        each = models.permutation_fitted(rows, held, n, categories, how["name"], how.get("params"), chosen.get("n_voxels"), chosen.get("feat_p"), seed)
+    return models.permutation_p(each, ["subject", "metric"])
 
 
-def run_generalization(table: DataFrame, frames: DataFrame, recordings: DataFrame, config: dict, masks: DataFrame | None = None, maps_to: str | None = None) -> dict[str, DataFrame]:
-    """Fit on the training section, balanced; score on the testing section; decode.
+def run_generalization(table: DataFrame, frames: DataFrame, recordings: DataFrame, config: dict, masks: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Cross-validate on the balanced training section; fit on all of it; score on the testing
+    section; decode.
 
-    cv_metrics (mean over the inner folds), metrics (testing, fold 0), and where the
-    section is given decoding and decoding_summary."""
+    cv_metrics and cv_importance (means over the inner folds), fold_metrics (each of them),
+    metrics and importance (testing, fold 0), where the configuration asks for it
+    permutation_test, and where the section is given decoding and decoding_summary."""
     parts = sections(table, frames, recordings, config, masks)
     model = conditions.model_config(config.get("model"))
     categories = list(config["model_conditions"]["training"]["conditions"])
-    train = sampling.balance(parts.pop("training"))
-    inner_train, inner_test = sampling.split_trials(train, inner_folds(train))
-    inner = fit_predict(inner_train, {"cv": inner_test}, categories, model)["cv"]
-    final = lambda df: df.withColumn("fold", F.lit(0))
-    pred = fit_predict(final(train), {n: final(t) for n, t in parts.items()}, categories, model, maps_to)
-    out = {"cv_metrics": metrics.fold_average(scores(inner, categories), ["subject"]), "metrics": scores(pred["testing"], categories)}
-    return _with_summary(out, pred, categories)
+    train = parts["training"]
+    inner_train, inner_test = sampling.split_trials(balanced := settled(sampling.balance(train)), inner_folds(balanced))
+    inner = Fitted(inner_train, categories, model)
+    each = settled(scores(inner.predict(inner_test), categories))
+    out = {"cv_metrics": metrics.fold_average(each, ["subject"]), "fold_metrics": each, "cv_importance": mean_maps(inner.maps())}
+    whole = lambda df: df.withColumn("fold", F.lit(0))
+    final = Fitted(whole(train), categories, model)  # not balanced: its fit weighs the classes
+    out |= {"metrics": scores(final.predict(whole(parts["testing"])), categories), "importance": final.maps()}
+    if "permutation_test" in model:
+        out["permutation_test"] = significance(train, parts["testing"], categories, model)
+    if "timecourse_decoding" in parts:
+        out |= _decoding(final, whole(parts["timecourse_decoding"]))
+    return out
 
 
-def run_kfold(table: DataFrame, frames: DataFrame, recordings: DataFrame, config: dict, masks: DataFrame | None = None, maps_to: str | None = None) -> dict[str, DataFrame]:
+def _decoding(fitted: Fitted, rows: DataFrame) -> dict[str, DataFrame]:
+    table = fitted.decoded(fitted.predict(rows))
+    return {"decoding": table, "decoding_summary": decoding.summary(table, [f"evidence_{c}" for c in fitted.categories], ["subject", "model_descr"])}
+
+
+def run_kfold(table: DataFrame, frames: DataFrame, recordings: DataFrame, config: dict, masks: DataFrame | None = None) -> dict[str, DataFrame]:
     """Each fold is fitted on the training rows outside its runs (not balanced) and scored
-    and decoded on the rows within them.
+    and decoded on the rows within them. Folds that can't be fitted or scored are skipped;
+    raises where no fold has rows to score.
 
-    folds (with their status), fold_metrics, metrics (mean over folds), and where the section
-    is given decoding and decoding_summary (over the rows of all folds)."""
+    folds (with their status), fold_warnings, manifest, fold_metrics, metrics (mean over folds),
+    importance (by fold), mean_importance (over the scored folds), where the configuration asks
+    for it permutation_test (by fold), and where the section is given decoding and
+    decoding_summary (over the rows of all folds)."""
     parts = sections(table, frames, recordings, config, masks)
     model = conditions.model_config(config.get("model"))
     categories = list(config["model_conditions"]["training"]["conditions"])
     train = parts.pop("training")
-    folds = outer_folds(sampling.fold_universe(*parts.values()), config["model"]["kfold_cv"])
+    folds, warnings = outer_folds(sampling.fold_universe(*parts.values()), model.get("kfold_cv"))
+    folds = settled(folds)
     outside, _ = sampling.split_runs(train, folds)
     within = {n: sampling.split_runs(t, folds)[1] for n, t in parts.items()}
-    pred = fit_predict(outside, within, categories, model, maps_to)
-    each = scores(pred["testing"], categories)
-    status = sampling.fold_status(folds, outside, within["testing"], within.get("timecourse_decoding"))
-    return _with_summary({"folds": status, "fold_metrics": each, "metrics": metrics.fold_average(each, ["subject"])}, pred, categories)
+    # rows without their features are enough to count
+    light = {n: sampling.split_runs(t.drop("features"), folds)[1] for n, t in parts.items()}
+    status = settled(sampling.fold_status(folds, sampling.split_runs(train.drop("features"), folds)[0], light["testing"], light.get("timecourse_decoding")))
+    if status.where("status = 'run' and n_test > 0").isEmpty():
+        raise ValueError("every fold was skipped: none has rows to train on and rows to score")
+    run = status.where("status = 'run'").select(*KEYS)
+    fitted = Fitted(outside.join(run, KEYS, "left_semi"), categories, model)
+    each = settled(scores(fitted.predict(within["testing"]), categories))
+    scored = fitted.maps().join(status.where("n_test > 0").select(*KEYS), KEYS, "left_semi")
+    out = {"folds": status, "fold_warnings": warnings, "manifest": sampling.fold_manifest(folds), "fold_metrics": each, "metrics": metrics.fold_average(each, ["subject"]), "importance": fitted.maps(), "mean_importance": mean_maps(scored)}
+    if "permutation_test" in model:
+        # a fold of a subject is shuffled for itself
+        unit = lambda df: df.join(run, KEYS, "left_semi").withColumn("subject", F.concat_ws("\0", "subject", "fold"))
+        tested = significance(unit(outside), unit(within["testing"]), categories, model)
+        parts_of = F.split("subject", "\0")
+        out["permutation_test"] = tested.withColumn("fold", parts_of[1].cast("int")).withColumn("subject", parts_of[0])
+    if "timecourse_decoding" in within:
+        out |= _decoding(fitted, within["timecourse_decoding"])
+    return out
 
 
 def report_tables(results: dict[str, DataFrame], n_classes: int) -> dict[str, DataFrame]:
     """Tables of a report from what the two functions above return."""
     staged = {s: results[n] for s, n in (("cv", "cv_metrics"), ("test", "metrics")) if n in results}
-    overall = [d.where("metric = 'total_scores'").select(F.lit(s).alias("stage"), "subject", F.col("value").alias("accuracy")) for s, d in staged.items()]
+    total = lambda s, d, *more: d.where("metric = 'total_scores'").select(F.lit(s).alias("stage"), "subject", *more, F.col("value").alias("accuracy"))
     m = results["metrics"]
     areas = m.where("metric = 'auc'").select(F.col("row_label").alias("label"), F.col("value").alias("auc"))
     return {
-        "accuracy": report.accuracy_table(reduce(DataFrame.unionByName, overall), n_classes),
+        "accuracy": report.accuracy_table(reduce(DataFrame.unionByName, [total(s, d) for s, d in staged.items()]), n_classes),
+        "fold_accuracy": report.fold_values(total("cv", results["fold_metrics"], "fold")),
         "auc": report.auc_quartiles(areas),
         "confusion": report.group_matrix(m.where("metric = 'accuracy'")),
         "evidence": report.group_matrix(m.where("metric = 'evidence'")),

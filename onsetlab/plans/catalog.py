@@ -20,6 +20,7 @@ from onsetlab.operators import patterns as P
 from onsetlab.operators import report as R
 from onsetlab.operators import sampling as S
 from onsetlab.operators import volumes as V
+from onsetlab.operators import workflows
 from onsetlab.plans import views as W
 from onsetlab.sources import tables
 
@@ -92,6 +93,29 @@ def recording_lookup(spark, d):
     return matched.select("eventfile", F.lit(1).cast("long").alias("n"), F.lit("matched").alias("reason")).unionByName(others)
 
 
+#: An event file for each recording; one in seven lacks a run, one in eleven a recording, and one in thirteen has two.
+EVENT_FILE = "concat('in/sub-', subject, '/sub-', subject, '_task-', task, case when user_id % 7 = 5 then '' else concat('_run-', cast(user_id as {text})) end, case when user_id % 2 = 0 then concat('_dir-', cast(user_id % 3 as {text})) else '' end, '_events.tsv')"
+
+
+@query(
+    f"""with {W.TRIALS}, {W.RECORDINGS}, n as (select *, {EVENT_FILE.format(text="varchar")} as eventfile from t where user_id % 7 <> 5 and user_id % 11 <> 3 and user_id % 13 <> 5),
+ kept as (select n.*, tr, n_frames from n join r using (boldfile) where not coalesce(lower(trial_type) = 'error' or contains(lower(trial_type), 'sign'), false) and onset is not null and duration is not null),
+ numbered as (select *, row_number() over (partition by eventfile order by onset, event_id) as trial_index, onset + 900.0::double as s0, (onset + 900.0::double) + duration as s1 from kept),
+ ranged as (select *, cast(floor(s0 / tr) as bigint) as s, greatest(1, cast(round_even((s1 - s0) / tr, 0) as bigint)) as c from numbered)
+ select eventfile, event_id, subject, session, task, user_id as run, case when user_id % 2 = 0 then cast(user_id % 3 as varchar) end as dir, cast(trial_index as bigint) as trial_index, unnest(range(s, greatest(least(s + c, n_frames), s))) as volume_of_interest from ranged"""
+)
+def study_volumes(spark, d):
+    """Event rows with their file's name, entities, recording lookup by entities, and volumes, in one plan."""
+    t = spark.read.parquet(f"{d}/events.parquet").select("event_id", "user_id").join(W.trials(spark, d), "event_id")
+    events = t.select(F.expr(EVENT_FILE.format(text="string")).alias("eventfile"), "event_id", "onset", "duration", "trial_type")
+    r = W.recordings(spark, d)
+    subject, task = "lpad(cast(user_id % 5 as string), 2, '0')", "case when user_id % 2 = 0 then 'loc' else 'WM' end"
+    named = r.withColumn("boldfile", F.expr(f"concat('out/sub-', {subject}, '_task-', {task}, '_run-', cast(user_id as string), '_desc-x_bold.nii.gz')"))
+    twice = named.where("user_id % 13 = 5").withColumn("boldfile", F.regexp_replace("boldfile", "desc-x", "desc-y"))
+    volumes, _ = V.study_volumes(events, named.where("user_id % 11 <> 3").unionByName(twice).drop("user_id"), W.LAG, None, W.EXACT, W.PARTS)
+    return volumes.select("eventfile", "event_id", "subject", "session", "task", F.col("run").cast("long").alias("run"), "dir", F.col("trial_index").cast("long").alias("trial_index"), "volume_of_interest")
+
+
 @query(f"with {W.TRIALS}, c as (select event_id, try_cast(case when event_id % 9 = 0 then 'n/a' else cast(round(duration, 3) as varchar) end as double) as duration, onset from t) select event_id, round(duration, 6) as duration from c where duration is not null and isfinite(duration) and onset is not null")
 def coerce_numeric(spark, d):
     t = W.trials(spark, d).withColumn("duration", F.when(F.col("event_id") % 9 == 0, "n/a").otherwise(F.round("duration", 3).cast("string")))
@@ -238,7 +262,8 @@ def _pairs(spark, d):
 
 @query(f"with {RUNS_SQL} select subject, nth, boldfile_a, boldfile_b, tr_a = tr_b as compatible from pairs")
 def pair_runs(spark, d):
-    return _pairs(spark, d).select("subject", F.col("nth").cast("long").alias("nth"), "boldfile_a", "boldfile_b", (F.col("tr_a") == F.col("tr_b")).alias("compatible"))
+    checked = S.pair_problems(_pairs(spark, d))
+    return checked.select("subject", F.col("nth").cast("long").alias("nth"), "boldfile_a", "boldfile_b", F.col("problem").isNull().alias("compatible"))
 
 
 @query(f"with {RUNS_SQL} select event_id, boldfile, round(onset, 6) as onset from t where task = 'loc' union all select event_id, boldfile_a, round(onset + n_frames_a * tr_a, 6) from t join pairs on t.boldfile = pairs.boldfile_b where task = 'WM'")
@@ -318,8 +343,7 @@ def anova_p(spark, d):
 
 @query()
 def threshold_select(spark, d):
-    kept, used = P.select_below(P.anova_p(W.observations(spark, d)), 0.05)
-    return kept.withColumn("threshold_used", F.lit(used))
+    return P.select_below(P.anova_p(W.observations(spark, d)), 0.05)
 
 
 DETREND_SQL = f"{W.FLAT}, l as (select boldfile, voxel, regr_slope(x, volume) as b, regr_intercept(x, volume) as a from f group by all), rest as (select f.*, x - (a + b * volume) as e from f join l on f.boldfile = l.boldfile and f.voxel = l.voxel)"
@@ -392,14 +416,32 @@ def _auc_sql(keys: str) -> str:
  ar as (select {keys}, label, case when a = 0 or z = 0 then 'nan'::double else (r - a * (a + 1) / 2.0) / (a * z) end as auc from au)"""
 
 
-@query(f"with {PRED}, {_auc_sql('subject')} select subject, label, round(auc, 6) as auc from ar where not isnan(auc)")
+@query(f"with {PRED}, {_auc_sql('subject')} select subject, label, isnan(auc) as one_sided, round(case when isnan(auc) then -1 else auc end, 6) as auc from ar")
 def auc(spark, d):
-    return M.auc(_predicted(spark, d), ["subject"]).where(~F.isnan("auc")).withColumn("auc", r6("auc"))
+    a = M.auc(_predicted(spark, d), ["subject"])
+    return a.select("subject", "label", F.isnan("auc").alias("one_sided"), r6(F.when(F.isnan("auc"), -1.0).otherwise(F.col("auc"))).alias("auc"))
 
 
-@query(f"with {PRED}, {_auc_sql('subject')} select subject, round(avg(auc), 6) as macro_auc from ar where not isnan(auc) group by all")
+@query(f"with {PRED}, {_auc_sql('subject')}, ma as (select subject, avg(auc) as a from ar group by all) select subject, isnan(a) as one_sided, round(case when isnan(a) then -1 else a end, 6) as macro_auc from ma")
 def macro_auc(spark, d):
-    return M.macro_auc(M.auc(_predicted(spark, d), ["subject"]).where(~F.isnan("auc")), ["subject"]).withColumn("macro_auc", r6("macro_auc"))
+    m = M.macro_auc(M.auc(_predicted(spark, d), ["subject"]), ["subject"])
+    return m.select("subject", F.isnan("macro_auc").alias("one_sided"), r6(F.when(F.isnan("macro_auc"), -1.0).otherwise(F.col("macro_auc"))).alias("macro_auc"))
+
+
+def _baseline_sql(protocol: str) -> str:
+    """Both metrics of the centroid classifier from p (a row per test row and class, with fold)."""
+    return f"""ba as (select subject, fold, avg(cast(predicted_label = regressor_label as integer)) as value from (select distinct volume, subject, fold, regressor_label, predicted_label from p) group by all),
+ bk as (select subject, fold, cat, cast(cat = regressor_label as integer) as y, rank() over w + (count(*) over (partition by subject, fold, cat, round(score, 12)) - 1) / 2.0 as rank from p window w as (partition by subject, fold, cat order by round(score, 12))),
+ bu as (select subject, fold, cat, sum(y) as a, count(*) - sum(y) as z, sum(rank * y) as r from bk group by all),
+ bv as (select subject, fold, avg(case when a = 0 or z = 0 then 'nan'::double else (r - a * (a + 1) / 2.0) / (a * z) end) as value from bu group by all),
+ both_metrics as (select subject, 'accuracy' as metric, avg(value) as value from ba group by all union all select subject, 'roc_auc_ovr', avg(value) from bv group by all)
+ select subject, 'nearest_centroid' as method, '{protocol}' as protocol, metric, isnan(value) as one_sided, round(case when isnan(value) then -1 else value end, 6) as value from both_metrics"""
+
+
+@query(f"select * from (with {PRED.replace('p as (select *,', 'p as (select *, 0 as fold,', 1)}, {_baseline_sql('matched_split')}) union all select * from (with {W.KFOLD}, {_baseline_sql('leave_one_run_out')})")
+def baseline_comparison(spark, d):
+    out = models.compare_baselines(W.observations(spark, d), W.TEST_RUNS, CATEGORIES, ("nearest_centroid",))
+    return out.select("subject", "method", "protocol", "metric", F.isnan("value").alias("one_sided"), r6(F.when(F.isnan("value"), -1.0).otherwise(F.col("value"))).alias("value"))
 
 
 @query(f"with {PRED} select volume, cat, round(case when cat in ('c0', 'c1') and n2 then null else evidence end, 6) as evidence, round(1 / (1 + exp(-score)), 6) as sigmoid from (select *, false as n2 from p)")
@@ -425,7 +467,7 @@ def importance_average(spark, d):
     return _long(P.array_stats(maps, ["subject", "label"]).select("subject", "label", F.col("mean").alias("features")), "subject", "label")
 
 
-N_PERM = 20
+N_PERM = 1000
 
 
 @query(
@@ -438,12 +480,16 @@ N_PERM = 20
  q as (select volume, voxel, x - avg(x) over (partition by volume) as d from f),
  p as (select l.subject, l.perm, l.volume, l.regressor_label, c.cat, sum(d * c) / sqrt(sum(d * d)) / sqrt(sum(c * c)) as score from l join c on l.subject = c.subject and l.perm = c.perm join q on q.volume = l.volume and q.voxel = c.voxel where l.run > 4 group by all),
  b as (select distinct subject, perm, volume, regressor_label, first_value(cat) over (partition by perm, volume order by score desc, cat) as g from p),
- s as (select subject, perm, avg(cast(g = regressor_label as integer)) as accuracy from b group by all)
- select r.subject, round(r.accuracy, 6) as real, round((1 + count(*) filter (s.accuracy >= r.accuracy)) / (1.0 + count(*)), 6) as p from s join s r on s.subject = r.subject and r.perm = 0 and s.perm > 0 group by r.subject, r.accuracy"""
+ k as (select subject, perm, cat, cast(cat = regressor_label as integer) as y, rank() over w + (count(*) over (partition by subject, perm, cat, round(score, 12)) - 1) / 2.0 as rank from p window w as (partition by subject, perm, cat order by round(score, 12))),
+ u as (select subject, perm, cat, sum(y) as a, count(*) - sum(y) as z, sum(rank * y) as r from k group by all),
+ s as (select subject, perm, 'accuracy' as metric, round(avg(cast(g = regressor_label as integer)), 9) as value from b group by all
+   union all select subject, perm, 'roc_auc_ovr', round(avg(case when a = 0 or z = 0 then 'nan'::double else (r - a * (a + 1) / 2.0) / (a * z) end), 9) from u group by all)
+ select r.subject, r.metric, round(r.value, 6) as real, round((1 + count(*) filter (s.value >= r.value)) / (1.0 + count(*)), 6) as p from s join s r on s.subject = r.subject and s.metric = r.metric and r.perm = 0 and s.perm > 0 where not isnan(r.value) group by all"""
 )
 def permutation_centroid(spark, d):
-    scores = models.permutation_centroid(W.observations(spark, d), W.TEST_RUNS, N_PERM)
-    return models.permutation_p(scores, ["subject"], "accuracy").select("subject", r6("real").alias("real"), r6("p").alias("p"))
+    scores = models.permutation_centroid(W.observations(spark, d), W.TEST_RUNS, N_PERM).withColumn("value", F.round("value", 9))
+    p = models.permutation_p(scores, ["subject", "metric"]).where(~F.isnan("real"))
+    return p.select("subject", "metric", r6("real").alias("real"), r6("p").alias("p"))
 
 
 # ---- fitted models
@@ -453,40 +499,63 @@ PARAMS = {"C": 1.0}
 
 
 def _fitted(spark, d, name):
+    """Chosen features and predictions of one fit for each subject."""
     o = W.observations(spark, d)
     held = F.col("run").isin(W.TEST_RUNS)
-    model = models.fit(o.where(~held), CATEGORIES, name, PARAMS, n_voxels=16)
-    return models.predict(model, o.where(held), CATEGORIES)
+    chosen = P.select_features(o.where(~held), ["subject"], n_voxels=16)
+    fitted = models.fit_coefficients(o.where(~held), chosen, ["subject"], CATEGORIES, name, PARAMS)
+    return chosen, models.predict(o.where(held), chosen, fitted, ["subject"], CATEGORIES)
 
 
 @query()
 def logistic_fit(spark, d):
-    p = M.with_evidence(_fitted(spark, d, "logistic_regression"))
-    return T.decoding_table(p, CATEGORIES, None, None, 16, 64, "logistic_regression").drop("scores", "probability", "evidence")
+    chosen, p = _fitted(spark, d, "logistic_regression")
+    return T.decoding_table(M.with_evidence(p), CATEGORIES, chosen, ["subject"], "logistic_regression").drop("scores", "evidence")
 
 
 @query()
 def linear_svc_fit(spark, d):
-    return M.accuracy(_fitted(spark, d, "linear_svc"), ["subject"])
-
-
-def _run_folds(o: DataFrame) -> list[tuple[str, int, list[int]]]:
-    """(subject, fold, held-out runs) of every run of every subject."""
-    held = S.fold_manifest(S.per_run(S.fold_universe(o))).orderBy("subject", "fold")
-    return [(r["subject"], r["fold"], r["runs"]) for r in held.collect()]  # as many rows as runs
+    return M.accuracy(_fitted(spark, d, "linear_svc")[1], ["subject"])
 
 
 @query()
 def kfold_logistic(spark, d):
+    """Every run of every subject is left out once."""
     o = W.observations(spark, d)
-    folds = _run_folds(o)
-    return M.accuracy(models.kfold(o, folds, CATEGORIES, name="logistic_regression", params=PARAMS, n_voxels=16), ["subject", "fold"])
+    folds = S.per_run(S.fold_universe(o))
+    train, test = S.split_runs(o, folds)
+    keys = ["subject", "fold"]
+    chosen = P.select_features(train, keys, n_voxels=16)
+    fitted = models.fit_coefficients(train, chosen, keys, CATEGORIES, "logistic_regression", PARAMS)
+    return M.accuracy(models.predict(test, chosen, fitted, keys, CATEGORIES), keys)
+
+
+#: Each is a fit of its own, so these are few.
+N_FITTED_PERM = 20
 
 
 @query()
 def permutation_logistic(spark, d):
-    scores = models.permutation_logistic(W.observations(spark, d), W.TEST_RUNS, 20)
-    return models.permutation_p(scores, ["subject"], "accuracy")
+    scores = models.permutation_fitted(W.observations(spark, d), W.TEST_RUNS, N_FITTED_PERM, CATEGORIES, "logistic_regression", PARAMS, n_voxels=16)
+    return models.permutation_p(scores, ["subject", "metric"])
+
+
+def _workflow_tables(spark, d):
+    """The observations as volumes, frames and recordings, and a configuration over them."""
+    o = W.observations(spark, d)
+    table = o.select("subject", "run", "trial_index", "boldfile", F.col("regressor_label").alias("trial_type"), F.col("volume").cast("double").alias("onset"), F.lit(1.0).alias("duration"), F.col("volume").alias("volume_of_interest"))
+    recordings = o.groupBy("boldfile").agg((F.max("volume") + 1).alias("n_frames")).withColumn("tr", F.lit(1.0))
+    leaf = lambda c, runs: {"and": [{"column": "trial_type", "match": "exact", "value": c}, {"column": "run", "match": "in", "values": runs}]}
+    part = lambda runs: {"conditions": {c: leaf(c, runs) for c in CATEGORIES}}
+    config = {"model_conditions": {"training": part(list("1234")), "testing": part(list("56"))}, "model": {"featureSelection": {"n_voxels": 16}}}
+    return table, o.select("boldfile", "volume", "features"), recordings, config
+
+
+@query()
+def generalization_workflow(spark, d):
+    """The whole stage: cross-validation, final fit and scores of every subject."""
+    out = workflows.run_generalization(*_workflow_tables(spark, d))
+    return out["cv_metrics"].withColumn("stage", F.lit("cv")).unionByName(out["metrics"].drop("fold").withColumn("stage", F.lit("test")))
 
 
 # ---- time courses

@@ -1,5 +1,9 @@
+import hashlib
+
 import numpy as np
 import pytest
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from onsetlab.operators import decoding as T
@@ -37,10 +41,33 @@ def test_selection(planted):
     best = {r.voxel for r in P.select_best(P.anova(planted), 3).collect()}
     assert best == {0, 1, 2}
     p = P.anova_p(planted).cache()
-    closed = {r.voxel: r.f for r in P.anova(planted).collect()}
-    assert all(abs(closed[r.voxel] - r.f) < 1e-9 * abs(r.f) for r in p.collect())
-    kept, used = P.select_below(p, 1e-9, least=5)
-    assert kept.count() >= 5 and used > 1e-9
+    # against the engine's own test, which knows one group only
+    jvm = planted.sparkSession._jvm.org.apache.spark.ml.stat.ANOVATest
+    given = planted.select((F.ascii("regressor_label") - 97).cast("double").alias("label"), array_to_vector("features").alias("features"))
+    want = {r.featureIndex: (r.pValue, r.fValue) for r in DataFrame(jvm.test(given._jdf, "features", "label", True), planted.sparkSession).collect()}
+    assert all(r.p == pytest.approx(want[r.voxel][0], rel=1e-9, abs=1e-15) and r.f == pytest.approx(want[r.voxel][1]) for r in p.collect())
+    kept = P.select_below(p, 1e-9, least=5).collect()
+    used = 1e-9
+    while sum(r.p < used for r in p.collect()) < 5:
+        used *= 1.1
+    assert len(kept) >= 5 and all(r.threshold_used == pytest.approx(used) for r in kept)
+    assert P.select_below(p, 0.999, least=50).count() == p.where("p < 1.0989").count()  # widened past 1 once
+    assert P.select_below(p, 1.0).count() == p.where("p < 1").count()
+
+
+def test_selection_is_by_subject(planted):
+    """A second subject whose classes are told by other features; and a constant feature."""
+    moved = planted.withColumn("subject", F.lit("t")).withColumn("features", F.concat(F.slice("features", 4, 9), F.slice("features", 1, 3)))
+    both = planted.unionByName(moved).withColumn("features", F.transform("features", lambda x, i: F.when(i == 4, 1.0).otherwise(x)))
+    p = P.anova_p(both).cache()
+    alone = {(r.subject, r.voxel): r.p for r in P.anova_p(both.where("subject = 't'")).collect()}
+    assert {(r.subject, r.voxel): r.p for r in p.where("subject = 't'").collect()} == pytest.approx(alone)
+    assert {r.p for r in p.where("voxel = 4").collect()} == {1.0}
+    chosen = {r.subject: r for r in P.select_features(both, ["subject"], n_voxels=3).collect()}
+    assert chosen["s"].voxel_idx == [0, 1, 2] and chosen["t"].voxel_idx == [9, 10, 11] and np.isnan(chosen["s"].threshold_p)
+    below = {r.subject: r for r in P.select_features(both, ["subject"], feat_p=1e-30).collect()}
+    assert all(r.selected_voxels >= 5 and r.threshold_used > r.threshold_p == 1e-30 and r.whole_voxels == 12 and 4 not in r.voxel_idx for r in below.values())
+    assert P.select_features(both, ["subject"]).first().selected_voxels == 12
 
 
 def test_masks(spark, planted):
@@ -53,10 +80,27 @@ def test_masks(spark, planted):
 
 def test_classifiers(planted):
     train, test = planted.where("run < 3"), planted.where("run = 3")
+    chosen = P.select_features(train, ["subject"], n_voxels=3).cache()
     for name in ("logistic_regression", "linear_svc"):
-        model = models.fit(train, NAMES, name, {"max_iter": 50}, n_voxels=3)
-        assert M.accuracy(models.predict(model, test, NAMES), ["subject"]).first().accuracy > 0.9
-        assert np.count_nonzero([*models.importance(model, NAMES, 12).values()]) <= 9
+        fitted = models.fit_coefficients(train, chosen, ["subject"], [*NAMES, "untrained"], name, {"max_iter": 50})
+        p = models.predict(test, chosen, fitted, ["subject"], [*NAMES, "untrained"])
+        assert M.accuracy(p, ["subject"]).first().accuracy > 0.9
+        assert [x.label for x in p.first().scores] == NAMES
+        maps = {r.label: r.weights for r in models.importance(fitted, chosen, ["subject"]).collect()}
+        assert set(maps) == set(NAMES) and all(len(w) == 12 and np.count_nonzero(w) <= 3 for w in maps.values())
+    two = train.where("regressor_label <> 'c'")
+    fitted = models.fit_coefficients(two, chosen, ["subject"], NAMES)
+    p = models.predict(test.where("regressor_label <> 'c'"), chosen, fitted, ["subject"], NAMES)
+    assert M.accuracy(p, ["subject"]).first().accuracy > 0.9
+    maps = {r.label: np.array(r.weights) for r in models.importance(fitted, chosen, ["subject"]).collect()}
+    assert np.allclose(maps["a"], -maps["b"]) and maps["a"][1] > 0 > maps["a"][0]  # the first row points to the second class
+    # the optimum of the stated objective: its gradient is near 0
+    x, y = np.array([r.features[:3] for r in two.orderBy("volume").collect()]), np.array([r.regressor_label == "b" for r in two.orderBy("volume").collect()], float)
+    c = next(r for r in fitted.collect() if r.label == "b")
+    # one value for two classes; both weigh the same as they have as many rows
+    left = 1 / (1 + np.exp(-(x @ np.array(c.weights) + c.intercept))) - y
+    assert np.abs(x.T @ left / len(x) + np.array(c.weights) / len(x)).max() < 1e-3 and abs(left.mean()) < 1e-3
+    assert models.fit_coefficients(train.where("regressor_label = 'a'"), chosen, ["subject"], NAMES).count() == 0
     with pytest.raises(ValueError):
         models.classifier("other", {}, 1)
     p = M.with_evidence(models.centroid_predict(train, test)).cache()
@@ -64,14 +108,45 @@ def test_classifiers(planted):
     assert sum(r.value for r in M.confusion(p, ["subject"]).collect()) == pytest.approx(3)
     assert M.macro_auc(M.auc(p, ["subject"]), ["subject"]).first().macro_auc > 0.9
     assert {r.metric for r in M.tidy(p, ["subject"]).collect()} == {"total_scores", "accuracy", "evidence", "auc"}
-    table = T.decoding_table(p, [*NAMES, "untrained"], 0.05, 0.05, 3, 12, "m")
+    table = T.decoding_table(p, [*NAMES, "untrained"], chosen, ["subject"], "m")
     assert table.where("evidence_untrained is not null").count() == 0
-
-
-def test_permutations(planted):
-    scores = models.permutation_centroid(planted, [3], 9).cache()
-    assert models.permutation_p(scores, ["subject"], "accuracy").first().p == pytest.approx(0.1)
-    assert models.permutation_p(models.permutation_logistic(planted, [3], 9), ["subject"], "accuracy").first().p == pytest.approx(0.1)
+    r = table.first()
+    assert (r.selected_voxels, r.whole_voxels, r.feature_percent, r.model_descr) == (3, 12, 25.0, "m") and np.isnan(r.threshold_p)
+
+
+def test_permutations(planted, monkeypatch):
+    want = _brute_permutations(planted, 9)
+    for size in (64_000_000, 3 * 8 * 12 * 4):  # one chunk of permutations, and chunks of four
+        monkeypatch.setattr(models, "CHUNK_BYTES", size)
+        monkeypatch.setattr(models, "TRAIN_ROWS", 7)
+        monkeypatch.setattr(models, "TEST_ROWS", 5)
+        scores = models.permutation_centroid(planted, [3], 9).cache()
+        assert {(r.perm, r.metric): r.value for r in scores.collect()} == pytest.approx(want)
+    p = {r.metric: (r.p, r.n) for r in models.permutation_p(scores, ["subject", "metric"]).collect()}
+    assert p == {"accuracy": (pytest.approx(0.1), 9), "roc_auc_ovr": (pytest.approx(0.1), 9)}
+    fitted = models.permutation_fitted(planted, F.col("run") == 3, 4, NAMES, feat_p=0.05, params={"max_iter": 20})
+    assert {r.metric: r.p for r in models.permutation_p(fitted, ["subject", "metric"]).collect()} == {"accuracy": pytest.approx(0.2), "roc_auc_ovr": pytest.approx(0.2)}
+
+
+def _brute_permutations(planted, n):
+    rows = sorted(planted.collect(), key=lambda r: r.volume)
+    x, held = np.array([r.features for r in rows]), np.array([r.run == 3 for r in rows])
+    out = {}
+    for perm in range(n + 1):
+        order = sorted(range(len(rows)), key=lambda k: ("" if perm == 0 else hashlib.md5(f"0|{perm}|{rows[k].volume}".encode()).hexdigest(), rows[k].volume))
+        y = np.array([rows[k].regressor_label for k in order])
+        means = np.array([x[~held & (y == c)].mean(axis=0) for c in NAMES])
+        r = np.corrcoef(x[held], means)[: held.sum(), held.sum() :]
+        out[perm, "accuracy"] = np.mean([NAMES[k] == t for k, t in zip(r.argmax(axis=1), y[held])])
+        areas = [np.mean([(p > q) + (p == q) / 2 for p in r[y[held] == c, k] for q in r[y[held] != c, k]]) for k, c in enumerate(NAMES)]
+        out[perm, "roc_auc_ovr"] = np.mean(areas)
+    return out
+
+
+def test_baselines(planted):
+    got = {(r.method, r.protocol, r.metric): r.value for r in models.compare_baselines(planted, [3], NAMES, params={"max_iter": 20}).collect()}
+    assert set(got) == {(m, p, k) for m in ("nearest_centroid", "linear_svc") for p in ("matched_split", "leave_one_run_out") for k in ("accuracy", "roc_auc_ovr")}
+    assert min(got.values()) > 0.85
 
 
 def test_auc_with_ties_and_one_side(spark):

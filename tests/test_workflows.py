@@ -43,20 +43,66 @@ def test_generalization(study):
     tables = W.report_tables(got, 3)
     acc = {(r.stage, r.subject) for r in tables["accuracy"].collect()}
     assert acc == {(a, b) for a in ("cv", "test") for b in ("01", "02", "group")}
-    assert tables["confusion"].count() == 9
+    assert tables["confusion"].count() == 9 and tables["fold_accuracy"].count() == 6
+    assert got["cv_importance"].count() == got["importance"].count() == 6 and "permutation_test" not in got
 
 
-def test_kfold(study, spark, tmp_path):
+def test_permutation_test_in_the_workflow(study):
+    got = W.run_generalization(*study, config(permutation_test={"n_permutations": 9}))["permutation_test"].collect()
+    assert sorted((r.subject, r.metric, r.n) for r in got) == [(s, m, 9) for s in ("01", "02") for m in ("accuracy", "roc_auc_ovr")] and {r.p for r in got} == {0.1}
+    got = W.run_kfold(*study, config(kfold_cv={"strategy": "explicit_groups", "held_out_runs": [[1]]}, permutation_test={"n_permutations": 4}))["permutation_test"].collect()
+    assert sorted((r.subject, r.fold, r.metric) for r in got) == [(s, 1, m) for s in ("01", "02") for m in ("accuracy", "roc_auc_ovr")]
+
+
+def test_final_fit_is_on_all_rows(study):
+    """Classes of unequal size: the folds are balanced, the last fit is not."""
+    table, frames, recordings = study
+    fewer = table.where("trial_type <> 'a' or trial_index > 9")
+    seen = {}
+
+    class Watched(W.Fitted):
+        def __init__(self, train, categories, model):
+            super().__init__(train, categories, model)
+            seen[len(seen)] = {(r.subject, r.fold, r.regressor_label): r["count"] for r in train.groupBy("subject", "fold", "regressor_label").count().collect()}
+
+    W.Fitted, kept = Watched, W.Fitted
+    try:
+        W.run_generalization(fewer, frames, recordings, config())
+    finally:
+        W.Fitted = kept
+    assert {k[2]: n for k, n in seen[1].items() if k[:2] == ("01", 0)} == {"a": 6, "b": 24, "c": 24}
+    per_class = {}
+    for (s, _, label), n in seen[0].items():
+        per_class.setdefault((s, label), []).append(n)
+    assert all(sum(per_class["01", x]) == sum(per_class["01", "a"]) for x in NAMES)
+
+
+def test_kfold(study):
     table, frames, recordings = study
     got = W.run_kfold(table, frames, recordings, config(kfold_cv={"strategy": "per_run"}))
     assert [r.status for r in got["folds"].collect()] == ["run"] * 6
     assert min(overall(got["metrics"]).values()) > 0.85
     one = table.where("subject = '01'")
-    lr = config(kfold_cv={"strategy": "explicit_groups", "held_out_runs": [[1]]}, classifier={"name": "logistic_regression", "params": {"C": 1.0, "max_iter": 20}}, featureSelection={"n_voxels": 3})
-    got = W.run_kfold(one, frames, recordings, lr, maps_to=str(tmp_path / "maps"))
+    assert got["manifest"].count() == 6 and got["fold_warnings"].count() == 0 and got["mean_importance"].count() == 6
+    lr = config(kfold_cv={"strategy": "explicit_groups", "held_out_runs": [[1], [9]]}, classifier={"name": "logistic_regression", "params": {"C": 1.0, "max_iter": 20}}, featureSelection={"feat_p": 1e-9})
+    got = W.run_kfold(one, frames, recordings, lr)
     assert overall(got["metrics"])["01"] > 0.85
-    weights = {r.label: r.weights for r in spark.read.parquet(str(tmp_path / "maps")).collect()}
-    assert set(weights) == set(NAMES) and all(np.argmax(w) == NAMES.index(n) and w[5] == 0 for n, w in weights.items())
+    assert {r.problem for r in got["fold_warnings"].collect()} == {"uncovered", "unknown"}
+    weights = {r.label: r.weights for r in got["mean_importance"].collect()}
+    assert set(weights) == set(NAMES) and all(np.argmax(w) == NAMES.index(n) for n, w in weights.items())
+    r = got["decoding"].first()
+    assert r.threshold_p == 1e-9 and r.threshold_used >= 1e-9 and r.selected_voxels >= 3 and r.whole_voxels == 6 and r.feature_percent == pytest.approx(100 * r.selected_voxels / 6)
+    assert got["decoding_summary"].first().selected_voxels == r.selected_voxels
+
+
+def test_skipped_folds(study):
+    table, frames, recordings = study
+    cv = {"strategy": "explicit_groups", "held_out_runs": [[1, 2, 3], [2]]}
+    got = W.run_kfold(table, frames, recordings, config(kfold_cv=cv))
+    assert {(r.fold, r.status) for r in got["folds"].collect()} == {(1, "no training rows"), (2, "run")}
+    assert {r.fold for r in got["fold_metrics"].collect()} == {2}
+    with pytest.raises(ValueError, match="every fold was skipped"):
+        W.run_kfold(table, frames, recordings, config(kfold_cv={"strategy": "explicit_groups", "held_out_runs": [[1, 2, 3]]}))
 
 
 def test_wrong_configuration(study):
@@ -64,5 +110,7 @@ def test_wrong_configuration(study):
     del bad["model_conditions"]["testing"]
     with pytest.raises(ValueError, match="testing: missing"):
         W.run_generalization(*study, bad)
+    with pytest.raises(ValueError, match="kfold_cv is missing"):
+        W.run_kfold(*study, config())
     with pytest.raises(ValueError, match="unknown strategy"):
         W.run_kfold(*study, config(kfold_cv={"strategy": "other"}))
