@@ -9,8 +9,11 @@ with the smallest id as its representative. Of the classes:
   link with that one;
 * heavy (large sets): inverted lists, scanned only for as many of a set's rarest elements
   as a partner must share at least one of. Lists are merged by a member they have in
-  common, and within a merged list all pairs of fitting size are counted by scanning the
-  inverted lists of their elements, in blocks of bounded size.
+  common, and within a merged list pairs of fitting size are counted by scanning the
+  inverted lists of their elements, in blocks of bounded size: first each block with itself
+  and the next one, which joins the copies of one text however many they are, by as many
+  block pairs as there are blocks; then, of lists with more blocks, only the members that
+  are not yet in their list's main component against all others.
 
 The boundary between the two is the size at which enumerating costs more than scanning,
 by the histogram of set sizes. Rarity comes from a fixed-size table of shingle counts over
@@ -21,7 +24,8 @@ rarity and a table of wanted ids (1 MB each).
 
 Defined cases: documents without words, or with null text, have size 0 and link with
 nothing; fewer than three words are one shingle; a null id has a null component and
-links with nothing; repeated rows give a row each; an id repeated with other text is
+links with nothing; a very long text is one set, hashed at once; repeated rows give a row
+each; an id repeated with other text is
 one node; an empty table gives no rows; further columns are ignored.
 """
 
@@ -51,6 +55,8 @@ MOST_LIGHT = 29
 SCAN_COST = 8
 #: A block of a merged list has at most so many sets, and about so many elements.
 BLOCK_SETS, BLOCK_ELEMENTS = 512, 400_000
+#: Blocks are numbered in steps of so many parts; those of a hub's main component come after MAIN.
+PARTS, MAIN = 1 << 20, 1 << 60
 MEMO_ROWS = 300_000
 #: Bits of the table that chooses whose texts are sent.
 ID_BITS = 1 << 23
@@ -205,28 +211,62 @@ def merged_lists(classes: DataFrame, most: int, top: int, bottom: int) -> DataFr
     heavy = classes.where(F.col("n") > most)
     prefix = (F.col("n") - F.ceil(F.lit(top) * F.col("n") / bottom) + 1).cast("int")
     postings = heavy.select("rep", "n", F.explode(F.slice("first", F.lit(1), prefix)).alias("element"))
-    by = Window.partitionBy("element")
-    near = by.orderBy("n", "rep")
-    fits = (bottom * F.lag("n").over(near) >= top * F.col("n")) | (bottom * F.col("n") >= top * F.lead("n").over(near))
-    postings = postings.withColumn("fits", F.coalesce(fits, F.lit(False))).where("fits")
-    hub = F.min(F.struct(F.xxhash64("rep").alias("h"), F.col("rep").alias("r"))).over(by)["r"]
-    return postings.withColumn("hub", hub).select("hub", "rep", "n").distinct()
-
-
-def blocks(lists: DataFrame, top: int, bottom: int) -> DataFrame:
-    """(hub, i, j, rep, side): sets by block pair; pairs of blocks whose sizes can't fit are left out."""
-    order = Window.partitionBy("hub").orderBy("n", "rep")
-    running = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    block = F.floor((F.row_number().over(order) - 1) / BLOCK_SETS) + F.floor(running / BLOCK_ELEMENTS)
-    members = lists.withColumn("block", block.cast("int"))
+    # sizes that may link are in one level or in neighbouring ones
+    level = F.floor(F.log(F.col("n").cast("double")) / (1.0001 * math.log(bottom / top))).cast("int")
+    about = postings.groupBy("element").agg(F.count("*").alias("k"), F.min(F.struct(F.xxhash64("rep").alias("h"), F.col("rep").alias("r"))).alias("hub"), F.collect_set(level).alias("levels")).where("k > 1")
+    fits = (F.col("k") > F.size("levels")) | F.array_contains("levels", level - 1) | F.array_contains("levels", level + 1)
+    return postings.join(about, "element").where(fits).select(F.col("hub.r").alias("hub"), "rep", "n").distinct()
+
+
+def in_blocks(lists: DataFrame) -> DataFrame:
+    """(hub, rep, n, block): members in blocks of about BLOCK_SETS, in order of size. Blocks are
+    numbered from the counts by hub and size; sets of one size that fill more than a block
+    are dealt by hash, so no task sorts a hub."""
+    sizes = lists.groupBy("hub", "n").agg(F.count("*").alias("c"))
+    before = Window.partitionBy("hub").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    base = F.floor(earlier(F.col("c")) / BLOCK_SETS) + F.floor(earlier(F.col("c") * F.col("n")) / BLOCK_ELEMENTS)
+    parts = F.greatest(F.ceil(F.col("c") / BLOCK_SETS), F.ceil(F.col("c") * F.col("n") / BLOCK_ELEMENTS))
+    placed = sizes.select("hub", "n", (base * PARTS).alias("base"), parts.alias("parts"))
+    return lists.join(placed, ["hub", "n"]).select("hub", "rep", "n", (F.col("base") + F.pmod(F.xxhash64("rep"), F.col("parts"))).alias("block"))
+
+
+def block_pairs(members: DataFrame, top: int, bottom: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (hub, i, j) of blocks whose sizes may fit: each with itself and the next one, and
+    the others, whose number grows with the square of a hub's blocks."""
     span = members.groupBy("hub", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("k"))
-    a = span.select("hub", F.col("block").alias("i"), F.col("high").alias("below"), F.col("k").alias("ki"))
-    b = span.select("hub", F.col("block").alias("j"), F.col("low").alias("above"), F.col("k").alias("kj"))
-    pairs = a.join(b, "hub").where((F.col("i") < F.col("j")) & (bottom * F.col("below") >= top * F.col("above")) | (F.col("i") == F.col("j")) & (F.col("ki") > 1))
+    span = span.withColumn("next", F.lead("block").over(Window.partitionBy("hub").orderBy("block")))
+    near = span.select("hub", F.col("block").alias("i"), F.explode(F.array_compact(F.array(F.when(F.col("k") > 1, F.col("block")), "next"))).alias("j"))
+    a = span.select("hub", F.col("block").alias("i"), F.col("high").alias("below"), "next").where("next is not null")
+    b = span.select("hub", F.col("block").alias("j"), F.col("low").alias("above"))
+    far = a.join(b, "hub").where((F.col("j") > F.col("next")) & (bottom * F.col("below") >= top * F.col("above")))
+    return near, far.select("hub", "i", "j")
+
+
+def deal(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(hub, i, j, rep, is_i): members by block pair."""
     sides = pairs.select("hub", "i", "j", F.explode(F.when(F.col("i") == F.col("j"), F.array("i")).otherwise(F.array("i", "j"))).alias("block"))
     return members.join(sides, ["hub", "block"]).select("hub", "i", "j", "rep", (F.col("block") == F.col("i")).alias("is_i"))
 
 
+def apart(members: DataFrame, far: DataFrame, reached: DataFrame, top: int, bottom: int) -> DataFrame:
+    """As deal(), for what the far pairs can still add: of hubs that have such pairs, members
+    that are not yet in the component that most of their hub's members are in, against all."""
+    own = members.join(far.select("hub").distinct(), "hub", "left_semi").join(reached, members["rep"] == reached["node"], "left")
+    own = own.select("hub", "rep", "n", F.coalesce("component", "rep").alias("component"))
+    counts = own.groupBy("hub", "component").agg(F.count("*").alias("c"))
+    main = counts.groupBy("hub").agg(F.max_by("component", F.struct("c", "component")).alias("main"))
+    told = own.join(main, "hub")
+    others = in_blocks(told.where("component <> main").select("hub", "rep", "n"))
+    rest = in_blocks(told.where("component = main").select("hub", "rep", "n")).withColumn("block", F.col("block") + MAIN)
+    spans = lambda m: m.groupBy("hub", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("k"))
+    a = spans(others).select("hub", F.col("block").alias("i"), F.col("low").alias("low_i"), F.col("high").alias("high_i"), F.col("k").alias("k_i"))
+    b = spans(others).unionByName(spans(rest)).withColumnRenamed("block", "j")
+    fits = (bottom * F.col("high_i") >= top * F.col("low")) & (bottom * F.col("high") >= top * F.col("low_i"))
+    pairs = a.join(b, "hub").where(fits & ((F.col("i") < F.col("j")) | (F.col("i") == F.col("j")) & (F.col("k_i") > 1))).select("hub", "i", "j")
+    return deal(others.unionByName(rest), pairs)
+
+
 def overlaps(a: list[np.ndarray], b: list[np.ndarray] | None) -> np.ndarray:
     """Shared elements of each pair of sets, by scanning the inverted lists of the elements
     that occur in more than one set, some thousands at a time. b: None for pairs within a."""
@@ -330,7 +370,7 @@ def possible(dealt: DataFrame, classes: DataFrame, most: int, top: int, bottom:
         return [(*key, reps[k], is_i[k]) for k in sorted(rows)]
 
     key = ["hub", "i", "j"]
-    return runs(dealt.join(heavy, "rep"), key, ["rep", "is_i", "n", "first"], "hub long, i int, j int, rep long, is_i boolean", prune)
+    return runs(dealt.join(heavy, "rep"), key, ["rep", "is_i", "n", "first"], "hub long, i long, j long, rep long, is_i boolean", prune)
 
 
 def packed_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -393,19 +433,24 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, top: int = TOP, bott
     histogram = {r["n"]: r["count"] for r in found.where(F.col("n") <= MOST_LIGHT * bottom // top).groupBy("n").count().collect()}
     most = boundary(histogram, top, bottom)
     lists = cut(merged_lists(classes, most, top, bottom))
-    dealt = cut(possible(blocks(lists, top, bottom), classes, most, top, bottom))
-    links = light_links(classes, most, top, bottom).unionByName(heavy_links(docs, dealt, words, top, bottom))
-    reached = components(links)
+    members = cut(in_blocks(lists))
+    near, far = block_pairs(members, top, bottom)
+    find = lambda dealt: heavy_links(docs, cut(possible(dealt, classes, most, top, bottom)), words, top, bottom)
+    reached = components(light_links(classes, most, top, bottom).unionByName(find(deal(members, near))))
+    if not (far := cut(far)).isEmpty():
+        more = find(cut(apart(members, far, reached, top, bottom)))
+        reached = components(reached.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     named = member.join(reached, member["rep"] == reached["node"], "left").select("doc_id", "n", "s1", "s2", "rep", F.coalesce("component", "rep").alias("component"))
     rows = signed.select("doc_id", "n", "s1", "s2").join(named, ["doc_id", *key], "left")
     return rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("rep", "doc_id").alias("class_id"))
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """Rows of docs whose id is their component's smallest (each row once, if an id repeats
-    with one text); rows with a null id stay."""
+    """Rows of docs whose id is their component's smallest; rows with a null id stay. An id
+    repeated with one text is one row, with other texts one row of each text; if any of these
+    texts links to a smaller id, none of them stays."""
     kept = jaccard_components(docs, **how).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    with_id = docs.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
+    with_id = docs.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id", "text"])
     return with_id.join(kept, with_id["doc_id"] == kept["__kept"], "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
 
 

@@ -279,15 +279,16 @@ def fit(docs: DataFrame, vocabulary: str, rounds: int = ROUNDS) -> tuple[list[st
 
 
 class Scorer:
-    """Scores texts; log probabilities of words are remembered in a bounded table. The last
-    column of a total is that of the start, which knows the vocabulary's order only."""
+    """Scores texts; log probabilities of words are remembered in a bounded table. With
+    ``start`` a total has one more column, that of the start, which knows the vocabulary's
+    order only."""
 
-    def __init__(self, langs: list[str], p: np.ndarray, vocabulary: str, memo_rows: int = MEMO_ROWS):
+    def __init__(self, langs: list[str], p: np.ndarray, vocabulary: str, start: bool = False, memo_rows: int = MEMO_ROWS):
         pieces = pieces_of(vocabulary)
         self.langs, self.index, self.memo_rows = langs, pieces.index, memo_rows
-        self.padded = _padded(np.column_stack([p, pieces.start])) if langs else None
+        self.padded = _padded(np.column_stack([p, pieces.start]) if start else p) if langs else None
         self.row: dict[str, int] = {}
-        self.table = np.zeros((memo_rows, len(langs) + 1))
+        self.table = np.zeros((memo_rows, len(langs) + start))
 
     def _learn(self, new: list[str]) -> None:
         if len(self.row) + len(new) > self.memo_rows:
@@ -316,7 +317,7 @@ class Scorer:
                 total = self.table[np.fromiter(map(row.__getitem__, ws), np.int64, len(ws))].sum(axis=0)
             except KeyError:  # forgotten meanwhile
                 counts = Counter(ws)
-                total = np.zeros(len(self.langs) + 1)
+                total = np.zeros(self.table.shape[1])
                 some_words = list(counts)
                 for at in range(0, len(some_words), 20_000):
                     part = some_words[at : at + 20_000]
@@ -324,23 +325,23 @@ class Scorer:
             yield len(ws), total
 
     def judge(self, some: list[str | None]) -> list[tuple[str, float, float]]:
-        """Language, posterior, and by how much a word is more probable in that language than
-        by the start (a mean of logarithms) of each text."""
+        """Language, posterior, and (0 without the start) by how much a word is more probable in
+        that language than by the start, as a mean of logarithms, of each text."""
         out = []
         for n, total in self.totals(some):
             if total is None:
                 out.append((UNDETERMINED, 0.0, 0.0))
                 continue
-            own = total[:-1]
+            own, start = total[: len(self.langs)], total[len(self.langs) :]
             best = int(np.argmax(own))
-            out.append((self.langs[best], float(1.0 / np.exp(own - own[best]).sum()), float(own[best] - total[-1]) / n))
+            out.append((self.langs[best], float(1.0 / np.exp(own - own[best]).sum()), float(own[best] - start[0]) / n if len(start) else 0.0))
         return out
 
 
-def _scorer(key: str, model, vocabulary: str) -> Scorer:
+def _scorer(key: str, model, vocabulary: str, start: bool = False) -> Scorer:
     kept = worker_tables("language ID")
     if kept.get("scorer of") != key:
-        kept["scorer of"], kept["scorer"] = key, Scorer(*model, vocabulary)
+        kept["scorer of"], kept["scorer"] = key, Scorer(*model, vocabulary, start)
     return kept["scorer"]
 
 
@@ -374,7 +375,7 @@ def language_filter(docs: DataFrame, vocabulary: str, least: float = 0.5, famili
     given, key = docs.sparkSession.sparkContext.broadcast(fit(docs, vocabulary)), uuid.uuid4().hex
 
     def make():
-        s = _scorer(key, given.value, vocabulary)
+        s = _scorer(key, given.value, vocabulary, True)
         return lambda texts: [lang if lang != UNDETERMINED and p >= least and more >= familiar else None for lang, p, more in s.judge(texts)]
 
     # the row travels as one struct, so no column of docs can clash with the language found

@@ -66,6 +66,30 @@ def test_jaccard_edges(spark):
     assert jaccard.jaccard_components(docs.limit(0)).count() == 0
 
 
+def test_far_blocks(spark, monkeypatch):
+    """A hub of many blocks: chains of edits, and members that only link across far blocks."""
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 3)
+    rng = random.Random(11)
+    base = [f"w{k}" for k in range(60)]
+    texts = []
+    for k in range(60):
+        x = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 4])):
+            x[rng.randrange(30, 60)] = f"e{k}_{rng.randrange(5)}"
+        texts.append(" ".join(x[: rng.choice([58, 59, 60])]))
+    texts = [(k, t) for k, t in enumerate(texts)] + [(100, " ".join(["odd", *base[:28], *(f"z{k}" for k in range(31))])), (101, " ".join(["odd", *base[:28], *(f"z{k}" for k in range(31))]) + " end")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    for words, top, bottom in ((3, 9, 10), (5, 4, 5)):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs, words, top, bottom).collect()}
+        assert got == _brute(texts, words, top, bottom)
+
+
+def test_one_of_each_keeps_other_texts(spark):
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (1, "u v w x y z"), (2, "A b c d e f"), (None, "a b c d e f"), (None, "a b c d e f")]
+    kept = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), words=5, top=4, bottom=5).collect()
+    assert sorted((r.doc_id or -1, r.text) for r in kept) == [(-1, "a b c d e f")] * 2 + [(1, "a b c d e f"), (1, "u v w x y z")]
+
+
 def test_boundary_follows_cost():
     assert jaccard.boundary({12: 5, 60: 9}) >= 12
     assert jaccard.boundary({28: 1000}) < 26
