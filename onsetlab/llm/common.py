@@ -123,7 +123,8 @@ def worker_cached(owner: str):
 def text_udf(make: Callable[[], Callable[[list], pa.Array | list]], returns: str):
     """An Arrow UDF of one column. ``make()`` runs once in each task and returns ``f(values)``,
     which gets at most ``SLICE_ROWS`` values as a list, so that long texts are never Python
-    objects by the batch, and returns as many results."""
+    objects by the batch, and returns as many results. Spark takes it for a function that may
+    differ from call to call, so that a filter on its result doesn't make it run twice."""
 
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         f, kind = make(), _arrow_type(returns)
@@ -134,7 +135,7 @@ def text_udf(make: Callable[[], Callable[[list], pa.Array | list]], returns: str
                 parts.append(part if isinstance(part, pa.Array) else pa.array(part, kind))
             yield pa.concat_arrays(parts)
 
-    return F.arrow_udf(run, returns)
+    return F.arrow_udf(run, returns).asNondeterministic()
 
 
 def _arrow_type(kind: str) -> pa.DataType:
