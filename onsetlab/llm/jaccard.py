@@ -34,6 +34,7 @@ from __future__ import annotations
 import itertools
 import math
 import zlib
+from functools import reduce
 
 import numpy as np
 import xxhash
@@ -57,6 +58,8 @@ SCAN_COST = 8
 BLOCK_SETS, BLOCK_ELEMENTS = 512, 400_000
 #: Blocks are numbered in steps of so many parts; those of a hub's main component come after MAIN.
 PARTS, MAIN = 1 << 20, 1 << 60
+#: Levels of size are kept as bits of so many numbers; the last level takes all larger sizes.
+MASKS = 2
 MEMO_ROWS = 300_000
 #: Bits of the table that chooses whose texts are sent.
 ID_BITS = 1 << 23
@@ -207,15 +210,24 @@ def light_links(classes: DataFrame, most: int, top: int, bottom: int) -> DataFra
 
 def merged_lists(classes: DataFrame, most: int, top: int, bottom: int) -> DataFrame:
     """(hub, rep, n): inverted lists of the heavy sets' rarest elements, merged by the
-    member with the smallest hash; any two sets that could link share a hub."""
+    smallest hash of a member, which is the hub's number; any two sets that could link share a hub."""
     heavy = classes.where(F.col("n") > most)
     prefix = (F.col("n") - F.ceil(F.lit(top) * F.col("n") / bottom) + 1).cast("int")
     postings = heavy.select("rep", "n", F.explode(F.slice("first", F.lit(1), prefix)).alias("element"))
     # sizes that may link are in one level or in neighbouring ones
     level = F.floor(F.log(F.col("n").cast("double")) / (1.0001 * math.log(bottom / top))).cast("int")
-    about = postings.groupBy("element").agg(F.count("*").alias("k"), F.min(F.struct(F.xxhash64("rep").alias("h"), F.col("rep").alias("r"))).alias("hub"), F.collect_set(level).alias("levels")).where("k > 1")
-    fits = (F.col("k") > F.size("levels")) | F.array_contains("levels", level - 1) | F.array_contains("levels", level + 1)
-    return postings.join(about, "element").where(fits).select(F.col("hub.r").alias("hub"), "rep", "n").distinct()
+    masks = [(f"levels{k}", F.expr(f"if(level between {63 * k} and {63 * k + 62}, shiftleft(1L, level - {63 * k}), 0L)")) for k in range(MASKS)]
+    marked = postings.withColumn("level", F.least(level, F.lit(63 * MASKS - 1)))
+    # numbers only, so that counts are combined in hash tables before they are shuffled
+    about = marked.groupBy("element").agg(F.count("*").alias("k"), F.min(F.xxhash64("rep")).alias("hub"), *(F.bit_or(c).alias(name) for name, c in masks)).where("k > 1")
+    n_levels = reduce(lambda x, y: x + y, (F.bit_count(name) for name, _ in masks))
+
+    def has(step: int):
+        """Whether the element has sets of the level so many steps on."""
+        return reduce(lambda x, y: x | y, (F.expr(f"level + {step} between {63 * k} and {63 * k + 62} and (shiftright(levels{k}, greatest(0, least(62, level + {step} - {63 * k}))) & 1) = 1") for k in range(MASKS)))
+
+    fits = (F.col("k") > n_levels) | has(-1) | has(1)
+    return marked.join(about, "element").where(fits).select("hub", "rep", "n").distinct()
 
 
 def in_blocks(lists: DataFrame) -> DataFrame:
