@@ -34,7 +34,6 @@ from __future__ import annotations
 import itertools
 import math
 import zlib
-from functools import reduce
 
 import numpy as np
 import xxhash
@@ -58,8 +57,6 @@ SCAN_COST = 8
 BLOCK_SETS, BLOCK_ELEMENTS = 512, 400_000
 #: Blocks are numbered in steps of so many parts; those of a hub's main component come after MAIN.
 PARTS, MAIN = 1 << 20, 1 << 60
-#: Levels of size are kept as bits of so many numbers; the last level takes all larger sizes.
-MASKS = 2
 MEMO_ROWS = 300_000
 #: Bits of the table that chooses whose texts are sent.
 ID_BITS = 1 << 23
@@ -210,24 +207,17 @@ def light_links(classes: DataFrame, most: int, top: int, bottom: int) -> DataFra
 
 def merged_lists(classes: DataFrame, most: int, top: int, bottom: int) -> DataFrame:
     """(hub, rep, n): inverted lists of the heavy sets' rarest elements, merged by the
-    smallest hash of a member, which is the hub's number; any two sets that could link share a hub."""
+    member with the smallest hash; any two sets that could link share a hub. One element's
+    postings (an id and a size for each set, no texts) are sorted in one task."""
     heavy = classes.where(F.col("n") > most)
     prefix = (F.col("n") - F.ceil(F.lit(top) * F.col("n") / bottom) + 1).cast("int")
     postings = heavy.select("rep", "n", F.explode(F.slice("first", F.lit(1), prefix)).alias("element"))
-    # sizes that may link are in one level or in neighbouring ones
-    level = F.floor(F.log(F.col("n").cast("double")) / (1.0001 * math.log(bottom / top))).cast("int")
-    masks = [(f"levels{k}", F.expr(f"if(level between {63 * k} and {63 * k + 62}, shiftleft(1L, level - {63 * k}), 0L)")) for k in range(MASKS)]
-    marked = postings.withColumn("level", F.least(level, F.lit(63 * MASKS - 1)))
-    # numbers only, so that counts are combined in hash tables before they are shuffled
-    about = marked.groupBy("element").agg(F.count("*").alias("k"), F.min(F.xxhash64("rep")).alias("hub"), *(F.bit_or(c).alias(name) for name, c in masks)).where("k > 1")
-    n_levels = reduce(lambda x, y: x + y, (F.bit_count(name) for name, _ in masks))
-
-    def has(step: int):
-        """Whether the element has sets of the level so many steps on."""
-        return reduce(lambda x, y: x | y, (F.expr(f"level + {step} between {63 * k} and {63 * k + 62} and (shiftright(levels{k}, greatest(0, least(62, level + {step} - {63 * k}))) & 1) = 1") for k in range(MASKS)))
-
-    fits = (F.col("k") > n_levels) | has(-1) | has(1)
-    return marked.join(about, "element").where(fits).select("hub", "rep", "n").distinct()
+    by = Window.partitionBy("element")
+    near = by.orderBy("n", "rep")
+    fits = (bottom * F.lag("n").over(near) >= top * F.col("n")) | (bottom * F.col("n") >= top * F.lead("n").over(near))
+    postings = postings.withColumn("fits", F.coalesce(fits, F.lit(False))).where("fits")
+    hub = F.min(F.struct(F.xxhash64("rep").alias("h"), F.col("rep").alias("r"))).over(by)["r"]
+    return postings.withColumn("hub", hub).select("hub", "rep", "n").distinct()
 
 
 def in_blocks(lists: DataFrame) -> DataFrame:
@@ -247,8 +237,10 @@ def block_pairs(members: DataFrame, top: int, bottom: int) -> tuple[DataFrame, D
     """Pairs (hub, i, j) of blocks whose sizes may fit: each with itself and the next one, and
     the others, whose number grows with the square of a hub's blocks."""
     span = members.groupBy("hub", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("k"))
-    span = span.withColumn("next", F.lead("block").over(Window.partitionBy("hub").orderBy("block")))
-    near = span.select("hub", F.col("block").alias("i"), F.explode(F.array_compact(F.array(F.when(F.col("k") > 1, F.col("block")), "next"))).alias("j"))
+    order = Window.partitionBy("hub").orderBy("block")  # of blocks, not of their members
+    span = span.withColumn("next", F.lead("block").over(order)).withColumn("next_low", F.lead("low").over(order))
+    follows = F.when(bottom * F.col("high") >= top * F.col("next_low"), F.col("next"))
+    near = span.select("hub", F.col("block").alias("i"), F.explode(F.array_compact(F.array(F.when(F.col("k") > 1, F.col("block")), follows))).alias("j"))
     a = span.select("hub", F.col("block").alias("i"), F.col("high").alias("below"), "next").where("next is not null")
     b = span.select("hub", F.col("block").alias("j"), F.col("low").alias("above"))
     far = a.join(b, "hub").where((F.col("j") > F.col("next")) & (bottom * F.col("below") >= top * F.col("above")))
