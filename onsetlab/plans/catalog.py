@@ -93,12 +93,12 @@ def recording_lookup(spark, d):
     return matched.select("eventfile", F.lit(1).cast("long").alias("n"), F.lit("matched").alias("reason")).unionByName(others)
 
 
-#: An event file for each recording; one in seven lacks a run, one in eleven a recording, and one in thirteen has two.
+#: An event file for each recording; one in seven lacks a run; one in eleven has no first recording, one in thirteen has a second.
 EVENT_FILE = "concat('in/sub-', subject, '/sub-', subject, '_task-', task, case when user_id % 7 = 5 then '' else concat('_run-', cast(user_id as {text})) end, case when user_id % 2 = 0 then concat('_dir-', cast(user_id % 3 as {text})) else '' end, '_events.tsv')"
 
 
 @query(
-    f"""with {W.TRIALS}, {W.RECORDINGS}, n as (select *, {EVENT_FILE.format(text="varchar")} as eventfile from t where user_id % 7 <> 5 and user_id % 11 <> 3 and user_id % 13 <> 5),
+    f"""with {W.TRIALS}, {W.RECORDINGS}, n as (select *, {EVENT_FILE.format(text="varchar")} as eventfile from t where user_id % 7 <> 5 and (case when user_id % 11 <> 3 then 1 else 0 end) + (case when user_id % 13 = 5 then 1 else 0 end) = 1),
  kept as (select n.*, tr, n_frames from n join r using (boldfile) where not coalesce(lower(trial_type) = 'error' or contains(lower(trial_type), 'sign'), false) and onset is not null and duration is not null),
  numbered as (select *, row_number() over (partition by eventfile order by onset, event_id) as trial_index, onset + 900.0::double as s0, (onset + 900.0::double) + duration as s1 from kept),
  ranged as (select *, cast(floor(s0 / tr) as bigint) as s, greatest(1, cast(round_even((s1 - s0) / tr, 0) as bigint)) as c from numbered)
