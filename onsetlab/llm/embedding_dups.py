@@ -9,10 +9,10 @@ higher: only where both the covering radius (d(x, c) - r <= eps) and the bisecti
 (d(x, c) <= d(x, own c) + 2 eps) allow it. A node with very many points is dealt in
 blocks, and each pair of blocks is a task's work of bounded size.
 
-There, cover trees with halving radii are built over both blocks and traversed together:
-a pair of tree nodes is pruned when its centres are farther apart than the radii and eps
-together; leaves are compared as matrices, in double precision. A task gives counts of
-links and a spanning forest of them, never the pairs.
+There, cover trees with halving radii, down to half of eps, are built over both blocks and
+traversed together: a pair of tree nodes is pruned when its centres are farther apart than
+the radii and eps together; leaves are compared as matrices, in double precision. A task
+gives counts of links and a spanning forest of them, never the pairs.
 
 Broadcast: at most about 2 * ``CENTRES`` centres.
 
@@ -32,22 +32,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from onsetlab.llm.common import cut, map_rows
-from onsetlab.llm.components import Forest, components
+from onsetlab.llm.components import components
 
 COSINE = 0.93
 #: Centres over all labels, and points for which a label gets one more.
 CENTRES, PER_CENTRE = 4096, 4096
 #: Points of one block.
 BLOCK = 2048
-#: Tree leaves have up to so many points, or more where halving the radius doesn't part them.
-LEAF, TRIED = 64, 48
-SLACK = 1e-9
+#: Tree nodes of so few points are leaves.
+LEAF = 64
+#: Rows of a matrix of distances at one time.
+AT_ONCE = 256
+#: Distances of nearly equal unit vectors, as roots, are right to some 2e-8.
+SLACK = 1e-7
 
 
 def chord(cosine: float) -> float:
     return math.sqrt(max(0.0, 2.0 - 2.0 * cosine))
 
 
+#: Within a node of this radius all points are neighbours.
+FINEST = chord(COSINE) / 2
+
+
 def points(vectors: DataFrame) -> DataFrame:
     """Valid vectors: vec_id, label, a key of the exact vector, and the vector in doubles."""
 
@@ -74,68 +81,119 @@ def unit(raw: list[bytes]) -> np.ndarray:
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
+def _far(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distances of unit vectors."""
+    return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (x @ y.T)))
+
+
+def _nets(x: np.ndarray, rows: np.ndarray, half: float) -> list[np.ndarray]:
+    """Rows by centres that are more than ``half`` apart; each net's first row is its centre
+    and its others lie within ``half`` of it."""
+    nets = []
+    while len(rows):
+        near = _far(x[rows[:AT_ONCE]], x[rows]) <= half
+        left = np.ones(len(rows), bool)
+        for k in range(len(near)):
+            if left[k]:
+                own = near[k] & left
+                own[k] = False
+                nets.append(np.concatenate([rows[k : k + 1], rows[own]]))
+                left &= ~own
+                left[k] = False
+        rows = rows[left]
+    return nets
+
+
 class Node:
-    """A node of a cover tree: its centre, covering radius, points and children."""
-
-    __slots__ = ("centre", "radius", "rows", "children")
-
-    def __init__(self, x: np.ndarray, rows: np.ndarray, level: float):
-        self.centre = x[rows[0]]
-        d = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (x[rows] @ self.centre)))
-        self.radius, self.rows, self.children = float(d.max()), rows, []
-        if len(rows) <= LEAF:
-            return
-        half = min(level, self.radius) / 2
-        if half < 1e-6:
-            return
-        left, nets = rows, []
-        for _ in range(TRIED):
-            near = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (x[left] @ x[left[0]]))) <= half
-            near[0] = True
-            nets.append(left[near])
-            left = left[~near]
-            if not len(left):
-                break
-        if len(left) > len(rows) // 2 and max(map(len, nets)) <= LEAF:
-            return  # half the radius parts next to nothing here: a leaf
-        self.children = [Node(x, net, half) for net in nets]
-        if len(left):
-            self.children.append(_flat(x, left) if len(left) > len(rows) * 0.9 else Node(x, left, level))
-
-
-def _flat(x: np.ndarray, rows: np.ndarray) -> Node:
-    node = Node.__new__(Node)
-    node.centre = x[rows[0]]
-    d = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (x[rows] @ node.centre)))
-    node.radius, node.rows, node.children = float(d.max()), rows, []
-    return node
-
-
-def dual(x: np.ndarray, a: Node, y: np.ndarray, b: Node, cosine: float):
+    """A node of a cover tree: its centre, covering radius and points; its children have
+    centres more than half its level apart and cover half its level. Levels go on to
+    ``finest``, where all points of a node are neighbours; nodes of few points are leaves."""
+
+    __slots__ = ("centre", "radius", "rows", "children", "centres", "radii")
+
+    def __init__(self, x: np.ndarray, rows: np.ndarray, level: float, finest: float = FINEST):
+        self.centre, self.rows, self.children = x[rows[0]], rows, []
+        self.radius = float(_far(x[rows], self.centre[None]).max()) if len(rows) > 1 else 0.0
+        if len(rows) > LEAF and self.radius > finest:
+            half = level / 2
+            while half >= self.radius:
+                half /= 2
+            self.children = [Node(x, net, half, finest) for net in _nets(x, rows, half)]
+            self.centres = np.stack([k.centre for k in self.children])
+            self.radii = np.array([k.radius for k in self.children])
+        else:
+            self.centres, self.radii = self.centre[None], np.array([self.radius])
+
+    def below(self) -> list[Node]:
+        return self.children or [self]
+
+    def small(self) -> bool:
+        return not self.children and len(self.rows) <= LEAF
+
+
+def _leaves(left: list[Node], right: list[Node], near: np.ndarray):
+    """Matrices of bounded size (rows, others, which pairs are open) over the points of
+    those leaves that are near each other."""
+    sizes = np.array([len(k.rows) for k in right])
+    at = 0
+    while at < len(left):
+        n, size = 1, len(left[at].rows)
+        while at + n < len(left) and size + len(left[at + n].rows) <= AT_ONCE:
+            size += len(left[at + n].rows)
+            n += 1
+        some = np.flatnonzero(near[at : at + n].any(axis=0))
+        if len(some):
+            open_ = np.repeat(np.repeat(near[at : at + n, some], sizes[some], axis=1), [len(k.rows) for k in left[at : at + n]], axis=0)
+            yield np.concatenate([k.rows for k in left[at : at + n]]), np.concatenate([right[k].rows for k in some]), open_
+        at += n
+
+
+def dual(x: np.ndarray, a: Node, y: np.ndarray, b: Node, cosine: float, tally: dict | None = None):
     """Blocks (rows of x, rows of y, which link) of all pairs with at least this cosine;
-    x is y and a is b for pairs within one tree, whose pairs come once, in either order."""
+    x is y and a is b for pairs within one tree, whose pairs come once, in either order.
+    ``tally`` gets how many pairs of nodes were ``tested`` and pairs of points ``compared``."""
     eps = chord(cosine) + SLACK
+    tally = {} if tally is None else tally
+    tally.setdefault("tested", 0), tally.setdefault("compared", 0)
     todo = [(a, b)]
     while todo:
         a, b = todo.pop()
         same = a is b
-        if not same and np.sqrt(max(0.0, 2.0 - 2.0 * float(a.centre @ b.centre))) > a.radius + b.radius + eps:
-            continue
         if not a.children and not b.children:
             for at in range(0, len(a.rows), 1024):
                 rows = a.rows[at : at + 1024]
                 hit = x[rows] @ y[b.rows].T >= cosine
+                tally["compared"] += hit.size
                 if same:
                     hit &= np.arange(at, at + len(rows))[:, None] < np.arange(len(b.rows))[None, :]
                 if hit.any():
                     yield rows, b.rows, hit
-        elif same:
-            k = a.children
-            todo += [(k[i], k[j]) for i in range(len(k)) for j in range(i, len(k))]
-        elif a.children and (not b.children or a.radius >= b.radius):
-            todo += [(child, b) for child in a.children]
-        else:
-            todo += [(a, child) for child in b.children]
+            continue
+        # the children of both, and of them the pairs that radii and eps together don't keep apart
+        left, right = a.below(), b.below()
+        j = [k for k in range(len(right)) if right[k].small()]
+        if same:
+            place = np.zeros(len(x), np.int64)
+            place[np.concatenate([k.rows for k in right])] = np.arange(sum(len(k.rows) for k in right))
+        for at in range(0, len(left), AT_ONCE):
+            cosines = a.centres[at : at + AT_ONCE] @ b.centres.T
+            near = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * cosines)) <= a.radii[at : at + AT_ONCE, None] + b.radii + eps
+            tally["tested"] += near.size
+            if same:  # each pair once, and every child with itself
+                near &= np.arange(at, at + len(near))[:, None] <= np.arange(len(right))[None, :]
+            # small leaves among them are compared by the matrix
+            i = [k for k in range(len(near)) if left[at + k].small()]
+            if i and j:
+                some = np.ix_(i, j)
+                for rows, others, open_ in _leaves([left[at + k] for k in i], [right[k] for k in j], near[some]):
+                    if same:
+                        open_ &= place[rows][:, None] < place[others][None, :]
+                    tally["compared"] += int(open_.sum())
+                    hit = open_ & (x[rows] @ y[others].T >= cosine)
+                    if hit.any():
+                        yield rows, others, hit
+                near[some] = False
+            todo += [(left[at + i], right[j]) for i, j in zip(*map(np.ndarray.tolist, np.nonzero(near)))]
 
 
 def compare(ids: list[int], times: list[int], raw: list[bytes], side: list[int], cosine: float):
@@ -151,14 +209,18 @@ def compare(ids: list[int], times: list[int], raw: list[bytes], side: list[int],
     if not len(first) or (s.any() and not len(second)):
         return
     count = np.zeros(len(ids), np.int64)
-    forest = Forest(len(ids))
-    top = Node(x, first, 2.0)
-    for rows, others, hit in dual(x, top, x, Node(x, second, 2.0) if len(second) else top, cosine):
+    part = np.arange(len(ids))
+    finest = chord(cosine) / 2
+    top = Node(x, first, 2.0, finest)
+    for rows, others, hit in dual(x, top, x, Node(x, second, 2.0, finest) if len(second) else top, cosine):
         np.add.at(count, rows, hit @ t[others])
         np.add.at(count, others, hit.T @ t[rows])
-        for p, q in zip(*map(np.ndarray.tolist, np.nonzero(hit))):
-            if forest.join(int(rows[p]), int(others[q])):
-                yield ids[rows[p]], ids[others[q]], None
+        for k in np.flatnonzero(hit.any(axis=1)):
+            p, linked = rows[k], others[hit[k]]
+            for q in linked[np.unique(part[linked], return_index=True)[1]]:
+                if part[p] != part[q]:
+                    yield ids[p], ids[q], None
+                    part[part == part[q]] = part[p]
     for k in np.flatnonzero(count):
         yield ids[k], None, int(count[k])
 
