@@ -15,8 +15,8 @@ of this or other templates can occur in them; they are undone in the opposite or
 Defined cases: null text and role are empty; a null conv_id is a conversation of its
 own; equal turns are ordered by role and text; turns without a number come first;
 repeated rows are turns each; an empty table gives only what is added; further columns
-are ignored. A conversation of a third of all rows has its windows built apart from each
-other; only op6's digest, a hash over the whole conversation, needs it in one row.
+are ignored; a very long turn is a window of its own. A conversation's order and prefix
+sums, and op6's digest, a hash over the whole of it, take its rows in one task.
 """
 
 from __future__ import annotations
@@ -29,8 +29,6 @@ SPAN_TOKENS = 512
 HISTORY_TOKENS = 256
 #: A turn costs its words and signs, and so many tokens for the template.
 TURN_TOKENS = 4
-#: Spans before a window's own whose turns may be repeated.
-HISTORY_SPANS = 3
 TURN, END = "<|turn|>", "<|end|>\n"
 # Character references, in the order in which they are put in.
 ESCAPES = (("&", "&amp;"), ("<", "&lt;"), ("[", "&#91;"), ("]", "&#93;"))
@@ -74,8 +72,10 @@ def windows(turns: DataFrame, span_tokens: int = SPAN_TOKENS, history_tokens: in
     t = t.withColumn("opens", previous.isNull() | (previous != F.col("span"))).withColumn("system", F.when(F.col("opens"), system))
     t = t.withColumn("nth", F.sum(F.col("opens").cast("long")).over(running))
     t = t.withColumn("body", F.concat(F.lit(TURN), escape(F.col("role"), True), F.lit("\n"), escape(F.col("text")), F.lit(END)))
-    # a turn is offered to the next few windows as history; those that are out of reach are dropped there
-    offered = t.withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(HISTORY_SPANS)))).withColumn("window", F.col("nth") + F.col("d"))
+    # a turn is offered to as many next windows as history can reach over (two spans begin in
+    # a cell at most); where it is out of reach it is dropped
+    reach = 2 * -(-history_tokens // span_tokens) + 1
+    offered = t.withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(reach)))).withColumn("window", F.col("nth") + F.col("d"))
     span_start = F.min(F.when(F.col("d") == 0, F.col("before"))).over(Window.partitionBy("conv_id", "window"))
     kept = offered.withColumn("from", span_start).where(F.col("from").isNotNull() & ((F.col("d") == 0) | (F.col("from") - F.col("before") <= history_tokens)))
     length = F.length("body")

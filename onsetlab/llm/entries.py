@@ -34,7 +34,23 @@ REACH = "r(a, b) as (select a, b from l union select r.a, l.b from r join l on r
 
 def oracle_sql() -> dict[str, str]:
     """The others are models, library tokens or digests of stored forms, which SQL can't express."""
+    escaped = "replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '[', '&#91;'), ']', '&#93;')".format
     return {
+        "op6_chat_formatting": f"""with said as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -1, i, case when i = 0 then 'user' else 'assistant' end, '</s>[INST] ok [/INST]' from range(2) r(i)),
+ t as (select *, len(regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\n\x0B\f\r]')) + {chat.TURN_TOKENS} as tokens,
+  length('{chat.TURN}') + length(replace({escaped("role")}, chr(10), '&#10;')) + 1 + length({escaped("text")}) + length('{chat.END}') as size from said),
+ o as (select *, row_number() over w as nth, sum(tokens) over (w rows unbounded preceding) as upto from t window w as (partition by conv_id order by turn nulls first, role, text)),
+ c as (select *, upto - tokens as before, (upto - tokens) // {chat.SPAN_TOKENS} as f, (upto - 1) // {chat.SPAN_TOKENS} as g from o),
+ p as (select *, case when f = g then 2 * f else 2 * f + 1 end as span, min(case when role = 'system' then nth end) over (partition by conv_id) as system_at from c),
+ s as (select conv_id, span, min(before) as starts, min(nth) as first_at, sum(size) as own from p group by all),
+ h as (select s.conv_id, s.span, any_value(s.own) as own, any_value(s.first_at) as first_at, coalesce(sum(p.size) filter (p.nth < s.first_at and s.starts - p.before <= {chat.HISTORY_TOKENS}), 0) as history,
+  coalesce(sum(p.size) filter (p.nth = p.system_at and p.nth < s.first_at and s.starts - p.before > {chat.HISTORY_TOKENS}), 0) as system
+  from s join p on p.conv_id is not distinct from s.conv_id and (p.nth = p.system_at or p.before between s.starts - {chat.HISTORY_TOKENS} and s.starts) group by all),
+ z as (select conv_id, sum(own + history + system) as formatted_chars, count(*) as n_windows from h group by conv_id),
+ d as (select conv_id, count(*) as n_turns, string_agg(role || chr(10) || text || chr(10), '' order by nth) as turns, coalesce(string_agg(text, '' order by nth) filter (role = 'assistant'), '') as loss from o group by conv_id)
+ select d.conv_id, n_turns, sha256(turns) as turns_sha256, length(loss) as loss_chars, sha256(loss) as loss_sha256, cast(formatted_chars as bigint) as formatted_chars, n_windows
+ from d join z on z.conv_id is not distinct from d.conv_id""",
         "op8_embedding_near_dedup": f"""with recursive v as (select vec_id, label, cast(embedding as double[]) as e from embeddings),
  l as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and list_cosine_similarity(a.e, b.e) >= 0.93), {REACH},
  n as (select a, count(*) as n from l group by a), x as (select vec_id, label, md5(cast(e as varchar)) as k from v), same as (select label, k, min(vec_id) as rep from x group by all)
