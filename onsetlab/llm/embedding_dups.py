@@ -36,9 +36,9 @@ from onsetlab.llm.components import components
 
 COSINE = 0.93
 #: Centres over all labels, and points for which a label gets one more.
-CENTRES, PER_CENTRE = 4096, 4096
+CENTRES, PER_CENTRE = 4096, 16384
 #: Points of one block.
-BLOCK = 2048
+BLOCK = 8192
 #: Tree nodes of so few points are leaves.
 LEAF = 64
 #: Rows of a matrix of distances at one time.
