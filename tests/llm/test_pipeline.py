@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from onsetlab.llm import entries
 from onsetlab.llm.common import cut
@@ -20,3 +22,32 @@ def test_eleven_queries():
     names = list(entries.queries())
     assert "pipeline" in names and [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10
     assert set(entries.oracle_sql()) <= set(names)
+
+
+def _stages(spark, docs):
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = cut(stage(spark, docs, DIR))
+        assert out.columns == docs.columns
+        docs = out
+    return docs, cut(corpus_pipeline.STAGES[-1][1](spark, docs, DIR))
+
+
+def test_null_repeated_long_and_further(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    for name in ("rep", "n", "score", "features", "lang_pred", "component_id", "piece"):
+        docs = docs.withColumn(name, F.lit("clash").cast("string"))
+    docs = cut(docs)
+    nothing = spark.createDataFrame([(None,) * len(docs.columns)] * 2, docs.schema)
+    empty = nothing.limit(1).withColumn("doc_id", F.lit(10**9).cast("long")).withColumn("text", F.lit(""))
+    long = docs.limit(1).withColumn("doc_id", F.lit(10**9 + 1).cast("long")).withColumn("text", F.repeat(F.concat("text", F.lit(" ")), F.lit(300)))
+    rows = docs.unionByName(docs.limit(5)).unionByName(nothing).unionByName(empty).unionByName(long)
+    kept, packed = _stages(spark, cut(rows))
+    ids = [r.doc_id for r in kept.select("doc_id").collect()]
+    assert ids and len(ids) == len(set(ids)) and None not in ids and 10**9 not in ids
+    assert {r.doc_id for r in packed.select("doc_id").collect()} == set(ids)
+
+
+def test_empty_table(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").limit(0)
+    kept, packed = _stages(spark, docs)
+    assert kept.count() == 0 and packed.count() == 0
