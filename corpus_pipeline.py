@@ -4,6 +4,12 @@ join, secret scans, best-fit packing.
 All stages but the last return the columns of documents; each works on all rows that the
 one before kept. The Jaccard join takes five-word shingles and a similarity of 0.8 here,
 and secrets are replaced by a mark in the text.
+
+Defined cases: rows with a null or empty text go at the language stage, as does any text
+without letters; a row repeated with the same id and text is one row after the Jaccard join,
+as is a text that repeats another's words; texts are worked on whole at any length; null
+columns are kept as they are, but for a null lang, which becomes the language found; further
+columns pass through the stages that return documents, whatever their names; an empty table gives none.
 """
 
 from __future__ import annotations
