@@ -10,6 +10,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType, StructType
 
 #: Texts that are Python objects at one time in a task.
 SLICE_ROWS = 256
@@ -81,9 +83,6 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[list], Iterator[tuple]]
 
 
 def _arrow_fields(spark: SparkSession, schema: str) -> list[pa.Field]:
-    from pyspark.sql.pandas.types import to_arrow_type
-    from pyspark.sql.types import StructType
-
     return [pa.field(x.name, to_arrow_type(x.dataType)) for x in StructType.fromDDL(schema).fields]
 
 
@@ -120,14 +119,16 @@ def worker_cached(owner: str):
     return of
 
 
-def text_udf(make: Callable[[], Callable[[list], pa.Array | list]], returns: str):
+def text_udf(make: Callable[[], Callable[[list], pa.Array | list]], returns: str) -> Callable:
     """An Arrow UDF of one column. ``make()`` runs once in each task and returns ``f(values)``,
     which gets at most ``SLICE_ROWS`` values as a list, so that long texts are never Python
     objects by the batch, and returns as many results. Spark takes it for a function that may
     differ from call to call, so that a filter on its result doesn't make it run twice."""
 
+    kind = to_arrow_type(DataType.fromDDL(returns))
+
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        f, kind = make(), _arrow_type(returns)
+        f = make()
         for column in columns:
             parts = []
             for at in range(0, max(1, len(column)), SLICE_ROWS):
@@ -138,10 +139,6 @@ def text_udf(make: Callable[[], Callable[[list], pa.Array | list]], returns: str
     return F.arrow_udf(run, returns).asNondeterministic()
 
 
-def _arrow_type(kind: str) -> pa.DataType:
-    return {"string": pa.string(), "boolean": pa.bool_(), "array<double>": pa.list_(pa.float64())}[kind]
-
-
 class Recent(dict):
     """Results of ``f`` that were asked for lately, by key, within a bound in bytes.
 

@@ -7,9 +7,10 @@ counts over all segmentations (forward and backward) of all training words, from
 that only knows the vocabulary's order, smoothed towards that start.
 
 Work on Spark: counts of (language, word) over all training texts (combined in each task
-before one shuffle), expected counts per word, one sum by (language, piece). The model
-has languages x pieces numbers; more than ``MOST_LANGUAGES`` labels is an error, so what
-is collected and broadcast has a fixed bound. Scoring reads the texts once more.
+before one shuffle), expected counts per word, one sum by (language, piece). A model has
+languages x pieces numbers for at most ``MOST_LANGUAGES`` labels, so what is collected and
+broadcast has a fixed bound; where more labels were learned there is a model for each block
+of them, and texts are scored by one block after another, each reading them once more.
 
 Words are runs of letters in lower case; longer ones are cut into parts of ``CUT``
 characters. Learned from: text and non-null lang of documents whose crc32(doc_id as
@@ -26,19 +27,20 @@ from __future__ import annotations
 import re
 import uuid
 from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from onsetlab.llm.common import cut, map_rows, text_udf, vocab_path, worker_cached, worker_tables
 
-SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 UNDETERMINED = "und"
 MOST_LANGUAGES = 200
 CUT = 24
 LONGEST = 12
-MEMO_ROWS = 300_000
+#: Words that a worker remembers, and bytes of their log probabilities at most.
+MEMO_ROWS, MEMO_BYTES = 300_000, 64_000_000
 ROUNDS = 1
 #: Words (short rows) that are handed over at a time.
 WORD_ROWS = 10_000
@@ -51,6 +53,10 @@ FAMILIAR = 0.0
 BASE, SPREAD, SLOT_BITS = np.uint64(0x9E3779B97F4A7C15), 0xD1B54A32D192ED03, 20
 POWERS = np.cumprod(np.array([1] + [BASE] * LONGEST, np.uint64), dtype=np.uint64)
 WORD = re.compile(r"[^\W\d_]+")
+#: What scoring finds: the language, its log probability, by how much the logarithm of the sum
+#: over languages exceeds it, and its mean log ratio of a word to the start.
+FOUND = "struct<lang:string,best:double,over:double,more:double>"
+Model = tuple[list[str], np.ndarray]
 
 
 def code_points(strings: list[str], width: int) -> np.ndarray:
@@ -224,10 +230,24 @@ def _training(docs: DataFrame) -> DataFrame:
     return docs.where(F.col("doc_id").isNotNull() & ~held & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
 
 
-def fit(docs: DataFrame, vocabulary: str, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
-    """Languages (sorted) and probabilities by (piece, language), from all training rows."""
-    spark = docs.sparkSession
-
+def fit(docs: DataFrame, vocabulary: str, rounds: int = ROUNDS, most: int = MOST_LANGUAGES) -> Iterator[Model]:
+    """Models of at most ``most`` languages each, in the order of the languages: their names
+    and probabilities by (piece, language), from all training rows. One without languages
+    where nothing could be learned."""
+    words_of = _word_counts(_training(docs))
+    if rounds > 1:
+        words_of = cut(words_of)
+    first = _expected(words_of, ([], np.zeros((0, 0))), vocabulary)
+    langs = sorted(r["lang"] for r in first.select("lang").distinct().collect())
+    for at in range(0, max(1, len(langs)), most):
+        some = langs[at : at + most]
+        model = _probabilities(first, some, vocabulary)
+        for _ in range(rounds - 1):
+            model = _probabilities(_expected(words_of.where(F.col("lang").isin(some)), model, vocabulary), some, vocabulary)
+        yield model
+
+
+def _word_counts(training: DataFrame) -> DataFrame:
     def make():
         def rows(c):
             by: dict[str, Counter] = defaultdict(Counter)
@@ -239,43 +259,44 @@ def fit(docs: DataFrame, vocabulary: str, rounds: int = ROUNDS) -> tuple[list[st
 
         return rows
 
-    counted = map_rows(_training(docs), make, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    model: tuple[list[str], np.ndarray] = ([], np.zeros((0, 0)))
+    return map_rows(training, make, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+
+
+def _expected(counted: DataFrame, model: Model, vocabulary: str) -> DataFrame:
+    """(lang, piece, n): expected counts of pieces by a model, or the start for languages not in it."""
+    given = counted.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        known, given_p = given.value
+        pieces = pieces_of(vocabulary)
+
+        def rows(c):
+            by: dict[str, tuple[list, list]] = {}
+            for lang, w, n in zip(*c):
+                ws, ns = by.setdefault(lang, ([], []))
+                ws.append(w)
+                ns.append(n)
+            for lang, (ws, ns) in by.items():
+                p = given_p[:, known.index(lang)] if lang in known else pieces.start
+                total = expected_counts(ws, np.array(ns), pieces.index, _padded(p[:, None]))[: len(pieces.index)]
+                yield lang, -1, 0.0  # a language whose words have no known piece
+                for k in np.flatnonzero(total):
+                    yield lang, int(k), float(total[k])
+
+        return rows
+
+    return cut(map_rows(counted, make, "lang string, piece int, n double", WORD_ROWS).groupBy("lang", "piece").agg(F.sum("n").alias("n")))
+
+
+def _probabilities(sums: DataFrame, langs: list[str], vocabulary: str) -> Model:
     start = pieces_of(vocabulary).start
-    for _ in range(rounds):
-        given = spark.sparkContext.broadcast(model)
-
-        def expect():
-            known, given_p = given.value
-            pieces = pieces_of(vocabulary)
-
-            def rows(c):
-                by: dict[str, tuple[list, list]] = {}
-                for lang, w, n in zip(*c):
-                    ws, ns = by.setdefault(lang, ([], []))
-                    ws.append(w)
-                    ns.append(n)
-                for lang, (ws, ns) in by.items():
-                    p = given_p[:, known.index(lang)] if lang in known else pieces.start
-                    total = expected_counts(ws, np.array(ns), pieces.index, _padded(p[:, None]))[: len(pieces.index)]
-                    yield lang, -1, 0.0  # a language whose words have no known piece
-                    for k in np.flatnonzero(total):
-                        yield lang, int(k), float(total[k])
-
-            return rows
-
-        sums = cut(map_rows(counted, expect, "lang string, piece int, n double", WORD_ROWS).groupBy("lang", "piece").agg(F.sum("n").alias("n")))
-        langs = sorted(r["lang"] for r in sums.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
-        if len(langs) > MOST_LANGUAGES:
-            raise ValueError(f"more than {MOST_LANGUAGES} languages")
-        p = np.zeros((len(start), len(langs)))
-        found = sums.where("piece >= 0").toPandas()
-        p[found["piece"].to_numpy(int), [langs.index(x) for x in found["lang"]]] = found["n"]
+    p = np.zeros((len(start), len(langs)))
+    if langs:
+        found = sums.where((F.col("piece") >= 0) & F.col("lang").isin(langs)).toPandas()
+        place = {lang: k for k, lang in enumerate(langs)}
+        p[found["piece"].to_numpy(int), [place[x] for x in found["lang"]]] = found["n"]
         p /= np.maximum(p.sum(axis=0), 1e-300)
-        model = langs, (1 - SMOOTHING) * p + SMOOTHING * start[:, None]
-        if not langs:
-            break
-    return model
+    return langs, (1 - SMOOTHING) * p + SMOOTHING * start[:, None]
 
 
 class Scorer:
@@ -283,12 +304,13 @@ class Scorer:
     ``start`` a total has one more column, that of the start, which knows the vocabulary's
     order only."""
 
-    def __init__(self, langs: list[str], p: np.ndarray, vocabulary: str, start: bool = False, memo_rows: int = MEMO_ROWS):
+    def __init__(self, langs: list[str], p: np.ndarray, vocabulary: str, start: bool = False):
         pieces = pieces_of(vocabulary)
-        self.langs, self.index, self.memo_rows = langs, pieces.index, memo_rows
+        width = len(langs) + start
+        self.langs, self.index, self.memo_rows = langs, pieces.index, min(MEMO_ROWS, MEMO_BYTES // (8 * max(1, width)))
         self.padded = _padded(np.column_stack([p, pieces.start]) if start else p) if langs else None
         self.row: dict[str, int] = {}
-        self.table = np.zeros((memo_rows, len(langs) + start))
+        self.table = np.zeros((self.memo_rows, width))
 
     def _learn(self, new: list[str]) -> None:
         if len(self.row) + len(new) > self.memo_rows:
@@ -324,65 +346,79 @@ class Scorer:
                     total += np.array([counts[w] for w in part]) @ word_scores(part, self.index, self.padded)
             yield len(ws), total
 
-    def judge(self, some: list[str | None]) -> list[tuple[str, float, float]]:
-        """Language, posterior, and (0 without the start) by how much a word is more probable in
-        that language than by the start, as a mean of logarithms, of each text."""
+    def judge(self, some: list[str | None]) -> list[tuple[str, float, float, float] | None]:
+        """FOUND of each text (its last field 0 without the start), None without words."""
         out = []
         for n, total in self.totals(some):
             if total is None:
-                out.append((UNDETERMINED, 0.0, 0.0))
+                out.append(None)
                 continue
             own, start = total[: len(self.langs)], total[len(self.langs) :]
             best = int(np.argmax(own))
-            out.append((self.langs[best], float(1.0 / np.exp(own - own[best]).sum()), float(own[best] - start[0]) / n if len(start) else 0.0))
+            over = float(np.log(np.exp(own - own[best]).sum()))
+            out.append((self.langs[best], float(own[best]), over, float(own[best] - start[0]) / n if len(start) else 0.0))
         return out
 
 
-def _scorer(key: str, model, vocabulary: str, start: bool = False) -> Scorer:
+def _scorer(key: str, model: Model, vocabulary: str, start: bool) -> Scorer:
     kept = worker_tables("language ID")
     if kept.get("scorer of") != key:
         kept["scorer of"], kept["scorer"] = key, Scorer(*model, vocabulary, start)
     return kept["scorer"]
 
 
-def score(docs: DataFrame, model: tuple[list[str], np.ndarray], vocabulary: str) -> DataFrame:
-    """Per row: doc_id, held_out, lang_pred and score. No shuffle."""
-    given, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
-    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+def with_found(df: DataFrame, text: str, models: Iterable[Model], vocabulary: str, start: bool = False) -> DataFrame:
+    """df, which has no column named found or now, with a column ``found`` for its field ``text``,
+    null for texts without words. No shuffle. Of several models the better is kept, the earlier one of equals."""
+    for k, model in enumerate(models):
+        given, key = df.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
-    def make():
-        s = _scorer(key, given.value, vocabulary)
+        def make(given=given, key=key):
+            return _scorer(key, given.value, vocabulary, start).judge
 
-        def rows(c):
-            for i, h, (lang, p, _) in zip(c[0], c[1], s.judge(c[2])):
-                yield i, h, lang, p
+        now = text_udf(make, FOUND)(F.col(text))
+        if k == 0:
+            df = df.withColumn("found", now)
+            continue
+        # written in between, so that a Python worker holds one model at a time
+        old = [F.col(f"`{c}`") for c in df.columns if c != "found"]
+        both = cut(df).withColumn("now", now)
+        pick = F.when(F.col("now.best") > F.col("found.best"), _beside("now", "found")).otherwise(_beside("found", "now"))
+        df = both.select(*old, F.when(F.col("found").isNotNull(), pick).alias("found"))
+    return df
 
-        return rows
 
-    return map_rows(docs.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "text"), make, SCHEMA)
+def _beside(better: str, other: str) -> Column:
+    """``better`` of two findings, with the sum over the languages of both."""
+    a, b = (lambda x: F.col(f"{better}.{x}")), (lambda x: F.col(f"{other}.{x}"))
+    over = F.log(F.exp(a("over")) + F.exp(b("over") + b("best") - a("best")))
+    return F.struct(a("lang").alias("lang"), a("best").alias("best"), over.alias("over"), a("more").alias("more"))
 
 
-def language_id(docs: DataFrame, vocabulary: str, rounds: int = ROUNDS) -> DataFrame:
-    return score(docs, fit(docs, vocabulary, rounds), vocabulary)
+def _posterior() -> Column:
+    return F.coalesce(F.exp(-F.col("found.over")), F.lit(0.0))
 
 
-def language_filter(docs: DataFrame, vocabulary: str, least: float = 0.5, familiar: float = FAMILIAR) -> DataFrame:
+def language_id(docs: DataFrame, vocabulary: str, rounds: int = ROUNDS, most: int = MOST_LANGUAGES) -> DataFrame:
+    """Per row: doc_id, held_out, lang_pred and score."""
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    rows = docs.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "text")
+    found = with_found(rows, "text", fit(docs, vocabulary, rounds, most), vocabulary)
+    return found.select("doc_id", "held_out", F.coalesce("found.lang", F.lit(UNDETERMINED)).alias("lang_pred"), _posterior().alias("score"))
+
+
+def language_filter(docs: DataFrame, vocabulary: str, least: float = 0.5, familiar: float = FAMILIAR, most: int = MOST_LANGUAGES) -> DataFrame:
     """Rows of docs whose language is determined with a posterior of at least ``least`` and
     whose words are more probable in it than by the start, by ``familiar`` in the mean of
     their logarithms. A posterior alone is near 1 for any text of some words, in whatever
     language; a text in none that was learned, or of random letters, fails the second.
     Columns stay as they are, but a null lang becomes the one found."""
-    given, key = docs.sparkSession.sparkContext.broadcast(fit(docs, vocabulary)), uuid.uuid4().hex
-
-    def make():
-        s = _scorer(key, given.value, vocabulary, True)
-        return lambda texts: [lang if lang != UNDETERMINED and p >= least and more >= familiar else None for lang, p, more in s.judge(texts)]
-
-    # the row travels as one struct, so no column of docs can clash with the language found
+    # the row travels as one struct, so no column of docs can clash with what is found
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
-    found = docs.select(row, text_udf(make, "string")(F.col("text")).alias("found")).where("found is not null")
+    found = with_found(docs.select(row), "row.text", fit(docs, vocabulary, most=most), vocabulary, start=True)
+    kept = found.where(F.col("found").isNotNull() & (_posterior() >= least) & (F.col("found.more") >= familiar))
     column = lambda c: F.col("row").getField(c)
-    return found.select(*((F.coalesce(column(c), "found") if c == "lang" else column(c)).alias(c) for c in docs.columns))
+    return kept.select(*((F.coalesce(column(c), "found.lang") if c == "lang" else column(c)).alias(c) for c in docs.columns))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,6 +60,11 @@ def test_language_id(spark):
     none = docs.selectExpr("doc_id", "text", "cast(null as string) lang")
     assert {r.lang_pred for r in language_id.language_id(none, PIECES).collect()} == {"und"}
     assert language_id.language_id(docs.limit(0), PIECES).count() == 0
+    assert len({r.lang_pred for r in got.values()}) > 2
+    for most in (1, 2):  # languages in blocks decide as all of them in one
+        for r in language_id.language_id(docs, PIECES, most=most).collect():
+            assert r.lang_pred == got[r.doc_id].lang_pred and math.isclose(r.score, got[r.doc_id].score, abs_tol=1e-9)
+        assert {r.doc_id: r.lang for r in language_id.language_filter(docs, PIECES, most=most).collect()} == lang
 
 
 def test_guess_costs():
