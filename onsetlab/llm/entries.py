@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from onsetlab.llm import bpe, chat, embedding_dups, jaccard, language_id, media, packing, quality, secrets, token_counts
+from onsetlab.llm import bpe, chat, embedding_dups, jaccard, language_id, lexical_search, media, packing, periodic_runs, quality, secrets, token_counts, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,12 +22,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_embedding_near_dedup": embedding_dups.op8_embedding_near_dedup,
         "op9_ngram_jaccard_join": jaccard.op9_ngram_jaccard_join,
         "op10_best_fit_packing": packing.op10_best_fit_packing,
+        "op11_token_files": token_files.op11_token_files,
+        "op12_periodic_runs": periodic_runs.op12_periodic_runs,
+        "op13_lexical_search": lexical_search.op13_lexical_search,
         "pipeline": corpus_pipeline.run,
     }
 
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
 #: Links from a CTE ``l`` (a, b, both ways) and all nodes from ``v`` (id): the smallest id each reaches.
 REACH = "r(a, b) as (select a, b from l union select r.a, l.b from r join l on r.b = l.a), least_of as (select a, min(b) as m from r group by a)"
 
@@ -63,4 +68,12 @@ def oracle_sql() -> dict[str, str]:
  l as (select o.a, o.b from o join z x on x.doc_id = o.a join z y on y.doc_id = o.b where 100 * o >= 90 * (x.n + y.n - o)), {REACH}, same as (select k, min(doc_id) as rep from z group by k)
  select d.doc_id, coalesce(z.n, 0) as n_shingles, least(d.doc_id, coalesce(least_of.m, d.doc_id)) as component_id, coalesce(same.rep, d.doc_id) as class_id
  from documents d left join z on z.doc_id = d.doc_id left join least_of on least_of.a = d.doc_id left join same on same.k = z.k""",
+        "op13_lexical_search": f"""with t as (select doc_id, row_number() over () as r, translate(text, '{UPPER}', '{LOWER}') as x from documents where text is not null),
+ d as (select r, doc_id, unnest(regexp_extract_all(x, '{TERM}')) as term from t), n as (select r, doc_id, count(*) as n from d group by all), tot as (select count(*)::bigint as nd, sum(n)::bigint as nt from n),
+ tf as (select r, term, count(*) as tf from d group by all), df as (select term, count(*) as df from tf group by term),
+ q as (select distinct i, item_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{TERM}')) as term from (select row_number() over () as i, * from benchmark)),
+ w as (select i, item_id, term, cast(floor(1000 * ln((2 * nd + 2)::double / (2 * df + 1)::double)) as bigint) as w from q join df using (term), tot),
+ s as (select w.i, w.item_id, n.doc_id, n.r, sum(w * ((1000000000 * tf.tf) // (1000 * tf.tf + 20 * (50 + (50 * n.n * nd) // nt))))::bigint as score from w join tf using (term) join n on n.r = tf.r, tot group by all),
+ o as (select *, row_number() over (partition by i order by score desc, doc_id) as rank from s where score > 0)
+ select item_id, cast(rank as integer) as rank, doc_id, score from o where rank <= 50""",
     }
