@@ -45,9 +45,9 @@ TOP = 50
 #: Text of the queries that are searched for at one time.
 QUERY_BYTES = 1 << 17
 #: Documents of a block, cells of its vectors (documents x terms of the queries), and of a leaf.
-BLOCK_DOCS, BLOCK_CELLS, LEAF_DOCS = 2048, 12_000_000, 16
-#: Groups of terms, each with a radius of its own.
-GROUPS = 64
+BLOCK_DOCS, BLOCK_CELLS, LEAF_DOCS = 2048, 12_000_000, 8
+#: Terms of so many queries are a group with a radius of its own.
+COMMON = 3
 #: Bounds are larger than what is worked out by this share, and by one.
 SLACK = 1e-3
 FOUND = "query int, doc_id long, score long"
@@ -81,10 +81,11 @@ class Queries:
         held = Counter(w for s in self.sets for w in s)
         self.number = {w: k for k, w in enumerate(held)}  # in the order of the queries that name them first
         self.terms = [np.array([self.number[w] for w in s], np.int64) for s in self.sets]
-        group, self.group = {}, np.zeros(len(self.number), np.int64)
-        for k, s in enumerate(self.terms):
-            for t in s.tolist():
-                self.group[t] = group.setdefault(t, k % GROUPS)
+        # a term that many queries hold is a group of its own, the others go with the query that names them first
+        self.group = np.zeros(len(self.number), np.int64)
+        for k in range(len(self.sets) - 1, -1, -1):
+            for w, t in zip(self.sets[k], self.terms[k]):
+                self.group[t] = k if held[w] < COMMON else len(self.sets) + t
 
     def matrix(self, weight: np.ndarray) -> np.ndarray:
         """Terms x queries."""
