@@ -3,12 +3,10 @@ cross-validation and permutation tests."""
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -16,44 +14,38 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from onsetlab.functions import pearson
-from onsetlab.operators import metrics, patterns, sampling
-from onsetlab.operators.patterns import array_stats
+from onsetlab.operators import fits, metrics, patterns, sampling
 from onsetlab.operators.sampling import shuffled
 from onsetlab.sources.store import settled
 
-#: Fits that run at one time.
-THREADS = 4
-ESTIMATORS = ("logistic_regression", "linear_svc", "nearest_centroid")
+ESTIMATORS = (*fits.FITTED, "nearest_centroid")
 
 
-def centroids(train: DataFrame, keys: list[str], label: str = "regressor_label") -> DataFrame:
-    """(keys, classes): for each key its classes with their mean patterns, in one array."""
-    means = array_stats(train, [*keys, label])
+def centroids(stats: DataFrame, keys: list[str], label: str = "regressor_label") -> DataFrame:
+    """(keys, classes): for each key its classes with their mean patterns, in one array, from statistics by class."""
+    means = patterns.class_means(stats, keys, label)
     return means.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(label).alias("label"), F.col("mean").alias("centre")))).alias("classes"))
 
 
 def centroid_predict(train: DataFrame, test: DataFrame, keys: list[str] = ("subject",), label: str = "regressor_label") -> DataFrame:
     """Test rows with scores (array of label and correlation) and predicted_label; of equal
     scores the first label counts. Classes are few and join by key, not by pair."""
+    return centroid_scores(patterns.class_stats(train, list(keys), label), test, keys, label)
+
+
+def centroid_scores(stats: DataFrame, test: DataFrame, keys: list[str] = ("subject",), label: str = "regressor_label") -> DataFrame:
+    """The same from statistics by class."""
     keys = list(keys)
-    given = test.join(centroids(train, keys, label), keys)
+    given = test.join(centroids(stats, keys, label), keys)
     scores = F.transform("classes", lambda c: F.struct(c["label"].alias("label"), pearson(F.col("features"), c["centre"]).alias("score")))
     given = given.withColumn("scores", scores).drop("classes", "features")
     best = F.array_min(F.transform("scores", lambda s: F.struct((-s["score"]).alias("s"), s["label"].alias("label"))))
     return given.withColumn("predicted_label", best["label"])
 
 
-def classifier(name: str, params: dict, n_rows: int):
-    """An estimator of the registry."""
-    if name == "logistic_regression":
-        return LogisticRegression(
-            featuresCol="vector", labelCol="label", weightCol="weight", regParam=1.0 / (params.get("C", 1.0) * max(1, n_rows)),
-            elasticNetParam=0.0, standardization=False, maxIter=int(params.get("max_iter", 5000)), tol=params.get("tol", 1e-6),
-        )
-    if name == "linear_svc":
-        svc = LinearSVC(featuresCol="vector", labelCol="label", weightCol="weight", regParam=1.0 / (params.get("C", 1.0) * max(1, n_rows)), maxIter=int(params.get("max_iter", 100)))
-        return OneVsRest(classifier=svc, featuresCol="vector", labelCol="label", weightCol="weight")
-    raise ValueError(f"unknown classifier {name!r}; the registry has {ESTIMATORS}")
+def class_code(categories: list[str], label: str = "regressor_label") -> Column:
+    """The label's place among the categories, -1 for none."""
+    return (F.coalesce(F.array_position(F.array(*map(F.lit, categories)), F.col(label)), F.lit(0)) - 1).cast("int")
 
 
 def with_chosen(rows: DataFrame, chosen: DataFrame, keys: list[str]) -> DataFrame:
@@ -62,45 +54,26 @@ def with_chosen(rows: DataFrame, chosen: DataFrame, keys: list[str]) -> DataFram
     return given.withColumn("vector", F.transform("voxel_idx", lambda i: F.get("features", i).cast("double"))).drop("voxel_idx")
 
 
-def fit_coefficients(train: DataFrame, chosen: DataFrame, keys: list[str], categories: list[str], name: str = "logistic_regression", params: dict | None = None, threads: int = THREADS) -> DataFrame:
+def fit_coefficients(train: DataFrame, chosen: DataFrame, keys: list[str], categories: list[str], name: str = "logistic_regression", params: dict | None = None) -> DataFrame:
     """(keys, label, weights, intercept) of each key's fit on its chosen features, in the order
     of categories; a category that the key's rows lack is not trained. Without a chosen feature
-    all classes score 0.
-
-    Rows are joined to their features once and kept; fits are a job each over their key's
-    rows, ``threads`` at a time. What comes back is a table, so that predicting is one join."""
-    label = F.array_position(F.array(*map(F.lit, categories)), F.col("regressor_label")) - 1
-    rows = with_chosen(train, chosen, keys).select(*keys, label.alias("code"), F.size("vector").alias("width"), array_to_vector("vector").alias("vector")).where("code >= 0").persist()
-    try:
-        # as many rows as fits
-        counts = rows.groupBy(*keys, "code").agg(F.count("*").alias("count"), F.max("width").alias("width"))
-        sizes = counts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("code", "count"))).alias("sizes"), F.max("width").alias("width")).collect()
-
-        def one(r):
-            sizes, n = {x["code"]: x["count"] for x in r["sizes"]}, sum(x["count"] for x in r["sizes"])
-            own = reduce(lambda d, k: d.where(F.col(k) == r[k]), keys, rows)
-            trained = list(sizes)
-            if len(trained) < 2:
-                return []
-            if not r["width"]:  # nothing chosen: all classes score the same
-                return [(*(r[k] for k in keys), categories[c], [], 0.0) for c in trained]
-            number = F.element_at(F.create_map(*(F.lit(x) for i, c in enumerate(trained) for x in (c, float(i)))), F.col("code"))
-            weight = F.element_at(F.create_map(*(F.lit(x) for c in trained for x in (c, n / (len(trained) * sizes[c])))), F.col("code"))
-            model = classifier(name, params or {}, n).fit(own.select("vector", number.alias("label"), weight.alias("weight")))
-            if hasattr(model, "models"):
-                weights, intercepts = [m.coefficients.toArray() for m in model.models], [m.intercept for m in model.models]
-            else:
-                weights, intercepts = list(model.coefficientMatrix.toArray()), list(model.interceptVector.toArray())
-            if len(weights) == 1:  # two classes: the one value points to the second
-                weights, intercepts = [-weights[0], weights[0]], [-intercepts[0], intercepts[0]]
-            return [(*(r[k] for k in keys), categories[c], list(map(float, w)), float(b)) for c, w, b in zip(trained, weights, intercepts)]
+    all classes score 0. All keys are fitted by the same jobs (see fits)."""
+    rows = with_chosen(train, chosen, keys).select(*keys, F.col("vector").alias("features"), F.array(class_code(categories)).alias("codes")).where("codes[0] >= 0")
+    return fits.fit_many(rows, keys, categories, name, params).select(*keys, "label", "weights", "intercept")
+
 
-        with ThreadPoolExecutor(threads) as pool:
-            made = [row for rows_of in pool.map(one, sizes) for row in rows_of]
-    finally:
-        rows.unpersist()
-    kinds = dict(train.dtypes)
-    return train.sparkSession.createDataFrame(made, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", label string, weights array<double>, intercept double")
+def fit_folds(rows: DataFrame, folds: DataFrame, chosen: DataFrame, categories: list[str], name: str = "logistic_regression", params: dict | None = None, unit: list[str] = ("run",)) -> DataFrame:
+    """(subject, fold, label, weights, intercept): for each fold the fit on the rows outside it.
+    A subject's folds are problems over the same rows, which keep the features that any of its folds chose."""
+    folds, unit = folds.select("subject", "fold", *unit).distinct(), list(unit)
+    union = chosen.groupBy("subject").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("voxel_idx")))).alias("kept"))
+    coded = sampling.outside_codes(rows.select("subject", *unit, "features", "regressor_label"), folds, class_code(categories), unit)
+    slim = coded.join(union, "subject").select("subject", "codes", F.transform("kept", lambda i: F.get("features", i)).alias("features")).where(F.exists("codes", lambda c: c >= 0))
+    numbers = folds.select("subject", "fold").distinct().withColumn("problem", F.row_number().over(Window.partitionBy("subject").orderBy("fold")) - 1)
+    places = chosen.join(numbers, ["subject", "fold"]).join(union, "subject")
+    places = places.select("subject", "problem", F.transform("voxel_idx", lambda i: (F.array_position("kept", i) - 1).cast("int")).alias("voxel_idx"))
+    fitted = fits.fit_many(slim, ["subject"], categories, name, params, places)
+    return fitted.join(numbers, ["subject", "problem"]).select("subject", "fold", "label", "weights", "intercept")
 
 
 def predict(test: DataFrame, chosen: DataFrame, coefficients: DataFrame, keys: list[str], categories: list[str]) -> DataFrame:
@@ -241,40 +214,108 @@ def permutation_centroid(rows: DataFrame, test: list[int] | Column, n: int, seed
     return both_metrics(settled(permuted_centroid_scores(rows, test, n, seed)), ["subject", "perm"])
 
 
-def permutation_fitted(rows: DataFrame, test: list[int] | Column, n: int, categories: list[str], name: str = "logistic_regression", params: dict | None = None, n_voxels: int | None = None, feat_p: float | None = None, seed: int = 0, threads: int = THREADS) -> DataFrame:
+#: Permutations that a task scores at one time.
+SCORED = 64
+
+
+def ranks(x: np.ndarray) -> np.ndarray:
+    """Ranks from 1 within each column, those of equal values averaged."""
+    order = np.argsort(x, axis=0, kind="stable")
+    y = np.take_along_axis(x, order, axis=0)
+    new = np.concatenate([np.ones((1, x.shape[1]), bool), y[1:] != y[:-1]])
+    place = np.arange(len(x))[:, None]
+    first = np.maximum.accumulate(np.where(new, place, 0), axis=0)
+    last = np.minimum.accumulate(np.where(np.concatenate([new[1:], new[:1]]), place, len(x))[::-1], axis=0)[::-1]
+    out = np.empty(x.shape)
+    np.put_along_axis(out, order, (first + last) / 2 + 1, axis=0)
+    return out
+
+
+def scored(scores: np.ndarray, truth: np.ndarray, trained: np.ndarray) -> tuple[float, float]:
+    """Accuracy, and mean one-vs-rest area under the curve of the trained classes (NaN if one has one side only)."""
+    own = truth[:, None] == trained[None, :]
+    a, r = own.sum(axis=0), (ranks(scores) * own).sum(axis=0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        area = np.where((a == 0) | (a == len(own)), np.nan, (r - a * (a + 1) / 2) / (a * (len(own) - a)))
+    return float((trained[scores.argmax(axis=1)] == truth).mean()), float(area.mean())
+
+
+def permutation_fitted(rows: DataFrame, test: list[int] | Column, n: int, categories: list[str], name: str = "logistic_regression", params: dict | None = None, n_voxels: int | None = None, feat_p: float | None = None, seed: int = 0) -> DataFrame:
     """As permutation_centroid, for fitted classifiers: selection and fit are done anew for each
-    (subject, permutation), a threshold widened on the real labels. Each fit is an MLlib job, so
-    a thousand of them are for a cluster that runs many side by side."""
-    keys = ["subject", "perm"]
-    labels = permuted_labels(rows, n, seed).select("subject", "volume", F.posexplode("given").alias("perm", "regressor_label"))
-    every = rows.drop("regressor_label").join(labels, ["subject", "volume"])
+    (subject, permutation), a threshold being widened on the subject's real labels. Patterns have the labels
+    of all permutations beside them, which are problems of one optimiser (see fits)."""
     held = held_out(test)
-    if feat_p is not None and not n_voxels:
-        real = patterns.select_features(rows.where(~held), ["subject"], None, feat_p).agg(F.max("threshold_used")).first()[0]
-        p = patterns.anova_p(every.where(~held), keys=keys).where(F.col("p") < real)
-        below = p.groupBy(*keys).agg(F.sort_array(F.collect_list(F.col("voxel").cast("int"))).alias("voxel_idx"))
-        chosen = every.select(*keys).distinct().join(below, keys, "left").withColumn("voxel_idx", F.coalesce("voxel_idx", F.array().cast("array<int>")))
+    labels = permuted_labels(rows, n, seed)
+    place = F.array(*map(F.lit, categories))
+    codes = F.transform("given", lambda g: (F.coalesce(F.array_position(place, g), F.lit(0)) - 1).cast("int"))
+    coded = rows.select("subject", "volume", held.alias("held"), "features").join(labels, ["subject", "volume"])
+    coded = settled(coded.select("subject", "volume", "held", "features", codes.alias("codes")))
+    if n_voxels:
+        select, threshold = ("best", n_voxels), None
+    elif feat_p is not None:
+        real = patterns.select_features(rows.where(~held), ["subject"], None, feat_p)
+        select, threshold = ("below", feat_p), real.select("subject", F.col("threshold_used").alias("threshold"))
     else:
-        chosen = patterns.select_features(every.where(~held), keys, n_voxels, None)
-    fitted = fit_coefficients(every.where(~held), chosen, keys, categories, name, params, threads)
-    return both_metrics(settled(predict(every.where(held), chosen, fitted, keys, categories)), keys)
+        select = threshold = None
+    fitted = fits.fit_many(coded.where("not held"), ["subject"], categories, name, params, None, select, threshold)
+    one, many = _scored_permutations(coded.where("held"), fitted, categories)
+    return one.unionByName(both_metrics(settled(many), ["subject", "perm"]).select("subject", "perm", "metric", "value"))
+
+
+def _scored_permutations(tests: DataFrame, fitted: DataFrame, categories: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Metrics by permutation where a subject's test rows are one block, and predictions for the other subjects."""
+    about = settled(tests.groupBy("subject").agg(F.greatest(F.lit(1), F.ceil(F.count("*") * F.max(F.size("features")) * 8 / fits.BLOCK_BYTES)).cast("int").alias("blocks")))
+    by = ["subject", "chunk", "block"]
+    deal = fitted.withColumn("chunk", F.floor(F.col("problem") / SCORED).cast("int"))
+    chunks = deal.select("subject", "chunk").distinct()
+    dealt = tests.join(about, "subject").withColumn("block", F.pmod(F.xxhash64("volume"), F.col("blocks")).cast("int")).join(chunks, "subject")
+    models_of = deal.join(about.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))), "subject")
+    models_of = models_of.toDF(*models_of.columns)
+
+    def each(fit: pd.DataFrame, pdf: pd.DataFrame):
+        x, codes = np.array(pdf["features"].tolist(), float), np.array(pdf["codes"].tolist(), int)
+        for problem, own in fit.groupby("problem"):
+            trained = np.array([categories.index(c) for c in own["label"]])
+            order = np.argsort(trained)
+            idx = np.asarray(own["voxel_idx"].iloc[0], int)
+            w = np.array(own["weights"].tolist(), float).reshape(len(own), -1)[order]
+            yield int(problem), trained[order], x[:, idx] @ w.T + own["intercept"].to_numpy()[order], codes[:, int(problem)]
+
+    def measured(key, fit, pdf):
+        out = []
+        if len(fit) and len(pdf):
+            for problem, trained, scores, truth in each(fit, pdf):
+                out += [(key[0], problem, m, v) for m, v in zip(("accuracy", "roc_auc_ovr"), scored(scores, truth, trained))]
+        return pd.DataFrame(out, columns=["subject", "perm", "metric", "value"])
+
+    def predicted(key, fit, pdf):
+        out = []
+        if len(fit) and len(pdf):
+            for problem, trained, scores, truth in each(fit, pdf):
+                names = [categories[c] for c in trained]
+                for volume, row, t in zip(pdf["volume"], scores, truth):
+                    out.append((key[0], problem, int(volume), categories[t] if t >= 0 else None, names[int(row.argmax())], [{"label": a, "score": float(b)} for a, b in zip(names, row)]))
+        return pd.DataFrame(out, columns=["subject", "perm", "volume", "regressor_label", "predicted_label", "scores"])
+
+    side = lambda d, which: d.where(which).groupBy(*by)
+    one = side(models_of, "blocks = 1").cogroup(side(dealt, "blocks = 1")).applyInPandas(measured, "subject string, perm int, metric string, value double")
+    schema = "subject string, perm int, volume long, regressor_label string, predicted_label string, scores array<struct<label:string,score:double>>"
+    return one, side(models_of, "blocks > 1").cogroup(side(dealt, "blocks > 1")).applyInPandas(predicted, schema)
 
 
 def compare_baselines(rows: DataFrame, test_runs: list[int], categories: list[str], methods: tuple[str, ...] = ("nearest_centroid", "linear_svc"), params: dict | None = None) -> DataFrame:
     """(subject, method, protocol, metric, value): each method on the split by test_runs and, as
     a mean over folds, with each run left out once. No features are selected."""
-    held = F.col("run").isin(test_runs)
-    folds = sampling.per_run(sampling.fold_universe(rows))
-    outside, within = sampling.split_runs(rows, folds)
-    zero = lambda d: d.withColumn("fold", F.lit(0))
-    keys, out = ["subject", "fold"], []
-    for protocol, train, test in (("matched_split", zero(rows.where(~held)), zero(rows.where(held))), ("leave_one_run_out", outside, within)):
+    matched = sampling.fold_universe(rows).where(F.col("run").isin(test_runs)).withColumn("fold", F.lit(0))
+    by_run, out = settled(patterns.class_stats(rows, ["subject", "run"])), []
+    for protocol, folds in (("matched_split", matched), ("leave_one_run_out", sampling.per_run(sampling.fold_universe(rows)))):
+        stats, test = patterns.stats_outside(by_run, folds), sampling.held_rows(rows, folds)
         for method in methods:
             if method == "nearest_centroid":
-                pred = centroid_predict(train, test, keys)
+                pred = centroid_scores(stats, test, ["subject", "fold"])
             else:
-                chosen = patterns.select_features(train, keys)
-                pred = predict(test, chosen, fit_coefficients(train, chosen, keys, categories, method, params), keys, categories)
-            each = both_metrics(settled(pred), keys).groupBy("subject", "metric").agg(F.avg("value").alias("value"))
+                chosen = patterns.select_by(stats, ["subject", "fold"])
+                pred = predict(test, chosen, fit_folds(rows, folds, chosen, categories, method, params), ["subject", "fold"], categories)
+            each = both_metrics(settled(pred), ["subject", "fold"]).groupBy("subject", "metric").agg(F.avg("value").alias("value"))
             out.append(each.select("subject", F.lit(method).alias("method"), F.lit(protocol).alias("protocol"), "metric", "value"))
     return reduce(DataFrame.unionByName, out)

@@ -54,11 +54,45 @@ def zscore(patterns: DataFrame, key: str = "boldfile") -> DataFrame:
     return patterns.join(s, key).withColumn("features", z).drop("scale")
 
 
+def class_stats(df: DataFrame, keys: list[str], label: str = "regressor_label") -> DataFrame:
+    """(keys, label, n, sum, sumsq): what selection and centroids need of the rows."""
+    return array_stats(df, [*keys, label]).select(*keys, label, "n", "sum", "sumsq")
+
+
+def added(stats: DataFrame, keys: list[str]) -> DataFrame:
+    """Statistics of units added up by key."""
+    total = lambda c: Summarizer.metrics("sum").summary(array_to_vector(F.col(c))).alias(c)
+    out = stats.groupBy(*keys).agg(F.sum("n").alias("n"), total("sum"), total("sumsq"))
+    return out.select(*keys, "n", *(vector_to_array(F.col(c)["sum"]).alias(c) for c in ("sum", "sumsq")))
+
+
+def stats_outside(by_unit: DataFrame, folds: DataFrame, unit: list[str] = ("run",), label: str = "regressor_label") -> DataFrame:
+    """(subject, fold, label, n, sum, sumsq) of the rows outside each fold, from statistics by
+    (subject, unit, label): all of the subject's less those of the fold's units. The
+    rows themselves are read once to make ``by_unit``, however many folds there are."""
+    unit = list(unit)
+    total = added(by_unit, ["subject", label]).toDF("subject", label, "n", "sum", "sumsq")
+    held = added(by_unit.join(folds.select("subject", "fold", *unit).distinct(), ["subject", *unit]), ["subject", "fold", label])
+    held = held.toDF("subject", "fold", label, "n_held", "sum_held", "sumsq_held")
+    every = total.join(folds.select("subject", "fold").distinct(), "subject").join(held, ["subject", "fold", label], "left")
+    less = lambda c: F.when(F.col("n_held").isNull(), F.col(c)).otherwise(F.zip_with(c, f"{c}_held", lambda a, b: a - b)).alias(c)
+    return every.select("subject", "fold", label, (F.col("n") - F.coalesce("n_held", F.lit(0))).alias("n"), less("sum"), less("sumsq")).where("n > 0")
+
+
+def class_means(stats: DataFrame, keys: list[str], label: str = "regressor_label") -> DataFrame:
+    """(keys, label, mean)."""
+    return stats.select(*keys, label, F.transform("sum", lambda x: x / F.col("n")).alias("mean"))
+
+
 def anova(df: DataFrame, label: str = "regressor_label", keys: list[str] = ("subject",)) -> DataFrame:
     """F of each feature over the classes, per key, with its degrees of freedom:
     (keys, voxel, f, between, within)."""
+    return anova_of(class_stats(df, list(keys), label), keys)
+
+
+def anova_of(s: DataFrame, keys: list[str]) -> DataFrame:
+    """The same from statistics by class."""
     keys = list(keys)
-    s = array_stats(df, [*keys, label])
     flat = s.select(*keys, "n", F.posexplode(F.arrays_zip("sum", "sumsq")).alias("voxel", "m"))
     g = flat.groupBy(*keys, "voxel").agg(F.sum("n").alias("n"), F.count("*").alias("k"), F.sum("m.sum").alias("t"), F.sum("m.sumsq").alias("q"), F.sum(F.col("m.sum") * F.col("m.sum") / F.col("n")).alias("b"))
     between, within = F.col("b") - F.col("t") * F.col("t") / F.col("n"), F.col("q") - F.col("b")
@@ -95,13 +129,17 @@ def upper_tail(f: np.ndarray, between: np.ndarray, within: np.ndarray) -> np.nda
 
 def anova_p(df: DataFrame, label: str = "regressor_label", keys: list[str] = ("subject",)) -> DataFrame:
     """(keys, voxel, p, f) of all keys in one job; an undefined p is 1."""
+    return anova_p_of(class_stats(df, list(keys), label), keys)
+
+
+def anova_p_of(stats: DataFrame, keys: list[str]) -> DataFrame:
 
     @F.pandas_udf("double")
     def tail(f: pd.Series, between: pd.Series, within: pd.Series) -> pd.Series:
         return pd.Series(upper_tail(*(np.maximum(x.to_numpy(float), 0.0) for x in (f, between, within))))
 
     p = tail("f", F.col("between").cast("double"), F.col("within").cast("double"))
-    return anova(df, label, keys).select(*keys, "voxel", F.coalesce(F.nanvl(p, F.lit(1.0)), F.lit(1.0)).alias("p"), "f")
+    return anova_of(stats, keys).select(*keys, "voxel", F.coalesce(F.nanvl(p, F.lit(1.0)), F.lit(1.0)).alias("p"), "f")
 
 
 def select_below(p: DataFrame, threshold: float, least: int = 5, keys: list[str] = ("subject",)) -> DataFrame:
@@ -124,11 +162,16 @@ def select_best(f: DataFrame, n: int, keys: list[str] = ("subject",)) -> DataFra
 def select_features(train: DataFrame, keys: list[str], n_voxels: int | None = None, feat_p: float | None = None, label: str = "regressor_label") -> DataFrame:
     """(keys, voxel_idx, threshold_p, threshold_used, selected_voxels, whole_voxels) of all keys in
     one job: the n_voxels best by F, else those below feat_p, widened; all without either."""
-    whole = train.groupBy(*keys).agg(F.max(F.size("features")).alias("whole_voxels"))
+    return select_by(class_stats(train, list(keys), label), keys, n_voxels, feat_p)
+
+
+def select_by(stats: DataFrame, keys: list[str], n_voxels: int | None = None, feat_p: float | None = None) -> DataFrame:
+    """The same from statistics by class."""
+    whole = stats.groupBy(*keys).agg(F.max(F.size("sum")).alias("whole_voxels"))
     if n_voxels is None and feat_p is None:
         chosen = whole.select(*keys, F.sequence(F.lit(0), F.col("whole_voxels") - 1).alias("voxel_idx"), F.lit(None).cast("double").alias("threshold_used"))
     else:
-        kept = select_best(anova(train, label, keys), n_voxels, keys).withColumn("threshold_used", F.lit(None).cast("double")) if n_voxels else select_below(anova_p(train, label, keys), feat_p, keys=keys)
+        kept = select_best(anova_of(stats, keys), n_voxels, keys).withColumn("threshold_used", F.lit(None).cast("double")) if n_voxels else select_below(anova_p_of(stats, keys), feat_p, keys=keys)
         chosen = kept.groupBy(*keys).agg(F.sort_array(F.collect_list(F.col("voxel").cast("int"))).alias("voxel_idx"), F.first("threshold_used").alias("threshold_used"))
     nan = F.lit(float("nan"))
     threshold = nan if n_voxels or feat_p is None else F.lit(float(feat_p))

@@ -33,6 +33,23 @@ def split_trials(df: DataFrame, folds: DataFrame) -> tuple[DataFrame, DataFrame]
     return every.join(folds.select(*keys), keys, "left_anti"), every.join(folds.select(*keys), keys, "left_semi")
 
 
+def held_rows(df: DataFrame, folds: DataFrame, unit: list[str] = ("run",)) -> DataFrame:
+    """Rows with the fold that holds their unit out; a row goes as often as folds hold it."""
+    keys = ["subject", *unit]
+    return df.join(folds.select(*keys, "fold").distinct(), keys)
+
+
+def outside_codes(df: DataFrame, folds: DataFrame, code: Column, unit: list[str] = ("run",)) -> DataFrame:
+    """Adds fold_numbers (the subject's folds, ascending) and codes: for each of them the row's
+    code, or -1 if the fold holds the row out. Rows aren't multiplied by folds."""
+    keys = ["subject", *unit]
+    numbers = folds.groupBy("subject").agg(F.sort_array(F.collect_set("fold")).alias("fold_numbers"))
+    held = folds.groupBy(*keys).agg(F.collect_set("fold").alias("__held"))
+    own = df.withColumn("__code", code).join(numbers, "subject").join(held, keys, "left")
+    out = lambda f: F.coalesce(F.array_contains("__held", f), F.lit(False))
+    return own.withColumn("codes", F.transform("fold_numbers", lambda f: F.when(out(f), -1).otherwise(F.col("__code")))).drop("__code", "__held")
+
+
 def one_per_trial(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn("__nth", nth).where("__nth = 1").drop("__nth")
@@ -137,9 +154,9 @@ def validate_strategy(cv: dict | None) -> list[str]:
 
 
 def fold_status(folds: DataFrame, train: DataFrame, test: DataFrame, decode: DataFrame | None = None) -> DataFrame:
-    """Rows of each fold by use, and whether it is skipped."""
+    """Rows of each fold by use, and whether it is skipped. Tables of counts have them in ``n_rows``."""
     keys = ["subject", "fold"]
-    count = lambda d, n: d.groupBy(*keys).agg(F.count("*").alias(n))
+    count = lambda d, n: d.groupBy(*keys).agg((F.sum("n_rows") if "n_rows" in d.columns else F.count("*")).alias(n))
     out = folds.select(*keys).distinct().join(count(train, "n_train"), keys, "left").join(count(test, "n_test"), keys, "left")
     out = out.join(count(decode, "n_decode"), keys, "left") if decode is not None else out.withColumn("n_decode", F.lit(0))
     out = out.fillna(0, ["n_train", "n_test", "n_decode"])
@@ -160,13 +177,23 @@ def shuffled(seed: int, *columns: str) -> Column:
 
 def trial_folds(trials: DataFrame, label: str = "regressor_label", most: int = 4, seed: int = 0) -> DataFrame:
     """(subject, run, trial_index, label, fold): each class's trials dealt in a shuffled
-    order; at most ``most`` folds, and no more than the rarest class has trials."""
+    order; at most ``most`` folds, and no more than the rarest class has trials. Subjects with a
+    class of one trial have no folds (see rare_classes); raises if all are such."""
     one = one_per_trial(trials, ["subject", "run", "trial_index"], [label]).select("subject", "run", "trial_index", label)
     k = one.groupBy("subject", label).count().groupBy("subject").agg(F.least(F.lit(most), F.min("count")).cast("int").alias("k"))
+    least = k.agg(F.max("k")).first()[0]
+    if least is not None and least < 2:
+        raise ValueError("no subject has two trials of each class to make folds of")
     order = Window.partitionBy("subject", label).orderBy(shuffled(seed, "run", "trial_index"), "run", "trial_index")
     dealt = one.withColumn("nth", F.row_number().over(order)).join(k, "subject")
     return dealt.where("k >= 2").withColumn("fold", F.pmod(F.col("nth") - 1, F.col("k")) + 1).drop("nth", "k")
 
 
+def rare_classes(trials: DataFrame, label: str = "regressor_label", least: int = 2) -> DataFrame:
+    """(subject, label, n_trials) of classes with fewer trials than folds need; their subjects have none."""
+    one = trials.select("subject", "run", "trial_index", label).distinct()
+    return one.groupBy("subject", label).agg(F.count("*").alias("n_trials")).where(F.col("n_trials") < least)
+
+
 def fold_manifest(folds: DataFrame) -> DataFrame:
     return folds.groupBy("subject", "fold").agg(F.sort_array(F.collect_set("run")).alias("runs"))

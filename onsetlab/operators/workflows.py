@@ -2,10 +2,10 @@
 
 Tables in, tables out: volumes (build_volumes), patterns (boldfile, volume, features; with
 subject and session where masks are given), recordings (boldfile, tr, n_frames), masks
-(subject, session, voxel_idx). All subjects and folds are keys of the same jobs: choosing
-features is one job, predicting one join with a table of coefficients. Only the fits of
-logistic_regression and linear_svc are a job each, over kept rows of their key, which run
-side by side. nearest_centroid is one job for all of them.
+(subject, session, voxel_idx). All subjects and folds are keys of the same jobs. Statistics are
+made once by the unit that folds hold out; choosing features and mean patterns subtract a fold's units from
+all, so training rows are never multiplied by folds. Fits of all folds share
+their subject's rows (see fits), and predicting is one join with a table of coefficients.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ def sections(table: DataFrame, frames: DataFrame, recordings: DataFrame, config:
         raise ValueError("; ".join(errors))
     if masks is not None:
         frames = patterns.apply_mask(frames, patterns.resolve_masks(frames, masks), ["subject", "session"])
-    scored = patterns.zscore(frames)
+    scored = settled(patterns.zscore(frames)) if len(config["model_conditions"]) > 1 else patterns.zscore(frames)
     out = {}
     for name, section in config["model_conditions"].items():
         rows = conditions.label_rows(table, section["conditions"])
@@ -44,15 +44,23 @@ def sections(table: DataFrame, frames: DataFrame, recordings: DataFrame, config:
 
 def inner_folds(train: DataFrame) -> DataFrame:
     """(subject, fold, run, trial_index): each run held out once where all runs of the
-    subject have the same classes, else trials dealt by class."""
+    subject have the same classes, else trials dealt by class. Subjects of the second kind with a
+    class of one trial have none (see sampling.rare_classes); raises if no subject has any."""
     same = sampling.homogeneous_runs(train)
     trials = train.select("subject", "run", "trial_index").distinct()
     runs = sampling.per_run(sampling.fold_universe(train.join(same.where("homogeneous"), "subject", "left_semi")))
     by_run = trials.join(runs, ["subject", "run"])
-    by_trial = sampling.trial_folds(train.join(same.where("not homogeneous"), "subject", "left_semi"))
+    others = train.join(same.where("not homogeneous"), "subject", "left_semi")
+    by_trial = sampling.trial_folds(others.join(sampling.rare_classes(others), "subject", "left_anti"))
     return by_run.select(*KEYS, "run", "trial_index").unionByName(by_trial.select(*KEYS, "run", "trial_index"))
 
 
+def unfolded(train: DataFrame) -> DataFrame:
+    """(subject, regressor_label, n_trials): classes for whose want a subject is not cross-validated."""
+    same = sampling.homogeneous_runs(train)
+    return sampling.rare_classes(train.join(same.where("not homogeneous"), "subject", "left_semi"))
+
+
 def outer_folds(universe: DataFrame, cv: dict | None) -> tuple[DataFrame, DataFrame]:
     """(subject, run, fold) by the strategy of kfold_cv, and warnings (subject, run_text, problem)."""
     errors = sampling.validate_strategy(cv)
@@ -70,26 +78,37 @@ def outer_folds(universe: DataFrame, cv: dict | None) -> tuple[DataFrame, DataFr
 
 
 class Fitted:
-    """What training rows of each (subject, fold) fit: chosen features, class weights and maps."""
+    """What the rows outside each (subject, fold) fit: chosen features, class weights and maps. Without
+    folds all rows are trained on, as fold 0. ``unit``: the columns that folds hold out."""
 
-    def __init__(self, train: DataFrame, categories: list[str], model: dict):
-        self.train, self.categories, how, chosen = train, categories, model["classifier"], model["featureSelection"]
+    def __init__(self, rows: DataFrame, categories: list[str], model: dict, folds: DataFrame | None = None, unit: list[str] = ("run",)):
+        self.categories, how, chosen = categories, model["classifier"], model["featureSelection"]
         self.centroid = how["name"] == "nearest_centroid"
         self.descr = model.get("desc", how["name"])
+        rows = rows.where(F.col("regressor_label").isin(list(categories)))
+        if folds is None:
+            self.stats = settled(patterns.class_stats(rows.withColumn("fold", F.lit(0)), KEYS))
+        else:
+            self.stats = settled(patterns.stats_outside(settled(patterns.class_stats(rows, ["subject", *unit])), folds, unit))
         # without selection the centroid classifier sees all features
-        self.chosen = settled(patterns.select_features(train, KEYS, *(() if self.centroid else (chosen.get("n_voxels"), chosen.get("feat_p")))))
-        self.coefficients = None if self.centroid else models.fit_coefficients(train, self.chosen, KEYS, categories, how["name"], how.get("params"))
+        self.chosen = settled(patterns.select_by(self.stats, KEYS, *(() if self.centroid else (chosen.get("n_voxels"), chosen.get("feat_p")))))
+        if self.centroid:
+            self.coefficients = None
+        elif folds is None:
+            self.coefficients = models.fit_coefficients(rows.withColumn("fold", F.lit(0)), self.chosen, KEYS, categories, how["name"], how.get("params"))
+        else:
+            self.coefficients = models.fit_folds(rows, folds, self.chosen, categories, how["name"], how.get("params"), unit)
 
     def predict(self, test: DataFrame) -> DataFrame:
         """Predictions for the test rows by their key's fit, written once; keys without one are left out."""
         if self.centroid:
-            return settled(models.centroid_predict(self.train, test, KEYS))
+            return settled(models.centroid_scores(self.stats, test, KEYS))
         return settled(models.predict(test, self.chosen, self.coefficients, KEYS, self.categories))
 
     def maps(self) -> DataFrame:
         """(subject, fold, label, weights) in the full feature space: class weights, or mean patterns."""
         if self.centroid:
-            return patterns.array_stats(self.train, [*KEYS, "regressor_label"]).select(*KEYS, F.col("regressor_label").alias("label"), F.col("mean").alias("weights"))
+            return patterns.class_means(self.stats, KEYS).toDF(*KEYS, "label", "weights")
         return models.importance(self.coefficients, self.chosen, KEYS)
 
     def decoded(self, pred: DataFrame) -> DataFrame:
@@ -129,18 +148,22 @@ def run_generalization(table: DataFrame, frames: DataFrame, recordings: DataFram
     section; decode.
 
     cv_metrics and cv_importance (means over the inner folds), fold_metrics (each of them),
+    cv_skipped (classes with too few trials, by subject that is not cross-validated for them),
     metrics and importance (testing, fold 0), where the configuration asks for it
     permutation_test, and where the section is given decoding and decoding_summary."""
     parts = sections(table, frames, recordings, config, masks)
     model = conditions.model_config(config.get("model"))
     categories = list(config["model_conditions"]["training"]["conditions"])
     train = parts["training"]
-    inner_train, inner_test = sampling.split_trials(balanced := settled(sampling.balance(train)), inner_folds(balanced))
-    inner = Fitted(inner_train, categories, model)
-    each = settled(scores(inner.predict(inner_test), categories))
-    out = {"cv_metrics": metrics.fold_average(each, ["subject"]), "fold_metrics": each, "cv_importance": mean_maps(inner.maps())}
+    balanced, unit = settled(sampling.balance(train)), ["run", "trial_index"]
+    folds = settled(inner_folds(balanced))
+    if folds.isEmpty():
+        raise ValueError("no subject can be cross-validated: each has a class with one trial")
+    inner = Fitted(balanced, categories, model, folds, unit)
+    each = settled(scores(inner.predict(sampling.held_rows(balanced, folds, unit)), categories))
+    out = {"cv_metrics": metrics.fold_average(each, ["subject"]), "fold_metrics": each, "cv_skipped": unfolded(balanced), "cv_importance": mean_maps(inner.maps())}
     whole = lambda df: df.withColumn("fold", F.lit(0))
-    final = Fitted(whole(train), categories, model)  # not balanced: its fit weighs the classes
+    final = Fitted(train, categories, model)  # not balanced: its fit weighs the classes
     out |= {"metrics": scores(final.predict(whole(parts["testing"])), categories), "importance": final.maps()}
     if "permutation_test" in model:
         out["permutation_test"] = significance(train, parts["testing"], categories, model)
@@ -169,22 +192,21 @@ def run_kfold(table: DataFrame, frames: DataFrame, recordings: DataFrame, config
     train = parts.pop("training")
     folds, warnings = outer_folds(sampling.fold_universe(*parts.values()), model.get("kfold_cv"))
     folds = settled(folds)
-    outside, _ = sampling.split_runs(train, folds)
-    within = {n: sampling.split_runs(t, folds)[1] for n, t in parts.items()}
-    # rows without their features are enough to count
-    light = {n: sampling.split_runs(t.drop("features"), folds)[1] for n, t in parts.items()}
-    status = settled(sampling.fold_status(folds, sampling.split_runs(train.drop("features"), folds)[0], light["testing"], light.get("timecourse_decoding")))
+    within = {n: sampling.held_rows(t, folds) for n, t in parts.items()}
+    tally = lambda t: t.groupBy("subject", "run").agg(F.count("*").alias("n_rows"))
+    light = {n: sampling.held_rows(tally(t), folds) for n, t in parts.items()}
+    status = settled(sampling.fold_status(folds, sampling.split_runs(tally(train), folds)[0], light["testing"], light.get("timecourse_decoding")))
     if status.where("status = 'run' and n_test > 0").isEmpty():
         raise ValueError("every fold was skipped: none has rows to train on and rows to score")
     run = status.where("status = 'run'").select(*KEYS)
-    fitted = Fitted(outside.join(run, KEYS, "left_semi"), categories, model)
+    fitted = Fitted(train, categories, model, folds.join(run, KEYS, "left_semi"))
     each = settled(scores(fitted.predict(within["testing"]), categories))
     scored = fitted.maps().join(status.where("n_test > 0").select(*KEYS), KEYS, "left_semi")
     out = {"folds": status, "fold_warnings": warnings, "manifest": sampling.fold_manifest(folds), "fold_metrics": each, "metrics": metrics.fold_average(each, ["subject"]), "importance": fitted.maps(), "mean_importance": mean_maps(scored)}
     if "permutation_test" in model:
         # a fold of a subject is shuffled for itself
         unit = lambda df: df.join(run, KEYS, "left_semi").withColumn("subject", F.concat_ws("\0", "subject", "fold"))
-        tested = significance(unit(outside), unit(within["testing"]), categories, model)
+        tested = significance(unit(sampling.split_runs(train, folds)[0]), unit(within["testing"]), categories, model)
         parts_of = F.split("subject", "\0")
         out["permutation_test"] = tested.withColumn("fold", parts_of[1].cast("int")).withColumn("subject", parts_of[0])
     if "timecourse_decoding" in within:

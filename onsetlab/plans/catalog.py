@@ -23,6 +23,7 @@ from onsetlab.operators import volumes as V
 from onsetlab.operators import workflows
 from onsetlab.plans import views as W
 from onsetlab.sources import tables
+from onsetlab.sources.store import settled
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -134,13 +135,8 @@ def clean_and_subject(spark, d):
     return V.of_subject(V.drop_bad_volumes(bad), "01").select("event_id", F.col("volume_of_interest").cast("long").alias("volume_of_interest"))
 
 
-@query(f"with {W.VOLUMES}, g as (select boldfile, trial_index, min(trial_type) as trial_type, list_sort(list(volume_of_interest)) as a from v group by all) select boldfile, cast(trial_index as bigint) as trial_index, trial_type, " + ", ".join(f"a[{k}] as vol_of_interest_{k}" for k in range(1, 7)) + " from g")
-def trial_pivot(spark, d):
-    return V.trial_pivot(_volumes(spark, d), ["boldfile", "trial_index"], 6, ["trial_type"]).withColumn("trial_index", F.col("trial_index").cast("long"))
-
-
 @query(f"with {W.VOLUMES}, g as (select boldfile, trial_index, min(trial_type) as trial_type, list_sort(list(volume_of_interest)) as a from v group by all) select boldfile, cast(trial_index as bigint) as trial_index, trial_type, array_to_string(a, ',') as volumes from g")
-def trial_pivot_whole(spark, d):
+def trial_pivot(spark, d):
     """The pivot at the width of the widest event; its columns, as many as the data asks for, are shown as one text."""
     wide = V.trial_pivot(_volumes(spark, d), ["boldfile", "trial_index"], carried=["trial_type"])
     volumes = F.concat_ws(",", *(F.col(c).cast("string") for c in wide.columns if c.startswith("vol_of_interest_")))
@@ -273,14 +269,6 @@ def concat_events(spark, d):
     return out.select("event_id", "boldfile", r6("onset").alias("onset"))
 
 
-@query(f"with {W.OBSERVATIONS} select boldfile, cast(volume as bigint) as volume, round(features[1], 6) as first_voxel from o where boldfile = 'emb-0' union all select 'emb-0', cast(volume + 100000 as bigint), round(features[1], 6) from o where boldfile = 'emb-2'")
-def concat_patterns(spark, d):
-    o = W.observations(spark, d)
-    pairs = spark.sql("select 'emb-0' as boldfile_a, 'emb-2' as boldfile_b, 100000 as n_frames_a")
-    out = S.concat_patterns(o.where("boldfile = 'emb-0'"), o.where("boldfile = 'emb-2'"), pairs)
-    return out.select("boldfile", F.col("volume").cast("long").alias("volume"), r6(F.col("features")[0]).alias("first_voxel"))
-
-
 @query(
     f"""with {W.FLAT}, r as (select subject, case when run % 2 = 1 then 'loc' else 'WM' end as task, run, boldfile, max(volume) + 1 as n_frames from o group by all),
  nth as (select *, row_number() over (partition by subject, task order by run) as nth from r),
@@ -288,7 +276,7 @@ def concat_patterns(spark, d):
  select boldfile, cast(volume as bigint) as volume, cast(voxel as bigint) as voxel, round(x, 6) + 0.0 as value from f where run % 2 = 1
  union all select boldfile_a, cast(volume + n_frames_a as bigint), cast(voxel as bigint), round(x, 6) + 0.0 from f join pairs on f.boldfile = pairs.boldfile_b"""
 )
-def concat_patterns_whole(spark, d):
+def concat_patterns(spark, d):
     """All recordings: odd runs are one task and even runs the other, paired within the
     subject; a recording has as many frames as its last frame's number tells."""
     o = W.observations(spark, d)
@@ -377,10 +365,16 @@ def _predicted(spark, d) -> DataFrame:
     return M.with_evidence(models.centroid_predict(o.where(~held), o.where(held)))
 
 
+def _run_stats(o: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Folds that leave each run out once, and statistics by class outside each."""
+    folds = S.fold_universe(o).withColumn("fold", F.col("run"))
+    return folds, P.stats_outside(P.class_stats(o, ["subject", "run"]), folds)
+
+
 def _kfold(spark, d) -> DataFrame:
     o = W.observations(spark, d)
-    train, test = S.split_runs(o, S.fold_universe(o).withColumn("fold", F.col("run")))
-    return M.with_evidence(models.centroid_predict(train, test, ["subject", "fold"]))
+    folds, stats = _run_stats(o)
+    return M.with_evidence(models.centroid_scores(stats, S.held_rows(o, folds), ["subject", "fold"]))
 
 
 PRED = W.centroid_sql()
@@ -444,6 +438,12 @@ def baseline_comparison(spark, d):
     return out.select("subject", "method", "protocol", "metric", F.isnan("value").alias("one_sided"), r6(F.when(F.isnan("value"), -1.0).otherwise(F.col("value"))).alias("value"))
 
 
+@query()
+def baseline_comparison_svm(spark, d):
+    """The other method of the comparison: linear SVMs on both protocols."""
+    return models.compare_baselines(W.observations(spark, d), W.TEST_RUNS, CATEGORIES, ("linear_svc",))
+
+
 @query(f"with {PRED} select volume, cat, round(case when cat in ('c0', 'c1') and n2 then null else evidence end, 6) as evidence, round(1 / (1 + exp(-score)), 6) as sigmoid from (select *, false as n2 from p)")
 def decision_evidence_scores(spark, d):
     p = _predicted(spark, d)
@@ -462,8 +462,7 @@ def fold_average(spark, d):
 @query(f"with {W.KFOLD}, i as (select subject, cat as label, voxel, avg(m) as value from m group by all) select subject, label, voxel, round(value, 6) as value from i")
 def importance_average(spark, d):
     o = W.observations(spark, d)
-    train, _ = S.split_runs(o, S.fold_universe(o).withColumn("fold", F.col("run")))
-    maps = P.array_stats(train, ["subject", "fold", "regressor_label"]).select("subject", F.col("regressor_label").alias("label"), F.col("mean").alias("features"))
+    maps = P.class_means(_run_stats(o)[1], ["subject", "fold"]).select("subject", F.col("regressor_label").alias("label"), F.col("mean").alias("features"))
     return _long(P.array_stats(maps, ["subject", "label"]).select("subject", "label", F.col("mean").alias("features")), "subject", "label")
 
 
@@ -522,22 +521,17 @@ def linear_svc_fit(spark, d):
 def kfold_logistic(spark, d):
     """Every run of every subject is left out once."""
     o = W.observations(spark, d)
-    folds = S.per_run(S.fold_universe(o))
-    train, test = S.split_runs(o, folds)
-    keys = ["subject", "fold"]
-    chosen = P.select_features(train, keys, n_voxels=16)
-    fitted = models.fit_coefficients(train, chosen, keys, CATEGORIES, "logistic_regression", PARAMS)
-    return M.accuracy(models.predict(test, chosen, fitted, keys, CATEGORIES), keys)
-
-
-#: Each is a fit of its own, so these are few.
-N_FITTED_PERM = 20
+    folds, keys = S.per_run(S.fold_universe(o)), ["subject", "fold"]
+    chosen = settled(P.select_by(P.stats_outside(P.class_stats(o, ["subject", "run"]), folds), keys, n_voxels=16))
+    fitted = models.fit_folds(o, folds, chosen, CATEGORIES, "logistic_regression", PARAMS)
+    return M.accuracy(models.predict(S.held_rows(o, folds), chosen, fitted, keys, CATEGORIES), keys)
 
 
 @query()
 def permutation_logistic(spark, d):
-    scores = models.permutation_fitted(W.observations(spark, d), W.TEST_RUNS, N_FITTED_PERM, CATEGORIES, "logistic_regression", PARAMS, n_voxels=16)
-    return models.permutation_p(scores, ["subject", "metric"])
+    """Selection and fit anew for each permutation, as many as the centroid's test has."""
+    scores = models.permutation_fitted(W.observations(spark, d), W.TEST_RUNS, N_PERM, CATEGORIES, "logistic_regression", PARAMS, n_voxels=16)
+    return models.permutation_p(settled(scores), ["subject", "metric"])
 
 
 def _workflow_tables(spark, d):

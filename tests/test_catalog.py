@@ -53,5 +53,5 @@ def test_queries_cover_all_runs_and_frames(spark):
     scored = catalog.queries()["kfold_logistic"](spark, DIR).select("subject", "fold").collect()
     assert sorted(map(tuple, scored)) == [(s, k) for s in ("00", "01") for k in range(1, 7)]
     assert "max_iter" not in catalog.PARAMS  # fits end by their own defaults
-    frames = catalog.queries()["concat_patterns_whole"](spark, DIR).select("boldfile", "volume").distinct()
+    frames = catalog.queries()["concat_patterns"](spark, DIR).select("boldfile", "volume").distinct()
     assert frames.count() == n and frames.select("boldfile").distinct().count() == 6

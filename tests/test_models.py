@@ -102,7 +102,7 @@ def test_classifiers(planted):
     assert np.abs(x.T @ left / len(x) + np.array(c.weights) / len(x)).max() < 1e-3 and abs(left.mean()) < 1e-3
     assert models.fit_coefficients(train.where("regressor_label = 'a'"), chosen, ["subject"], NAMES).count() == 0
     with pytest.raises(ValueError):
-        models.classifier("other", {}, 1)
+        models.fit_coefficients(train, chosen, ["subject"], NAMES, "other")
     p = M.with_evidence(models.centroid_predict(train, test)).cache()
     assert M.accuracy(p, ["subject"]).first().accuracy > 0.9
     assert sum(r.value for r in M.confusion(p, ["subject"]).collect()) == pytest.approx(3)

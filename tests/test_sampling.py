@@ -44,6 +44,17 @@ def test_trial_folds(spark):
     assert sorted(r.fold for r in out if r.regressor_label == "rare") == [1, 2]
 
 
+def test_too_few_trials_are_told(spark):
+    cols = "subject string, run int, trial_index int, regressor_label string"
+    rare = [("r", 1, t, "a") for t in range(6)] + [("r", 2, 7, "b")]
+    df = spark.createDataFrame([("s", 1, t, "ab"[t % 2]) for t in range(6)] + rare, cols)
+    assert {r.subject for r in S.trial_folds(df).collect()} == {"s"}
+    assert [tuple(r) for r in S.rare_classes(df).collect()] == [("r", "b", 1)]
+    with pytest.raises(ValueError, match="two trials"):
+        S.trial_folds(df.where("subject = 'r'"))
+    assert S.trial_folds(df.limit(0)).count() == 0
+
+
 def test_pairs(spark):
     cols = "subject string, session string, task string, run int, boldfile string, tr double"
     df = spark.createDataFrame([("s", "", "a", 1, "a1", 2.0), ("s", "", "a", 3, "a3", 2.0), ("s", "", "b", 2, "b2", 2.0), ("s", "", "b", 4, "b4", 1.0)], cols)

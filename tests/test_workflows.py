@@ -61,9 +61,9 @@ def test_final_fit_is_on_all_rows(study):
     seen = {}
 
     class Watched(W.Fitted):
-        def __init__(self, train, categories, model):
-            super().__init__(train, categories, model)
-            seen[len(seen)] = {(r.subject, r.fold, r.regressor_label): r["count"] for r in train.groupBy("subject", "fold", "regressor_label").count().collect()}
+        def __init__(self, *given):
+            super().__init__(*given)
+            seen[len(seen)] = {(r.subject, r.fold, r.regressor_label): r.n for r in self.stats.collect()}
 
     W.Fitted, kept = Watched, W.Fitted
     try:
@@ -77,6 +77,18 @@ def test_final_fit_is_on_all_rows(study):
     assert all(sum(per_class["01", x]) == sum(per_class["01", "a"]) for x in NAMES)
 
 
+def test_subjects_that_cannot_be_cross_validated(study):
+    """Runs that differ in their classes, and a class with one trial: one subject is left out and told."""
+    table, frames, recordings = study
+    lone = "trial_type <> 'a' or (run = 1 and trial_index = 1)"
+    part = table.where("subject = '01'").unionByName(table.where("subject = '02'").where(lone))
+    got = W.run_generalization(part, frames, recordings, config())
+    assert set(overall(got["cv_metrics"])) == {"01"} and set(overall(got["metrics"])) == {"01", "02"}
+    assert {(r.subject, r.regressor_label, r.n_trials) for r in got["cv_skipped"].where("regressor_label = 'a'").collect()} == {("02", "a", 1)}
+    with pytest.raises(ValueError, match="cross-validated"):
+        W.run_generalization(table.where("subject = '02'").where(lone), frames, recordings, config())
+
+
 def test_kfold(study):
     table, frames, recordings = study
     got = W.run_kfold(table, frames, recordings, config(kfold_cv={"strategy": "per_run"}))
