@@ -45,7 +45,7 @@ def sections(table: DataFrame, frames: DataFrame, recordings: DataFrame, config:
 def inner_folds(train: DataFrame) -> DataFrame:
     """(subject, fold, run, trial_index): each run held out once where all runs of the
     subject have the same classes, else trials dealt by class. Subjects of the second kind with a
-    class of one trial have none (see sampling.rare_classes); raises if no subject has any."""
+    class of one trial have none (see not_validated)."""
     same = sampling.homogeneous_runs(train)
     trials = train.select("subject", "run", "trial_index").distinct()
     runs = sampling.per_run(sampling.fold_universe(train.join(same.where("homogeneous"), "subject", "left_semi")))
@@ -55,10 +55,13 @@ def inner_folds(train: DataFrame) -> DataFrame:
     return by_run.select(*KEYS, "run", "trial_index").unionByName(by_trial.select(*KEYS, "run", "trial_index"))
 
 
-def unfolded(train: DataFrame) -> DataFrame:
-    """(subject, regressor_label, n_trials): classes for whose want a subject is not cross-validated."""
-    same = sampling.homogeneous_runs(train)
-    return sampling.rare_classes(train.join(same.where("not homogeneous"), "subject", "left_semi"))
+def not_validated(rows: DataFrame, scored: DataFrame) -> DataFrame:
+    """(subject, problem) of subjects without any scored fold."""
+    same = sampling.homogeneous_runs(rows)
+    rare = sampling.rare_classes(rows.join(same.where("not homogeneous"), "subject", "left_semi"))
+    told = rare.groupBy("subject").agg(F.concat(F.lit("one trial of "), F.array_join(F.sort_array(F.collect_set("regressor_label")), ", ")).alias("problem"))
+    left = rows.select("subject").distinct().join(scored.select("subject").distinct(), "subject", "left_anti").join(told, "subject", "left")
+    return left.select("subject", F.coalesce("problem", F.lit("no fold leaves rows to train on")).alias("problem"))
 
 
 def outer_folds(universe: DataFrame, cv: dict | None) -> tuple[DataFrame, DataFrame]:
@@ -148,7 +151,7 @@ def run_generalization(table: DataFrame, frames: DataFrame, recordings: DataFram
     section; decode.
 
     cv_metrics and cv_importance (means over the inner folds), fold_metrics (each of them),
-    cv_skipped (classes with too few trials, by subject that is not cross-validated for them),
+    cv_skipped (subjects that could not be cross-validated, and why),
     metrics and importance (testing, fold 0), where the configuration asks for it
     permutation_test, and where the section is given decoding and decoding_summary."""
     parts = sections(table, frames, recordings, config, masks)
@@ -157,11 +160,11 @@ def run_generalization(table: DataFrame, frames: DataFrame, recordings: DataFram
     train = parts["training"]
     balanced, unit = settled(sampling.balance(train)), ["run", "trial_index"]
     folds = settled(inner_folds(balanced))
-    if folds.isEmpty():
-        raise ValueError("no subject can be cross-validated: each has a class with one trial")
     inner = Fitted(balanced, categories, model, folds, unit)
     each = settled(scores(inner.predict(sampling.held_rows(balanced, folds, unit)), categories))
-    out = {"cv_metrics": metrics.fold_average(each, ["subject"]), "fold_metrics": each, "cv_skipped": unfolded(balanced), "cv_importance": mean_maps(inner.maps())}
+    if each.isEmpty():
+        raise ValueError(f"no subject can be cross-validated: {not_validated(balanced, each).limit(5).collect()}")
+    out = {"cv_metrics": metrics.fold_average(each, ["subject"]), "fold_metrics": each, "cv_skipped": not_validated(balanced, each), "cv_importance": mean_maps(inner.maps())}
     whole = lambda df: df.withColumn("fold", F.lit(0))
     final = Fitted(train, categories, model)  # not balanced: its fit weighs the classes
     out |= {"metrics": scores(final.predict(whole(parts["testing"])), categories), "importance": final.maps()}
