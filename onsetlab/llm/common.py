@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -13,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType, StructType
 
+from onsetlab.sources.store import shared_folder
+
 #: Texts that are Python objects at one time in a task.
 SLICE_ROWS = 256
 
@@ -24,18 +25,6 @@ def vocab_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of
-    our own where it is unset in a local session, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir is unset: a cluster must name a folder that all its nodes share")
-        found = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back, so that what follows
     neither recomputes it nor depends on the executors that made it."""
@@ -43,7 +32,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def new_place(spark: SparkSession) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
 
 
 def written_at(df: DataFrame, place: str) -> DataFrame:

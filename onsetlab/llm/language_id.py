@@ -52,6 +52,7 @@ FAMILIAR = 0.0
 #: Multipliers of the sums that find pieces, and bits of a slot's number.
 BASE, SPREAD, SLOT_BITS = np.uint64(0x9E3779B97F4A7C15), 0xD1B54A32D192ED03, 20
 POWERS = np.cumprod(np.array([1] + [BASE] * LONGEST, np.uint64), dtype=np.uint64)
+#: Letters, and numbers that are no decimal digits, such as ½; words() leaves the latter out.
 WORD = re.compile(r"[^\W\d_]+")
 #: What scoring finds: the language, its log probability, by how much the logarithm of the sum
 #: over languages exceeds it, and its mean log ratio of a word to the start.
@@ -112,7 +113,7 @@ class Pieces:
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         names = (sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_byte(i) or sp.is_unknown(i)))
-        keep = [p for p in names if len(p) <= LONGEST and (p == "▁" or WORD.fullmatch(p.lstrip("▁"))) and p.count("▁") <= 1]
+        keep = [p for p in names if len(p) <= LONGEST and (p == "▁" or p.lstrip("▁").isalpha()) and p.count("▁") <= 1]
         self.index = PieceIndex({p: k for k, p in enumerate(keep)})
         #: Zipf's law over the vocabulary's order.
         start = 1.0 / (np.arange(len(keep)) + 10.0)
@@ -125,7 +126,11 @@ def pieces_of(path: str) -> Pieces:
 
 
 def words(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    """Stretches of letters, in lower case."""
+    found = WORD.findall(text.lower())
+    if text.isascii() or all(map(str.isalpha, found)):
+        return found
+    return [w for x in found for w in ("".join([c if c.isalpha() else " " for c in x]).split() if not x.isalpha() else (x,))]
 
 
 def parts(word: str) -> list[str]:

@@ -40,7 +40,7 @@ def _language_rows():
     rng = random.Random(1)
     words = {"en": "the of and with that house water".split(), "de": "der und nicht über straße wasser haus".split()}
     rows = [(k, " ".join(rng.choice(words[lang]) for _ in range(12)), lang, "s") for k in range(120) for lang in [("en", "de")[k % 2]]]
-    return rows + [(500, None, "en", "s"), (501, "123 !!", None, "s"), (502, "", "de", "s"), (503, "unter " * 5000, None, "s"), (None, "the water", "de", "s")]
+    return rows + [(500, None, "en", "s"), (501, "123 !!", None, "s"), (502, "", "de", "s"), (503, "unter " * 5000, None, "s"), (504, "½ ② ²³ Ⅷ 12", None, "s"), (505, "½the②water", None, "s"), (None, "the water", "de", "s")]
 
 
 def test_language_id(spark):
@@ -48,7 +48,8 @@ def test_language_id(spark):
     got = {r.doc_id: r for r in language_id.language_id(docs, PIECES).collect()}
     assert all(got[i].lang_pred == lang and 0 <= got[i].score <= 1 for i, _, lang, _ in _language_rows()[:120])
     assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i in range(120))
-    assert [(got[i].lang_pred, got[i].score) for i in (500, 501, 502)] == [("und", 0.0)] * 3
+    assert [(got[i].lang_pred, got[i].score) for i in (500, 501, 502, 504)] == [("und", 0.0)] * 4
+    assert got[505].lang_pred == "en" and language_id.words("½the②Water ²") == ["the", "water"]
     kept = language_id.language_filter(docs, PIECES)
     assert kept.columns == docs.columns and {500, 501, 502}.isdisjoint(r.doc_id for r in kept.collect())
     lang = {r.doc_id: r.lang for r in kept.collect()}
