@@ -7,7 +7,9 @@ import json
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Defaults of the model section.
@@ -70,15 +72,28 @@ def validate_query(node, columns: list[str], path: str = "query") -> list[str]:
     elif not isinstance(value, str):
         errors.append(f"{path}: {kind} needs a text as value")
     elif kind == "regex":
-        try:
-            re.compile(value)
-        except re.error as e:
-            errors.append(f"{path}: bad pattern ({e})")
-        if re.search(r"\(\?P<|\\Z", value):
-            errors.append(f"{path}: pattern uses (?P< or \\Z, which the engine doesn't know")
+        wrong = bad_pattern(value)
+        if wrong:
+            errors.append(f"{path}: bad pattern ({wrong})")
     return errors
 
 
+def bad_pattern(pattern: str) -> str | None:
+    """Why the engine can't compile a pattern as condition() puts it, or why it would read it otherwise
+    than the patterns' language; None if it can."""
+    try:
+        re.compile(pattern)
+    except re.error as e:
+        return str(e)
+    if re.search(r"(?<!\\)(?:\\\\)*\\Z", pattern):
+        return r"\Z, which is the end of the text here, allows a line break after it in the engine"
+    try:
+        SparkSession.active()._jvm.java.util.regex.Pattern.compile(rf"\A(?:{pattern})\z")
+    except (IllegalArgumentException, Py4JJavaError) as e:
+        return str(e).splitlines()[0]
+    return None
+
+
 def label_rows(df: DataFrame, conditions: dict[str, dict], column: str = "regressor_label") -> DataFrame:
     """The name of the first condition that holds; rows of none go, so all without conditions."""
     if not conditions:

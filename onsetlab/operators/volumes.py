@@ -40,10 +40,16 @@ def promote_entities(files: DataFrame, names: list[str]) -> DataFrame:
     return out.withColumn("session", F.coalesce(F.col("entities")["ses"], F.lit("")))
 
 
+#: What counts as a number in a text.
+NUMBER = r"^\s*[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|(?i:inf|infinity|nan))\s*$"
+
+
 def coerce(events: DataFrame, *columns: str) -> DataFrame:
     """Numbers from text; what is no number is null."""
+    kinds = dict(events.dtypes)
     for c in columns or ("onset", "duration"):
-        events = events.withColumn(c, F.expr(f"try_cast(`{c}` as double)"))
+        number = F.col(c).try_cast("double")
+        events = events.withColumn(c, F.when(F.col(c).rlike(NUMBER), number) if kinds[c] == "string" else number)
     return events
 
 

@@ -117,9 +117,17 @@ def study_volumes(spark, d):
     return volumes.select("eventfile", "event_id", "subject", "session", "task", F.col("run").cast("long").alias("run"), "dir", F.col("trial_index").cast("long").alias("trial_index"), "volume_of_interest")
 
 
-@query(f"with {W.TRIALS}, c as (select event_id, try_cast(case when event_id % 9 = 0 then 'n/a' else cast(round(duration, 3) as varchar) end as double) as duration, onset from t) select event_id, round(duration, 6) as duration from c where duration is not null and isfinite(duration) and onset is not null")
+#: Texts that end, or begin, as no number does.
+ODD_NUMBER = "case when event_id % 9 = 0 then 'n/a' when event_id % 9 = 1 then concat({0}, 'd') when event_id % 9 = 2 then concat('0x', {0}) when event_id % 9 = 3 then concat({0}, 'f') when event_id % 9 = 4 then concat(' +', {0}, 'e1 ') else {0} end"
+
+
+@query(
+    f"""with {W.TRIALS}, x as (select event_id, onset, {ODD_NUMBER.format("cast(round(duration, 3) as varchar)")} as text from t),
+ c as (select event_id, onset, case when regexp_full_match(trim(text), '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?') then try_cast(ltrim(trim(text), '+') as double) end as duration from x)
+ select event_id, round(duration, 6) as duration from c where duration is not null and isfinite(duration) and onset is not null"""
+)
 def coerce_numeric(spark, d):
-    t = W.trials(spark, d).withColumn("duration", F.when(F.col("event_id") % 9 == 0, "n/a").otherwise(F.round("duration", 3).cast("string")))
+    t = W.trials(spark, d).withColumn("duration", F.expr(ODD_NUMBER.format("cast(round(duration, 3) as string)")))
     return V.coerce(t, "duration").where(V.valid()).select("event_id", r6("duration").alias("duration"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -17,6 +17,16 @@ TEXT_COLUMNS = ("subject", "session", "task", "trial_type", "desc", "stage")
 MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
 
+#: A cell after its tab: what quotes enclose may have tabs in it.
+CELL = r'\t("(?:[^"]|"")*"[^\t]*|[^\t]*)'
+
+
+def unquoted(cell: Column) -> Column:
+    """A cell's text: without the quotes around it, two quotes within them being one."""
+    inner = F.regexp_replace(F.regexp_extract(cell, r'^"((?:[^"]|"")*)"', 1), '""', '"')
+    return F.when(F.regexp_like(cell, F.lit(r'^"(?:[^"]|"")*"')), F.concat(inner, F.regexp_replace(cell, r'^"(?:[^"]|"")*"', ""))).otherwise(cell)
+
+
 def read_events(spark: SparkSession, root: str, name_glob: str = "*_events.tsv") -> DataFrame:
     """All event files below root in one scan: eventfile (its path), event_id (the row's place
     in its file), onset and duration (null for what is no number), trial_type, and a map
@@ -26,7 +36,7 @@ def read_events(spark: SparkSession, root: str, name_glob: str = "*_events.tsv")
     A file is one row until it is split, so it must fit in a task; event logs do."""
     files = spark.read.option("pathGlobFilter", name_glob).option("recursiveFileLookup", True).text(root, wholetext=True)
     lines = F.filter(F.split("value", r"\r\n|\r|\n"), lambda x: F.length(F.trim(x)) > 0)
-    cells = lambda line: F.transform(F.split(line, "\t"), lambda x: F.regexp_replace(F.regexp_replace(x, r'^"(.*)"$', "$1"), '""', '"'))
+    cells = lambda line: F.transform(F.regexp_extract_all(F.concat(F.lit("\t"), line), F.lit(CELL), F.lit(1)), unquoted)
     split = files.select(F.col("_metadata.file_path").alias("eventfile"), lines.alias("lines"))
     header = F.regexp_replace(F.get("lines", F.lit(0)), "^\ufeff", "")
     rows = split.select("eventfile", cells(header).alias("names"), F.posexplode(F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0)))).alias("event_id", "line"))

@@ -23,6 +23,13 @@ def test_event_columns_go_by_the_files_header(spark, tmp_path):
     assert [r.event_id for r in rows] == [0, 1, 0, 1]
 
 
+def test_cells_in_quotes(spark, tmp_path):
+    lines = ["onset\tduration\ttrial_type\tnote", '1\t2\t"a\tb"\t', '\t2\t"say ""x""\ty"z\t5" tall', '3\t1d\tc', '4\t0x1p3\t"open\tq']
+    (tmp_path / "sub-01_task-x_run-1_events.tsv").write_text("\n".join(lines) + "\n")
+    rows = sorted(tables.read_events(spark, str(tmp_path)).collect(), key=lambda r: r.event_id)
+    assert [(r.onset, r.duration, r.trial_type, r.extra["note"] if "note" in r.extra else None) for r in rows] == [(1.0, 2.0, "a\tb", None), (None, 2.0, 'say "x"\tyz', '5" tall'), (3.0, None, "c", None), (4.0, None, '"open', "q")]
+
+
 def test_scaling_of_images():
     x = np.arange(12, dtype=np.float32).reshape(2, 6)
     for slope, shift, want in ((2.0, 1.0, 2 * x + 1), (0.0, 5.0, x), (float("nan"), 5.0, x), (float("inf"), 0.0, x), (1.0, float("nan"), x)):
