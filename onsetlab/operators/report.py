@@ -49,9 +49,10 @@ def group_matrix(matrices: DataFrame) -> DataFrame:
 
 def group_importance(maps: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Mean map per label over subjects in the shared space and on the first such subject's
-    grid; and the subjects left out."""
-    shared = maps.where("space = 'mni'")
-    grid = shared.select(F.min_by(F.size("weights"), "subject").alias("grid"))
-    fits = shared.join(grid, F.size("weights") == F.col("grid"), "left_semi")
+    grid (grid_key where the maps have it, and the number of voxels); and the subjects left out."""
+    own = F.struct(*(["grid_key"] if "grid_key" in maps.columns else []), F.size("weights").alias("size"))
+    shared = maps.where("space = 'mni'").withColumn("__grid", own)
+    grid = shared.select(F.min_by("__grid", "subject").alias("grid"))
+    fits = shared.join(grid, F.col("__grid").eqNullSafe(F.col("grid")), "left_semi").drop("__grid")
     mean = array_stats(fits, ["label"], "weights").select("label", F.col("mean").alias("weights"), "n")
     return mean, maps.select("subject").distinct().join(fits.select("subject").distinct(), "subject", "left_anti")

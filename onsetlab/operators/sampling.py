@@ -66,7 +66,7 @@ def pair_runs(runs: DataFrame, a: str, b: str) -> DataFrame:
 
 
 #: What two runs must have in common to be joined, as far as the recordings tell it.
-COMMON = ("tr", "grid", "sizes", "origin")
+COMMON = ("tr", "grid_key")
 
 
 def pair_problems(pairs: DataFrame, equal: tuple[str, ...] = COMMON) -> DataFrame:

@@ -22,7 +22,7 @@ from onsetlab.operators import sampling as S
 from onsetlab.operators import volumes as V
 from onsetlab.operators import workflows
 from onsetlab.plans import views as W
-from onsetlab.sources import tables
+from onsetlab.sources import images, tables
 from onsetlab.sources.store import settled
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -253,21 +253,30 @@ def stratified_trial_folds(spark, d):
     return S.trial_folds(W.observations(spark, d).drop("features")).withColumn("fold", F.col("fold").cast("long"))
 
 
-RUNS_SQL = f"""{W.TRIALS}, {W.RECORDINGS}, runs as (select distinct t.subject, t.session, t.task, r.user_id as run, r.boldfile, r.tr, r.n_frames from t join r using (boldfile)),
+#: Recordings on grids that differ in the rotation (beyond and below the third decimal) or the dimensions.
+GRID_SQL = """concat(cast(64 + r.user_id % 11 // 10 as varchar), 'x64x40 3.000000,3.000000,3.500000 ', printf('%.3f', round(3 * cos(r.user_id % 4 // 3 * 0.01), 3)), ',', printf('%.3f', round(r.user_id % 3 * 0.0001, 3) + 0.0), ',0.000,-90.000,0.000,3.000,0.000,-126.000,0.000,0.000,3.500,-72.000')"""
+RUNS_SQL = f"""{W.TRIALS}, {W.RECORDINGS}, runs as (select distinct t.subject, t.session, t.task, r.user_id as run, r.boldfile, r.tr, r.n_frames, {GRID_SQL} as grid_key from t join r using (boldfile)),
  nth as (select *, row_number() over (partition by subject, session, task order by run) as nth from runs),
- pairs as (select a.subject, a.nth, a.boldfile as boldfile_a, a.tr as tr_a, a.n_frames as n_frames_a, b.boldfile as boldfile_b, b.tr as tr_b from nth a join nth b on a.subject = b.subject and a.session = b.session and a.nth = b.nth and a.task = 'loc' and b.task = 'WM')"""
+ pairs as (select a.subject, a.nth, a.boldfile as boldfile_a, a.tr as tr_a, a.n_frames as n_frames_a, a.grid_key as grid_key_a, b.boldfile as boldfile_b, b.tr as tr_b, b.grid_key as grid_key_b from nth a join nth b on a.subject = b.subject and a.session = b.session and a.nth = b.nth and a.task = 'loc' and b.task = 'WM')"""
+
+
+def _rotated() -> Column:
+    """Rows of a recording's transform, some of them rotated."""
+    some = F.array(3 * F.cos((F.col("user_id") % 4 >= 3).cast("int") * 0.01), F.col("user_id") % 3 * 0.0001)
+    return F.concat(some, F.array(*map(F.lit, (0.0, -90.0, 0.0, 3.0, 0.0, -126.0, 0.0, 0.0, 3.5, -72.0))))
 
 
 def _pairs(spark, d):
     t = W.trials(spark, d).select("subject", "session", "task", "boldfile").distinct()
     runs = t.join(W.recordings(spark, d), "boldfile").select("subject", "session", "task", F.col("user_id").alias("run"), "boldfile", "tr", "n_frames")
+    runs = runs.join(W.recordings(spark, d).select("boldfile", images.grid_key(F.array(F.lit(64) + (F.col("user_id") % 11 >= 10).cast("int"), F.lit(64), F.lit(40)), F.array(*map(F.lit, (3.0, 3.0, 3.5))), _rotated()).alias("grid_key")), "boldfile")
     return S.pair_runs(runs, "loc", "WM").where("boldfile_a is not null and boldfile_b is not null")
 
 
-@query(f"with {RUNS_SQL} select subject, nth, boldfile_a, boldfile_b, tr_a = tr_b as compatible from pairs")
+@query(f"with {RUNS_SQL} select subject, nth, boldfile_a, boldfile_b, case when tr_a <> tr_b then 'tr differs' when grid_key_a <> grid_key_b then 'grid_key differs' end as problem from pairs")
 def pair_runs(spark, d):
     checked = S.pair_problems(_pairs(spark, d))
-    return checked.select("subject", F.col("nth").cast("long").alias("nth"), "boldfile_a", "boldfile_b", F.col("problem").isNull().alias("compatible"))
+    return checked.select("subject", F.col("nth").cast("long").alias("nth"), "boldfile_a", "boldfile_b", "problem")
 
 
 @query(f"with {RUNS_SQL} select event_id, boldfile, round(onset, 6) as onset from t where task = 'loc' union all select event_id, boldfile_a, round(onset + n_frames_a * tr_a, 6) from t join pairs on t.boldfile = pairs.boldfile_b where task = 'WM'")
@@ -643,9 +652,10 @@ def group_confusion(spark, d):
     return R.group_matrix(M.confusion(_predicted(spark, d), ["subject"])).select("row_label", "col_label", r6("value").alias("value"))
 
 
-@query(f"with {W.FLAT}, m as (select subject, regressor_label as label, voxel, avg(x) as m from f group by all) select label, voxel, round(avg(m), 6) as value from m group by all")
+@query(f"with {W.FLAT}, m as (select run, regressor_label as label, voxel, avg(x) as m from f where run not in (2, 5) group by all) select label, voxel, round(avg(m), 6) as value from m group by all")
 def group_importance(spark, d):
-    maps = P.array_stats(W.observations(spark, d), ["subject", "regressor_label"]).select("subject", F.col("regressor_label").alias("label"), F.col("mean").alias("weights"), F.lit("mni").alias("space"))
+    """A map by run, each as a subject's; one run is in another space and one on another grid."""
+    maps = P.array_stats(W.observations(spark, d), ["run", "regressor_label"]).select(F.col("run").cast("string").alias("subject"), F.col("regressor_label").alias("label"), F.col("mean").alias("weights"), F.when(F.col("run") == 2, "unasserted").otherwise("mni").alias("space"), F.when(F.col("run") == 5, "turned").otherwise("straight").alias("grid_key"))
     mean, _ = R.group_importance(maps)
     return _long(mean.withColumnRenamed("weights", "features"), "label")
 

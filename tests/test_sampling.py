@@ -63,9 +63,9 @@ def test_pairs(spark):
     with pytest.raises(ValueError):
         S.check_pairs(pairs)
     S.check_pairs(pairs.where("nth = 1"))
-    grids = pairs.where("nth = 1").withColumn("grid_a", F.array(F.lit(2), F.lit(3)))
-    assert S.pair_problems(grids.withColumn("grid_b", F.array(F.lit(2), F.lit(3)))).first().problem is None
-    assert S.pair_problems(grids.withColumn("grid_b", F.array(F.lit(2), F.lit(4)))).first().problem == "grid differs"
+    grids = pairs.where("nth = 1").withColumn("grid_key_a", F.lit("2x3x4 a"))
+    assert S.pair_problems(grids.withColumn("grid_key_b", F.lit("2x3x4 a"))).first().problem is None
+    assert S.pair_problems(grids.withColumn("grid_key_b", F.lit("2x3x4 b"))).first().problem == "grid_key differs"
     assert [r.homogeneous for r in S.homogeneous_runs(df.withColumnRenamed("boldfile", "regressor_label")).collect()] == [False]
 
 

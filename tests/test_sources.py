@@ -1,7 +1,12 @@
 import gzip
+import io
+import struct
+import tracemalloc
 
 import numpy as np
+import pytest
 
+from onsetlab.operators import workflows
 from onsetlab.sources import images, tables
 
 
@@ -30,11 +35,65 @@ def test_cells_in_quotes(spark, tmp_path):
     assert [(r.onset, r.duration, r.trial_type, r.extra["note"] if "note" in r.extra else None) for r in rows] == [(1.0, 2.0, "a\tb", None), (None, 2.0, 'say "x"\tyz', '5" tall'), (3.0, None, "c", None), (4.0, None, '"open', "q")]
 
 
+def _decoded(raw, voxels=None, part=images.PART):
+    got = list(images.frames_of(images.Stream(io.BytesIO(raw), part), voxels))
+    return got[0][0], np.array([x for _, x in got])
+
+
 def test_scaling_of_images():
     x = np.arange(12, dtype=np.float32).reshape(2, 6)
     for slope, shift, want in ((2.0, 1.0, 2 * x + 1), (0.0, 5.0, x), (float("nan"), 5.0, x), (float("inf"), 0.0, x), (1.0, float("nan"), x)):
-        about, got = images.decode(images.encode(x, [2, 3, 1], 2.5, slope, shift))
-        assert np.array_equal(got, want) and about == {"grid": [2, 3, 1], "sizes": [1.0] * 3, "origin": [0.0] * 3, "tr": 2.5}
+        about, got = _decoded(images.encode(x, [2, 3, 1], 2.5, slope, shift))
+        assert np.array_equal(got, want) and (about["grid"], about["sizes"], about["tr"], about["n_frames"]) == ([2, 3, 1], [1.0] * 3, 2.5, 2)
+
+
+def test_streams_give_the_same_frames():
+    x = np.random.default_rng(1).normal(size=(40, 60)).astype(np.float32)
+    raw = images.encode(x, [3, 4, 5], 2.0)
+    members = gzip.compress(raw[:1000]) + gzip.compress(raw[1000:])  # a file of two compressed members
+    for data in (raw, gzip.compress(raw), members):
+        for part in (7, 999, images.PART):
+            assert np.array_equal(_decoded(data, part=part)[1], x)
+            assert np.array_equal(_decoded(data, np.array([0, 5, 59]), part)[1], x[:, [0, 5, 59]])
+    with pytest.raises(ValueError, match="ends within frame 39"):
+        _decoded(raw[:-5])
+    with pytest.raises(ValueError, match="grid has 60"):
+        _decoded(raw, np.array([3, 60]))
+
+
+def test_types_of_values():
+    x = np.arange(6, dtype=np.float32)
+    for code, kind in images.KINDS.items():
+        for order in "<>":
+            head = bytearray(images.encode(x[None], [2, 3, 1], 1.0)[:352])
+            if order == ">":  # the same header with its bytes the other way round
+                for fmt, at in (("i", 0), ("8h", 40), ("8f", 76), ("3f", 108)):
+                    struct.pack_into(">" + fmt, head, at, *struct.unpack_from("<" + fmt, head, at))
+            struct.pack_into(order + "h", head, 70, code)
+            assert np.array_equal(_decoded(bytes(head) + x.astype(order + kind).tobytes())[1][0], x)
+    for code, name in ((32, "complex"), (128, "colours"), (9999, "none of the format")):
+        head = bytearray(images.encode(x[None], [2, 3, 1], 1.0))
+        struct.pack_into("<h", head, 70, code)
+        with pytest.raises(ValueError, match=f"data type {code} .*{name}"):
+            _decoded(bytes(head))
+    with pytest.raises(ValueError, match="no header"):
+        _decoded(b"x" * 400)
+    with pytest.raises(ValueError, match="too short"):
+        _decoded(b"")
+
+
+def test_memory_is_a_frames(tmp_path):
+    """A compressed file of 400 frames, 51 MB inflated: what reading it holds is some frames at most."""
+    x = np.zeros((400, 32000), np.float32)
+    x[:, ::7] = 1.0
+    (tmp_path / "a_bold.nii.gz").write_bytes(gzip.compress(images.encode(x, [32, 40, 25], 1.0), 1))
+    voxels = np.arange(0, 32000, 50)
+    tracemalloc.start()
+    with images.open_file(str(tmp_path / "a_bold.nii.gz")) as f:
+        n = sum(1 for _ in images.frames_of(images.Stream(f), voxels))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 400 and peak < 12 * 32000 * 4 + images.PART * 2
 
 
 def test_images(spark, tmp_path):
@@ -47,6 +106,64 @@ def test_images(spark, tmp_path):
     assert (r.tr, r.n_frames) == (2.5, 50)
 
 
+def test_headers_are_scanned_without_frames(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    for k, name in enumerate(("a_bold.nii", "b_bold.nii.gz", "c_mask.nii")):
+        raw = images.encode(rng.normal(size=(30, 4000)).astype(np.float32), [10, 20, 20], 2.0 + k)
+        (tmp_path / name).write_bytes(gzip.compress(raw) if name.endswith("gz") else raw)
+    scan = images.scan_headers(spark, str(tmp_path))
+    rows = {r.boldfile.rpartition("/")[2]: r for r in scan.collect()}
+    assert {k: (r.tr, r.n_frames, r.grid) for k, r in rows.items()} == {"a_bold.nii": (2.0, 30, [10, 20, 20]), "b_bold.nii.gz": (3.0, 30, [10, 20, 20])}
+    assert all(r.read_bytes <= 2 * images.FIRST for r in rows.values())
+    assert "content" not in scan._jdf.queryExecution().executedPlan().toString()
+    whole = {r.boldfile: r for r in images.recordings_of(images.read_patterns(spark, str(tmp_path))).collect()}
+    assert all(whole[r.boldfile].grid_key == r.grid_key and whole[r.boldfile].n_frames == r.n_frames for r in rows.values())
+
+
+def test_grids_are_told_apart(spark, tmp_path):
+    x, straight = np.zeros((2, 6), np.float32), [1.0, 0, 0, -9, 0, 1, 0, -8, 0, 0, 1, -7]
+    c, s = np.cos(0.1), np.sin(0.1)
+    kinds = {
+        "same": {"sform": straight}, "near": {"sform": [1.00004, *straight[1:]]}, "turned": {"sform": [c, -s, 0, -9, s, c, 0, -8, 0, 0, 1, -7]},
+        "by_quaternion": {"quaternion": (0.0, 0.0, 0.0, -9.0, -8.0, -7.0)}, "turned_by_quaternion": {"quaternion": (0.0, 0.0, np.sin(0.05), -9.0, -8.0, -7.0)}, "other_offset": {"quaternion": (0.0, 0.0, 0.0, -9.0, -8.0, -7.1)},
+    }
+    for name, how in kinds.items():
+        (tmp_path / f"{name}_bold.nii").write_bytes(images.encode(x, [2, 3, 1], 1.0, **how))
+    key = {r.boldfile.rpartition("/")[2][:-9]: r.grid_key for r in images.scan_headers(spark, str(tmp_path)).collect()}
+    assert key["same"] == key["near"] == key["by_quaternion"] == "2x3x1 1.000000,1.000000,1.000000 1.000,0.000,0.000,-9.000,0.000,1.000,0.000,-8.000,0.000,0.000,1.000,-7.000"
+    assert key["turned"] == key["turned_by_quaternion"] != key["same"] and key["other_offset"] != key["same"]
+
+
+def test_masks_from_files(spark, tmp_path):
+    frames = np.arange(4 * 12, dtype=np.float32).reshape(4, 12)
+    for sub, ses in (("01", "a"), ("01", "b"), ("02", "a")):
+        folder = tmp_path / f"sub-{sub}" / f"ses-{ses}"
+        folder.mkdir(parents=True)
+        mask = np.zeros((1, 12), np.float32)
+        mask[0, [1, 4, 7] if sub == "01" else [0, 11]] = 2.0
+        (folder / f"sub-{sub}_ses-{ses}_mask.nii.gz").write_bytes(gzip.compress(images.encode(mask, [2, 3, 2], 1.0)))
+        (folder / f"sub-{sub}_ses-{ses}_task-x_run-1_bold.nii.gz").write_bytes(gzip.compress(images.encode(frames, [2, 3, 2], 2.0)))
+    wanted = spark.createDataFrame([("01", "a"), ("01", "b"), ("02", "a")], "subject string, session string")
+    template = f"{tmp_path}/sub-{{subject}}/ses-{{session}}/sub-{{subject}}_*_mask.nii*"
+    masks = images.read_masks(wanted, template)
+    assert {(r.subject, r.session): r.voxel_idx for r in masks.collect()} == {("01", "a"): [1, 4, 7], ("01", "b"): [1, 4, 7], ("02", "a"): [0, 11]}
+    got = images.read_patterns(spark, str(tmp_path), masks=masks).collect()
+    assert len(got) == 12 and all(r.features == frames[r.volume][[1, 4, 7] if "sub-01" in r.boldfile else [0, 11]].tolist() for r in got)
+    one = spark.createDataFrame([("01", "a")], "subject string, session string")
+    assert images.read_masks(one, f"{tmp_path}/**/*sub-02*_mask.nii.gz").first().voxel_idx == [0, 11]  # no keys: a file for all
+    with pytest.raises(ValueError, match="missing or ambiguous.*'03'"):
+        images.read_masks(wanted.unionByName(spark.createDataFrame([("03", "a")], wanted.schema)), template)
+    with pytest.raises(ValueError, match="ambiguous"):
+        images.read_masks(one, f"{tmp_path}/sub-{{subject}}/**/*_mask.nii.gz")  # both sessions' files
+    # in a workflow's sections
+    rows = [(s, e, 1, t, f"{s}{e}", "ab"[t % 2], float(t), 1.0, t) for s, e in (("01", "a"), ("02", "a")) for t in range(4)]
+    table = spark.createDataFrame(rows, "subject string, session string, run int, trial_index int, boldfile string, trial_type string, onset double, duration double, volume_of_interest int")
+    every = spark.createDataFrame([(s, e, f"{s}{e}", t, frames[t].tolist()) for s, e in (("01", "a"), ("02", "a")) for t in range(4)], "subject string, session string, boldfile string, volume int, features array<double>")
+    leaf = {c: {"column": "trial_type", "match": "exact", "value": c} for c in "ab"}
+    parts = workflows.sections(table, every, None, {"model_conditions": {"training": {"conditions": leaf}, "testing": {"conditions": leaf}}}, masks.drop("grid_key"))
+    assert {(r.subject, len(r.features)) for r in parts["training"].collect()} == {("01", 3), ("02", 2)}
+
+
 def test_tables(spark, tmp_path):
     v = spark.createDataFrame([("001", None, "t", "x", 1, 2)], "subject string, session string, task string, trial_type string, run int, volume_of_interest int")
     tables.write_volumes(v, str(tmp_path / "v"))
