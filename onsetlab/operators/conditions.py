@@ -9,9 +9,11 @@ from functools import reduce
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import IllegalArgumentException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from onsetlab.operators import observed
+
 #: Defaults of the model section.
 MODEL_DEFAULTS = {
     "mnispace": False,
@@ -96,10 +98,18 @@ def bad_pattern(pattern: str) -> str | None:
 
 def label_rows(df: DataFrame, conditions: dict[str, dict], column: str = "regressor_label") -> DataFrame:
     """The name of the first condition that holds; rows of none go, so all without conditions."""
+    return _named(df, conditions, column).where(F.col(column).isNotNull())
+
+
+def label_rows_counted(df: DataFrame, conditions: dict[str, dict], column: str = "regressor_label") -> tuple[DataFrame, Observation]:
+    """As label_rows, with an observation of how many rows it drops."""
+    return observed.kept(_named(df, conditions, column), F.col(column).isNotNull())
+
+
+def _named(df: DataFrame, conditions: dict[str, dict], column: str) -> DataFrame:
     if not conditions:
-        return df.withColumn(column, F.lit(None).cast("string")).where(F.lit(False))
-    whens = reduce(lambda w, kv: w.when(condition(kv[1]), F.lit(kv[0])), conditions.items(), F)
-    return df.withColumn(column, whens).where(F.col(column).isNotNull())
+        return df.withColumn(column, F.lit(None).cast("string"))
+    return df.withColumn(column, reduce(lambda w, kv: w.when(condition(kv[1]), F.lit(kv[0])), conditions.items(), F))
 
 
 def class_codes(df: DataFrame, categories: list[str], column: str = "regressor_label") -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from onsetlab.functions import volume_range
+from onsetlab.operators import conditions
 from onsetlab.operators.sampling import one_per_trial
 
 
@@ -67,6 +68,27 @@ def within_unit(rows: DataFrame, keys: list[str], value: str = "value") -> DataF
     return rows.groupBy(*keys).agg(F.avg(value).alias("mean"), standard_error(value).alias("se"), F.count("*").alias("n"))
 
 
+def timecourse(decoded: DataFrame, evidence: list[str], overlay: dict[str, dict] | None = None, unit: list[str] = ("subject",)) -> tuple[DataFrame, Observation | None]:
+    """(unit, window_index, regressor_label[, overlay_label], cat, mean, se, n) from the raw decoding
+    rows: mean and standard error of each evidence column. Overlay conditions are a further key; rows of
+    none of them go, and the observation counts them once the table is made."""
+    keys, seen = [*unit, "window_index", "regressor_label"], None
+    if overlay:
+        decoded, seen = conditions.label_rows_counted(decoded, overlay, "overlay_label")
+        keys.append("overlay_label")
+    each = F.array(*(F.struct(F.lit(c.removeprefix("evidence_")).alias("cat"), F.col(c).alias("value")) for c in evidence))
+    rows = decoded.select(*keys, F.explode(each).alias("x")).select(*keys, "x.cat", "x.value")
+    return within_unit(rows, [*keys, "cat"]), seen
+
+
+def units(decoded: DataFrame) -> list[str]:
+    """The unit whose spread a time course shows: folds where one subject alone has several, else subjects."""
+    if "fold" not in decoded.columns:
+        return ["subject"]
+    n = decoded.agg(F.count_distinct("subject").alias("subjects"), F.count_distinct("fold").alias("folds")).first()
+    return ["subject", "fold"] if n["subjects"] == 1 and n["folds"] > 1 else ["subject"]
+
+
 def across_units(within: DataFrame, keys: list[str]) -> DataFrame:
     """Mean over units, its standard error, and the mean of the units' own errors."""
     return within.groupBy(*keys).agg(F.avg("mean").alias("group_mean"), standard_error("mean").alias("group_se"), F.avg("se").alias("mean_within_se"), F.count("*").alias("n_units"))

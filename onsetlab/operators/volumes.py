@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from onsetlab.functions import entities, entity, entity_names, volume_range
+from onsetlab.operators import observed
 
 #: Names of administrative rows, as whole names and as parts of names.
 ADMIN_EXACT = ("start_block", "end_block")
@@ -156,9 +157,19 @@ def expected_diff(observed: DataFrame, expected: DataFrame, column: str = "trial
     return unexpected.unionByName(b.join(a, "value", "left_anti").withColumn("side", F.lit("missing")))
 
 
-def drop_bad_volumes(volumes: DataFrame, column: str = "volume_of_interest") -> DataFrame:
+def usable(column: str = "volume_of_interest") -> Column:
+    """A finite frame number."""
     x = F.col(column).cast("double")
-    return volumes.where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+
+
+def drop_bad_volumes(volumes: DataFrame, column: str = "volume_of_interest") -> DataFrame:
+    return volumes.where(usable(column))
+
+
+def drop_bad_volumes_counted(volumes: DataFrame, column: str = "volume_of_interest") -> tuple[DataFrame, Observation]:
+    """As drop_bad_volumes, with an observation of how many rows it drops."""
+    return observed.kept(volumes, usable(column))
 
 
 def of_subject(volumes: DataFrame, subject: str) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql.window import Window
 
 from onsetlab.functions import decision_evidence
 from onsetlab.operators import conditions, decoding, metrics, models, patterns, report, sampling, volumes
+from onsetlab.sources.frames import drop_frames, slice_stored, store_frames
 from onsetlab.sources.store import settled
 
 KEYS = ["subject", "fold"]
@@ -32,13 +33,15 @@ def sections(table: DataFrame, frames: DataFrame, recordings: DataFrame, config:
         raise ValueError("; ".join(errors))
     if masks is not None:
         frames = patterns.apply_mask(frames, patterns.resolve_masks(frames, masks), ["subject", "session"])
-    scored = settled(patterns.zscore(frames)) if len(config["model_conditions"]) > 1 else patterns.zscore(frames)
+    # written by recording once; sections bring their rows to the frames
+    scored = store_frames(patterns.zscore(frames))
     out = {}
     for name, section in config["model_conditions"].items():
         rows = conditions.label_rows(table, section["conditions"])
         if name == "timecourse_decoding":
             rows = decoding.timecourse_rows(rows, recordings, section["window"])
-        out[name] = settled(patterns.slice_patterns(rows, scored))
+        out[name] = settled(slice_stored(rows, scored))
+    drop_frames(table.sparkSession, scored)
     return out
 
 
@@ -217,6 +220,18 @@ def run_kfold(table: DataFrame, frames: DataFrame, recordings: DataFrame, config
     return out
 
 
+def timecourse_tables(results: dict[str, DataFrame], categories: list[str], overlay: dict[str, dict] | None = None) -> dict:
+    """The time course of a result's raw decoding rows: ``within`` each unit and ``group`` over them, by
+    overlay where overlay conditions are given; ``unit`` says what the units are (folds where one subject
+    alone has several) and ``dropped`` how many rows no overlay condition holds for."""
+    raw = results["decoding"]
+    unit = decoding.units(raw)
+    within, seen = decoding.timecourse(raw, [f"evidence_{c}" for c in categories], overlay, unit)
+    within = settled(within)
+    keys = [c for c in within.columns if c not in (*unit, "mean", "se", "n")]
+    return {"within": within, "group": decoding.across_units(within, keys), "unit": unit[-1], "dropped": seen.get["dropped"] if seen else 0}
+
+
 def report_tables(results: dict[str, DataFrame], n_classes: int) -> dict[str, DataFrame]:
     """Tables of a report from what the two functions above return."""
     staged = {s: results[n] for s, n in (("cv", "cv_metrics"), ("test", "metrics")) if n in results}

@@ -22,7 +22,7 @@ from onsetlab.operators import sampling as S
 from onsetlab.operators import volumes as V
 from onsetlab.operators import workflows
 from onsetlab.plans import views as W
-from onsetlab.sources import images, tables
+from onsetlab.sources import frames, images, tables
 from onsetlab.sources.store import settled
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -326,6 +326,17 @@ def zscore(spark, d):
     return _long(P.zscore(W.observations(spark, d)), "volume")
 
 
+@query(f"with {W.FLAT}, s as (select boldfile, voxel, avg(x) as m, stddev_pop(x) as sd from f group by all) select f.boldfile, volume, run, f.voxel, round(case when sd = 0 then 0 else (x - m) / sd end, 6) + 0.0 as value from f join s on f.boldfile = s.boldfile and f.voxel = s.voxel where run <= 4")
+def frame_store(spark, d):
+    """Frames stored by recording, scored where they lie; rows of some runs are brought to them."""
+    o = W.observations(spark, d)
+    stored = frames.store_frames(o.select("boldfile", "volume", "features"))
+    wanted = o.where("run <= 4").select("boldfile", F.col("volume").alias("volume_of_interest"), "run")
+    out = settled(frames.slice_stored(wanted, P.zscore(stored)))
+    frames.drop_frames(spark, stored)
+    return _long(out.withColumnRenamed("volume_of_interest", "volume"), "boldfile", "volume", "run")
+
+
 ANOVA_SQL = f"""{W.FLAT}, g as (select subject, voxel, regressor_label, count(*) as n, sum(x) as t, sum(x * x) as q from f group by all),
  a as (select subject, voxel, sum(n) as n, count(*) as k, sum(t) as t, sum(q) as q, sum(t * t / n) as b from g group by all),
  fv as (select subject, voxel, ((b - t * t / n) / (k - 1)) / ((q - b) / (n - k)) as f from a)"""
@@ -609,6 +620,28 @@ def timecourse_se(spark, d):
     return w.select(*UNIT, r6("mean").alias("mean"), r6("se").alias("se"))
 
 
+OVERLAY = {"late": {"and": [{"column": "run", "match": "exact", "value": "6"}, {"not": {"column": "window_index", "match": "exact", "value": "4"}}]}, "edge": {"column": "window_index", "match": "in", "values": ["0", "3"]}}
+OVERLAY_SQL = """w as (select subject, regressor_label, case when run = 6 and window_index <> 4 then 'late' when window_index in (0, 3) then 'edge' end as overlay_label, cat, window_index, avg(evidence) as mean, coalesce(stddev_samp(evidence) / sqrt(count(*)), 0) as se, count(*) as n from p
+ where cat in ('c0', 'c1') and ((run = 6 and window_index <> 4) or window_index in (0, 3)) group by all)"""
+
+
+def _overlaid(spark, d) -> DataFrame:
+    p = _decoded(_predicted(spark, d)).withColumn("evidence_c1", F.filter(F.arrays_zip("scores", "evidence"), lambda x: x["scores"]["label"] == "c1")[0]["evidence"])
+    return T.timecourse(p, ["evidence_c0", "evidence_c1"], OVERLAY)[0]
+
+
+@query(f"with {PRED}, {OVERLAY_SQL} select subject, regressor_label, overlay_label, cat, window_index, round(mean, 6) as mean, round(se, 6) as se, n from w")
+def timecourse_overlay(spark, d):
+    """Evidence by a further key that conditions make from the raw decoding rows."""
+    return _overlaid(spark, d).select("subject", "regressor_label", "overlay_label", "cat", "window_index", r6("mean").alias("mean"), r6("se").alias("se"), "n")
+
+
+@query(f"with {PRED}, {OVERLAY_SQL} select regressor_label, overlay_label, cat, window_index, round(avg(mean), 6) as group_mean, round(coalesce(stddev_samp(mean) / sqrt(count(*)), 0), 6) as group_se, round(avg(se), 6) as mean_within_se, count(*) as n_units from w group by all")
+def timecourse_overlay_group(spark, d):
+    keys = ["regressor_label", "overlay_label", "cat", "window_index"]
+    return T.across_units(_overlaid(spark, d), keys).select(*keys, *(r6(c).alias(c) for c in ("group_mean", "group_se", "mean_within_se")), "n_units")
+
+
 @query(f"with {PRED}, {SE_SQL} select regressor_label, cat, window_index, round(avg(mean), 6) as group_mean, round(coalesce(stddev_samp(mean) / sqrt(count(*)), 0), 6) as group_se, round(avg(se), 6) as mean_within_se from w group by all")
 def timecourse_group(spark, d):
     g = T.across_units(T.within_unit(M.by_class(_predicted(spark, d)), UNIT), UNIT[1:])

@@ -25,3 +25,9 @@ def settled(df: DataFrame) -> DataFrame:
     place = f"{shared_folder(df.sparkSession)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(place)
     return df.sparkSession.read.schema(df.schema).parquet(place)
+
+
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    """Take away a written folder that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -1,13 +1,14 @@
 import gzip
 import io
+import os
 import struct
 import tracemalloc
 
 import numpy as np
 import pytest
 
-from onsetlab.operators import workflows
-from onsetlab.sources import images, tables
+from onsetlab.operators import patterns, workflows
+from onsetlab.sources import frames, images, tables
 
 
 def test_events_files(spark, tmp_path):
@@ -186,3 +187,82 @@ def test_tables(spark, tmp_path):
     tables.write_folds(spark.createDataFrame([("01", 1, [2, 3])], "subject string, fold int, runs array<int>"), str(tmp_path / "f"))
     assert spark.read.json(str(tmp_path / "f")).first().runs == [2, 3]
     assert tables.result_name(m, "desc", "metric").first().name == "d_accuracy"
+
+
+def test_results_by_listing(spark, tmp_path):
+    """Catalog, folds and categories from folders and one small file: no result is read."""
+    names = ["zebra", "ape", "a/b c+d"]
+    rows = [("d%1", s, "cv", f, "auc", c, "", k + f / 10) for s in ("001", "x y") for f in (1, 2) for k, c in enumerate(names)] + [("d%1", "001", "test", None, "total_scores", "", "", 0.25)]
+    m = spark.createDataFrame(rows, "desc string, subject string, stage string, fold int, metric string, row_label string, col_label string, value double")
+    path = str(tmp_path / "m")
+    tables.write_metrics(m, path, names)
+    found = tables.listed_catalog(spark, path)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "parquet" not in plan.lower() and "content" not in plan  # names of files alone
+    assert sorted(map(tuple, found.collect())) == [("d%1", "001", "cv", 2, True), ("d%1", "001", "test", 0, False), ("d%1", "x y", "cv", 2, True)]
+    assert tables.read_categories(spark, path, "d%1") == names and tables.read_categories(spark, path, "other") == []
+    assert sorted(map(str, tables.read_metrics(spark, path, stage="cv", fold=2).select(*m.columns).collect())) == sorted(map(str, m.where("fold = 2").collect()))
+    maps = spark.createDataFrame([("d", "01", True, "face", [0.5]), ("d", "02", False, "face", [0.5])], "desc string, subject string, mni boolean, label string, weights array<double>")
+    tables.write_importance(maps, str(tmp_path / "i"))
+    assert sorted(map(tuple, tables.listed_maps(spark, str(tmp_path / "i")).collect())) == [("d", "01", "mni"), ("d", "02", "unasserted")]
+
+
+def test_wide_results(spark, tmp_path):
+    names = ["zebra", "ape", "b,c"]
+    matrix = [("d", "01", "test", None, "accuracy", a, b, 1 / (2 + i + 3 * j)) for i, a in enumerate(names) for j, b in enumerate(names)]
+    rows = matrix + [("d", "01", "test", None, "auc", a, "", float("nan") if a == "ape" else 0.5) for a in names] + [("d", "01", "cv", 3, "total_scores", "", "", 2 / 3)]
+    m = spark.createDataFrame(rows, "desc string, subject string, stage string, fold int, metric string, row_label string, col_label string, value double")
+    path = str(tmp_path / "w")
+    tables.write_wide(m, path, names)
+    text = {r.metric: r.value for r in spark.read.option("basePath", path).text(path, wholetext=True).collect()}
+    assert text["accuracy"].splitlines()[0] == ',zebra,ape,"b,c"' and text["accuracy"].splitlines()[1] == "zebra,0.5,0.2,0.125"
+    assert text["auc"].splitlines() == [",auc", "zebra,0.5", "ape,", '"b,c",0.5'] and text["total_scores"].strip() == "0.666667"
+    back = tables.read_wide(spark, path).collect()
+    got = {(r.metric, r.row_label, r.col_label): r.value for r in back}
+    assert {k for k in got} == {(r[4], r[5], r[6]) for r in rows} and all(got["accuracy", r[5], r[6]] == r[7] for r in matrix)
+    assert got["total_scores", "", ""] == 0.666667 and np.isnan(got["auc", "ape", ""])
+    order = sorted({(r.row_place, r.row_label) for r in back if r.metric == "accuracy"})
+    assert [c for _, c in order] == names and [r.fold for r in back if r.metric == "total_scores"] == [3]
+
+
+def test_frames_by_recording(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    rows = [(f"r{k}", v, rng.normal(size=5).tolist()) for k in range(6) for v in range(10)]
+    given = spark.createDataFrame(rows, "boldfile string, volume int, features array<double>")
+    stored = frames.store_frames(given)
+    wanted = spark.createDataFrame([("r1", 3, "a"), ("r1", 3, "b"), ("r4", 9, "a"), ("r9", 1, "a"), ("r0", -1, "a"), ("r0", 99, "a")], "boldfile string, volume_of_interest int, regressor_label string")
+    key = lambda d: sorted((r.boldfile, r.volume_of_interest, r.regressor_label, np.round(r.features, 9).tolist()) for r in d.collect())
+    want = key(patterns.slice_patterns(wanted, patterns.zscore(given)))
+    sliced = frames.slice_stored(wanted, patterns.zscore(stored))
+    assert key(sliced) == want and len(want) == 3
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for df in (patterns.zscore(stored), patterns.detrend(stored), patterns.temporal_mean(stored)):
+            assert not exchanges(df)
+        moved = exchanges(frames.slice_stored(wanted, patterns.zscore(stored)))
+        assert moved and not any("features" in x for x in moved)  # the rows alone
+        assert any("features" in x for x in exchanges(patterns.slice_patterns(wanted, patterns.zscore(given))))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert sorted(map(str, patterns.detrend(stored).select("boldfile", "volume").collect())) == sorted(map(str, given.select("boldfile", "volume").collect()))
+    place = stored.inputFiles()[0].removeprefix("file://")
+    frames.drop_frames(spark, stored)
+    assert not os.path.exists(place)
+
+
+def exchanges(df):
+    """What each exchange of the plan moves: the text of its output and below."""
+    out = []
+
+    def walk(node):
+        if node.nodeName() == "Exchange":
+            out.append(node.output().mkString(","))
+        children = node.children() if node.nodeName() != "AdaptiveSparkPlan" else None
+        for k in range(children.size() if children is not None else 0):
+            walk(children.apply(k))
+        if children is None:
+            walk(node.executedPlan())
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return out

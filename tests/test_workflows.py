@@ -112,6 +112,26 @@ def test_kfold(study):
     assert got["decoding_summary"].first().selected_voxels == r.selected_voxels
 
 
+def test_timecourse_by_overlay_and_unit(study):
+    table, frames, recordings = study
+    got = W.run_kfold(table, frames, recordings, config(kfold_cv={"strategy": "per_run"}))
+    overlay = {"first": {"column": "run", "match": "exact", "value": "1"}, "a": {"column": "regressor_label", "match": "exact", "value": "a"}}
+    made = W.timecourse_tables(got, NAMES, overlay)
+    assert made["unit"] == "subject" and made["dropped"] == 2 * 2 * 8 * 2  # two subjects, two runs, trials of b and c, two frames
+    assert {(r.overlay_label, r.regressor_label) for r in made["within"].collect()} == {("first", n) for n in NAMES} | {("a", "a")}
+    raw = got["decoding"].where("subject = '01' and run = 1 and regressor_label = 'b' and window_index = 1").collect()
+    r = made["within"].where("subject = '01' and overlay_label = 'first' and regressor_label = 'b' and window_index = 1 and cat = 'c'").first()
+    values = [x.evidence_c for x in raw]
+    assert (r["mean"], r.se, r.n) == (pytest.approx(np.mean(values)), pytest.approx(np.std(values, ddof=1) / len(values) ** 0.5), len(values))
+    assert {x.n_units for x in made["group"].collect()} == {2}
+    # folds are the unit where one subject has several
+    one = W.run_kfold(table.where("subject = '01'"), frames, recordings, config(kfold_cv={"strategy": "per_run"}))
+    made = W.timecourse_tables(one, NAMES)
+    assert made["unit"] == "fold" and made["dropped"] == 0 and {x.n_units for x in made["group"].collect()} == {3}
+    single = W.timecourse_tables(W.run_generalization(table.where("subject = '01'"), frames, recordings, config()), NAMES)
+    assert single["unit"] == "subject"
+
+
 def test_skipped_folds(study):
     table, frames, recordings = study
     cv = {"strategy": "explicit_groups", "held_out_runs": [[1, 2, 3], [2]]}
