@@ -15,8 +15,8 @@ lengths (``room`` rows at most) and says "so many sequences of this combination"
 
 Pieces then take the places of their length in order. The order is made in two steps
 (count by length and bucket, then number within a bucket), so one very common length is
-dealt over all buckets. Broadcast: the counts by length and bucket, at most
-``room * BUCKETS`` rows; the plan is joined by range of places, at block level.
+dealt over all its buckets, of which it has more the more pieces it has. Broadcast: the counts by
+length and bucket, one for ``BUCKET_PIECES`` pieces besides ``room * BUCKETS`` at most; the plan is joined by range of places, at block level.
 
 Defined cases: null and empty text is a piece of just the end id; repeated rows and ids
 are packed each for itself; a very long text is cut into full sequences and a rest; a
@@ -39,8 +39,8 @@ from onsetlab.llm.common import cut, map_rows, texts, vocab_path, worker_cached
 
 ROOM = 4096
 END_ID = 1
-#: One length's pieces are numbered in so many buckets.
-BUCKETS = 64
+#: One length's pieces are numbered in so many buckets at least, and in more beyond so many pieces a bucket.
+BUCKETS, BUCKET_PIECES = 64, 200_000
 #: Bytes of encoded chunks that a worker remembers in each of two generations.
 MEMO_BYTES = 72_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -215,25 +215,30 @@ def places(made: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.ndarra
 def pack(cut_pieces: DataFrame, room: int = ROOM) -> DataFrame:
     """Adds sequence_id and offset to pieces (doc_id, piece, start, length, ...)."""
     spark = cut_pieces.sparkSession
-    dealt = cut_pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(BUCKETS)).cast("int"))
+    # at most as many rows as a sequence has tokens
+    histogram = {r["length"]: r["count"] for r in cut_pieces.groupBy("length").count().collect()}
+    sizes = [(x, max(BUCKETS, -(-n // BUCKET_PIECES))) for x, n in sorted(histogram.items())]
+    first_of = dict(zip((x for x, _ in sizes), np.cumsum([0] + [n for _, n in sizes]).tolist()))
+    buckets = F.broadcast(spark.createDataFrame(sizes, "length long, buckets int"))
+    dealt = cut_pieces.join(buckets, "length").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("buckets")).cast("int"))
     counts = dealt.groupBy("length", "bucket").count().toPandas()
-    table = np.zeros((room + 1, BUCKETS), np.int64)
-    table[counts["length"], counts["bucket"]] = counts["count"]
-    before = table.cumsum(axis=1) - table
-    histogram = {int(x): int(n) for x, n in enumerate(table.sum(axis=1)) if n}
-    given = spark.sparkContext.broadcast((places(plan(histogram, room)), before))
+    flat = np.zeros(sum(n for _, n in sizes), np.int64)
+    flat[[first_of[x] + b for x, b in zip(counts["length"], counts["bucket"])]] = counts["count"]
+    before = flat.cumsum() - flat
+    before = before - np.repeat(before[list(first_of.values())], [n for _, n in sizes]) if len(flat) else before
+    given = spark.sparkContext.broadcast((places(plan(histogram, room)), before, first_of))
     within = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
     numbered = dealt.withColumn("rank", F.row_number().over(within) - 1)
-    columns = [c for c in numbered.columns if c not in ("bucket", "rank")]
+    columns = cut_pieces.columns
 
     def make():
-        by, first = given.value
+        by, before, first_of = given.value
 
         def rows(c):
             named = dict(zip([*columns, "bucket", "rank"], c))
             for k, (length, bucket, rank) in enumerate(zip(named["length"], named["bucket"], named["rank"])):
                 ranks, sequences, offsets = by[length]
-                rank += first[length, bucket]
+                rank += before[first_of[length] + bucket]
                 b = int(np.searchsorted(ranks, rank, "right")) - 1
                 yield (*(named[x][k] for x in columns), int(sequences[b] + rank - ranks[b]), int(offsets[b]))
 
