@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from onsetlab.llm.common import cut, vocab_path
+from onsetlab.llm.common import drop_written, new_place, vocab_path, written_at
 from onsetlab.llm.jaccard import one_of_each
 from onsetlab.llm.language_id import language_filter
 from onsetlab.llm.packing import pack_documents
@@ -50,7 +50,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+        place = new_place(spark)
+        docs = written_at(stage(spark, docs, sf_dir), place)
+        if last:
+            drop_written(spark, last)  # the stage after it is written
+        last = place
+    packed = STAGES[-1][1](spark, docs, sf_dir)  # its pieces are written, its documents no longer read
+    drop_written(spark, last)
+    return packed
