@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -67,6 +69,8 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[list], Iterator[tuple]]
                 rows = list(f([c.to_pylist() for c in part.columns]))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, type=t.type) for c, t in zip(zip(*rows), out)], schema=out)
+            del batch
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 
@@ -88,11 +92,23 @@ def worker_tables(owner: str) -> dict:
     operator after another and holds the tables of one at a time: the first call for
     another operator lets go of all that was there."""
     if owner not in _tables:
-        _tables.clear()
+        if _tables:
+            _tables.clear()
+            give_back()
         _tables[owner] = {}
     return _tables[owner]
 
 
+def give_back() -> None:
+    """Return to the system what this process has freed: allocators keep it otherwise, and the next
+    operator's tables come on top of it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
+
+
 def worker_cached(owner: str):
     """Remember a function's results by its arguments, in the worker's tables of ``owner``."""
 
@@ -124,6 +140,8 @@ def text_udf(make: Callable[[], Callable[[list], pa.Array | list]], returns: str
                 part = f(column.slice(at, SLICE_ROWS).to_pylist())
                 parts.append(part if isinstance(part, pa.Array) else pa.array(part, kind))
             yield pa.concat_arrays(parts)
+            del parts, column
+            pa.default_memory_pool().release_unused()
 
     return F.arrow_udf(run, returns).asNondeterministic()
 
