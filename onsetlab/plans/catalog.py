@@ -7,6 +7,7 @@ doesn't show.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -352,14 +353,23 @@ def kbest(spark, d):
     return P.select_best(P.anova(W.observations(spark, d)), 10).select("subject", F.col("voxel").cast("long").alias("voxel"), F.col("place").cast("long").alias("place"))
 
 
-@query()
+# the density of F, in an angle in which it has no poles, summed by Simpson's rule
+TAIL_SQL = f"""{ANOVA_SQL}, d as (select subject, voxel, ((b - t * t / n) / (k - 1)) / ((q - b) / (n - k)) as f, (k - 1)::double as d1, (n - k)::double as d2 from a), e as (select *, asin(sqrt(d2 / (d2 + d1 * f))) as e from d),
+ pv as (select subject, voxel, f, exp(lgamma((d1 + d2) / 2) - lgamma(d1 / 2) - lgamma(d2 / 2)) * e / 600 * sum(case when i in (0, 400) then 1 when i % 2 = 1 then 4 else 2 end * pow(sin(e * i / 400), d2 - 1) * pow(cos(e * i / 400), d1 - 1)) as p from e, range(401) s(i) group by subject, voxel, f, d1, d2, e)"""
+
+
+@query(f"with {TAIL_SQL} select subject, voxel, round(p, 6) as p, round(f, 6) as f from pv")
 def anova_p(spark, d):
-    return P.anova_p(W.observations(spark, d))
+    return P.anova_p(W.observations(spark, d)).select("subject", F.col("voxel").cast("long").alias("voxel"), r6("p").alias("p"), r6("f").alias("f"))
 
 
-@query()
+@query(
+    f"""with {TAIL_SQL}, fifth as (select subject, list_sort(list(p))[5] as nth from pv group by subject), w as (select subject, min(0.05 * pow(1.1::double, i)) as threshold_used from fifth, range(50) s(i) where 0.05 * pow(1.1::double, i) > 1 or nth < 0.05 * pow(1.1::double, i) group by subject)
+ select pv.subject, voxel, round(p, 6) as p, round(f, 6) as f, round(threshold_used, 6) as threshold_used from pv join w using (subject) where p < threshold_used"""
+)
 def threshold_select(spark, d):
-    return P.select_below(P.anova_p(W.observations(spark, d)), 0.05)
+    chosen = P.select_below(P.anova_p(W.observations(spark, d)), 0.05)
+    return chosen.select("subject", F.col("voxel").cast("long").alias("voxel"), *(r6(c).alias(c) for c in ("p", "f", "threshold_used")))
 
 
 DETREND_SQL = f"{W.FLAT}, l as (select boldfile, voxel, regr_slope(x, volume) as b, regr_intercept(x, volume) as a from f group by all), rest as (select f.*, x - (a + b * volume) as e from f join l on f.boldfile = l.boldfile and f.voxel = l.voxel)"
@@ -580,6 +590,49 @@ def generalization_workflow(spark, d):
     return out["cv_metrics"].withColumn("stage", F.lit("cv")).unionByName(out["metrics"].drop("fold").withColumn("stage", F.lit("test")))
 
 
+# standard scores by file; each trial's window holds its own frame and those twelve before and after, as far as the file has them
+KFOLD_WORKFLOW_SQL = f"""with {W.FLAT}, st as (select boldfile, voxel, avg(x) as m, stddev_pop(x) as sd from f group by all),
+ z as (select f.* exclude (x), case when sd = 0 then 0 else (x - m) / sd end as x from f join st using (boldfile, voxel)), k as (select distinct subject, run as fold from o),
+ zm as (select k.subject, k.fold, regressor_label as cat, voxel, avg(x) as m from z join k on z.subject = k.subject and z.run <> k.fold group by all),
+ zc as (select subject, fold, cat, voxel, m - avg(m) over (partition by subject, fold, cat) as c from zm), zd as (select *, x - avg(x) over (partition by volume) as d from z),
+ frame as (select zd.volume, any_value(zd.boldfile) as boldfile, zc.subject, zc.fold, zc.cat, sum(d * c) / (case when sqrt(sum(d * d)) * sqrt(sum(c * c)) = 0 then 1 else sqrt(sum(d * d)) * sqrt(sum(c * c)) end) as score
+   from zd join zc on zd.subject = zc.subject and zd.voxel = zc.voxel and zd.run = zc.fold group by all),
+ said as (select *, exp(score) / sum(exp(score)) over w as soft, first_value(cat) over (w order by score desc, cat) as predicted_label from frame window w as (partition by volume)),
+ p as (select said.volume, said.subject, said.fold, o.regressor_label, cat, 1 / (1 + exp(-score)) as evidence, predicted_label from said join o on o.volume = said.volume),
+ b as (select distinct volume, subject, fold, regressor_label, predicted_label from p), {_auc_sql("subject, fold")},
+ kc as (select distinct subject, fold, cat from p), g as (select a.subject, a.fold, a.cat as row_label, c.cat as col_label from kc a join kc c on a.subject = c.subject and a.fold = c.fold),
+ n as (select subject, fold, regressor_label as row_label, predicted_label as col_label, count(*) as n from b group by all), e as (select subject, fold, regressor_label as row_label, cat as col_label, avg(evidence) as e from p group by all),
+ by_fold as (select subject, fold, 'total_scores' as metric, '' as row_label, '' as col_label, avg(cast(predicted_label = regressor_label as integer)) as value from b group by all
+  union all select subject, fold, 'accuracy', row_label, col_label, coalesce(n / sum(n) over (partition by subject, fold, row_label), 0) from g left join n using (subject, fold, row_label, col_label)
+  union all select subject, fold, 'evidence', row_label, col_label, coalesce(e, 0) from g left join e using (subject, fold, row_label, col_label)
+  union all select subject, fold, 'auc', label, '', auc from ar),
+ w as (select said.subject, (step + 1) * 12 as window_index, o.regressor_label, said.volume, cat, soft, predicted_label from o cross join range(-1, 2) s(step) join said on said.volume = o.volume + step * 12 and said.boldfile = o.boldfile),
+ course as (select subject, window_index, regressor_label, avg(cast(predicted_label = regressor_label as integer)) as hit, avg(soft) filter (cat = 'c0') as c0 from w group by all),
+ every as (select 'fold' as stage, subject, fold, metric, row_label, col_label, value from by_fold
+  union all select 'mean', subject, 0, metric, row_label, col_label, avg(value) from by_fold group by all
+  union all select 'decoding', subject, 0, 'accuracy', regressor_label, cast(window_index as varchar), hit from course union all select 'decoding', subject, 0, 'evidence_c0', regressor_label, cast(window_index as varchar), c0 from course)
+ select stage, subject, cast(fold as integer) as fold, metric, row_label, col_label, isnan(value) as undefined, round(case when isnan(value) then -1 else value end, 6) as value from every"""
+
+
+@query(KFOLD_WORKFLOW_SQL)
+def kfold_workflow(spark, d):
+    """The whole stage with every run left out once: standard scores, folds, mean patterns, scores
+    by fold and over folds, and a decoded time course of every trial of the runs left out."""
+    table, frames, recordings, config = _workflow_tables(spark, d)
+    both = {c: {"column": "trial_type", "match": "exact", "value": c} for c in CATEGORIES}
+    window = {"start": {"reference": "onset", "offset_seconds": -12}, "end": {"reference": "onset", "offset_seconds": 13}}
+    config["model_conditions"] = {"training": {"conditions": both}, "testing": {"conditions": both}, "timecourse_decoding": {"conditions": both, "window": window}}
+    config["model"] = {"classifier": {"name": "nearest_centroid"}, "kfold_cv": {"strategy": "per_run"}}
+    out = workflows.run_kfold(table, frames, recordings, config)
+    labels = ["metric", "row_label", "col_label", "value"]
+    course = out["decoding_summary"].select("subject", "window_index", "regressor_label", F.explode(F.create_map(F.lit("accuracy"), F.col("Accuracy"), F.lit("evidence_c0"), F.col("evidence_c0"))).alias("metric", "value"))
+    course = course.select("subject", "metric", F.col("regressor_label").alias("row_label"), F.col("window_index").cast("string").alias("col_label"), "value")
+    stages = [out["fold_metrics"].select(F.lit("fold").alias("stage"), "subject", F.col("fold").cast("int").alias("fold"), *labels)]
+    stages += [t.select(F.lit(s).alias("stage"), "subject", F.lit(0).alias("fold"), *labels) for s, t in (("mean", out["metrics"]), ("decoding", course))]
+    every = reduce(DataFrame.unionByName, stages)
+    return every.select("stage", "subject", "fold", *labels[:3], F.isnan("value").alias("undefined"), r6(F.when(F.isnan("value"), -1.0).otherwise(F.col("value"))).alias("value"))
+
+
 # ---- time courses
 
 WINDOW = {"start": {"reference": "onset", "offset_seconds": -600}, "end": {"reference": "offset_end", "offset_seconds": 1200}}
