@@ -18,8 +18,10 @@ Broadcast: at most about 2 * ``CENTRES`` centres.
 
 Defined cases: null labels, and vectors that are null, empty, zero or have null or
 non-finite parts, link with nothing; so do vectors of different length; a null vec_id has
-a null component, no links and is not kept; repeated rows are vectors each; an empty
-table gives no rows; further columns are ignored.
+a null component, no links and is not kept; repeated rows are vectors each; a vec_id that is
+repeated with other vectors or labels is one node of the components, and each of its rows
+has at least the links of any of its vectors and at most their sum; an empty table gives no
+rows; further columns are ignored.
 """
 
 from __future__ import annotations

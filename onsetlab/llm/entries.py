@@ -10,12 +10,18 @@ import corpus_pipeline
 from onsetlab.llm import bpe, chat, embedding_dups, jaccard, language_id, lexical_search, media, packing, periodic_runs, quality, secrets, token_counts, token_files
 
 
+def secret_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op4 finds by its three base patterns, which SQL can express."""
+    return secrets.op4_secret_scans(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": token_counts.op1_token_counts,
         "op2_quality_classifier": quality.op2_quality_classifier,
         "op3_language_id": language_id.op3_language_id,
         "op4_secret_scans": secrets.op4_secret_scans,
+        "secret_base_spans": secret_base_spans,
         "op5_media_columns": media.op5_media_columns,
         "op6_chat_formatting": chat.op6_chat_formatting,
         "op7_bpe_encode_decode": bpe.op7_bpe_encode_decode,
@@ -33,6 +39,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
+# letters in either case, without folding any others to them
+KEYWORDS = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+#: The base patterns of op4; single quotes are doubled for SQL.
+BASES = (rf"""({KEYWORDS})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", "AKIA[A-Z0-9]+", "[0-9a-f]+")
+
 #: Links from a CTE ``l`` (a, b, both ways) and all nodes from ``v`` (id): the smallest id each reaches.
 REACH = "r(a, b) as (select a, b from l union select r.a, l.b from r join l on r.b = l.a), least_of as (select a, min(b) as m from r group by a)"
 
@@ -56,6 +67,15 @@ def oracle_sql() -> dict[str, str]:
  d as (select conv_id, count(*) as n_turns, string_agg(role || chr(10) || text || chr(10), '' order by nth) as turns, coalesce(string_agg(text, '' order by nth) filter (role = 'assistant'), '') as loss from o group by conv_id)
  select d.conv_id, n_turns, sha256(turns) as turns_sha256, length(loss) as loss_chars, sha256(loss) as loss_sha256, cast(formatted_chars as bigint) as formatted_chars, n_windows
  from d join z on z.conv_id is not distinct from d.conv_id""",
+        "secret_base_spans": f"""with t as (select doc_id, row_number() over () as r, coalesce(text, '') as x from documents),
+ p(k, kind, pattern) as (values (0, 'assign', '{BASES[0]}'), (1, 'access', '{BASES[1]}'), (2, 'hex', '{BASES[2]}')),
+ f as (select r, 0 as k, regexp_extract_all(x, '{BASES[0]}') as found, regexp_split_to_array(x, '{BASES[0]}') as rest from t
+  union all select r, 1, regexp_extract_all(x, '{BASES[1]}'), regexp_split_to_array(x, '{BASES[1]}') from t union all select r, 2, regexp_extract_all(x, '{BASES[2]}'), regexp_split_to_array(x, '{BASES[2]}') from t),
+ e as (select r, k, generate_subscripts(found, 1) as i, unnest(found) as m, unnest(rest[:len(found)]) as gap from f where len(found) > 0),
+ s as (select *, sum(length(gap) + length(m)) over (partition by r, k order by i rows unbounded preceding) as upto from e),
+ b as (select r, k, m, upto - length(m) as a, upto as z from s where case k when 0 then length(regexp_extract(m, '{BASES[0]}', 2)) >= 12 when 1 then length(m) >= 18 else length(m) >= 16 end),
+ g as (select r, count(*) filter (k = 0) as n_assign, count(*) filter (k = 1) as n_access, count(*) filter (k = 2) as n_hex, string_agg(kind || ':' || a || ':' || z, ',' order by a, k) as spans from b join p using (k) group by r)
+ select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(spans, '')) as base_sha256 from t left join g using (r)""",
         "op8_embedding_near_dedup": f"""with recursive v as (select vec_id, label, cast(embedding as double[]) as e from embeddings),
  l as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and list_cosine_similarity(a.e, b.e) >= 0.93), {REACH},
  n as (select a, count(*) as n from l group by a), x as (select vec_id, label, md5(cast(e as varchar)) as k from v), same as (select label, k, min(vec_id) as rep from x group by all)

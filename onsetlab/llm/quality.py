@@ -13,7 +13,9 @@ Features are worked out once: the filter writes them beside its rows.
 
 Defined cases: null text is empty; null metadata is a value of its own; several labels of
 an id count as their mean, rounded half up; an id without a label, or with a null one, is
-unlabelled; with labels of one kind only (or none), every document's score is 1 and it is
+unlabelled; sources fall into ``SOURCE_BUCKETS`` features and languages into
+``LANG_BUCKETS`` by hash, so that some of different names share one (the text view tells such
+pages apart, the metadata view can't); with labels of one kind only (or none), every document's score is 1 and it is
 kept, as nothing can be learned; where the labelled documents that fit, or those that
 calibrate, are of one kind only, all labelled documents do both; a very long text is
 measured whole, one text at a time; repeated rows give a row each; an empty table gives no

@@ -162,3 +162,11 @@ def test_null_ids(spark):
     df = spark.createDataFrame([(None, [1.0, 0.0], 1), (1, [1.0, 0.0], 1)], "vec_id long, embedding array<double>, label int")
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dups.near_duplicates(df).where(F.lit(True)).collect()}
     assert got == {None: (0, None, False), 1: (0, 1, True)}
+
+
+def test_repeated_ids_of_other_vectors(spark):
+    rows = [(5, [1.0, 0.0], 0), (5, [0.0, 1.0], 1), (2, [1.0, 0.01], 0), (9, [0.01, 1.0], 1), (7, [1.0, 0.02], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = [(r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_dups.near_duplicates(df).collect()]
+    assert len(got) == 5 and {(v, c, k) for v, _, c, k in got} == {(5, 2, False), (2, 2, True), (9, 2, False), (7, 2, False)}
+    assert all(2 <= n <= 3 for v, n, _, _ in got if v == 5) and {n for v, n, _, _ in got if v == 2} == {2}

@@ -4,10 +4,11 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 
-from onsetlab.llm import chat, language_id, media, quality, secrets
+from onsetlab.llm import chat, entries, language_id, media, quality, secrets
 from onsetlab.llm.common import vocab_path
 
 PIECES = vocab_path("piece_bpe_32k.model")
@@ -113,6 +114,29 @@ def test_secrets(spark):
     assert secrets.redact(docs).columns == docs.columns
 
 
+def test_secret_bases_by_sql(spark, tmp_path):
+    duck = duckdb.connect()
+    rows = [(k if k else None, t) for k, t in enumerate([*TEXTS, "passwd='x=y' token:token:abcdefabcdef12 \U0001f600 deadbeefdeadbeef00", "AKIA" * 5 + "\n" + "f" * 16 + "\0" + "0" * 15, "API-KEY:abcdefghijklmno apikey:abcdefghijkl"])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/planted/documents.parquet")
+    for d in (f"{tmp_path}/planted", "/root/testdata/sf0.001"):
+        duck.execute(f"create or replace view documents as select * from read_parquet('{d}/documents.parquet{'/*.parquet' if 'planted' in d else ''}')")
+        r = duck.execute(entries.oracle_sql()["secret_base_spans"])
+        names = [x[0] for x in r.description]
+        order = lambda rows: sorted(map(tuple, rows), key=repr)
+        assert order(entries.queries()["secret_base_spans"](spark, d).select(*names).collect()) == order(r.fetchall())
+
+
+def test_null_ids_and_empty_tables(spark):
+    docs = spark.createDataFrame([(None, "password: abcdefabcdef1234"), (1, None)], "doc_id long, text string")
+    for made in (secrets.secret_scan, media.media_digests, media.media_columns):
+        assert {r.doc_id for r in made(docs).collect()} == {None, 1}
+        assert made(docs.limit(0)).collect() == []
+    assert secrets.redact(docs.limit(0)).collect() == [] and {r.doc_id: r.text for r in secrets.redact(docs).collect()} == {None: "[SECRET]", 1: None}
+    said = spark.createDataFrame([(None, 0, "user", "a"), (None, 1, "assistant", "b"), (3, 0, "assistant", None)], "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: (r.n_turns, r.loss_chars, r.loss_sha256) for r in chat.read_back(chat.windows(said)).collect()}
+    assert got == {None: (2, 1, hashlib.sha256(b"b").hexdigest()), 3: (1, 0, hashlib.sha256(b"").hexdigest())}
+
+
 NAMED = ["DB_PASSWORD=xK9#mQ2$vL7p", "dbPassword=xK9#mQ2$vL7p", "client_secret: p@9!kQ#z7Lw2", "AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMI/K7MDENG/bPxRfi", '"spring.datasource.password-2": "xK9#mQ2$vL7p"', "note=password=xK9#mQ2$vL7p"]
 
 
