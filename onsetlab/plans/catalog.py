@@ -355,7 +355,7 @@ def kbest(spark, d):
 
 # the density of F, in an angle in which it has no poles, summed by Simpson's rule
 TAIL_SQL = f"""{ANOVA_SQL}, d as (select subject, voxel, ((b - t * t / n) / (k - 1)) / ((q - b) / (n - k)) as f, (k - 1)::double as d1, (n - k)::double as d2 from a), e as (select *, asin(sqrt(d2 / (d2 + d1 * f))) as e from d),
- pv as (select subject, voxel, f, exp(lgamma((d1 + d2) / 2) - lgamma(d1 / 2) - lgamma(d2 / 2)) * e / 600 * sum(case when i in (0, 400) then 1 when i % 2 = 1 then 4 else 2 end * pow(sin(e * i / 400), d2 - 1) * pow(cos(e * i / 400), d1 - 1)) as p from e, range(401) s(i) group by subject, voxel, f, d1, d2, e)"""
+ pv as (select subject, voxel, f, exp(lgamma((d1 + d2) / 2) - lgamma(d1 / 2) - lgamma(d2 / 2)) * e / 30000 * sum(case when i in (0, 20000) then 1 when i % 2 = 1 then 4 else 2 end * pow(sin(e * i / 20000), d2 - 1) * pow(cos(e * i / 20000), d1 - 1)) as p from e, range(20001) s(i) group by subject, voxel, f, d1, d2, e)"""
 
 
 @query(f"with {TAIL_SQL} select subject, voxel, round(p, 6) as p, round(f, 6) as f from pv")
