@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from onsetlab.functions import pearson
+from onsetlab.functions import let, pearson, total
 from onsetlab.operators import fits, metrics, patterns, sampling
 from onsetlab.operators.sampling import shuffled
 from onsetlab.sources.store import settled
@@ -132,73 +132,106 @@ def held_out(test: list[int] | Column) -> Column:
     return test if isinstance(test, Column) else F.col("run").isin(test)
 
 
-#: Bytes of class means, and test rows, that one task holds.
-CHUNK_BYTES, TEST_ROWS, TRAIN_ROWS = 64_000_000, 256, 4096
+#: Bytes of class means that a task holds, classes of permutations worked on together, rows of a block.
+CHUNK_BYTES, COLUMNS, TEST_ROWS, TRAIN_ROWS = 64_000_000, 8192, 1024, 4096
+
+
+def centred(x: Column) -> Column:
+    """An array less its mean."""
+    return let(total(x) / F.size(x), lambda m: F.transform(x, lambda v: v - m))
+
+
+def feature_slices(x: Column, wide: int) -> Column:
+    """An array as the array of its stretches of ``wide`` values, one at least."""
+    last = F.greatest(F.lit(0), F.ceil(F.size(x) / wide).cast("int") - 1)
+    return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(x, k * wide + 1, wide))
 
 
 def permuted_centroid_scores(rows: DataFrame, test: list[int] | Column, n: int, seed: int = 0) -> DataFrame:
     """(subject, perm, volume, regressor_label, predicted_label, scores) of the centroid
     classifier's test rows under each permutation.
 
-    Patterns meet their labels once. Blocks of training rows are multiplied with an indicator
-    matrix of the labels, which gives all permutations' class sums; blocks of test rows are
-    then correlated with all their means. Permutations are dealt in chunks whose means fit
-    in a task, so patterns are copied once for a chunk: once in all unless they are wide."""
-    given = rows.select("subject", "volume", held_out(test).alias("held"), "features").join(permuted_labels(rows, n, seed), ["subject", "volume"])
-    about = rows.agg(F.max(F.size("features")).alias("wide"), F.sort_array(F.collect_set("regressor_label")).alias("names")).first()
-    names = about["names"] or []
-    size = max(1, CHUNK_BYTES // (8 * max(1, len(names)) * (about["wide"] or 1)))
-    chunk = lambda perms: F.explode(F.sequence(F.lit(0), F.lit(n // size)))
+    Where every pattern is less its own mean, so are the class means, and both the product of a
+    pattern with one and the mean's norm are sums over features. So patterns are cut into slices
+    of features, narrow enough for all permutations' means in a task, and each slice is moved once.
+    Blocks of training rows are multiplied with indicator matrices of the labels, blocks of test rows
+    with the means, and the products are added up over slices. Only more than COLUMNS classes
+    of permutations are worked on in chunks, with a copy of the patterns for each."""
+    names = rows.agg(F.sort_array(F.collect_set("regressor_label")).alias("names")).first()["names"]
+    per = max(1, COLUMNS // max(1, len(names)))
+    wide = max(1, CHUNK_BYTES // (8 * max(1, len(names)) * min(per, n + 1)))
+    given = rows.select("subject", "volume", held_out(test).alias("held"), centred(F.col("features")).alias("x")).join(permuted_labels(rows, n, seed), ["subject", "volume"])
+    place = F.array(*map(F.lit, names)).cast("array<string>")
+    codes = F.transform("given", lambda g: (F.coalesce(F.array_position(place, g), F.lit(0)) - 1).cast("smallint"))
+    norm = F.sqrt(total(F.transform("x", lambda v: v * v)))
     counts = rows.groupBy("subject").agg(F.count("*").alias("rows"))
-    dealt = given.join(counts, "subject").withColumn("chunk", chunk(n))
-    block = lambda per: F.pmod(F.xxhash64("volume"), F.ceil(F.col("rows") / per)).cast("int")
-    code = {x: k for k, x in enumerate(names)}
+    coded = given.select("subject", "volume", "held", "x", codes.alias("codes"), norm.alias("norm")).join(counts, "subject")
+    dealt = coded.select("subject", "volume", "held", "rows", "codes", "norm", F.posexplode(feature_slices(F.col("x"), wide)).alias("slice", "x"))
+    dealt = dealt.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(n // per))))
+    block = lambda size: F.pmod(F.xxhash64("volume"), F.ceil(F.col("rows") / size)).cast("int")
 
-    def perms_of(c):
-        return range(int(c) * size, min(n + 1, (int(c) + 1) * size))
-
-    def matrix(pdf):
-        return np.array(pdf["features"].tolist(), float), np.array([[code[x] for x in g] for g in pdf["given"]])
+    def matrix(pdf, chunk):
+        labels = np.array(pdf["codes"].tolist(), np.int16)[:, chunk * per : (chunk + 1) * per]
+        return np.array(pdf["x"].tolist(), float), labels
 
     def sums(key, pdf):
-        x, labels = matrix(pdf)
+        subject, chunk, at = key[0], int(key[1]), int(key[2])
+        x, labels = matrix(pdf, chunk)
         out = []
-        for perm in perms_of(key[1]):
-            for c in range(len(names)):
-                own = labels[:, perm] == c
-                if own.any():
-                    out.append((key[0], int(key[1]), perm, c, int(own.sum()), own @ x))
-        return pd.DataFrame(out, columns=["subject", "chunk", "perm", "code", "n", "total"])
-
-    parts = dealt.where(~F.col("held")).groupBy("subject", "chunk", block(TRAIN_ROWS).alias("block")).applyInPandas(sums, "subject string, chunk int, perm int, code int, n long, total array<double>")
-    total = Summarizer.metrics("sum").summary(array_to_vector("total"))
-    means = parts.groupBy("subject", "chunk", "perm", "code").agg(F.sum("n").alias("n"), total.alias("s")).select("subject", "chunk", "perm", "code", F.transform(vector_to_array("s.sum"), lambda x: x / F.col("n")).alias("mean"))
+        for c in range(len(names)):
+            own = labels == c
+            size, whole = own.sum(axis=0), own.T.astype(float) @ x
+            out += [(subject, chunk, at, chunk * per + k, c, int(size[k]), whole[k]) for k in np.flatnonzero(size)]
+        return pd.DataFrame(out, columns=["subject", "chunk", "slice", "perm", "code", "n", "total"])
+
+    key = ["subject", "chunk", "slice"]
+    parts = dealt.where(~F.col("held")).groupBy(*key, block(TRAIN_ROWS).alias("block")).applyInPandas(sums, "subject string, chunk int, slice int, perm int, code int, n long, total array<double>")
+    added = Summarizer.metrics("sum").summary(array_to_vector("total"))
+    means = parts.groupBy(*key, "perm", "code").agg(F.sum("n").alias("n"), added.alias("s"))
+    means = settled(means.select(*key, "perm", "code", F.transform(vector_to_array("s.sum"), lambda v: v / F.col("n")).alias("mean")))
     tests = dealt.where("held").withColumn("block", block(TEST_ROWS))
-    wanted = tests.select("subject", "chunk", "block").distinct()
-    means = means.join(wanted, ["subject", "chunk"])
 
-    def score(key, centres, pdf):
+    def products(key, centres, pdf):
+        columns = ["subject", "chunk", "block", "volume", "norm", "codes", "dots"]
         if not len(pdf) or not len(centres):
-            return pd.DataFrame(columns=["subject", "perm", "volume", "regressor_label", "predicted_label", "scores"])
-        x, labels = matrix(pdf)
-        x = x - x.mean(axis=1, keepdims=True)
-        x_norm = np.sqrt((x * x).sum(axis=1))
+            return pd.DataFrame(columns=columns)
+        x, labels = matrix(pdf, int(key[1]))
+        dots = np.zeros((len(x), labels.shape[1] * len(names)))
+        at = (centres["perm"].to_numpy() - int(key[1]) * per) * len(names) + centres["code"].to_numpy()
+        dots[:, at] = x @ np.array(centres["mean"].tolist(), float).T
+        return pd.DataFrame({"subject": key[0], "chunk": int(key[1]), "block": int(key[3]), "volume": pdf["volume"], "norm": pdf["norm"], "codes": list(labels), "dots": list(dots)}, columns=columns)
+
+    by = [*key, "block"]
+    blocks = tests.select(*by).distinct()
+    spread = means.join(blocks, key)
+    schema = "subject string, chunk int, block int, volume long, norm double, codes array<smallint>, dots array<double>"
+    pieces = spread.toDF(*spread.columns).groupBy(*by).cogroup(tests.groupBy(*by)).applyInPandas(products, schema)
+    added = Summarizer.metrics("sum").summary(array_to_vector("dots"))
+    whole = pieces.groupBy("subject", "chunk", "block", "volume").agg(F.first("norm").alias("norm"), F.first("codes").alias("codes"), added.alias("s"))
+    whole = whole.withColumn("dots", vector_to_array("s.sum")).drop("s")
+    norms = means.groupBy("subject", "chunk", "perm", "code").agg(F.sqrt(F.sum(total(F.transform("mean", lambda v: v * v)))).alias("norm"))
+    norms = norms.join(blocks.select("subject", "chunk", "block").distinct(), ["subject", "chunk"])
+
+    def score(key, own, pdf):
+        columns = ["subject", "perm", "volume", "regressor_label", "predicted_label", "scores"]
+        if not len(pdf) or not len(own):
+            return pd.DataFrame(columns=columns)
+        dots, labels = np.array(pdf["dots"].tolist(), float), np.array(pdf["codes"].tolist(), int)
+        x_norm, first = pdf["norm"].to_numpy(), int(key[1]) * per
         out = []
-        for perm, own in centres.sort_values(["perm", "code"]).groupby("perm"):
-            m = np.array(own["mean"].tolist(), float)
-            m = m - m.mean(axis=1, keepdims=True)
-            norms = x_norm[:, None] * np.sqrt((m * m).sum(axis=1))[None, :]
-            r = x @ m.T / np.where(norms == 0, 1.0, norms)
-            trained = [names[c] for c in own["code"]]
+        for perm, found in own.sort_values(["perm", "code"]).groupby("perm"):
+            trained = [names[c] for c in found["code"]]
+            both = x_norm[:, None] * found["norm"].to_numpy()[None, :]
+            r = dots[:, (perm - first) * len(names) + found["code"].to_numpy()] / np.where(both == 0, 1.0, both)
             best = r.argmax(axis=1)
             for k, volume in enumerate(pdf["volume"]):
-                out.append((key[0], int(perm), int(volume), names[labels[k, perm]], trained[best[k]], [{"label": a, "score": float(b)} for a, b in zip(trained, r[k])]))
-        return pd.DataFrame(out, columns=["subject", "perm", "volume", "regressor_label", "predicted_label", "scores"])
+                truth = labels[k, perm - first]
+                out.append((key[0], int(perm), int(volume), names[truth] if truth >= 0 else None, trained[best[k]], [{"label": a, "score": float(b)} for a, b in zip(trained, r[k])]))
+        return pd.DataFrame(out, columns=columns)
 
-    key = ["subject", "chunk", "block"]
+    by = ["subject", "chunk", "block"]
     schema = "subject string, perm int, volume long, regressor_label string, predicted_label string, scores array<struct<label:string,score:double>>"
-    means = means.toDF(*means.columns)  # its keys come from the same rows as those of tests
-    return means.groupBy(*key).cogroup(tests.groupBy(*key)).applyInPandas(score, schema)
+    return norms.toDF(*norms.columns).groupBy(*by).cogroup(whole.groupBy(*by)).applyInPandas(score, schema)
 
 
 def both_metrics(pred: DataFrame, keys: list[str]) -> DataFrame:

@@ -116,8 +116,10 @@ def test_classifiers(planted):
 
 def test_permutations(planted, monkeypatch):
     want = _brute_permutations(planted, 9)
-    for size in (64_000_000, 3 * 8 * 12 * 4):  # one chunk of permutations, and chunks of four
+    # whole patterns; slices of five features; chunks of four permutations; slices in chunks
+    for size, columns in ((64_000_000, 8192), (3 * 8 * 10 * 5, 8192), (64_000_000, 12), (3 * 8 * 4 * 5, 12)):
         monkeypatch.setattr(models, "CHUNK_BYTES", size)
+        monkeypatch.setattr(models, "COLUMNS", columns)
         monkeypatch.setattr(models, "TRAIN_ROWS", 7)
         monkeypatch.setattr(models, "TEST_ROWS", 5)
         scores = models.permutation_centroid(planted, [3], 9).cache()
@@ -128,6 +130,15 @@ def test_permutations(planted, monkeypatch):
     assert {r.metric: r.p for r in models.permutation_p(fitted, ["subject", "metric"]).collect()} == {"accuracy": pytest.approx(0.2), "roc_auc_ovr": pytest.approx(0.2)}
 
 
+def test_feature_slices(planted):
+    """Each value is in one slice, whatever the width."""
+    for wide, sizes in ((5, [5, 5, 2]), (12, [12]), (64, [12])):
+        got = planted.select("features", models.feature_slices(F.col("features"), wide).alias("s")).first()
+        assert [len(x) for x in got.s] == sizes and sum(got.s, []) == got.features
+    empty = planted.select(models.feature_slices(F.array().cast("array<double>"), 5).alias("s"), models.centred(F.col("features")).alias("c")).first()
+    assert empty.s == [[]] and sum(empty.c) == pytest.approx(0, abs=1e-12)
+
+
 def _brute_permutations(planted, n):
     rows = sorted(planted.collect(), key=lambda r: r.volume)
     x, held = np.array([r.features for r in rows]), np.array([r.run == 3 for r in rows])
