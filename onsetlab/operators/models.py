@@ -132,8 +132,9 @@ def held_out(test: list[int] | Column) -> Column:
     return test if isinstance(test, Column) else F.col("run").isin(test)
 
 
-#: Bytes of class means that a task holds, classes of permutations worked on together, rows of a block.
-CHUNK_BYTES, COLUMNS, TEST_ROWS, TRAIN_ROWS = 64_000_000, 8192, 1024, 4096
+#: Bytes of class means that a task holds, classes of permutations worked on together, rows of a block, and rows of a
+#: subject whose slices are worked on in one task each.
+CHUNK_BYTES, COLUMNS, TEST_ROWS, TRAIN_ROWS, ALONE = 64_000_000, 8192, 1024, 4096, 2048
 
 
 def centred(x: Column) -> Column:
@@ -154,9 +155,11 @@ def permuted_centroid_scores(rows: DataFrame, test: list[int] | Column, n: int,
     Where every pattern is less its own mean, so are the class means, and both the product of a
     pattern with one and the mean's norm are sums over features. So patterns are cut into slices
     of features, narrow enough for all permutations' means in a task, and each slice is moved once.
-    Blocks of training rows are multiplied with indicator matrices of the labels, blocks of test rows
-    with the means, and the products are added up over slices. Only more than COLUMNS classes
-    of permutations are worked on in chunks, with a copy of the patterns for each."""
+    Training rows are multiplied with indicator matrices of the labels, test rows
+    with the means, and the products are added up over slices. Of a subject of at most ALONE rows the means
+    stay in the task that makes them; larger ones are worked on in blocks of rows, whose sums and means
+    are shuffled. Only more than COLUMNS classes of permutations are worked on in chunks, with a copy of
+    the patterns for each."""
     names = rows.agg(F.sort_array(F.collect_set("regressor_label")).alias("names")).first()["names"]
     per = max(1, COLUMNS // max(1, len(names)))
     wide = max(1, CHUNK_BYTES // (8 * max(1, len(names)) * min(per, n + 1)))
@@ -166,7 +169,8 @@ def permuted_centroid_scores(rows: DataFrame, test: list[int] | Column, n: int,
     norm = F.sqrt(total(F.transform("x", lambda v: v * v)))
     counts = rows.groupBy("subject").agg(F.count("*").alias("rows"))
     coded = given.select("subject", "volume", "held", "x", codes.alias("codes"), norm.alias("norm")).join(counts, "subject")
-    dealt = coded.select("subject", "volume", "held", "rows", "codes", "norm", F.posexplode(feature_slices(F.col("x"), wide)).alias("slice", "x"))
+    # written once: labels are shuffled by permutation once, and training and test rows are read from there
+    dealt = settled(coded.select("subject", "volume", "held", "rows", "codes", "norm", F.posexplode(feature_slices(F.col("x"), wide)).alias("slice", "x")))
     dealt = dealt.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(n // per))))
     block = lambda size: F.pmod(F.xxhash64("volume"), F.ceil(F.col("rows") / size)).cast("int")
 
@@ -174,6 +178,23 @@ def permuted_centroid_scores(rows: DataFrame, test: list[int] | Column, n: int,
         labels = np.array(pdf["codes"].tolist(), np.int16)[:, chunk * per : (chunk + 1) * per]
         return np.array(pdf["x"].tolist(), float), labels
 
+    def alone(key, pdf):
+        """Products of a subject's test rows with all means, and as the row without a volume the means' squares (NaN: not trained)."""
+        chunk, held = int(key[1]), pdf["held"].to_numpy(bool)
+        x, labels = matrix(pdf, chunk)
+        n_perms = labels.shape[1]
+        dots, squares = np.zeros((held.sum(), n_perms, len(names))), np.full((n_perms, len(names)), np.nan)
+        for c in range(len(names)):
+            own = labels[~held] == c
+            size = own.sum(axis=0)
+            k = np.flatnonzero(size)
+            mean = own[:, k].T.astype(float) @ x[~held] / size[k, None]
+            dots[:, k, c], squares[k, c] = x[held] @ mean.T, np.square(mean).sum(axis=1)
+        tests = pdf[held]
+        out = pd.DataFrame({"volume": tests["volume"].astype("Int64"), "norm": tests["norm"], "codes": list(labels[held]), "dots": list(dots.reshape(len(dots), -1))})
+        out.loc[len(pdf)] = [pd.NA, 0.0, [], squares.ravel()]
+        return out.assign(subject=key[0], chunk=chunk)[["subject", "chunk", "volume", "norm", "codes", "dots"]]
+
     def sums(key, pdf):
         subject, chunk, at = key[0], int(key[1]), int(key[2])
         x, labels = matrix(pdf, chunk)
@@ -185,32 +206,39 @@ def permuted_centroid_scores(rows: DataFrame, test: list[int] | Column, n: int,
         return pd.DataFrame(out, columns=["subject", "chunk", "slice", "perm", "code", "n", "total"])
 
     key = ["subject", "chunk", "slice"]
+    added = Summarizer.metrics("sum").summary(array_to_vector("dots"))
+    over_slices = lambda d: d.groupBy("subject", "chunk", "volume").agg(F.first("norm").alias("norm"), F.first("codes").alias("codes"), added.alias("s")).withColumn("dots", vector_to_array("s.sum")).drop("s")
+    schema = "subject string, chunk int, volume long, norm double, codes array<smallint>, dots array<double>"
+    small = settled(over_slices(dealt.where(F.col("rows") <= ALONE).groupBy(*key).applyInPandas(alone, schema)))
+    squares = small.where("volume is null").select("subject", "chunk", F.posexplode("dots").alias("at", "square")).where(~F.isnan("square"))
+    perm, code = F.col("chunk") * per + F.floor(F.col("at") / len(names)), F.col("at") % len(names)
+    small_norms = squares.select("subject", "chunk", perm.cast("int").alias("perm"), code.cast("int").alias("code"), F.sqrt("square").alias("norm"))
+
+    dealt = dealt.where(F.col("rows") > ALONE)
+    total_of = Summarizer.metrics("sum").summary(array_to_vector("total"))
     parts = dealt.where(~F.col("held")).groupBy(*key, block(TRAIN_ROWS).alias("block")).applyInPandas(sums, "subject string, chunk int, slice int, perm int, code int, n long, total array<double>")
-    added = Summarizer.metrics("sum").summary(array_to_vector("total"))
-    means = parts.groupBy(*key, "perm", "code").agg(F.sum("n").alias("n"), added.alias("s"))
+    means = parts.groupBy(*key, "perm", "code").agg(F.sum("n").alias("n"), total_of.alias("s"))
     means = settled(means.select(*key, "perm", "code", F.transform(vector_to_array("s.sum"), lambda v: v / F.col("n")).alias("mean")))
     tests = dealt.where("held").withColumn("block", block(TEST_ROWS))
 
     def products(key, centres, pdf):
-        columns = ["subject", "chunk", "block", "volume", "norm", "codes", "dots"]
+        columns = ["subject", "chunk", "volume", "norm", "codes", "dots"]
         if not len(pdf) or not len(centres):
             return pd.DataFrame(columns=columns)
         x, labels = matrix(pdf, int(key[1]))
         dots = np.zeros((len(x), labels.shape[1] * len(names)))
         at = (centres["perm"].to_numpy() - int(key[1]) * per) * len(names) + centres["code"].to_numpy()
         dots[:, at] = x @ np.array(centres["mean"].tolist(), float).T
-        return pd.DataFrame({"subject": key[0], "chunk": int(key[1]), "block": int(key[3]), "volume": pdf["volume"], "norm": pdf["norm"], "codes": list(labels), "dots": list(dots)}, columns=columns)
+        return pd.DataFrame({"subject": key[0], "chunk": int(key[1]), "volume": pdf["volume"], "norm": pdf["norm"], "codes": list(labels), "dots": list(dots)}, columns=columns)
 
     by = [*key, "block"]
-    blocks = tests.select(*by).distinct()
-    spread = means.join(blocks, key)
-    schema = "subject string, chunk int, block int, volume long, norm double, codes array<smallint>, dots array<double>"
+    spread = means.join(tests.select(*by).distinct(), key)
     pieces = spread.toDF(*spread.columns).groupBy(*by).cogroup(tests.groupBy(*by)).applyInPandas(products, schema)
-    added = Summarizer.metrics("sum").summary(array_to_vector("dots"))
-    whole = pieces.groupBy("subject", "chunk", "block", "volume").agg(F.first("norm").alias("norm"), F.first("codes").alias("codes"), added.alias("s"))
-    whole = whole.withColumn("dots", vector_to_array("s.sum")).drop("s")
     norms = means.groupBy("subject", "chunk", "perm", "code").agg(F.sqrt(F.sum(total(F.transform("mean", lambda v: v * v)))).alias("norm"))
-    norms = norms.join(blocks.select("subject", "chunk", "block").distinct(), ["subject", "chunk"])
+    whole = small.where("volume is not null").unionByName(over_slices(pieces)).join(counts, "subject").withColumn("block", block(TEST_ROWS))
+    # every block that the subject's rows may be in
+    norms = small_norms.unionByName(norms).join(counts, "subject")
+    norms = norms.withColumn("block", F.explode(F.sequence(F.lit(0), F.ceil(F.col("rows") / TEST_ROWS).cast("int") - 1)))
 
     def score(key, own, pdf):
         columns = ["subject", "perm", "volume", "regressor_label", "predicted_label", "scores"]
@@ -231,7 +259,7 @@ def permuted_centroid_scores(rows: DataFrame, test: list[int] | Column, n: int,
 
     by = ["subject", "chunk", "block"]
     schema = "subject string, perm int, volume long, regressor_label string, predicted_label string, scores array<struct<label:string,score:double>>"
-    return norms.toDF(*norms.columns).groupBy(*by).cogroup(whole.groupBy(*by)).applyInPandas(score, schema)
+    return norms.select(*by, "perm", "code", "norm").toDF(*by, "perm", "code", "norm").groupBy(*by).cogroup(whole.groupBy(*by)).applyInPandas(score, schema)
 
 
 def both_metrics(pred: DataFrame, keys: list[str]) -> DataFrame:

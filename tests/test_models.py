@@ -116,10 +116,11 @@ def test_classifiers(planted):
 
 def test_permutations(planted, monkeypatch):
     want = _brute_permutations(planted, 9)
-    # whole patterns; slices of five features; chunks of four permutations; slices in chunks
-    for size, columns in ((64_000_000, 8192), (3 * 8 * 10 * 5, 8192), (64_000_000, 12), (3 * 8 * 4 * 5, 12)):
+    # whole patterns; slices of five features in chunks of four permutations, in one task each and in blocks of rows
+    for size, columns, alone in ((64_000_000, 8192, 90), (3 * 8 * 4 * 5, 12, 90), (3 * 8 * 4 * 5, 12, 89)):
         monkeypatch.setattr(models, "CHUNK_BYTES", size)
         monkeypatch.setattr(models, "COLUMNS", columns)
+        monkeypatch.setattr(models, "ALONE", alone)
         monkeypatch.setattr(models, "TRAIN_ROWS", 7)
         monkeypatch.setattr(models, "TEST_ROWS", 5)
         scores = models.permutation_centroid(planted, [3], 9).cache()
