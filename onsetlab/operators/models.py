@@ -134,7 +134,7 @@ def held_out(test: list[int] | Column) -> Column:
 
 #: Bytes of class means that a task holds, classes of permutations worked on together, rows of a block, and rows of a
 #: subject whose slices are worked on in one task each.
-CHUNK_BYTES, COLUMNS, TEST_ROWS, TRAIN_ROWS, ALONE = 64_000_000, 8192, 1024, 4096, 2048
+CHUNK_BYTES, COLUMNS, TEST_ROWS, TRAIN_ROWS, ALONE = 64_000_000, 8192, 256, 4096, 2048
 
 
 def centred(x: Column) -> Column:
@@ -148,9 +148,9 @@ def feature_slices(x: Column, wide: int) -> Column:
     return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(x, k * wide + 1, wide))
 
 
-def permuted_centroid_scores(rows: DataFrame, test: list[int] | Column, n: int, seed: int = 0) -> DataFrame:
-    """(subject, perm, volume, regressor_label, predicted_label, scores) of the centroid
-    classifier's test rows under each permutation.
+def permuted_centroids(rows: DataFrame, test: list[int] | Column, n: int, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """The centroid classifier under each permutation: (subject, perm, metric, value) of subjects of at most
+    ALONE rows, and of the others (subject, perm, volume, regressor_label, predicted_label, scores) of test rows.
 
     Where every pattern is less its own mean, so are the class means, and both the product of a
     pattern with one and the mean's norm are sums over features. So patterns are cut into slices
@@ -235,31 +235,42 @@ def permuted_centroid_scores(rows: DataFrame, test: list[int] | Column, n: int,
     spread = means.join(tests.select(*by).distinct(), key)
     pieces = spread.toDF(*spread.columns).groupBy(*by).cogroup(tests.groupBy(*by)).applyInPandas(products, schema)
     norms = means.groupBy("subject", "chunk", "perm", "code").agg(F.sqrt(F.sum(total(F.transform("mean", lambda v: v * v)))).alias("norm"))
-    whole = small.where("volume is not null").unionByName(over_slices(pieces)).join(counts, "subject").withColumn("block", block(TEST_ROWS))
+    whole = over_slices(pieces).join(counts, "subject").withColumn("block", block(TEST_ROWS))
     # every block that the subject's rows may be in
-    norms = small_norms.unionByName(norms).join(counts, "subject")
-    norms = norms.withColumn("block", F.explode(F.sequence(F.lit(0), F.ceil(F.col("rows") / TEST_ROWS).cast("int") - 1)))
+    norms = norms.join(counts, "subject").withColumn("block", F.explode(F.sequence(F.lit(0), F.ceil(F.col("rows") / TEST_ROWS).cast("int") - 1)))
+
+    def correlations(key, own, pdf):
+        """By permutation: its number, codes of trained classes, test rows' correlations with them, and their labels' codes."""
+        dots, labels = np.array(pdf["dots"].tolist(), float), np.array(pdf["codes"].tolist(), int)
+        x_norm, first = pdf["norm"].to_numpy(), int(key[1]) * per
+        for perm, found in own.sort_values(["perm", "code"]).groupby("perm"):
+            code, both = found["code"].to_numpy(), x_norm[:, None] * found["norm"].to_numpy()[None, :]
+            yield int(perm), code, dots[:, (perm - first) * len(names) + code] / np.where(both == 0, 1.0, both), labels[:, perm - first]
+
+    def measured(key, own, pdf):
+        out = []
+        if len(pdf) and len(own):
+            for perm, code, r, truth in correlations(key, own, pdf):
+                out += [(key[0], perm, m, v) for m, v in zip(("accuracy", "roc_auc_ovr"), scored(r, truth, code))]
+        return pd.DataFrame(out, columns=["subject", "perm", "metric", "value"])
 
     def score(key, own, pdf):
         columns = ["subject", "perm", "volume", "regressor_label", "predicted_label", "scores"]
         if not len(pdf) or not len(own):
             return pd.DataFrame(columns=columns)
-        dots, labels = np.array(pdf["dots"].tolist(), float), np.array(pdf["codes"].tolist(), int)
-        x_norm, first = pdf["norm"].to_numpy(), int(key[1]) * per
         out = []
-        for perm, found in own.sort_values(["perm", "code"]).groupby("perm"):
-            trained = [names[c] for c in found["code"]]
-            both = x_norm[:, None] * found["norm"].to_numpy()[None, :]
-            r = dots[:, (perm - first) * len(names) + found["code"].to_numpy()] / np.where(both == 0, 1.0, both)
-            best = r.argmax(axis=1)
+        for perm, code, r, truth in correlations(key, own, pdf):
+            trained, best = [names[c] for c in code], r.argmax(axis=1)
             for k, volume in enumerate(pdf["volume"]):
-                truth = labels[k, perm - first]
-                out.append((key[0], int(perm), int(volume), names[truth] if truth >= 0 else None, trained[best[k]], [{"label": a, "score": float(b)} for a, b in zip(trained, r[k])]))
+                out.append((key[0], perm, int(volume), names[truth[k]] if truth[k] >= 0 else None, trained[best[k]], [{"label": a, "score": float(b)} for a, b in zip(trained, r[k])]))
         return pd.DataFrame(out, columns=columns)
 
     by = ["subject", "chunk", "block"]
     schema = "subject string, perm int, volume long, regressor_label string, predicted_label string, scores array<struct<label:string,score:double>>"
-    return norms.select(*by, "perm", "code", "norm").toDF(*by, "perm", "code", "norm").groupBy(*by).cogroup(whole.groupBy(*by)).applyInPandas(score, schema)
+    many = norms.select(*by, "perm", "code", "norm").toDF(*by, "perm", "code", "norm").groupBy(*by).cogroup(whole.groupBy(*by)).applyInPandas(score, schema)
+    tests = small.where("volume is not null")
+    one = small_norms.toDF(*small_norms.columns).groupBy("subject", "chunk").cogroup(tests.groupBy("subject", "chunk")).applyInPandas(measured, "subject string, perm int, metric string, value double")
+    return one, many
 
 
 def both_metrics(pred: DataFrame, keys: list[str]) -> DataFrame:
@@ -272,7 +283,8 @@ def both_metrics(pred: DataFrame, keys: list[str]) -> DataFrame:
 
 def permutation_centroid(rows: DataFrame, test: list[int] | Column, n: int, seed: int = 0) -> DataFrame:
     """Both metrics of the centroid classifier by permutation: (subject, perm, metric, value)."""
-    return both_metrics(settled(permuted_centroid_scores(rows, test, n, seed)), ["subject", "perm"])
+    one, many = permuted_centroids(rows, test, n, seed)
+    return one.unionByName(both_metrics(settled(many), ["subject", "perm"]).select("subject", "perm", "metric", "value"))
 
 
 #: Permutations that a task scores at one time.
