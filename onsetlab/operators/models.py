@@ -132,9 +132,9 @@ def held_out(test: list[int] | Column) -> Column:
     return test if isinstance(test, Column) else F.col("run").isin(test)
 
 
-#: Bytes of class means that a task holds, classes of permutations worked on together, rows of a block, and rows of a
-#: subject whose slices are worked on in one task each.
-CHUNK_BYTES, COLUMNS, TEST_ROWS, TRAIN_ROWS, ALONE = 64_000_000, 8192, 256, 4096, 2048
+#: Bytes of class means that a task holds, classes of permutations worked on together, rows of a block
+#: that are multiplied, test rows that are listed by permutation in one task, and rows of a subject whose slices are worked on in one task each.
+CHUNK_BYTES, COLUMNS, TEST_ROWS, TRAIN_ROWS, LISTED, ALONE = 64_000_000, 8192, 1024, 4096, 64, 2048
 
 
 def centred(x: Column) -> Column:
@@ -235,9 +235,9 @@ def permuted_centroids(rows: DataFrame, test: list[int] | Column, n: int, seed:
     spread = means.join(tests.select(*by).distinct(), key)
     pieces = spread.toDF(*spread.columns).groupBy(*by).cogroup(tests.groupBy(*by)).applyInPandas(products, schema)
     norms = means.groupBy("subject", "chunk", "perm", "code").agg(F.sqrt(F.sum(total(F.transform("mean", lambda v: v * v)))).alias("norm"))
-    whole = over_slices(pieces).join(counts, "subject").withColumn("block", block(TEST_ROWS))
+    whole = over_slices(pieces).join(counts, "subject").withColumn("block", block(LISTED))
     # every block that the subject's rows may be in
-    norms = norms.join(counts, "subject").withColumn("block", F.explode(F.sequence(F.lit(0), F.ceil(F.col("rows") / TEST_ROWS).cast("int") - 1)))
+    norms = norms.join(counts, "subject").withColumn("block", F.explode(F.sequence(F.lit(0), F.ceil(F.col("rows") / LISTED).cast("int") - 1)))
 
     def correlations(key, own, pdf):
         """By permutation: its number, codes of trained classes, test rows' correlations with them, and their labels' codes."""

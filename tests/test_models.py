@@ -123,6 +123,7 @@ def test_permutations(planted, monkeypatch):
         monkeypatch.setattr(models, "ALONE", alone)
         monkeypatch.setattr(models, "TRAIN_ROWS", 7)
         monkeypatch.setattr(models, "TEST_ROWS", 5)
+        monkeypatch.setattr(models, "LISTED", 4)
         scores = models.permutation_centroid(planted, [3], 9).cache()
         assert {(r.perm, r.metric): r.value for r in scores.collect()} == pytest.approx(want)
     p = {r.metric: (r.p, r.n) for r in models.permutation_p(scores, ["subject", "metric"]).collect()}
