@@ -55,10 +55,15 @@ def evidence_matrix(pred: DataFrame, keys: list[str]) -> DataFrame:
     return grid.withColumn("value", F.coalesce("value", F.lit(0.0)))
 
 
+def rounded(x, rint=F.rint):
+    """Scores to twelve decimals, as a column or an array: what differs by less ties in ranks."""
+    return rint(x * 1e12) / 1e12
+
+
 def auc(pred: DataFrame, keys: list[str]) -> DataFrame:
-    """One-vs-rest area under the curve per class, by ranks with ties averaged; NaN where
+    """One-vs-rest area under the curve per class, by ranks with ties (see rounded) averaged; NaN where
     a side has no rows. Windows are by class, so no sort spans all rows."""
-    each = by_class(pred).withColumn("y", (F.col("cat") == F.col("regressor_label")).cast("long"))
+    each = by_class(pred).withColumn("value", rounded(F.col("value"))).withColumn("y", (F.col("cat") == F.col("regressor_label")).cast("long"))
     group, ties = Window.partitionBy(*keys, "cat").orderBy("value"), Window.partitionBy(*keys, "cat", "value")
     each = each.withColumn("rank", F.rank().over(group) + (F.count("*").over(ties) - 1) / 2.0)
     s = each.groupBy(*keys, "cat").agg(F.sum("y").alias("a"), F.count("*").alias("n"), F.sum(F.col("rank") * F.col("y")).alias("r"))

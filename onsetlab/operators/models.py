@@ -281,10 +281,15 @@ def both_metrics(pred: DataFrame, keys: list[str]) -> DataFrame:
     return acc.unionByName(area)
 
 
+def with_nan(scores: DataFrame) -> DataFrame:
+    """Scores from pandas, whose NaN arrive as null; as NaN they are at least as large as any real one, as in SQL."""
+    return scores.withColumn("value", F.coalesce("value", F.lit(float("nan"))))
+
+
 def permutation_centroid(rows: DataFrame, test: list[int] | Column, n: int, seed: int = 0) -> DataFrame:
     """Both metrics of the centroid classifier by permutation: (subject, perm, metric, value)."""
     one, many = permuted_centroids(rows, test, n, seed)
-    return one.unionByName(both_metrics(settled(many), ["subject", "perm"]).select("subject", "perm", "metric", "value"))
+    return with_nan(one).unionByName(both_metrics(settled(many), ["subject", "perm"]).select("subject", "perm", "metric", "value"))
 
 
 #: Permutations that a task scores at one time.
@@ -307,7 +312,8 @@ def ranks(x: np.ndarray) -> np.ndarray:
 def scored(scores: np.ndarray, truth: np.ndarray, trained: np.ndarray) -> tuple[float, float]:
     """Accuracy, and mean one-vs-rest area under the curve of the trained classes (NaN if one has one side only)."""
     own = truth[:, None] == trained[None, :]
-    a, r = own.sum(axis=0), (ranks(scores) * own).sum(axis=0)
+    # equal rows may differ in their last digits by where they stand in a matrix product
+    a, r = own.sum(axis=0), (ranks(metrics.rounded(scores, np.rint)) * own).sum(axis=0)
     with np.errstate(divide="ignore", invalid="ignore"):
         area = np.where((a == 0) | (a == len(own)), np.nan, (r - a * (a + 1) / 2) / (a * (len(own) - a)))
     return float((trained[scores.argmax(axis=1)] == truth).mean()), float(area.mean())
@@ -332,7 +338,7 @@ def permutation_fitted(rows: DataFrame, test: list[int] | Column, n: int, catego
         select = threshold = None
     fitted = fits.fit_many(coded.where("not held"), ["subject"], categories, name, params, None, select, threshold)
     one, many = _scored_permutations(coded.where("held"), fitted, categories)
-    return one.unionByName(both_metrics(settled(many), ["subject", "perm"]).select("subject", "perm", "metric", "value"))
+    return with_nan(one).unionByName(both_metrics(settled(many), ["subject", "perm"]).select("subject", "perm", "metric", "value"))
 
 
 def _scored_permutations(tests: DataFrame, fitted: DataFrame, categories: list[str]) -> tuple[DataFrame, DataFrame]:

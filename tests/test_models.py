@@ -132,6 +132,32 @@ def test_permutations(planted, monkeypatch):
     assert {r.metric: r.p for r in models.permutation_p(fitted, ["subject", "metric"]).collect()} == {"accuracy": pytest.approx(0.2), "roc_auc_ovr": pytest.approx(0.2)}
 
 
+def test_scores_that_differ_by_noise_tie(spark):
+    """Equal patterns may get scores that differ in their last digits."""
+    scores = np.array([[0.3, 0.1], [0.3 + 4e-16, 0.1 - 3e-17], [0.2, 0.4]])
+    truth = np.array([0, 1, 1])
+    assert models.scored(scores, truth, np.array([0, 1])) == (pytest.approx(2 / 3), pytest.approx(0.75))
+    rows = [("s", "ab"[t], [("a", float(r[0])), ("b", float(r[1]))], [float(v) for v in r]) for r, t in zip(scores, truth)]
+    p = spark.createDataFrame(rows, "subject string, regressor_label string, scores array<struct<label:string,score:double>>, evidence array<double>")
+    assert {r.label: r.auc for r in M.auc(p, ["subject"]).collect()} == {"a": 0.75, "b": 0.75}
+
+
+@pytest.mark.parametrize("alone", [2048, 1])
+def test_permutations_without_a_test_row_of_a_class(spark, monkeypatch, alone):
+    """Their area is NaN, not null, and counts as no less than the real one."""
+    monkeypatch.setattr(models, "ALONE", alone)
+    rng = np.random.default_rng(2)
+    rows = [("s", 1 + k // 8, k, "abc"[0 if k in (1, 12) else 1 + k % 2], rng.normal(size=4).tolist()) for k in range(16)]
+    df = spark.createDataFrame(rows, "subject string, run int, volume int, regressor_label string, features array<double>")
+    for got in (models.permutation_centroid(df, [2], 12), models.permutation_fitted(df, [2], 12, ["a", "b", "c"], params={"max_iter": 3})):
+        area = {r.perm: r.value for r in got.where("metric = 'roc_auc_ovr'").collect()}
+        none = {k for k, v in area.items() if v is not None and np.isnan(v)}
+        assert None not in area.values() and none and 0 not in none and len(area) == 13
+        hits = sum(k in none or v >= area[0] for k, v in area.items() if k)
+        p = {r.metric: r.p for r in models.permutation_p(got, ["subject", "metric"]).collect()}
+        assert p["roc_auc_ovr"] == pytest.approx((1 + hits) / 13)
+
+
 def test_feature_slices(planted):
     """Each value is in one slice, whatever the width."""
     for wide, sizes in ((5, [5, 5, 2]), (12, [12]), (64, [12])):
