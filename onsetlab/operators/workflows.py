@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 
 from onsetlab.functions import decision_evidence
 from onsetlab.operators import conditions, decoding, metrics, models, patterns, report, sampling, volumes
-from onsetlab.sources.frames import drop_frames, slice_stored, store_frames
+from onsetlab.sources.frames import drop_frames, store_frames
 from onsetlab.sources.store import settled
 
 KEYS = ["subject", "fold"]
@@ -33,14 +33,14 @@ def sections(table: DataFrame, frames: DataFrame, recordings: DataFrame, config:
         raise ValueError("; ".join(errors))
     if masks is not None:
         frames = patterns.apply_mask(frames, patterns.resolve_masks(frames, masks), ["subject", "session"])
-    # written by recording once; sections bring their rows to the frames
-    scored = store_frames(patterns.zscore(frames))
+    # written by frame once (numbers as long, which those of rows are made to meet); sections bring their rows to the frames, each to its own
+    scored = store_frames(patterns.zscore(frames.withColumn("volume", F.col("volume").cast("long"))), by=("boldfile", "volume"))
     out = {}
     for name, section in config["model_conditions"].items():
         rows = conditions.label_rows(table, section["conditions"])
         if name == "timecourse_decoding":
             rows = decoding.timecourse_rows(rows, recordings, section["window"])
-        out[name] = settled(slice_stored(rows, scored))
+        out[name] = settled(patterns.slice_patterns(rows, scored))
     drop_frames(table.sparkSession, scored)
     return out
 

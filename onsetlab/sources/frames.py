@@ -1,8 +1,9 @@
-"""Frames laid out by recording: bucketed by file and sorted by time, once.
+"""Frames laid out by recording, or by frame: bucketed and sorted by time, once.
 
-What works by recording (standard scores, detrending, means) then reads its buckets as they lie, and
+By recording, what works by recording (standard scores, detrending, means) reads its buckets as they lie, and
 a section's rows are moved to the frames, not the frames to the rows: no features are
-shuffled again after the table is written.
+shuffled again after the table is written. A recording's rows are then one list beside each of its frames, so this is for
+few rows of a recording; many meet frames that are laid out by frame.
 """
 
 from __future__ import annotations
@@ -15,15 +16,15 @@ from pyspark.sql import functions as F
 from onsetlab.sources.store import drop_folder, shared_folder
 
 
-def store_frames(frames: DataFrame, folder: str | None = None, name: str | None = None, buckets: int | None = None) -> DataFrame:
+def store_frames(frames: DataFrame, folder: str | None = None, name: str | None = None, buckets: int | None = None, by: tuple[str, ...] = ("boldfile",)) -> DataFrame:
     """Write frames (boldfile, volume, features, ...) as a table in the folder and read it. One
-    recording is in one bucket; there are as many as shuffle partitions unless told (with fewer, a join may deal the frames anew)."""
+    recording (or by boldfile and volume: one frame, see slice_patterns) is in one bucket; there are as many as shuffle partitions unless told (with fewer, a join may deal the frames anew)."""
     spark = frames.sparkSession
     name = name or f"frames_{uuid.uuid4().hex}"
     folder = folder or f"{shared_folder(spark)}/{name}"
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = frames.repartition(buckets, "boldfile")
-    dealt.write.bucketBy(buckets, "boldfile").sortBy("boldfile", "volume").option("path", folder).saveAsTable(name)
+    dealt = frames.repartition(buckets, *by)
+    dealt.write.bucketBy(buckets, *by).sortBy("boldfile", "volume").option("path", folder).saveAsTable(name)
     return spark.table(name)
 
 

@@ -1,7 +1,9 @@
 import numpy as np
 import pytest
 
+from onsetlab.operators import patterns
 from onsetlab.operators import workflows as W
+from test_sources import exchanges
 
 NAMES = ["a", "b", "c"]
 LEAF = {n: {"column": "trial_type", "match": "exact", "value": n} for n in NAMES}
@@ -47,6 +49,23 @@ def test_generalization(study):
     assert got["cv_importance"].count() == got["importance"].count() == 6 and "permutation_test" not in got
 
 
+def test_sections_meet_frames_one_by_one(spark, study, monkeypatch):
+    """No list of a recording's rows stands beside each of its frames, and no features are dealt anew."""
+    plans, write = [], W.settled
+    monkeypatch.setattr(W, "settled", lambda df: plans.append((exchanges(df), df._jdf.queryExecution().optimizedPlan().toString())) or write(df))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = W.sections(*study, config())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert len(plans) == 3 and not any("collect_list" in plan for _, plan in plans)
+    assert all(moved and not any("features" in x for x in moved) for moved, _ in plans)
+    want = {(r.boldfile, r.volume): np.round(r.features, 9).tolist() for r in patterns.zscore(study[1]).collect()}
+    rows = got["training"].collect()
+    assert len(rows) == 144 and all(np.round(r.features, 9).tolist() == want[r.boldfile, r.volume_of_interest] for r in rows)
+
+
 def test_permutation_test_in_the_workflow(study):
     got = W.run_generalization(*study, config(permutation_test={"n_permutations": 9}))["permutation_test"].collect()
     assert sorted((r.subject, r.metric, r.n) for r in got) == [(s, m, 9) for s in ("01", "02") for m in ("accuracy", "roc_auc_ovr")] and {r.p for r in got} == {0.1}
