@@ -135,6 +135,8 @@ def held_out(test: list[int] | Column) -> Column:
 #: Bytes of class means that a task holds, classes of permutations worked on together, rows of a block
 #: that are multiplied, test rows that are listed by permutation in one task, and rows of a subject whose slices are worked on in one task each.
 CHUNK_BYTES, COLUMNS, TEST_ROWS, TRAIN_ROWS, LISTED, ALONE = 64_000_000, 8192, 1024, 4096, 64, 2048
+#: Bytes of a larger subject's test scores that a task holds: of as many permutations as fit.
+SCORE_BYTES = 16_000_000
 
 
 def centred(x: Column) -> Column:
@@ -149,8 +151,8 @@ def feature_slices(x: Column, wide: int) -> Column:
 
 
 def permuted_centroids(rows: DataFrame, test: list[int] | Column, n: int, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """The centroid classifier under each permutation: (subject, perm, metric, value) of subjects of at most
-    ALONE rows, and of the others (subject, perm, volume, regressor_label, predicted_label, scores) of test rows.
+    """The centroid classifier under each permutation: (subject, perm, metric, value) of subjects whose
+    test scores of one permutation are at most SCORE_BYTES, and of the others (subject, perm, volume, regressor_label, predicted_label, scores) of test rows.
 
     Where every pattern is less its own mean, so are the class means, and both the product of a
     pattern with one and the mean's norm are sums over features. So patterns are cut into slices
@@ -158,7 +160,7 @@ def permuted_centroids(rows: DataFrame, test: list[int] | Column, n: int, seed:
     Training rows are multiplied with indicator matrices of the labels, test rows
     with the means, and the products are added up over slices. Of a subject of at most ALONE rows the means
     stay in the task that makes them; larger ones are worked on in blocks of rows, whose sums and means
-    are shuffled. Only more than COLUMNS classes of permutations are worked on in chunks, with a copy of
+    are shuffled, and scored some permutations at a time. Only more than COLUMNS classes of permutations are worked on in chunks, with a copy of
     the patterns for each."""
     names = rows.agg(F.sort_array(F.collect_set("regressor_label")).alias("names")).first()["names"]
     per = max(1, COLUMNS // max(1, len(names)))
@@ -167,10 +169,12 @@ def permuted_centroids(rows: DataFrame, test: list[int] | Column, n: int, seed:
     place = F.array(*map(F.lit, names)).cast("array<string>")
     codes = F.transform("given", lambda g: (F.coalesce(F.array_position(place, g), F.lit(0)) - 1).cast("smallint"))
     norm = F.sqrt(total(F.transform("x", lambda v: v * v)))
-    counts = rows.groupBy("subject").agg(F.count("*").alias("rows"))
+    each = 8 * max(1, len(names))
+    counts = rows.groupBy("subject").agg(F.count("*").alias("rows"), F.count_if(held_out(test)).alias("tests"))
+    counts = counts.withColumn("width", F.greatest(F.lit(1), F.least(F.lit(SCORED), F.floor(F.lit(SCORE_BYTES) / (each * F.greatest("tests", F.lit(1)))))).cast("int"))
     coded = given.select("subject", "volume", "held", "x", codes.alias("codes"), norm.alias("norm")).join(counts, "subject")
     # written once: labels are shuffled by permutation once, and training and test rows are read from there
-    dealt = settled(coded.select("subject", "volume", "held", "rows", "codes", "norm", F.posexplode(feature_slices(F.col("x"), wide)).alias("slice", "x")))
+    dealt = settled(coded.select("subject", "volume", "held", "rows", "width", "codes", "norm", F.posexplode(feature_slices(F.col("x"), wide)).alias("slice", "x")))
     dealt = dealt.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(n // per))))
     block = lambda size: F.pmod(F.xxhash64("volume"), F.ceil(F.col("rows") / size)).cast("int")
 
@@ -207,9 +211,9 @@ def permuted_centroids(rows: DataFrame, test: list[int] | Column, n: int, seed:
 
     key = ["subject", "chunk", "slice"]
     added = Summarizer.metrics("sum").summary(array_to_vector("dots"))
-    over_slices = lambda d: d.groupBy("subject", "chunk", "volume").agg(F.first("norm").alias("norm"), F.first("codes").alias("codes"), added.alias("s")).withColumn("dots", vector_to_array("s.sum")).drop("s")
+    over_slices = lambda d, at: d.groupBy("subject", at, "volume").agg(F.first("norm").alias("norm"), F.first("codes").alias("codes"), added.alias("s")).withColumn("dots", vector_to_array("s.sum")).drop("s")
     schema = "subject string, chunk int, volume long, norm double, codes array<smallint>, dots array<double>"
-    small = settled(over_slices(dealt.where(F.col("rows") <= ALONE).groupBy(*key).applyInPandas(alone, schema)))
+    small = settled(over_slices(dealt.where(F.col("rows") <= ALONE).groupBy(*key).applyInPandas(alone, schema), "chunk"))
     squares = small.where("volume is null").select("subject", "chunk", F.posexplode("dots").alias("at", "square")).where(~F.isnan("square"))
     perm, code = F.col("chunk") * per + F.floor(F.col("at") / len(names)), F.col("at") % len(names)
     small_norms = squares.select("subject", "chunk", perm.cast("int").alias("perm"), code.cast("int").alias("code"), F.sqrt("square").alias("norm"))
@@ -222,35 +226,42 @@ def permuted_centroids(rows: DataFrame, test: list[int] | Column, n: int, seed:
     tests = dealt.where("held").withColumn("block", block(TEST_ROWS))
 
     def products(key, centres, pdf):
-        columns = ["subject", "chunk", "volume", "norm", "codes", "dots"]
+        columns = ["subject", "first", "volume", "norm", "codes", "dots"]
         if not len(pdf) or not len(centres):
             return pd.DataFrame(columns=columns)
         x, labels = matrix(pdf, int(key[1]))
+        width = int(pdf["width"].iloc[0])
         dots = np.zeros((len(x), labels.shape[1] * len(names)))
         at = (centres["perm"].to_numpy() - int(key[1]) * per) * len(names) + centres["code"].to_numpy()
         dots[:, at] = x @ np.array(centres["mean"].tolist(), float).T
-        return pd.DataFrame({"subject": key[0], "chunk": int(key[1]), "volume": pdf["volume"], "norm": pdf["norm"], "codes": list(labels), "dots": list(dots)}, columns=columns)
+        cut = lambda k: {"codes": list(labels[:, k : k + width]), "dots": list(dots[:, k * len(names) : (k + width) * len(names)])}
+        parts = [pd.DataFrame({"subject": key[0], "first": int(key[1]) * per + k, "volume": pdf["volume"], "norm": pdf["norm"]} | cut(k)) for k in range(0, labels.shape[1], width)]
+        return pd.concat(parts)[columns]
 
     by = [*key, "block"]
     spread = means.join(tests.select(*by).distinct(), key)
-    pieces = spread.toDF(*spread.columns).groupBy(*by).cogroup(tests.groupBy(*by)).applyInPandas(products, schema)
+    pieces = spread.toDF(*spread.columns).groupBy(*by).cogroup(tests.groupBy(*by)).applyInPandas(products, schema.replace("chunk", "first"))
     norms = means.groupBy("subject", "chunk", "perm", "code").agg(F.sqrt(F.sum(total(F.transform("mean", lambda v: v * v)))).alias("norm"))
-    whole = over_slices(pieces).join(counts, "subject").withColumn("block", block(LISTED))
+    start = F.col("chunk") * per
+    norms = norms.join(counts, "subject").withColumn("first", (start + F.floor((F.col("perm") - start) / F.col("width")) * F.col("width")).cast("int"))
+    norms = settled(norms.select("subject", "first", "perm", "code", "norm", "rows", "tests"))
+    whole = over_slices(pieces, "first").join(counts, "subject")
+    few = F.col("tests") * each <= SCORE_BYTES
     # every block that the subject's rows may be in
-    norms = norms.join(counts, "subject").withColumn("block", F.explode(F.sequence(F.lit(0), F.ceil(F.col("rows") / LISTED).cast("int") - 1)))
+    many_norms = norms.where(~few).withColumn("block", F.explode(F.sequence(F.lit(0), F.ceil(F.col("rows") / LISTED).cast("int") - 1)))
 
-    def correlations(key, own, pdf):
+    def correlations(first, own, pdf):
         """By permutation: its number, codes of trained classes, test rows' correlations with them, and their labels' codes."""
         dots, labels = np.array(pdf["dots"].tolist(), float), np.array(pdf["codes"].tolist(), int)
-        x_norm, first = pdf["norm"].to_numpy(), int(key[1]) * per
+        x_norm = pdf["norm"].to_numpy()
         for perm, found in own.sort_values(["perm", "code"]).groupby("perm"):
             code, both = found["code"].to_numpy(), x_norm[:, None] * found["norm"].to_numpy()[None, :]
             yield int(perm), code, dots[:, (perm - first) * len(names) + code] / np.where(both == 0, 1.0, both), labels[:, perm - first]
 
-    def measured(key, own, pdf):
+    def measured(key, own, pdf, size=1):
         out = []
         if len(pdf) and len(own):
-            for perm, code, r, truth in correlations(key, own, pdf):
+            for perm, code, r, truth in correlations(int(key[1]) * size, own, pdf):
                 out += [(key[0], perm, m, v) for m, v in zip(("accuracy", "roc_auc_ovr"), scored(r, truth, code))]
         return pd.DataFrame(out, columns=["subject", "perm", "metric", "value"])
 
@@ -259,18 +270,22 @@ def permuted_centroids(rows: DataFrame, test: list[int] | Column, n: int, seed:
         if not len(pdf) or not len(own):
             return pd.DataFrame(columns=columns)
         out = []
-        for perm, code, r, truth in correlations(key, own, pdf):
+        for perm, code, r, truth in correlations(int(key[1]), own, pdf):
             trained, best = [names[c] for c in code], r.argmax(axis=1)
             for k, volume in enumerate(pdf["volume"]):
                 out.append((key[0], perm, int(volume), names[truth[k]] if truth[k] >= 0 else None, trained[best[k]], [{"label": a, "score": float(b)} for a, b in zip(trained, r[k])]))
         return pd.DataFrame(out, columns=columns)
 
-    by = ["subject", "chunk", "block"]
+    by = ["subject", "first", "block"]
     schema = "subject string, perm int, volume long, regressor_label string, predicted_label string, scores array<struct<label:string,score:double>>"
-    many = norms.select(*by, "perm", "code", "norm").toDF(*by, "perm", "code", "norm").groupBy(*by).cogroup(whole.groupBy(*by)).applyInPandas(score, schema)
+    listed = whole.where(~few).withColumn("block", block(LISTED))
+    many = many_norms.select(*by, "perm", "code", "norm").toDF(*by, "perm", "code", "norm").groupBy(*by).cogroup(listed.groupBy(*by)).applyInPandas(score, schema)
+    schema = "subject string, perm int, metric string, value double"
+    by = by[:2]
+    some = norms.where(few).select(*by, "perm", "code", "norm").toDF(*by, "perm", "code", "norm").groupBy(*by).cogroup(whole.where(few).groupBy(*by)).applyInPandas(lambda key, own, pdf: measured(key, own, pdf), schema)
     tests = small.where("volume is not null")
-    one = small_norms.toDF(*small_norms.columns).groupBy("subject", "chunk").cogroup(tests.groupBy("subject", "chunk")).applyInPandas(measured, "subject string, perm int, metric string, value double")
-    return one, many
+    one = small_norms.toDF(*small_norms.columns).groupBy("subject", "chunk").cogroup(tests.groupBy("subject", "chunk")).applyInPandas(lambda key, own, pdf: measured(key, own, pdf, per), schema)
+    return one.unionByName(some), many
 
 
 def both_metrics(pred: DataFrame, keys: list[str]) -> DataFrame:

@@ -167,6 +167,18 @@ def test_feature_slices(planted):
     assert empty.s == [[]] and sum(empty.c) == pytest.approx(0, abs=1e-12)
 
 
+@pytest.mark.parametrize("score_bytes", [16_000_000, 2 * 30 * 24, 1])
+def test_permutations_of_large_subjects(planted, monkeypatch, score_bytes):
+    """Scored in tasks, all permutations or two at a time; only test rows too many for a task are listed by permutation."""
+    listed, both = [], models.both_metrics
+    monkeypatch.setattr(models, "both_metrics", lambda pred, keys: listed.append(pred.count()) or both(pred, keys))
+    monkeypatch.setattr(models, "ALONE", 1)
+    monkeypatch.setattr(models, "SCORE_BYTES", score_bytes)
+    got = models.permutation_centroid(planted, [3], 5).collect()
+    assert {(r.perm, r.metric): r.value for r in got} == pytest.approx(_brute_permutations(planted, 5)) and len(got) == 12
+    assert (listed[0] > 0) == (score_bytes == 1)
+
+
 def _brute_permutations(planted, n):
     rows = sorted(planted.collect(), key=lambda r: r.volume)
     x, held = np.array([r.features for r in rows]), np.array([r.run == 3 for r in rows])
