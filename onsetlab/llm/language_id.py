@@ -84,7 +84,8 @@ class PieceIndex(dict):
         super().__init__(ids)
         names = sorted(ids, key=ids.__getitem__)
         self.codes = code_points(names, LONGEST)
-        self.sums = prefix_sums(self.codes)[np.arange(len(names)), [len(p) for p in names]]
+        self.sizes = np.array([len(p) for p in names], np.int32)
+        self.sums = prefix_sums(self.codes)[np.arange(len(names)), self.sizes]
         #: Ids by slot of a piece's sum, -1 where none; pieces that share a slot are in further tables.
         self.tables: list[tuple[np.uint64, np.ndarray]] = []
         left = np.arange(len(names))
@@ -99,9 +100,16 @@ class PieceIndex(dict):
     def having(self, sums: np.ndarray) -> np.ndarray:
         """The piece that has each sum, -1 for none."""
         out = np.full(sums.shape, -1, np.int32)
+        flat, at = sums.reshape(-1), None
         for times, table in self.tables:
-            k = table[slots_of(sums, times)]
-            np.copyto(out, k, where=(k >= 0) & (self.sums[k] == sums))
+            k = table[slots_of(flat, times)]
+            taken = np.flatnonzero(k >= 0)
+            k, flat = k[taken], flat[taken]
+            at = taken if at is None else at[taken]
+            same = self.sums[k] == flat
+            out.reshape(-1)[at[same]] = k[same]
+            # what a further table has shares a slot of each table before it
+            flat, at = flat[~same], at[~same]
         return out
 
 
@@ -141,8 +149,14 @@ def parts(word: str) -> list[str]:
 def by_length(batch: list[str]) -> tuple[list[int], list[str]]:
     """All parts of the words, short ones first, each with its word's place: words of about
     one length take no steps for longer ones."""
-    flat = sorted(((k, part) for k, w in enumerate(batch) for part in parts(w)), key=lambda x: len(x[1]))
-    return [k for k, _ in flat], [part for _, part in flat]
+    owner, flat = list(range(len(batch))), ["▁" + w for w in batch]
+    for k in range(len(flat)):
+        if len(flat[k]) > CUT:
+            flat[k], *more = parts(batch[k])
+            owner += [k] * len(more)
+            flat += more
+    order = np.argsort(np.fromiter(map(len, flat), np.int64, len(flat)), kind="stable").tolist()
+    return [owner[k] for k in order], [flat[k] for k in order]
 
 
 def lattice(batch: list[str], index: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -162,7 +176,7 @@ def lattice(batch: list[str], index: dict[str, int]) -> tuple[np.ndarray, np.nda
         ids = pieces.having(sums[:, k:] - sums[:, :-k] * POWERS[k])
         row, begin = np.nonzero(ids >= 0)
         ids = ids[row, begin]
-        same = ~pieces.codes[ids, k:].any(axis=1)
+        same = pieces.sizes[ids] == k
         for at in range(k):
             same &= pieces.codes[ids, at] == codes[row, begin + at]
         if k == 1:
