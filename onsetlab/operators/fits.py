@@ -154,6 +154,7 @@ class Chunk:
 
     def __init__(self, first: int, n_problems: int, n_classes: int, width: int, name: str, params: dict, idx: list | None, select: tuple | None):
         self.first, self.p, self.k, self.width, self.name, self.params, self.select = first, n_problems, n_classes, width, name, params, select
+        self.at = first  # of its problems in the codes of rows
         self.idx = None if idx is None else self._padded(idx)
         self.phase, self.best, self.done = "classes", None, False
 
@@ -164,7 +165,7 @@ class Chunk:
         return out
 
     def own(self, codes: np.ndarray) -> np.ndarray:
-        return codes[:, self.first : self.first + self.p]
+        return codes[:, self.at : self.at + self.p]
 
     # -- sums over a block
 
@@ -363,13 +364,15 @@ def fit_many(rows: DataFrame, keys: list[str], categories: list[str], name: str
         if not len(pdf) or not len(state_rows):
             return shown(tuple(key[:-1]), _none(k))
         state, block = begin(state_rows.iloc[0]), _block(pdf)
+        state.at = 0
         while not state.done:
             state.advance(state.of_block(block))
         return shown(tuple(key[:-1]), state)
 
-    # a key's chunks are further problems of the same rows
+    # a key's chunks are further problems of the same rows, each with its own codes alone
     spread = rows.select(*keys, "features", "codes").join(about.where("blocks = 1").select(*keys, "problems", "per"), keys)
-    spread = spread.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.ceil(F.col("problems") / F.col("per")).cast("int") - 1))).select(*keys, "chunk", "features", "codes")
+    spread = spread.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.ceil(F.col("problems") / F.col("per")).cast("int") - 1)))
+    spread = spread.select(*keys, "chunk", "features", F.slice("codes", F.col("chunk") * F.col("per") + 1, F.col("per")).alias("codes"))
     by = [*keys, "chunk"]
     small = chunks.where("blocks = 1")
     small = small.toDF(*small.columns)  # its keys come from the same rows

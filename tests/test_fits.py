@@ -169,6 +169,23 @@ def test_permutations_against_fits_of_their_own(spark, monkeypatch):
     assert {r.subject for r in below} == set(real) and len(below) == 2 * 4 * 2
 
 
+def test_chunks_get_their_own_codes(spark, monkeypatch):
+    """A row goes to a chunk's task with the codes of that chunk's problems, not with all."""
+    sizes, block = spark.sparkContext.accumulator(0), fits._block
+    monkeypatch.setattr(fits, "_block", lambda pdf: sizes.add(sum(map(len, pdf["codes"]))) or block(pdf))
+    rows = _rows(spark, 1, n=24)
+    codes = F.array(*(F.array_position(F.array(*map(F.lit, NAMES)), F.col("regressor_label")).cast("int") - 1 for _ in range(7)))
+    given = {}
+    for per in (64, 3):
+        monkeypatch.setattr(fits, "CHUNK", per)
+        before = sizes.value
+        got = fits.fit_many(rows.select("subject", "features", codes.alias("codes")), ["subject"], NAMES, params={"max_iter": 5}).collect()
+        assert sizes.value - before == 7 * rows.count()
+        given[per] = {(r.problem, r.label): [*r.weights, r.intercept] for r in got}
+    assert set(given[64]) == set(given[3]) and len(given[3]) == 21
+    assert all(given[3][k] == pytest.approx(v, abs=1e-9) for k, v in given[64].items())
+
+
 def test_ranks_with_ties():
     x = np.array([[1.0, 5.0], [1.0, 4.0], [0.0, 5.0], [2.0, 5.0]])
     assert models.ranks(x).tolist() == [[2.5, 3.0], [2.5, 1.0], [1.0, 3.0], [4.0, 3.0]]
