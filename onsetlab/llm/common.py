@@ -18,6 +18,9 @@ from onsetlab.sources.store import shared_folder
 
 #: Texts that are Python objects at one time in a task.
 SLICE_ROWS = 256
+#: Bytes of rows that Spark hands a Python worker at a time, and Spark's own bound (64 MB), which
+#: executors hold for each task, in buffers that double, outside their heap and in the worker again.
+BATCH_BYTES, BATCH_KEY, BATCH_DEFAULT = 4_000_000, "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
 def vocab_path(name: str) -> str:
@@ -52,6 +55,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Have Spark hand texts to Python ``BATCH_BYTES`` at a time, however long they are. A session
+    that names a bound of its own keeps it."""
+    if spark.conf.get(BATCH_KEY, BATCH_DEFAULT) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_KEY, BATCH_BYTES)
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[list], Iterator[tuple]]], schema: str, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Arrow batches through a function of columns.
 
@@ -59,6 +69,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[list], Iterator[tuple]]
     Python lists (one for each column of df) and yields output rows as tuples. Rows
     are handed over ``slice_rows`` at a time, so a batch of very long texts is never
     expanded as a whole."""
+    small_batches(df.sparkSession)
     out = pa.schema(_arrow_fields(df.sparkSession, schema))
 
     def run(batches):
@@ -130,6 +141,7 @@ def text_udf(make: Callable[[], Callable[[list], pa.Array | list]], returns: str
     objects by the batch, and returns as many results. Spark takes it for a function that may
     differ from call to call, so that a filter on its result doesn't make it run twice."""
 
+    small_batches(SparkSession.active())
     kind = to_arrow_type(DataType.fromDDL(returns))
 
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from onsetlab.llm.common import cut, map_rows, worker_tables
+from onsetlab.llm.common import cut, map_rows, small_batches, worker_tables
 from onsetlab.llm.components import Forest, components
 
 #: Similarity as a fraction of integers: links need TOP/BOTTOM at least.
@@ -132,6 +132,7 @@ def rarity(docs: DataFrame, words: int = WORDS) -> np.ndarray:
             level = np.floor(4 * np.log2(x.astype(float) + 1)).astype(np.uint8)
             yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk], pa.int32()), "part": pa.array([level.tobytes()], pa.binary())})
 
+    small_batches(docs.sparkSession)
     schema = "chunk int, part binary"
     out = np.zeros((CHUNKS, BUCKETS // CHUNKS), np.uint8)
     for r in docs.select("text").mapInArrow(count, schema).repartition("chunk").mapInArrow(add, schema).collect():
@@ -345,6 +346,7 @@ def runs(df: DataFrame, key: list[str], columns: list[str], schema: str, of_grou
         if len(group) > 1 and (out := of_group(now, group)):
             yield batch_of(out)
 
+    small_batches(df.sparkSession)
     return df.repartition(*key).sortWithinPartitions(*key).select(*key, *columns).mapInArrow(find, schema)
 
 

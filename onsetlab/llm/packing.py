@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from onsetlab.llm.bpe import Encoder, Splitter, byte_letters
-from onsetlab.llm.common import cut, map_rows, texts, vocab_path, worker_cached
+from onsetlab.llm.common import cut, give_back, map_rows, texts, vocab_path, worker_cached
 
 ROOM = 4096
 END_ID = 1
@@ -53,13 +53,15 @@ def library_words(path: str, memo_bytes: int) -> Encoder:
 
     model = Tokenizer.from_file(path).model
     letters = byte_letters()
+    splitter = Splitter(path)
+    give_back()  # the parsed file, before texts come on top of it
 
     def encode_word(word: str) -> array:
         if not word.isascii() or not word.isprintable():
             word = "".join([letters[b] for b in word.encode("utf-8")])
         return array("I", [t.id for t in model.tokenize(word)])
 
-    return Encoder(Splitter(path), False, memo_bytes, encode_word)
+    return Encoder(splitter, False, memo_bytes, encode_word)
 
 
 def pieces(docs: DataFrame, vocabulary: str, room: int = ROOM, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
@@ -215,11 +217,13 @@ def places(made: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.ndarra
 def pack(cut_pieces: DataFrame, room: int = ROOM) -> DataFrame:
     """Adds sequence_id and offset to pieces (doc_id, piece, start, length, ...)."""
     spark = cut_pieces.sparkSession
-    # at most as many rows as a sequence has tokens
-    histogram = {r["length"]: r["count"] for r in cut_pieces.groupBy("length").count().collect()}
+    # at most as many rows as a sequence has tokens; they stay with Spark for the join, as rows made from
+    # a Python list would take further Python workers beside those that hold tables
+    lengths = cut(cut_pieces.groupBy("length").count())
+    histogram = {r["length"]: r["count"] for r in lengths.collect()}
     sizes = [(x, max(BUCKETS, -(-n // BUCKET_PIECES))) for x, n in sorted(histogram.items())]
     first_of = dict(zip((x for x, _ in sizes), np.cumsum([0] + [n for _, n in sizes]).tolist()))
-    buckets = F.broadcast(spark.createDataFrame(sizes, "length long, buckets int"))
+    buckets = F.broadcast(lengths.selectExpr("length", f"cast(greatest({BUCKETS}, (`count` + {BUCKET_PIECES - 1}) div {BUCKET_PIECES}) as int) as buckets"))
     dealt = cut_pieces.join(buckets, "length").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("buckets")).cast("int"))
     counts = dealt.groupBy("length", "bucket").count().toPandas()
     flat = np.zeros(sum(n for _, n in sizes), np.int64)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from onsetlab.llm.common import SLICE_ROWS, cut, map_rows, text_udf, texts, worker_tables
+from onsetlab.llm.common import SLICE_ROWS, cut, map_rows, small_batches, text_udf, texts, worker_tables
 
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long"
 LEAST_BITS = 30.0
@@ -215,6 +215,7 @@ def word_bits(docs: DataFrame, least_docs: int = LEAST_DOCS, most_words: int = M
         if counts:
             yield told()
 
+    small_batches(docs.sparkSession)
     each = docs.select("text").where("text is not null").mapInArrow(run, "word string, n long")
     known = cut(each.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least_docs))
     # the least count at which no more than most_words are left; there are few different counts

@@ -1,7 +1,8 @@
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from onsetlab.llm import entries
+from onsetlab.llm import common, entries, jaccard, packing, secrets
 from onsetlab.llm.common import cut
 
 DIR = "/root/testdata/sf0.001"
@@ -51,3 +52,35 @@ def test_empty_table(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet").limit(0)
     kept, packed = _stages(spark, docs)
     assert kept.count() == 0 and packed.count() == 0
+
+
+def test_long_texts_come_in_small_batches(spark):
+    docs = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 4000).alias("text"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows], "bytes": [b.nbytes]})
+
+    for start in (lambda: common.map_rows(docs, list, "n long"), lambda: common.text_udf(list, "string"), lambda: secrets.word_bits(docs.limit(0)), lambda: jaccard.runs(docs, ["doc_id"], ["text"], "n long", None)):
+        spark.conf.unset(common.BATCH_KEY)
+        start()
+        found = docs.mapInArrow(sizes, "n long, bytes long").collect()
+        assert sum(r["n"] for r in found) == 3000 and max(r["bytes"] for r in found) <= common.BATCH_BYTES + 5000
+    spark.conf.set(common.BATCH_KEY, "1m")
+    common.small_batches(spark)
+    assert spark.conf.get(common.BATCH_KEY) == "1m"
+    spark.conf.unset(common.BATCH_KEY)
+
+
+def test_packing_takes_no_further_python_workers(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BUCKET_PIECES", 10)
+    rows = spark.range(0, 2000, 1, 4).selectExpr("id as doc_id", "0 as piece", "0L as start", "if(id < 1300, 700L, 3000 + id % 7) as length", "id as ids_crc32")
+    packed = packing.pack(cut(rows))
+    assert "ExistingRDD" not in packed._jdf.queryExecution().toString()
+    found = packed.collect()
+    assert len({(r["sequence_id"], r["offset"]) for r in found}) == len({r["doc_id"] for r in found}) == 2000
+    by = {}
+    for r in sorted(found, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == by.get(r["sequence_id"], 0)
+        by[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(by.values()) <= 4096 and len(by) == 820  # 700 beside one of 3000 to 3006, and five of 700 alone
