@@ -13,7 +13,9 @@ with the smallest id as its representative. Of the classes:
   inverted lists of their elements, in blocks of bounded size: first each block with itself
   and the next one, which joins the copies of one text however many they are, by as many
   block pairs as there are blocks; then, of lists with more blocks, only the members that
-  are not yet in their list's main component against all others.
+  are not yet in their list's main component against all others. Before texts are moved,
+  sets meet as counts of elements by hash bucket, and those go whose counts have too little
+  in common with any other's: two sets share at most the sum of the smaller counts.
 
 The boundary between the two is the size at which enumerating costs more than scanning,
 by the histogram of set sizes. Rarity comes from a fixed-size table of shingle counts over
@@ -53,6 +55,8 @@ BUCKETS, CHUNKS = 1 << 20, 256
 MOST_LIGHT = 29
 #: Cost of a scanned list entry in enumerated subsets.
 SCAN_COST = 8
+#: A set's elements are counted in buckets of about so many, by a power of two of buckets.
+PER_BUCKET, LEAST_BUCKETS, MOST_BUCKETS = 4, 32, 4096
 #: A block of a merged list has at most so many sets, and about so many elements.
 BLOCK_SETS, BLOCK_ELEMENTS = 512, 400_000
 #: Blocks are numbered in steps of so many parts; those of a hub's main component come after MAIN.
@@ -151,8 +155,33 @@ def _bounded(x: np.ndarray) -> int:
     return int(x.view(np.uint64).sum(dtype=np.uint64).astype(np.int64))
 
 
+def sketch(e: np.ndarray) -> bytes:
+    """Counts of a set's elements by their last bits, a byte each; empty where one doesn't fit a byte."""
+    width = min(MOST_BUCKETS, max(LEAST_BUCKETS, 1 << (len(e) // PER_BUCKET).bit_length()))
+    counts = np.bincount(e & (width - 1), minlength=width)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+def most_shared(a: list[bytes], b: list[bytes], n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    """Elements that each pair of sets shares at most, by their sketches. Of two widths the
+    wider is folded; an empty sketch allows as many as the smaller set has."""
+    out = np.minimum(n_a[:, None], n_b[None, :])
+    wide_a, wide_b = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+
+    def counts(side, at, width):
+        return np.array([np.frombuffer(side[k], np.uint8).reshape(-1, width).sum(axis=0) for k in at], np.uint16)
+
+    for wa in np.unique(wide_a[wide_a > 0]):
+        for wb in np.unique(wide_b[wide_b > 0]):
+            i, j, width = np.flatnonzero(wide_a == wa), np.flatnonzero(wide_b == wb), int(min(wa, wb))
+            x, y = counts(a, i, width), counts(b, j, width)
+            for k, row in zip(i, x):
+                out[k, j] = np.minimum(row, y).sum(axis=1)
+    return out
+
+
 def signatures(docs: DataFrame, level, words: int, top: int, bottom: int) -> DataFrame:
-    """doc_id, n, two sums that tell sets apart, and the set's first elements (all, if it may be light)."""
+    """doc_id, n, two sums that tell sets apart, the set's first elements (all, if it may be light) and its sketch."""
 
     def make():
         def rows(c):
@@ -161,11 +190,11 @@ def signatures(docs: DataFrame, level, words: int, top: int, bottom: int) -> Dat
                 e = elements(shingle_hashes(t, words), table)
                 n = len(e)
                 first = e if n <= MOST_LIGHT * bottom // top else e[: n - sizes_allowed(n, top, bottom) + 1]
-                yield i, n, _bounded(e), _bounded(mix(e.view(np.uint64))), first.tolist()
+                yield i, n, _bounded(e), _bounded(mix(e.view(np.uint64))), first.tolist(), sketch(e)
 
         return rows
 
-    return map_rows(docs.select("doc_id", "text"), make, "doc_id long, n int, s1 long, s2 long, first array<long>")
+    return map_rows(docs.select("doc_id", "text"), make, "doc_id long, n int, s1 long, s2 long, first array<long>, sketch binary")
 
 
 def boundary(histogram: dict[int, int], top: int = TOP, bottom: int = BOTTOM) -> int:
@@ -352,31 +381,26 @@ def runs(df: DataFrame, key: list[str], columns: list[str], schema: str, of_grou
 
 def possible(dealt: DataFrame, classes: DataFrame, most: int, top: int, bottom: int) -> DataFrame:
     """The rows of dealt whose set has a partner in its block pair that it may link with by
-    their rarest elements: of two prefixes the one that ends earlier shows all that both
-    sets share up to its end, and beyond that its set has only so many elements left."""
-    heavy = classes.where(F.col("n") > most).select("rep", "n", "first")
+    their sketches, which are much smaller than texts and leave few pairs of unlike sets."""
+    heavy = classes.where(F.col("n") > most).select("rep", "n", "sketch")
 
     def prune(key, group):
-        reps, is_i, n, first = zip(*group)
+        reps, is_i, n, sketches = zip(*group)
         within = key[1] == key[2]
         n = np.array(n, np.int64)
-        prefix = [np.array(f[: k - sizes_allowed(int(k), top, bottom) + 1], np.int64) for f, k in zip(first, n)]
-        last = np.array([p[-1] for p in prefix])
-        rest = n - [len(p) for p in prefix]
         a = list(range(len(reps))) if within else [k for k, s in enumerate(is_i) if s]
         b = a if within else [k for k, s in enumerate(is_i) if not s]
         if not a or not b:
             return []
-        shared = overlaps([prefix[k] for k in a], None if within else [prefix[k] for k in b])
-        most_shared = shared + np.where(last[a][:, None] <= last[b][None, :], rest[a][:, None], rest[b][None, :])
-        may = (shared > 0) & (most_shared * (top + bottom) >= top * (n[a][:, None] + n[b][None, :]))
+        shared = most_shared([sketches[k] for k in a], [sketches[k] for k in b], n[a], n[b])
+        may = shared * (top + bottom) >= top * (n[a][:, None] + n[b][None, :])
         if within:
             np.fill_diagonal(may, False)
         rows = {a[k] for k in np.flatnonzero(may.any(axis=1))} | {b[k] for k in np.flatnonzero(may.any(axis=0))}
         return [(*key, reps[k], is_i[k]) for k in sorted(rows)]
 
     key = ["hub", "i", "j"]
-    return runs(dealt.join(heavy, "rep"), key, ["rep", "is_i", "n", "first"], "hub long, i long, j long, rep long, is_i boolean", prune)
+    return runs(dealt.join(heavy, "rep"), key, ["rep", "is_i", "n", "sketch"], "hub long, i long, j long, rep long, is_i boolean", prune)
 
 
 def packed_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -434,7 +458,8 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, top: int = TOP, bott
     found = real.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
     member = cut(real.select("doc_id", "n", "s1", "s2").distinct().join(found, ["n", "s1", "s2"]))
     key = ["n", "s1", "s2"]
-    firsts = real.join(found.withColumnRenamed("rep", "doc_id"), ["doc_id", *key]).dropDuplicates(["doc_id", *key])
+    # not written: a reader moves only the columns that it takes
+    firsts = real.join(member.where("doc_id = rep").select("doc_id", *key), ["doc_id", *key]).dropDuplicates(["doc_id", *key])
     classes = firsts.withColumnRenamed("doc_id", "rep")
     histogram = {r["n"]: r["count"] for r in found.where(F.col("n") <= MOST_LIGHT * bottom // top).groupBy("n").count().collect()}
     most = boundary(histogram, top, bottom)

@@ -84,6 +84,35 @@ def test_far_blocks(spark, monkeypatch):
         assert got == _brute(texts, words, top, bottom)
 
 
+def test_most_shared_is_a_bound():
+    """Never below what two sets share, whatever their widths; an empty sketch allows all of the smaller set."""
+    rng = np.random.default_rng(2)
+    pool = rng.integers(0, 2**62, 3000)
+    sets = [np.sort(rng.choice(pool, n, replace=False)) for n in (1, 2, 30, 130, 140, 500, 1000, 2500)] + [np.arange(600) << 20]
+    assert jaccard.sketch(sets[-1]) == b"" and len(jaccard.sketch(sets[2])) < len(jaccard.sketch(sets[6]))
+    n = np.array([len(s) for s in sets])
+    bound = jaccard.most_shared([jaccard.sketch(s) for s in sets], [jaccard.sketch(s) for s in sets[::-1]], n, n[::-1])
+    real = np.array([[len(np.intersect1d(x, y)) for y in sets[::-1]] for x in sets])
+    assert (bound >= real).all() and (bound <= np.minimum(n[:, None], n[None, ::-1])).all()
+    assert (bound[:, ::-1].diagonal() == n).all()
+
+
+def test_unlike_texts_are_not_moved(spark, monkeypatch):
+    """Texts of sizes a tenth apart that share one rare passage meet, but only the near copies' texts are sent."""
+    rng, seen, links = random.Random(4), set(), jaccard.heavy_links
+    texts = [(k, f"rare{k // 4} short passage{k // 4} {' '.join(f'x{rng.randrange(12)}' for _ in range(200 - 7 * (k % 4)))}") for k in range(60)]
+    texts.append((100, texts[7][1] + " end"))
+
+    def watched(docs, dealt, *how):
+        seen.update(r.rep for r in dealt.collect())
+        return links(docs, dealt, *how)
+
+    monkeypatch.setattr(jaccard, "heavy_links", watched)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == _brute(texts, 3, 9, 10)
+    assert seen == {7, 100}
+
+
 def test_one_of_each_keeps_other_texts(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (1, "u v w x y z"), (2, "A b c d e f"), (None, "a b c d e f"), (None, "a b c d e f")]
     kept = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), words=5, top=4, bottom=5).collect()
