@@ -3,6 +3,7 @@ cross-validation and permutation tests."""
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 import numpy as np
@@ -45,7 +46,7 @@ def centroid_scores(stats: DataFrame, test: DataFrame, keys: list[str] = ("subje
 
 def class_code(categories: list[str], label: str = "regressor_label") -> Column:
     """The label's place among the categories, -1 for none."""
-    return (F.coalesce(F.array_position(F.array(*map(F.lit, categories)), F.col(label)), F.lit(0)) - 1).cast("int")
+    return (F.coalesce(F.array_position(F.array(*map(F.lit, categories)).cast("array<string>"), F.col(label)), F.lit(0)) - 1).cast("int")
 
 
 def with_chosen(rows: DataFrame, chosen: DataFrame, keys: list[str]) -> DataFrame:
@@ -106,17 +107,50 @@ def importance(coefficients: DataFrame, chosen: DataFrame, keys: list[str]) -> D
     return given.select(*keys, "label", spread("weights", "voxel_idx", "whole_voxels", "sign").alias("weights"))
 
 
-def permuted_labels(rows: DataFrame, n: int, seed: int = 0, keys: list[str] = ("subject",), row: str = "volume", label: str = "regressor_label") -> DataFrame:
-    """(keys, row, given): the row's labels by permutation, number 0 the real one and 1 .. n
-    shuffled within the key. Only ids and labels are multiplied and shuffled, no patterns."""
+#: Rows of a key whose labels are shuffled in one task for PERMS permutations at a time; labels of larger keys are shuffled by windows.
+SHUFFLED_ROWS, PERMS = 131_072, 32
+
+
+def permuted_codes(rows: DataFrame, n: int, names: list[str], seed: int = 0, keys: tuple[str, ...] = ("subject",), row: str = "volume", label: str = "regressor_label") -> DataFrame:
+    """(keys, row, codes): by permutation the place among ``names`` of the row's label, -1 for none. Number 0 are
+    the real labels, and 1 .. n are shuffled within the key. No patterns are moved, and a row's id and label
+    once for PERMS permutations. Estimates of size know nothing of the permutations, so joins
+    with the result should be told to merge, or it may be broadcast."""
     keys = list(keys)
+    kinds = dict(rows.dtypes)
+    ids = rows.select(*keys, row, class_code(names, label).cast("smallint").alias("code"), F.coalesce(F.concat(F.lit("|"), F.col(row).cast("string")), F.lit("")).alias("tail"))
+    ids = ids.join(F.broadcast(rows.groupBy(*keys).agg(F.count("*").alias("rows"))), keys)
+    few = F.col("rows") <= SHUFFLED_ROWS
+
+    def moved(key, pdf):
+        first, pdf = int(key[-1]), pdf.sort_values(row, na_position="first", kind="stable")
+        real, tails = pdf["code"].to_numpy(np.int16), [t.encode() for t in pdf["tail"]]
+        out = np.empty((len(pdf), min(PERMS, n + 1 - first)), np.int16)
+        for k in range(out.shape[1]):
+            start = f"{seed}|{first + k}".encode()
+            # as the order of shuffled(): the digest's two halves, then the row's place
+            digests = np.frombuffer(b"".join([hashlib.md5(start + t).digest() for t in tails]), ">u8").reshape(-1, 2)
+            out[:, k] = real[np.lexsort((digests[:, 1], digests[:, 0]))] if first + k else real
+        return pdf[[*keys, row]].assign(first=first, part=list(out))
+
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (*keys, row)) + ", first int, part array<smallint>"
+    dealt = ids.where(few).select(*keys, row, "code", "tail", F.explode(F.sequence(F.lit(0), F.lit(n), F.lit(PERMS))).alias("first"))
+    parts = dealt.groupBy(*keys, "first").applyInPandas(moved, schema)
     place = Window.partitionBy(*keys, "perm").orderBy(row)
-    moved = Window.partitionBy(*keys, "perm").orderBy(F.when(F.col("perm") == 0, F.lit("")).otherwise(shuffled(seed, "perm", row)), row)
-    every = rows.select(*keys, row, label).withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n))))
+    shuffle = Window.partitionBy(*keys, "perm").orderBy(F.when(F.col("perm") == 0, F.lit("")).otherwise(shuffled(seed, "perm", row)), row)
+    every = ids.where(~few).select(*keys, row, "code").withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n))))
     a = every.select(*keys, "perm", row, F.row_number().over(place).alias("nth"))
-    b = every.select(*keys, "perm", F.col(label).alias("given"), F.row_number().over(moved).alias("nth"))
-    labels = a.join(b, [*keys, "perm", "nth"])
-    return labels.groupBy(*keys, row).agg(F.transform(F.sort_array(F.collect_list(F.struct("perm", "given"))), lambda x: x["given"]).alias("given"))
+    b = every.select(*keys, "perm", "code", F.row_number().over(shuffle).alias("nth"))
+    single = a.join(b.hint("merge"), [*keys, "perm", "nth"]).select(*keys, row, F.col("perm").alias("first"), F.array("code").alias("part"))
+    joined = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("first", "part"))), lambda x: x["part"]))
+    return parts.unionByName(single).groupBy(*keys, row).agg(joined.alias("codes"))
+
+
+def permuted_labels(rows: DataFrame, n: int, seed: int = 0, keys: tuple[str, ...] = ("subject",), row: str = "volume", label: str = "regressor_label") -> DataFrame:
+    """(keys, row, given): the labels themselves (see permuted_codes)."""
+    names = rows.agg(F.sort_array(F.collect_set(label)).alias("names")).first()["names"]
+    place = F.array(*map(F.lit, names)).cast("array<string>")
+    return permuted_codes(rows, n, names, seed, keys, row, label).select(*keys, row, F.transform("codes", lambda c: F.get(place, c)).alias("given"))
 
 
 def permutation_p(scores: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
@@ -135,8 +169,8 @@ def held_out(test: list[int] | Column) -> Column:
 #: Bytes of class means that a task holds, classes of permutations worked on together, rows of a block
 #: that are multiplied, test rows that are listed by permutation in one task, and rows of a subject whose slices are worked on in one task each.
 CHUNK_BYTES, COLUMNS, TEST_ROWS, TRAIN_ROWS, LISTED, ALONE = 64_000_000, 8192, 1024, 4096, 64, 2048
-#: Bytes of a larger subject's test scores that a task holds: of as many permutations as fit.
-SCORE_BYTES = 16_000_000
+#: Bytes of a larger subject's test scores that a task holds: of as many permutations as fit; and of its test patterns, where these go to the permutations.
+SCORE_BYTES, PATTERN_BYTES = 16_000_000, 64_000_000
 
 
 def centred(x: Column) -> Column:
@@ -160,22 +194,25 @@ def permuted_centroids(rows: DataFrame, test: list[int] | Column, n: int, seed:
     Training rows are multiplied with indicator matrices of the labels, test rows
     with the means, and the products are added up over slices. Of a subject of at most ALONE rows the means
     stay in the task that makes them; larger ones are worked on in blocks of rows, whose sums and means
-    are shuffled, and scored some permutations at a time. Only more than COLUMNS classes of permutations are worked on in chunks, with a copy of
+    are shuffled, and scored some permutations at a time. Where a subject's test patterns are one slice, of PATTERN_BYTES
+    at most and with fewer features than SCORED permutations have classes, they are moved to each SCORED permutations and multiplied where they are scored; else
+    their products with the means are moved. Only more than COLUMNS classes of permutations are worked on in chunks, with a copy of
     the patterns for each."""
-    names = rows.agg(F.sort_array(F.collect_set("regressor_label")).alias("names")).first()["names"]
+    names, features = rows.agg(F.sort_array(F.collect_set("regressor_label")), F.max(F.size("features"))).first()
     per = max(1, COLUMNS // max(1, len(names)))
     wide = max(1, CHUNK_BYTES // (8 * max(1, len(names)) * min(per, n + 1)))
-    given = rows.select("subject", "volume", held_out(test).alias("held"), centred(F.col("features")).alias("x")).join(permuted_labels(rows, n, seed), ["subject", "volume"])
-    place = F.array(*map(F.lit, names)).cast("array<string>")
-    codes = F.transform("given", lambda g: (F.coalesce(F.array_position(place, g), F.lit(0)) - 1).cast("smallint"))
+    given = rows.select("subject", "volume", held_out(test).alias("held"), centred(F.col("features")).alias("x")).join(permuted_codes(rows, n, names, seed).hint("merge"), ["subject", "volume"])
     norm = F.sqrt(total(F.transform("x", lambda v: v * v)))
     each = 8 * max(1, len(names))
     counts = rows.groupBy("subject").agg(F.count("*").alias("rows"), F.count_if(held_out(test)).alias("tests"))
     counts = counts.withColumn("width", F.greatest(F.lit(1), F.least(F.lit(SCORED), F.floor(F.lit(SCORE_BYTES) / (each * F.greatest("tests", F.lit(1)))))).cast("int"))
-    coded = given.select("subject", "volume", "held", "x", codes.alias("codes"), norm.alias("norm")).join(counts, "subject")
+    few, one_slice = F.col("tests") * each <= SCORE_BYTES, (features or 0) <= wide
+    near = few & F.lit(one_slice and features is not None and features <= SCORED * len(names)) & (F.col("tests") * (8 * (features or 0)) <= PATTERN_BYTES)
+    counts = counts.withColumn("near", near)
+    coded = given.select("subject", "volume", "held", "x", "codes", norm.alias("norm")).join(F.broadcast(counts), "subject")
     # written once: labels are shuffled by permutation once, and training and test rows are read from there
-    dealt = settled(coded.select("subject", "volume", "held", "rows", "width", "codes", "norm", F.posexplode(feature_slices(F.col("x"), wide)).alias("slice", "x")))
-    dealt = dealt.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(n // per))))
+    whole_rows = settled(coded.select("subject", "volume", "held", "rows", "width", "near", "codes", "norm", F.posexplode(feature_slices(F.col("x"), wide)).alias("slice", "x")))
+    dealt = whole_rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(n // per))))
     block = lambda size: F.pmod(F.xxhash64("volume"), F.ceil(F.col("rows") / size)).cast("int")
 
     def matrix(pdf, chunk):
@@ -223,7 +260,7 @@ def permuted_centroids(rows: DataFrame, test: list[int] | Column, n: int, seed:
     parts = dealt.where(~F.col("held")).groupBy(*key, block(TRAIN_ROWS).alias("block")).applyInPandas(sums, "subject string, chunk int, slice int, perm int, code int, n long, total array<double>")
     means = parts.groupBy(*key, "perm", "code").agg(F.sum("n").alias("n"), total_of.alias("s"))
     means = settled(means.select(*key, "perm", "code", F.transform(vector_to_array("s.sum"), lambda v: v / F.col("n")).alias("mean")))
-    tests = dealt.where("held").withColumn("block", block(TEST_ROWS))
+    tests = dealt.where("held and not near").withColumn("block", block(TEST_ROWS))
 
     def products(key, centres, pdf):
         columns = ["subject", "first", "volume", "norm", "codes", "dots"]
@@ -243,10 +280,9 @@ def permuted_centroids(rows: DataFrame, test: list[int] | Column, n: int, seed:
     pieces = spread.toDF(*spread.columns).groupBy(*by).cogroup(tests.groupBy(*by)).applyInPandas(products, schema.replace("chunk", "first"))
     norms = means.groupBy("subject", "chunk", "perm", "code").agg(F.sqrt(F.sum(total(F.transform("mean", lambda v: v * v)))).alias("norm"))
     start = F.col("chunk") * per
-    norms = norms.join(counts, "subject").withColumn("first", (start + F.floor((F.col("perm") - start) / F.col("width")) * F.col("width")).cast("int"))
+    norms = norms.join(counts.where("not near"), "subject").withColumn("first", (start + F.floor((F.col("perm") - start) / F.col("width")) * F.col("width")).cast("int"))
     norms = settled(norms.select("subject", "first", "perm", "code", "norm", "rows", "tests"))
-    whole = over_slices(pieces, "first").join(counts, "subject")
-    few = F.col("tests") * each <= SCORE_BYTES
+    whole = (pieces if one_slice else over_slices(pieces, "first")).join(F.broadcast(counts), "subject")
     # every block that the subject's rows may be in
     many_norms = norms.where(~few).withColumn("block", F.explode(F.sequence(F.lit(0), F.ceil(F.col("rows") / LISTED).cast("int") - 1)))
 
@@ -265,6 +301,18 @@ def permuted_centroids(rows: DataFrame, test: list[int] | Column, n: int, seed:
                 out += [(key[0], perm, m, v) for m, v in zip(("accuracy", "roc_auc_ovr"), scored(r, truth, code))]
         return pd.DataFrame(out, columns=["subject", "perm", "metric", "value"])
 
+    def compared(key, centres, pdf):
+        """The same of test rows that lie beside the means."""
+        out = []
+        if len(pdf) and len(centres):
+            x, labels, x_norm = np.array(pdf["x"].tolist(), float), np.array(pdf["codes"].tolist(), int), pdf["norm"].to_numpy()
+            for perm, found in centres.sort_values(["perm", "code"]).groupby("perm"):
+                mean = np.array(found["mean"].tolist(), float)
+                both = x_norm[:, None] * np.sqrt(np.square(mean).sum(axis=1))[None, :]
+                r = x @ mean.T / np.where(both == 0, 1.0, both)
+                out += [(key[0], int(perm), m, v) for m, v in zip(("accuracy", "roc_auc_ovr"), scored(r, labels[:, perm - int(key[1])], found["code"].to_numpy()))]
+        return pd.DataFrame(out, columns=["subject", "perm", "metric", "value"])
+
     def score(key, own, pdf):
         columns = ["subject", "perm", "volume", "regressor_label", "predicted_label", "scores"]
         if not len(pdf) or not len(own):
@@ -283,6 +331,11 @@ def permuted_centroids(rows: DataFrame, test: list[int] | Column, n: int, seed:
     schema = "subject string, perm int, metric string, value double"
     by = by[:2]
     some = norms.where(few).select(*by, "perm", "code", "norm").toDF(*by, "perm", "code", "norm").groupBy(*by).cogroup(whole.where(few).groupBy(*by)).applyInPandas(lambda key, own, pdf: measured(key, own, pdf), schema)
+    first = F.floor(F.col("perm") / SCORED).cast("int") * SCORED
+    beside = whole_rows.where((F.col("rows") > ALONE) & F.col("held") & F.col("near")).withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(n), F.lit(SCORED))))
+    beside = beside.select(*by, "x", "norm", F.slice("codes", F.col("first") + 1, F.lit(SCORED)).alias("codes"))
+    centres = means.join(F.broadcast(counts.where("near")), "subject").select("subject", first.alias("first"), "perm", "code", "mean")
+    some = some.unionByName(centres.toDF(*centres.columns).groupBy(*by).cogroup(beside.groupBy(*by)).applyInPandas(compared, schema))
     tests = small.where("volume is not null")
     one = small_norms.toDF(*small_norms.columns).groupBy("subject", "chunk").cogroup(tests.groupBy("subject", "chunk")).applyInPandas(lambda key, own, pdf: measured(key, own, pdf, per), schema)
     return one.unionByName(some), many
@@ -339,11 +392,8 @@ def permutation_fitted(rows: DataFrame, test: list[int] | Column, n: int, catego
     (subject, permutation), a threshold being widened on the subject's real labels. Patterns have the labels
     of all permutations beside them, which are problems of one optimiser (see fits)."""
     held = held_out(test)
-    labels = permuted_labels(rows, n, seed)
-    place = F.array(*map(F.lit, categories))
-    codes = F.transform("given", lambda g: (F.coalesce(F.array_position(place, g), F.lit(0)) - 1).cast("int"))
-    coded = rows.select("subject", "volume", held.alias("held"), "features").join(labels, ["subject", "volume"])
-    coded = settled(coded.select("subject", "volume", "held", "features", codes.alias("codes")))
+    coded = rows.select("subject", "volume", held.alias("held"), "features").join(permuted_codes(rows, n, categories, seed).hint("merge"), ["subject", "volume"])
+    coded = settled(coded)
     if n_voxels:
         select, threshold = ("best", n_voxels), None
     elif feat_p is not None:

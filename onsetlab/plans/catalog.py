@@ -524,7 +524,7 @@ N_PERM = 1000
  select r.subject, r.metric, round(r.value, 6) as real, round((1 + count(*) filter (s.value >= r.value)) / (1.0 + count(*)), 6) as p from s join s r on s.subject = r.subject and s.metric = r.metric and r.perm = 0 and s.perm > 0 where not isnan(r.value) group by all"""
 )
 def permutation_centroid(spark, d):
-    scores = models.permutation_centroid(W.observations(spark, d), W.TEST_RUNS, N_PERM).withColumn("value", F.round("value", 9))
+    scores = settled(models.permutation_centroid(W.observations(spark, d), W.TEST_RUNS, N_PERM)).withColumn("value", F.round("value", 9))
     p = models.permutation_p(scores, ["subject", "metric"]).where(~F.isnan("real"))
     return p.select("subject", "metric", r6("real").alias("real"), r6("p").alias("p"))
 

@@ -179,6 +179,61 @@ def test_permutations_of_large_subjects(planted, monkeypatch, score_bytes):
     assert (listed[0] > 0) == (score_bytes == 1)
 
 
+@pytest.mark.parametrize("score_bytes", [16_000_000, 2 * 30 * 24])
+def test_permutations_whose_patterns_are_not_moved(planted, monkeypatch, score_bytes):
+    """Patterns too large for a task: products with the means are moved to where they are scored."""
+    monkeypatch.setattr(models, "ALONE", 1)
+    monkeypatch.setattr(models, "PATTERN_BYTES", 30 * 12 * 8 - 1)
+    monkeypatch.setattr(models, "SCORE_BYTES", score_bytes)
+    got = models.permutation_centroid(planted, [3], 5).collect()
+    assert {(r.perm, r.metric): r.value for r in got} == pytest.approx(_brute_permutations(planted, 5)) and len(got) == 12
+
+
+def _shuffled_place(volumes, perm, seed):
+    """The volumes in the order whose labels go to the first, second, ... volume."""
+    return sorted(volumes, key=lambda v: ("" if perm == 0 else hashlib.md5(f"{seed}|{perm}|{v}".encode()).hexdigest(), v))
+
+
+@pytest.mark.parametrize("rows_of_a_task", [131_072, 40])
+def test_permuted_codes(spark, monkeypatch, rows_of_a_task):
+    """In tasks for four permutations at a time, or by windows; ids whose texts have another order, labels that are none or not asked for."""
+    monkeypatch.setattr(models, "SHUFFLED_ROWS", rows_of_a_task)
+    monkeypatch.setattr(models, "PERMS", 4)
+    own = {s: {v: [None, "a", "b", "c"][(v * v + len(s)) % 4] for v in volumes} for s, volumes in (("s", range(-3, 110, 2)), ("tt", range(95, 125)))}
+    rows = spark.createDataFrame([(s, v, c) for s, of in own.items() for v, c in of.items()], "subject string, volume int, regressor_label string")
+    codes = models.permuted_codes(rows, 9, ["c", "a"], 3).collect()
+    labels = {(r.subject, r.volume): r.given for r in models.permuted_labels(rows, 9, 3).collect()}
+    assert len(codes) == len(labels) == rows.count()
+    for s, of in own.items():
+        got = {r.volume: r.codes for r in codes if r.subject == s}
+        for perm in range(10):
+            want = dict(zip(sorted(of), (of[v] for v in _shuffled_place(of, perm, 3))))
+            assert {v: c[perm] for v, c in got.items()} == {v: {"c": 0, "a": 1}.get(c, -1) for v, c in want.items()}
+            assert {v: labels[s, v][perm] for v in of} == want
+
+
+@pytest.mark.parametrize("rows_of_a_task", [131_072, 1])
+@pytest.mark.parametrize("test", ["centroid", "fitted"])
+def test_no_permutations_are_broadcast(planted, monkeypatch, capsys, test, rows_of_a_task):
+    """Rows by permutation, and rows with the codes of all, are estimated as small as the table; through the driver they don't fit."""
+    plans, settled = [], models.settled
+
+    def explained(df):
+        capsys.readouterr()
+        df.explain()
+        plans.append(capsys.readouterr().out)
+        return settled(df)
+
+    monkeypatch.setattr(models, "SHUFFLED_ROWS", rows_of_a_task, raising=False)
+    monkeypatch.setattr(models, "settled", explained)
+    if test == "centroid":
+        models.permutation_centroid(planted, [3], 3).collect()
+    else:
+        models.permutation_fitted(planted, [3], 3, NAMES, params={"max_iter": 2}).collect()
+    joins = [line for plan in plans for line in plan.splitlines() if "HashJoin" in line or "NestedLoopJoin" in line]
+    assert len(plans) > 1 and joins and not [line for line in joins if "perm" in line or "volume" in line]
+
+
 def _brute_permutations(planted, n):
     rows = sorted(planted.collect(), key=lambda r: r.volume)
     x, held = np.array([r.features for r in rows]), np.array([r.run == 3 for r in rows])
