@@ -412,7 +412,9 @@ def _scored_permutations(tests: DataFrame, fitted: DataFrame, categories: list[s
     by = ["subject", "chunk", "block"]
     deal = fitted.withColumn("chunk", F.floor(F.col("problem") / SCORED).cast("int"))
     chunks = deal.select("subject", "chunk").distinct()
-    dealt = tests.join(about, "subject").withColumn("block", F.pmod(F.xxhash64("volume"), F.col("blocks")).cast("int")).join(chunks, "subject")
+    # test rows go to each chunk with its codes alone
+    dealt = tests.join(F.broadcast(about), "subject").withColumn("block", F.pmod(F.xxhash64("volume"), F.col("blocks")).cast("int")).join(F.broadcast(chunks), "subject")
+    dealt = dealt.withColumn("codes", F.slice("codes", F.col("chunk") * SCORED + 1, F.lit(SCORED)))
     models_of = deal.join(about.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))), "subject")
     models_of = models_of.toDF(*models_of.columns)
 
@@ -423,7 +425,7 @@ def _scored_permutations(tests: DataFrame, fitted: DataFrame, categories: list[s
             order = np.argsort(trained)
             idx = np.asarray(own["voxel_idx"].iloc[0], int)
             w = np.array(own["weights"].tolist(), float).reshape(len(own), -1)[order]
-            yield int(problem), trained[order], x[:, idx] @ w.T + own["intercept"].to_numpy()[order], codes[:, int(problem)]
+            yield int(problem), trained[order], x[:, idx] @ w.T + own["intercept"].to_numpy()[order], codes[:, int(problem) % SCORED]
 
     def measured(key, fit, pdf):
         out = []

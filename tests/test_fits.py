@@ -186,6 +186,34 @@ def test_chunks_get_their_own_codes(spark, monkeypatch):
     assert all(given[3][k] == pytest.approx(v, abs=1e-9) for k, v in given[64].items())
 
 
+@pytest.mark.parametrize("block_bytes", [64_000_000, 8 * 8 * 6])
+def test_test_rows_get_their_own_codes(spark, monkeypatch, block_bytes):
+    """A test row goes to where some permutations are scored with their codes, not with all; in one block of rows and in several."""
+    rows = _rows(spark, 1, n=48)
+    given, tests = {}, rows.where("run = 4").count()
+    for per in (64, 3):
+        monkeypatch.setattr(models, "SCORED", per)
+        monkeypatch.setattr(fits, "BLOCK_BYTES", block_bytes)
+        sizes, array = spark.sparkContext.accumulator(0), np.array
+
+        class Counting:
+            def __getattr__(self, name):
+                return getattr(np, name)
+
+            def array(self, x, *a):
+                out = array(x, *a)
+                if a == (int,):  # codes
+                    sizes.add(out.size)
+                return out
+
+        monkeypatch.setattr(models, "np", Counting())
+        got = models.permutation_fitted(rows, [4], 6, NAMES, params={"max_iter": 5}).collect()
+        monkeypatch.setattr(models, "np", np)
+        given[per] = {(r.perm, r.metric): r.value for r in got}
+        assert sizes.value == 7 * tests and len(got) == 14
+    assert given[64] == pytest.approx(given[3])
+
+
 def test_ranks_with_ties():
     x = np.array([[1.0, 5.0], [1.0, 4.0], [0.0, 5.0], [2.0, 5.0]])
     assert models.ranks(x).tolist() == [[2.5, 3.0], [2.5, 1.0], [1.0, 3.0], [4.0, 3.0]]
